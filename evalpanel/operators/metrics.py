@@ -43,11 +43,24 @@ def pool_axis(panel: DataFrame, keys: Sequence[str], unit: str = "unit") -> Data
 
 
 def unit_means(
-    panel: DataFrame, keys: Sequence[str], means: Sequence[str], carry: Sequence[str] = (), unit: str = "unit"
+    panel: DataFrame,
+    keys: Sequence[str],
+    means: Sequence[str],
+    carry: Sequence[str] = (),
+    unit: str = "unit",
+    digits: int | None = None,
 ) -> DataFrame:
-    """Per-unit means of the named columns; ``carry`` holds columns constant within a unit."""
+    """Per-unit means of the named columns; ``carry`` holds columns constant within a unit.
+
+    ``digits`` rounds the means, for use before a rank statistic: equal means summed in another order
+    differ in the last bit and would lose their tie.
+    """
+
+    def mean(c: str) -> Column:
+        return F.avg(c) if digits is None else F.round(F.avg(c), digits)
+
     return panel.groupBy(*keys, unit).agg(
-        *[F.avg(c).alias(c) for c in means], *[F.min(c).alias(c) for c in carry]
+        *[mean(c).alias(c) for c in means], *[F.min(c).alias(c) for c in carry]
     )
 
 

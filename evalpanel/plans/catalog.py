@@ -1,4 +1,4 @@
 """Imports every query module so that all queries are registered."""
 
-from evalpanel.plans import queries_metrics, queries_paired  # noqa: F401
+from evalpanel.plans import queries_metrics, queries_paired, queries_ranks  # noqa: F401
 from evalpanel.plans.registry import QUERIES, SQL  # noqa: F401
