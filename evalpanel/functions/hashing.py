@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from typing import Sequence
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,3 +41,29 @@ def poisson_weight(u: Column) -> Column:
     for k, step in reversed(list(enumerate(poisson_steps()))):
         weight = F.when(u < F.lit(step), F.lit(k).cast("bigint")).otherwise(weight)
     return weight
+
+
+# The primes of the 64-bit hash.
+_P1, _P2, _P3, _P5 = (
+    np.uint64(0x9E3779B185EBCA87),
+    np.uint64(0xC2B2AE3D27D4EB4F),
+    np.uint64(0x165667B19E3779F9),
+    np.uint64(0x27D4EB2F165667C5),
+)
+
+
+def continue_hash(base: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The uniform number of ``uniform(seed, [..., key])`` for an int ``key``, given the hash of the rest.
+
+    Lets a task compute many weights of one row without sending the row many times.
+    """
+    with np.errstate(over="ignore"):
+        h = base.view(np.uint64) + (_P5 + np.uint64(4))
+        h = h ^ (key.astype(np.uint64) * _P1)
+        h = ((h << np.uint64(23)) | (h >> np.uint64(41))) * _P2 + _P3
+        h ^= h >> np.uint64(33)
+        h *= _P2
+        h ^= h >> np.uint64(29)
+        h *= _P3
+        h ^= h >> np.uint64(32)
+    return (h >> np.uint64(11)).astype(float) * 2.0**-53

@@ -15,6 +15,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Hash-partition into the session's number of shuffle partitions, kept as it is.
+
+    For small tables whose rows are about to be multiplied: adaptive execution would pack them into few
+    tasks by their size.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def level_table(df: DataFrame, keys: Sequence[str], value: str, measures: Mapping[str, Column]) -> DataFrame:
     return df.groupBy(*keys, value).agg(*[F.sum(m).alias(n) for n, m in measures.items()])
 

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evalpanel.functions.hashing import uniform
-from evalpanel.functions.levels import attach_totals, running
+from evalpanel.functions.levels import attach_totals, running, spread
 from evalpanel.session import cut_lineage
 
 # The two selection metrics.
@@ -26,7 +26,7 @@ def stratified_folds(units: DataFrame, folds: int, repeats: int, seed: int, unit
 
     Written out once: selection and scoring must see the same folds.
     """
-    keyed = units.select(unit, "bin", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("rep")).withColumn(
+    keyed = spread(units.select(unit, "bin"), unit).select(unit, "bin", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("rep")).withColumn(
         "_u", uniform(seed, ["rep", unit], hasher)
     )
     pos = running(keyed.withColumn("_n", F.lit(1).cast("bigint")), ["rep", "bin"], "_u", ["_n"], 1.0 / slots)

@@ -24,6 +24,9 @@ _RESULT = T.StructType(
         T.StructField("ci_lo", T.DoubleType()),
         T.StructField("ci_hi", T.DoubleType()),
         T.StructField("ci_method", T.StringType()),
+        T.StructField("p_two_sided", T.DoubleType()),
+        T.StructField("undefined_share", T.DoubleType()),
+        T.StructField("se", T.DoubleType()),
     ]
 )
 
@@ -77,32 +80,36 @@ def bca_interval(
 
     ``retained`` names a count column of ``points``; under 30 the method is labelled degenerate.
     """
-    base = percentile_interval(reps, keys, alpha, 1).select(*keys, "p_two_sided", "undefined_share", "se")
     grouped = reps.groupBy(*keys) if keys else reps.groupBy()
-    arrays = grouped.agg(F.collect_list(F.nanvl("theta", F.lit(None).cast("double"))).alias("_reps"))
-    for part in (points, accel, base):
+    t = F.nanvl("theta", F.lit(None).cast("double"))
+    arrays = grouped.agg(F.collect_list(t).alias("_reps"), F.count("*").alias("_n"))
+    for part in (points, accel):
         arrays = join_null_safe(arrays, part, keys) if keys else attach_totals(arrays, part)
 
     @F.pandas_udf(_RESULT)
-    def solve(values: pd.Series, theta: pd.Series, acc: pd.Series, gaps: pd.Series) -> pd.DataFrame:
+    def solve(values: pd.Series, theta: pd.Series, acc: pd.Series, n: pd.Series) -> pd.DataFrame:
         rows = []
-        for v, t, a, gap in zip(values, theta, acc, gaps):
+        for v, t, a, k in zip(values, theta, acc, n):
             v = np.asarray(v, dtype=float)
             if v.size == 0 or t is None or pd.isna(t):
-                rows.append((None, None, TOO_FEW))
-            elif gap > 0:
-                rows.append((*(float(np.percentile(v, 100 * p)) for p in (alpha / 2, 1 - alpha / 2)), FALLBACK))
+                rows.append((None, None, TOO_FEW, None, 1.0, None))
+                continue
+            gap = 1 - v.size / k
+            if gap > 0:
+                ends = (*(float(np.percentile(v, 100 * p)) for p in (alpha / 2, 1 - alpha / 2)), FALLBACK)
             else:
-                rows.append(_bca(v, float(t), None if pd.isna(a) else float(a), alpha))
-        return pd.DataFrame(rows, columns=["ci_lo", "ci_hi", "ci_method"])
+                ends = _bca(v, float(t), None if pd.isna(a) else float(a), alpha)
+            p = max(2 * min(np.mean(v <= 0), np.mean(v >= 0)), 1 / (k + 1))
+            rows.append((*ends, float(p), float(gap), float(np.std(v, ddof=1)) if v.size > 1 else None))
+        return pd.DataFrame(rows, columns=[f.name for f in _RESULT.fields])
 
-    solved = arrays.withColumn("_r", solve("_reps", "theta_hat", "accel", "undefined_share"))
+    solved = arrays.withColumn("_r", solve("_reps", "theta_hat", "accel", "_n"))
     method = F.col("_r.ci_method")
     if retained is not None:
         method = F.when(F.col(retained) < 30, F.concat(method, F.lit(", degenerate: n < 30"))).otherwise(method)
     extra = [retained] if retained else []
     return solved.select(
-        *keys, "theta_hat", "_r.ci_lo", "_r.ci_hi", method.alias("ci_method"), "p_two_sided", "undefined_share", "se", *extra
+        *keys, "theta_hat", "_r.ci_lo", "_r.ci_hi", method.alias("ci_method"), "_r.p_two_sided", "_r.undefined_share", "_r.se", *extra
     )
 
 

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from typing import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evalpanel.functions.distributions import normal_p, sign_p
-from evalpanel.functions.levels import join_null_safe, level_table, quantiles, running
+from evalpanel.functions.levels import join_null_safe, level_table, quantiles, running, spread
 from evalpanel.session import cut_lineage
 
 
@@ -130,124 +133,109 @@ def signed_rank(pairs: DataFrame, keys: Sequence[str], grain: float | None = 1.0
     )
 
 
+_BRACKET = T.StructType([T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())])
+
+
+def _median_bracket(levels: DataFrame, facts: DataFrame, keys: Sequence[str], cells: int) -> DataFrame:
+    """An interval sure to hold the median pair sum, from a histogram of the levels per key.
+
+    Pairs of cells i and j have sums in [i + j, i + j + 2) cell widths, so counting pairs per i + j (a
+    convolution of at most ``cells`` numbers) bounds the median to two widths.
+    """
+    join = (lambda d, s: join_null_safe(d, s, keys)) if keys else (lambda d, s: d.join(F.broadcast(s)))
+    width = F.greatest((F.col("hi") - F.col("lo")) / F.lit(float(cells)), F.lit(1e-9))
+    cell = F.least(F.floor((F.col("d") - F.col("lo")) / width), F.lit(cells - 1)).cast("int")
+    ends = facts.select(*keys, "lo", "hi")
+    hist = join(levels, ends).groupBy(*keys, cell.alias("_b")).agg(F.sum("n").alias("_n"))
+    grouped = hist.groupBy(*keys) if keys else hist.groupBy()
+    packed = join(grouped.agg(F.collect_list(F.struct("_b", "_n")).alias("_h")), facts).withColumn("_w", width)
+
+    @F.pandas_udf(_BRACKET)
+    def bound(cell_ids: pd.Series, counts: pd.Series, low: pd.Series, w: pd.Series, n: pd.Series) -> pd.DataFrame:
+        out = []
+        for b, c, lo, step, total in zip(cell_ids, counts, low, w, n):
+            h = np.zeros(cells)
+            h[np.asarray(b, dtype=int)] = np.asarray(c, dtype=float)
+            pairs = np.convolve(h, h)
+            pairs[::2] += h
+            upto = np.cumsum(pairs / 2)
+            k = total * (total + 1) / 2
+            first = int(np.searchsorted(upto, (k + 1) // 2 * (1 - 1e-12)))
+            last = int(np.searchsorted(upto, (k // 2 + 1) * (1 + 1e-12)))
+            # The offset keeps the ends off the round values that sums of data fall on.
+            out.append((2 * lo + (first - 0.1415926535) * step, 2 * lo + (last + 2.1415926535) * step))
+        return pd.DataFrame(out, columns=["lo", "hi"])
+
+    got = bound("_h._b", "_h._n", "lo", "_w", F.col("n").cast("double"))
+    return packed.select(*keys, got.alias("_r")).select(*keys, "_r.lo", "_r.hi")
+
+
 def hodges_lehmann(
     pairs: DataFrame,
     keys: Sequence[str],
     grain: float = 1.0,
-    probes: int = 24,
-    budget: int = 100_000,
+    cells: int = 2048,
+    probes: int = 16,
+    budget: int = 200_000,
     max_rounds: int = 14,
 ) -> DataFrame:
     """Median of all Walsh averages (d_i + d_j) / 2, i <= j, exact, without listing the pairs.
 
-    Differences are compressed to levels. The number of pairs with sum <= t is a sum of running counts
-    at t - d_i, so a bracket around the median is narrowed by counting only; the pairs whose sum is
-    inside the final bracket are then found by an equi-join on slots of the bracket's width. Only one
-    small row per contrast and probe comes to the driver.
+    Differences are compressed to levels and a histogram gives an interval around the median pair sum.
+    The number of pairs with sum <= t is a sum of running counts at t - d_i; it places the interval's
+    ends, and narrows it while more than ``budget`` level pairs are inside. Those are then found by an
+    equi-join on slots of the interval's width. Only a few numbers per contrast come to the driver.
     """
     spark = pairs.sparkSession
     keys = list(keys)
-    levels = cut_lineage(level_table(pairs.filter(F.col("d").isNotNull()), keys, "d", {"n": F.lit(1)}))
+    levels = cut_lineage(spread(level_table(pairs.filter(F.col("d").isNotNull()), keys, "d", {"n": F.lit(1)}), *keys, "d"))
     facts = levels.groupBy(*keys).agg(
         F.sum("n").alias("n"), F.count("*").alias("k"), F.min("d").alias("lo"), F.max("d").alias("hi")
     )
+    start = _median_bracket(levels, facts, keys, cells).withColumnsRenamed({"lo": "_lo", "hi": "_hi"})
+    known = join_null_safe(facts, start, keys) if keys else facts.join(F.broadcast(start))
     brackets: dict[tuple, dict] = {}
-    for row in facts.collect():
+    for row in known.collect():
         pairs_total = row["n"] * (row["n"] + 1) // 2
+        inside = row["k"] * (row["k"] + 1) // 2
         brackets[tuple(row[k] for k in keys)] = {
             "lo": 2 * row["lo"] - 1.0,
             "hi": 2 * row["hi"] + 1.0,
             "base": 0,
-            "todo": row["k"] * (row["k"] + 1) // 2,
+            "levels": (0, inside),
+            "ask": [row["_lo"], row["_hi"]],
             "k1": (pairs_total + 1) // 2,
             "k2": pairs_total // 2 + 1,
         }
     key_schema = [levels.schema[k] for k in keys]
+    types = {"ask": T.ArrayType(T.DoubleType()), "lo": T.DoubleType(), "hi": T.DoubleType()}
 
-    def as_frame(fields: Sequence[str], types: Sequence[str], chosen: Mapping[tuple, dict]) -> DataFrame:
-        from pyspark.sql import types as T
-
-        names = {"double": T.DoubleType(), "bigint": T.LongType()}
-        schema = T.StructType(key_schema + [T.StructField(f, names[t]) for f, t in zip(fields, types)])
+    def as_frame(fields: Sequence[str], chosen: Mapping[tuple, dict]) -> DataFrame:
+        schema = T.StructType(key_schema + [T.StructField(f, types.get(f, T.LongType())) for f in fields])
         return spark.createDataFrame([(*k, *[v[f] for f in fields]) for k, v in chosen.items()], schema)
 
     def attach(df: DataFrame, small: DataFrame) -> DataFrame:
         # One row per contrast, built on the driver.
         return join_null_safe(df, F.broadcast(small), keys) if keys else df.join(F.broadcast(small))
 
-    for _ in range(max_rounds):
-        open_keys = {k: v for k, v in brackets.items() if v["todo"] > budget}
-        if not open_keys:
+    for turn in range(max_rounds):
+        chosen = {k: v for k, v in brackets.items() if turn == 0 or v["levels"][1] - v["levels"][0] > budget}
+        if not chosen:
             break
-        bounds = attach(levels, as_frame(["lo", "hi"], ["double", "double"], open_keys))
-        step = (F.col("hi") - F.col("lo")) / F.lit(float(probes + 1))
-        # The offset keeps thresholds off the round values that data sums fall on.
-        grid = F.expr(f"sequence(0, {probes - 1})")
-        asked = bounds.select(*keys, "d", "n", "lo", F.explode(grid).alias("m"), step.alias("s")).select(
-            *keys,
-            (F.col("lo") + F.col("s") * (F.col("m") + F.lit(0.8584073464102069)) - F.col("d")).alias("pos"),
-            F.lit(1).alias("kind"),
-            F.lit(0).cast("bigint").alias("n"),
-            F.lit(0).cast("bigint").alias("one"),
-            "m",
-            F.col("n").alias("w"),
-            (F.col("lo") + F.col("s") * (F.col("m") + F.lit(0.8584073464102069))).alias("t"),
-            F.col("d"),
-        )
-        data = bounds.select(
-            *keys,
-            F.col("d").alias("pos"),
-            F.lit(0).alias("kind"),
-            "n",
-            F.lit(1).cast("bigint").alias("one"),
-            F.lit(None).cast("int").alias("m"),
-            F.lit(0).cast("bigint").alias("w"),
-            F.lit(None).cast("double").alias("t"),
-            F.col("d"),
-        )
-        events = data.unionByName(asked).withColumn("_cut", F.floor(F.col("pos") / F.lit(grain)))
-        totals = data.withColumn("_cut", F.floor(F.col("pos") / F.lit(grain))).groupBy(*keys, "_cut").agg(
-            F.sum("n").alias("_n"), F.sum("one").alias("_k")
-        )
-        # Cuts without data still hold probes, so offsets are looked up on the union of both.
-        seen = events.select(*keys, "_cut").distinct()
-        filled = join_null_safe(seen, totals, [*keys, "_cut"], "left")
-        before = W.partitionBy(*keys).orderBy("_cut").rowsBetween(W.unboundedPreceding, -1)
-        offsets = filled.select(
-            *keys,
-            "_cut",
-            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_on"),
-            F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_ok"),
-        )
-        inside = W.partitionBy(*keys, "_cut").orderBy("pos", "kind").rowsBetween(W.unboundedPreceding, 0)
-        counted = join_null_safe(
-            events.withColumns({"_in": F.sum("n").over(inside), "_ik": F.sum("one").over(inside)}).filter("kind = 1"),
-            offsets,
-            [*keys, "_cut"],
-        )
-        twice = F.col("d") + F.col("d") <= F.col("t")
-        got = counted.groupBy(*keys, "m").agg(
-            F.max("t").alias("t"),
-            ((F.sum(F.col("w") * (F.col("_on") + F.col("_in"))) + F.sum(F.when(twice, F.col("w")).otherwise(F.lit(0)))) / 2).alias("c"),
-            ((F.sum(F.col("_ok") + F.col("_ik")) + F.count_if(twice)) / 2).alias("k"),
-        )
-        by_key: dict[tuple, list] = {}
-        for row in got.collect():
-            by_key.setdefault(tuple(row[k] for k in keys), []).append((row["t"], int(row["c"]), int(row["k"])))
-        for key, found in by_key.items():
+        for key, found in _pairs_up_to(attach(levels, as_frame(["ask"], chosen)), keys, grain).items():
             b = brackets[key]
             under = [f for f in found if f[1] < b["k1"]]
             over = [f for f in found if f[1] >= b["k2"]]
-            low_levels = b.get("low_levels", 0)
-            high_levels = b.get("high_levels", low_levels + b["todo"])
+            low, high = b["levels"]
             if under:
-                b["lo"], b["base"], low_levels = max(under)
+                b["lo"], b["base"], low = max(under)
             if over:
-                b["hi"], _, high_levels = min(over)
-            b["low_levels"], b["high_levels"] = low_levels, high_levels
-            b["todo"] = high_levels - low_levels
+                b["hi"], _, high = min(over)
+            b["levels"] = (low, high)
+            step = (b["hi"] - b["lo"]) / (probes + 1)
+            b["ask"] = [b["lo"] + step * (m + 0.8584073464) for m in range(probes)]
 
-    small = as_frame(["lo", "hi", "base", "k1", "k2"], ["double", "double", "bigint", "bigint", "bigint"], brackets)
+    small = as_frame(["lo", "hi", "base", "k1", "k2"], brackets)
     rows = attach(levels, small).withColumn("_w", F.col("hi") - F.col("lo"))
     slot = lambda c: F.floor(c / F.col("_w"))
     left = rows.withColumn(
@@ -259,7 +247,7 @@ def hodges_lehmann(
         cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     total = F.col("d") + F.col("d2")
     found = left.join(right, cond).filter((total > F.col("lo")) & (total <= F.col("hi")))
-    count = F.when(F.col("d") < F.col("d2"), F.col("n") * F.col("n2")).otherwise((F.col("n") * (F.col("n") + 1) / 2).cast("bigint"))
+    count = F.when(F.col("d") < F.col("d2"), F.col("n") * F.col("n2")).otherwise(F.shiftright(F.col("n") * (F.col("n") + 1), 1))
     sums = found.groupBy(*keys, total.alias("s"), "base", "k1", "k2").agg(F.sum(count).alias("c"))
     # At most about ``budget`` sums are left per contrast.
     upto = F.col("base") + F.sum("c").over(W.partitionBy(*keys).orderBy("s").rowsBetween(W.unboundedPreceding, 0))
@@ -268,10 +256,51 @@ def hodges_lehmann(
     return ordered.groupBy(*keys).agg(((hit("k1") + hit("k2")) / 4).alias("hodges_lehmann"))
 
 
+def _pairs_up_to(bounds: DataFrame, keys: Sequence[str], grain: float) -> dict[tuple, list]:
+    """Per key and asked threshold t: (t, value pairs with sum <= t, level pairs with sum <= t).
+
+    Levels and thresholds less a level are put in one order and counted by running sums over cuts of
+    the value axis.
+    """
+    zero, cut = F.lit(0).cast("bigint"), F.floor(F.col("pos") / F.lit(grain)).alias("_cut")
+    data = bounds.select(
+        *keys, F.col("d").alias("pos"), F.lit(0).alias("kind"), "n", F.lit(1).cast("bigint").alias("one"),
+        zero.alias("w"), F.lit(None).cast("double").alias("t"), "d",
+    )
+    asked = bounds.select(*keys, "d", "n", F.explode("ask").alias("t")).select(
+        *keys, (F.col("t") - F.col("d")).alias("pos"), F.lit(1).alias("kind"), zero.alias("n"), zero.alias("one"),
+        F.col("n").alias("w"), "t", "d",
+    )
+    events = data.unionByName(asked).select("*", cut)
+    # Cuts without data still hold thresholds, so the totals are taken over both.
+    totals = events.groupBy(*keys, "_cut").agg(F.sum("n").alias("_n"), F.sum("one").alias("_k"))
+    before = W.partitionBy(*keys).orderBy("_cut").rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select(
+        *keys, "_cut", F.coalesce(F.sum("_n").over(before), zero).alias("_on"), F.coalesce(F.sum("_k").over(before), zero).alias("_ok")
+    )
+    inside = W.partitionBy(*keys, "_cut").orderBy("pos", "kind").rowsBetween(W.unboundedPreceding, 0)
+    counted = events.withColumns({"_in": F.sum("n").over(inside), "_ik": F.sum("one").over(inside)}).filter("kind = 1")
+    placed = join_null_safe(counted, offsets, [*keys, "_cut"])
+    twice = F.col("d") + F.col("d") <= F.col("t")
+    got = placed.groupBy(*keys, "t").agg(
+        # Ordered pairs plus pairs with itself, halved.
+        F.shiftright(F.sum(F.col("w") * (F.col("_on") + F.col("_in"))) + F.sum(F.when(twice, F.col("w")).otherwise(zero)), 1).alias("c"),
+        F.shiftright(F.sum(F.col("_ok") + F.col("_ik")) + F.count_if(twice), 1).alias("k"),
+    )
+    out: dict[tuple, list] = {}
+    for row in got.collect():
+        out.setdefault(tuple(row[k] for k in keys), []).append((row["t"], row["c"], row["k"]))
+    return out
+
+
 def contrast_table(
     pairs: DataFrame, keys: Sequence[str], grain: float | None = 1.0, p_values: bool = True, location: bool = True
 ) -> DataFrame:
-    """One row per pair: differences, effects, signed-rank and sign tests, and their checks."""
+    """One row per pair: differences, effects, signed-rank and sign tests, and their checks.
+
+    The pairs are written once, as five aggregations read them.
+    """
+    pairs = cut_lineage(pairs)
     out = difference_summary(pairs, keys)
     parts = [balanced_difference(pairs, keys), signed_rank(pairs, keys, grain)]
     parts.append(quantiles(pairs, keys, "d", {"median_d": 0.5}, grain))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalpanel.functions.levels import attach_totals, join_null_safe, running
+from evalpanel.functions.levels import attach_totals, running, spread
 from evalpanel.functions.hashing import uniform
 from evalpanel.operators.resample import unit_index
 from evalpanel.session import cut_lineage
@@ -158,7 +158,7 @@ def permuted_block(units: DataFrame, unit: str, stratum: str, block: Sequence[st
     A unit's place in hash order picks the unit (by dense index) whose block it receives.
     """
     index = unit_index(units.select(stratum, unit), unit, [stratum], hasher)
-    keyed = units.select(stratum, unit, F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")).withColumn(
+    keyed = spread(units.select(stratum, unit), unit).select(stratum, unit, F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")).withColumn(
         "_u", uniform(seed, ["rep", unit], hasher)
     )
     placed = running(keyed.withColumn("_n", F.lit(1).cast("bigint")), ["rep", stratum], "_u", ["_n"], 1.0 / slots)
@@ -190,7 +190,7 @@ def median_regression(df: DataFrame, xs: Sequence[str], y: str, rounds: int = 40
     A round is one pass of weighted sums over the written design; p numbers come to the driver.
     """
     names = design_with_constant(xs)
-    data = cut_lineage(df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in xs], F.col(y).cast("double").alias(y)))
+    data = cut_lineage(spread(df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in xs], F.col(y).cast("double").alias(y))))
     size = len(xs) + 2
     spark = df.sparkSession
     cols = F.array(F.lit(1.0), *[F.col(x) for x in xs])

@@ -6,21 +6,28 @@ statistics followed by a formula. All replicates and all configurations are one
 * ``multinomial``: n draws with replacement out of n units. The drawn positions are hashes of
   (seed, replicate, position), so they need one shuffle to meet the unit statistics (none if those are
   small enough for the optimizer to broadcast).
-* ``poisson``: independent Poisson(1) weights, a hash of (seed, replicate, unit), computed on the unit's
+* ``poisson``: independent Poisson(1) weights, a hash of (seed, unit, replicate), computed on the unit's
   own row. Nothing but the (replicate, key, bin) sums is shuffled; use this one for very many units.
+  The sums of a task are a matrix product of weights and statistics over Arrow batches.
+
+Both repeat small rows many times, so the unit statistics are spread over all shuffle partitions first:
+adaptive execution would otherwise pack them into a few tasks by their size on disk.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from typing import Mapping, Sequence
+from typing import Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from evalpanel.functions.hashing import poisson_weight, uniform
-from evalpanel.functions.levels import attach_totals, join_null_safe
+from evalpanel.functions.hashing import continue_hash, poisson_steps, poisson_weight, uniform
+from evalpanel.functions.levels import attach_totals, join_null_safe, spread
 
 
 @dataclass(frozen=True)
@@ -52,6 +59,10 @@ def _group(stat: Statistic, keys: Sequence[str]) -> list[str]:
     return [*keys, "bin"] if stat.balanced and "bin" not in keys else list(keys)
 
 
+def is_stats(df: DataFrame, stat: Statistic) -> bool:
+    return set(stat.sums) <= set(df.columns)
+
+
 def unit_stats(rows: DataFrame, keys: Sequence[str], stat: Statistic, unit: str = "unit", carry: Sequence[str] = ()) -> DataFrame:
     """Sufficient statistics per (key, unit); every later step is independent of the rows per unit."""
     by = [*_group(stat, keys), *[c for c in carry if c not in _group(stat, keys)], unit]
@@ -102,7 +113,7 @@ def drawn_positions(index: DataFrame, seed: int, reps: int, strata: Sequence[str
     """One row per draw: position ``idx`` of the unit drawn, for every (replicate, position)."""
     strata = list(strata)
     rep = F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")
-    turns = index.select(*strata, "idx", "n", rep)
+    turns = spread(index.select(*strata, "idx", "n"), "idx").select("*", rep)
     u = uniform(seed, [*strata, "rep", "idx"], hasher)
     return turns.select(*strata, "rep", F.floor(u * F.col("n")).alias("idx"))
 
@@ -115,8 +126,52 @@ def draws(index: DataFrame, seed: int, reps: int, strata: Sequence[str] = (), un
 
 def poisson_draws(units: DataFrame, seed: int, reps: int, unit: str = "unit", hasher: str = "xx") -> DataFrame:
     """Poisson(1) weights (all columns of ``units``, rep, w), computed in place."""
-    spread = units.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    return spread.withColumn("w", poisson_weight(uniform(seed, ["rep", unit], hasher))).filter(F.col("w") > 0)
+    rows = spread(units, unit).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    return rows.withColumn("w", poisson_weight(uniform(seed, [unit, "rep"], hasher))).filter(F.col("w") > 0)
+
+
+def poisson_sums(stats: DataFrame, by: Sequence[str], names: Sequence[str], reps: int, seed: int, unit: str = "unit") -> DataFrame:
+    """Weighted sums per (by, rep), with the weights of ``poisson_draws``.
+
+    The rows of a unit meet in one batch, so its weights are made once. A task keeps one (replicates x
+    sums) matrix per ``by`` group, whose number is a vocabulary size, and gives its partial sums at its end.
+    """
+    by, names = list(by), list(names)
+    base = F.xxhash64(F.lit(seed), F.col(unit)).alias("_h")
+    steps = np.array(poisson_steps())
+    turns = np.arange(1, reps + 1, dtype=np.int32)
+    chunk = max(1, 2_000_000 // reps)
+
+    def accumulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            values = batch[names].to_numpy(dtype=float)
+            hashes, row_unit = np.unique(batch["_h"].to_numpy(dtype=np.int64), return_inverse=True)
+            groups = batch.groupby(by, dropna=False, sort=False).indices if by else {(): np.arange(len(batch))}
+            wide = np.zeros((len(hashes), len(groups), len(names)))
+            for g, where in enumerate(groups.values()):
+                wide[row_unit[where], g] = values[where]
+            wide = wide.reshape(len(hashes), -1)
+            total = np.zeros((reps, wide.shape[1]))
+            for at in range(0, len(hashes), chunk):
+                u = continue_hash(hashes[at : at + chunk][None, :], turns[:, None])
+                weights = np.searchsorted(steps, u.ravel(), side="right").reshape(u.shape)
+                total += weights.astype(float) @ wide[at : at + chunk]
+            for key, part in zip(groups, np.split(total, len(groups), axis=1)):
+                key = key if isinstance(key, tuple) else (key,)
+                sums[key] = sums[key] + part if key in sums else part
+        for key, held in sums.items():
+            out = pd.DataFrame(held, columns=names)
+            out["rep"] = turns
+            for name, value in zip(by, key):
+                out[name] = value
+            yield out
+
+    fields = [stats.schema[k] for k in by] + [T.StructField("rep", T.IntegerType())]
+    schema = T.StructType(fields + [T.StructField(n, T.DoubleType()) for n in names])
+    partial = spread(stats, unit).sortWithinPartitions(unit).select(*by, base, *[F.col(n).cast("double").alias(n) for n in names])
+    parts = partial.mapInPandas(accumulate, schema)
+    return parts.groupBy(*by, "rep").agg(*[F.sum(n).alias(n) for n in names])
 
 
 # ---- replicates ----
@@ -135,17 +190,20 @@ def replicates(
     """(keys, rep, theta): every replicate of every key in one aggregation.
 
     ``strata`` (such as the bin) resamples each stratum to its own size. The same draws serve all keys,
-    so differences between keys of one replicate stay paired.
+    so differences between keys of one replicate stay paired. ``rows`` may already be ``unit_stats``
+    (with the strata carried), which a caller who needs them again should write out once.
     """
     by = _group(stat, keys)
+    stats = rows if is_stats(rows, stat) else unit_stats(rows, keys, stat, unit, strata)
     if method == "poisson":
         if strata:
             raise ValueError("poisson weights already act per unit; strata apply to multinomial draws")
-        weighted = poisson_draws(unit_stats(rows, keys, stat, unit), seed, reps, unit, hasher)
+        if hasher == "xx":
+            return finish(poisson_sums(stats, by, list(stat.sums), reps, seed, unit), [*keys, "rep"], stat)
+        weighted = poisson_draws(stats, seed, reps, unit, hasher)
         w = F.col("w")
     elif method == "multinomial":
-        stats = unit_stats(rows, keys, stat, unit, strata)
-        index = unit_index(rows.select(*strata, unit).distinct(), unit, strata, hasher)
+        index = unit_index(stats.select(*strata, unit).distinct(), unit, strata, hasher)
         placed = stats.join(index.select(unit, "idx"), unit)
         weighted = drawn_positions(index, seed, reps, strata, hasher)
         weighted = join_null_safe(weighted, placed, [*strata, "idx"])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalpanel.functions.hashing import uniform
-from evalpanel.functions.levels import join_null_safe, running
+from evalpanel.functions.levels import join_null_safe, running, spread
 from evalpanel.operators.ranks import group_levels, ordered_pair_counts
 
 
@@ -97,7 +97,7 @@ def permuted_groups(
     The position in that order is a running count over hash slots, so no task sorts all units.
     """
     sizes = units.groupBy().agg(*[F.count_if(F.col(group) == F.lit(g)).alias(f"_s{i}") for i, g in enumerate(groups)])
-    keyed = units.select(
+    keyed = spread(units.select(unit, value), unit).select(
         unit, value, F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")
     ).withColumn("_u", uniform(seed, ["rep", unit], hasher))
     pos = running(keyed.withColumn("_n", F.lit(1).cast("bigint")), ["rep"], "_u", ["_n"], 1.0 / slots)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -306,10 +307,10 @@ def run_to_table(stream: DataFrame, name: str) -> DataFrame:
     """Drain the stream into a table of running results (keys x bins, or windows)."""
     spark = stream.sparkSession
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp") if shared is None else f"{shared}/{name}-{spark.sparkContext.applicationId}"
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp") if shared is None else f"{shared}/{name}-{uuid.uuid4()}"
     run = (
         stream.writeStream.format("memory").queryName(name).outputMode("complete")
-        .option("checkpointLocation", f"{folder}/{name}").trigger(availableNow=True).start()
+        .option("checkpointLocation", folder).trigger(availableNow=True).start()
     )
     run.awaitTermination()
     return spark.table(name)

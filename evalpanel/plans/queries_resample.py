@@ -12,9 +12,11 @@ from evalpanel.operators import paired as Q
 from evalpanel.operators import ranks as R
 from evalpanel.operators import resample as B
 from evalpanel.operators import topset as TS
+from evalpanel.operators.bootstrap import bootstrap
 from evalpanel.plans import panels as P
 from evalpanel.plans.queries_paired import pair_sql
 from evalpanel.plans.registry import D, N, query
+from evalpanel.session import cut_lineage
 
 PANEL = P.with_sql(P.PANEL_SQL)
 BALANCED = B.mean_of("abs_e", balanced=True)
@@ -66,7 +68,7 @@ _STEPS = poisson_steps()
 
 @query(
     "poisson_weights",
-    f"""{PANEL}, un AS (SELECT DISTINCT unit FROM panel), u AS (SELECT rep, unit, {u_sql(9, 'rep', 'unit')} AS u FROM un, range(1,6) t(rep)),
+    f"""{PANEL}, un AS (SELECT DISTINCT unit FROM panel), u AS (SELECT rep, unit, {u_sql(9, 'unit', 'rep')} AS u FROM un, range(1,6) t(rep)),
  w AS (SELECT rep, unit, {'+'.join(f'CASE WHEN u>=CAST({s!r} AS DOUBLE) THEN 1 ELSE 0 END' for s in _STEPS)} AS w FROM u)
 SELECT {N('rep', 'rep')}, unit, {N('w', 'w')} FROM w WHERE w>0""",
 )
@@ -161,9 +163,7 @@ def jackknife_acceleration(spark, sf_dir):
 
 
 def bca(rows, keys, stat, reps, seed, method="multinomial"):
-    stats = B.unit_stats(rows, keys, stat)
-    boot = B.replicates(rows, keys, stat, reps, seed, method)
-    return I.bca_interval(boot, B.point(stats, keys, stat), B.jackknife(stats, keys, stat), keys)
+    return bootstrap(rows, keys, stat, reps, seed, method)
 
 
 @query("bca_balanced_by_config")
@@ -327,6 +327,5 @@ def top_set_comparison(spark, sf_dir):
 @query("top_set_both")
 def top_set_both(spark, sf_dir):
     panel = P.base_panel(spark, sf_dir)
-    reps = B.replicates(panel, ["config"], BALANCED, 200, 52, "poisson")
-    points = B.point(B.unit_stats(panel, ["config"], BALANCED), ["config"], BALANCED)
-    return TS.top_set(reps, points)
+    stats = cut_lineage(B.unit_stats(panel, ["config"], BALANCED))
+    return TS.top_set(B.replicates(stats, ["config"], BALANCED, 200, 52, "poisson"), B.point(stats, ["config"], BALANCED))
