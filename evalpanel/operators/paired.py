@@ -143,9 +143,9 @@ def _median_bracket(levels: DataFrame, facts: DataFrame, keys: Sequence[str], ce
     convolution of at most ``cells`` numbers) bounds the median to two widths.
     """
     join = (lambda d, s: join_null_safe(d, s, keys)) if keys else (lambda d, s: d.join(F.broadcast(s)))
-    width = F.greatest((F.col("hi") - F.col("lo")) / F.lit(float(cells)), F.lit(1e-9))
-    cell = F.least(F.floor((F.col("d") - F.col("lo")) / width), F.lit(cells - 1)).cast("int")
-    ends = facts.select(*keys, "lo", "hi")
+    width = F.greatest((F.col("_hi") - F.col("_lo")) / F.lit(float(cells)), F.lit(1e-9))
+    cell = F.least(F.floor((F.col("d") - F.col("_lo")) / width), F.lit(cells - 1)).cast("int")
+    ends = facts.select(*keys, "_lo", "_hi")
     hist = join(levels, ends).groupBy(*keys, cell.alias("_b")).agg(F.sum("n").alias("_n"))
     grouped = hist.groupBy(*keys) if keys else hist.groupBy()
     packed = join(grouped.agg(F.collect_list(F.struct("_b", "_n")).alias("_h")), facts).withColumn("_w", width)
@@ -166,7 +166,7 @@ def _median_bracket(levels: DataFrame, facts: DataFrame, keys: Sequence[str], ce
             out.append((2 * lo + (first - 0.1415926535) * step, 2 * lo + (last + 2.1415926535) * step))
         return pd.DataFrame(out, columns=["lo", "hi"])
 
-    got = bound("_h._b", "_h._n", "lo", "_w", F.col("n").cast("double"))
+    got = bound("_h._b", "_h._n", "_lo", "_w", F.col("_total").cast("double"))
     return packed.select(*keys, got.alias("_r")).select(*keys, "_r.lo", "_r.hi")
 
 
@@ -190,20 +190,20 @@ def hodges_lehmann(
     keys = list(keys)
     levels = cut_lineage(spread(level_table(pairs.filter(F.col("d").isNotNull()), keys, "d", {"n": F.lit(1)}), *keys, "d"))
     facts = levels.groupBy(*keys).agg(
-        F.sum("n").alias("n"), F.count("*").alias("k"), F.min("d").alias("lo"), F.max("d").alias("hi")
+        F.sum("n").alias("_total"), F.count("*").alias("_levels"), F.min("d").alias("_lo"), F.max("d").alias("_hi")
     )
-    start = _median_bracket(levels, facts, keys, cells).withColumnsRenamed({"lo": "_lo", "hi": "_hi"})
+    start = _median_bracket(levels, facts, keys, cells).withColumnsRenamed({"lo": "_from", "hi": "_to"})
     known = join_null_safe(facts, start, keys) if keys else facts.join(F.broadcast(start))
     brackets: dict[tuple, dict] = {}
     for row in known.collect():
-        pairs_total = row["n"] * (row["n"] + 1) // 2
-        inside = row["k"] * (row["k"] + 1) // 2
+        pairs_total = row["_total"] * (row["_total"] + 1) // 2
+        inside = row["_levels"] * (row["_levels"] + 1) // 2
         brackets[tuple(row[k] for k in keys)] = {
-            "lo": 2 * row["lo"] - 1.0,
-            "hi": 2 * row["hi"] + 1.0,
+            "lo": 2 * row["_lo"] - 1.0,
+            "hi": 2 * row["_hi"] + 1.0,
             "base": 0,
             "levels": (0, inside),
-            "ask": [row["_lo"], row["_hi"]],
+            "ask": [row["_from"], row["_to"]],
             "k1": (pairs_total + 1) // 2,
             "k2": pairs_total // 2 + 1,
         }
@@ -248,9 +248,9 @@ def hodges_lehmann(
     total = F.col("d") + F.col("d2")
     found = left.join(right, cond).filter((total > F.col("lo")) & (total <= F.col("hi")))
     count = F.when(F.col("d") < F.col("d2"), F.col("n") * F.col("n2")).otherwise(F.shiftright(F.col("n") * (F.col("n") + 1), 1))
-    sums = found.groupBy(*keys, total.alias("s"), "base", "k1", "k2").agg(F.sum(count).alias("c"))
+    sums = found.groupBy(*keys, total.alias("s"), "base", "k1", "k2").agg(F.sum(count).alias("_c"))
     # At most about ``budget`` sums are left per contrast.
-    upto = F.col("base") + F.sum("c").over(W.partitionBy(*keys).orderBy("s").rowsBetween(W.unboundedPreceding, 0))
+    upto = F.col("base") + F.sum("_c").over(W.partitionBy(*keys).orderBy("s").rowsBetween(W.unboundedPreceding, 0))
     ordered = sums.withColumn("_u", upto)
     hit = lambda k: F.min(F.when(F.col("_u") >= F.col(k), F.col("s")))
     return ordered.groupBy(*keys).agg(((hit("k1") + hit("k2")) / 4).alias("hodges_lehmann"))
@@ -284,12 +284,12 @@ def _pairs_up_to(bounds: DataFrame, keys: Sequence[str], grain: float) -> dict[t
     twice = F.col("d") + F.col("d") <= F.col("t")
     got = placed.groupBy(*keys, "t").agg(
         # Ordered pairs plus pairs with itself, halved.
-        F.shiftright(F.sum(F.col("w") * (F.col("_on") + F.col("_in"))) + F.sum(F.when(twice, F.col("w")).otherwise(zero)), 1).alias("c"),
-        F.shiftright(F.sum(F.col("_ok") + F.col("_ik")) + F.count_if(twice), 1).alias("k"),
+        F.shiftright(F.sum(F.col("w") * (F.col("_on") + F.col("_in"))) + F.sum(F.when(twice, F.col("w")).otherwise(zero)), 1).alias("_c"),
+        F.shiftright(F.sum(F.col("_ok") + F.col("_ik")) + F.count_if(twice), 1).alias("_lv"),
     )
     out: dict[tuple, list] = {}
     for row in got.collect():
-        out.setdefault(tuple(row[k] for k in keys), []).append((row["t"], row["c"], row["k"]))
+        out.setdefault(tuple(row[k] for k in keys), []).append((row["t"], row["_c"], row["_lv"]))
     return out
 
 
