@@ -31,16 +31,16 @@ def spearman(
         df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
         .withColumn("_w", _w(weight))
         .groupBy(*keys, F.col(x).alias("_x"), F.col(y).alias("_y"))
-        .agg(F.sum("_w").alias("n"))
+        .agg(F.sum("_w").alias("_n"))
     )
 
     def ranks(col: str, grain: float | None) -> DataFrame:
-        lv = running(cells.groupBy(*keys, col).agg(F.sum("n").alias("k")), keys, col, ["k"], grain)
-        centred = F.col("below_k") + (F.col("k") - F.col("all_k")) / F.lit(2.0)
-        return lv.select(*keys, col, centred.alias(f"_r{col}"), F.col("all_k").alias(f"_n{col}"))
+        lv = running(cells.groupBy(*keys, col).agg(F.sum("_n").alias("_k")), keys, col, ["_k"], grain)
+        centred = F.col("below__k") + (F.col("_k") - F.col("all__k")) / F.lit(2.0)
+        return lv.select(*keys, col, centred.alias(f"_r{col}"), F.col("all__k").alias(f"_n{col}"))
 
     both = join_null_safe(join_null_safe(cells, ranks("_x", grain_x), [*keys, "_x"]), ranks("_y", grain_y), [*keys, "_y"])
-    n, a, b = F.col("n"), F.col("_r_x"), F.col("_r_y")
+    n, a, b = F.col("_n"), F.col("_r_x"), F.col("_r_y")
     den = F.sqrt(F.sum(n * a * a) * F.sum(n * b * b))
     agg = [F.max("_n_x").alias("n"), F.when(den > 0, F.sum(n * a * b) / den).alias("rho")]
     return both.groupBy(*keys).agg(*agg) if keys else both.agg(*agg)
