@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evalpanel.session import cut_lineage
+
 
 def spread(df: DataFrame, *by: str) -> DataFrame:
     """Hash-partition into the session's number of shuffle partitions, kept as it is.
@@ -48,28 +50,29 @@ def running(
             {f"below_{m}": F.coalesce(F.sum(m).over(w), F.sum(m).over(full) * 0) for m in measures}
             | {f"all_{m}": F.sum(m).over(full) for m in measures}
         )
-    cut = levels.withColumn("_cut", F.floor(F.col(value) / F.lit(float(grain))))
-    totals = cut.groupBy(*keys, "_cut").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
-    over_cuts = W.partitionBy(*keys).orderBy("_cut").rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy(*keys)
+    # One struct stands for the keys: it equals itself with NULL fields, so windows and join agree on
+    # one hash partitioning and the level table is shuffled once.
+    group = F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)
+    cut = levels.withColumns({"_key": group, "_cut": F.floor(F.col(value) / F.lit(float(grain)))})
+    totals = cut.groupBy("_key", "_cut").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
+    over_cuts = W.partitionBy("_key").orderBy("_cut").rowsBetween(W.unboundedPreceding, -1)
+    whole = W.partitionBy("_key")
     offsets = totals.select(
-        *keys,
+        "_key",
         "_cut",
         *[F.coalesce(F.sum(f"_t_{m}").over(over_cuts), F.col(f"_t_{m}") * 0).alias(f"_o_{m}") for m in measures],
         *[F.sum(f"_t_{m}").over(whole).alias(f"all_{m}") for m in measures],
     )
-    inside = W.partitionBy(*keys, "_cut").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("_key", "_cut").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     part = cut.withColumns({f"_i_{m}": F.coalesce(F.sum(m).over(inside), F.col(m) * 0) for m in measures})
-    joined = join_null_safe(part, offsets, [*keys, "_cut"])
+    joined = part.join(offsets, ["_key", "_cut"])
     out = joined.withColumns({f"below_{m}": F.col(f"_o_{m}") + F.col(f"_i_{m}") for m in measures})
-    return out.drop("_cut", *[f"_o_{m}" for m in measures], *[f"_i_{m}" for m in measures])
+    return out.drop("_key", "_cut", *[f"_o_{m}" for m in measures], *[f"_i_{m}" for m in measures])
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join that keeps NULL keys together and leaves one copy of the key columns."""
-    renamed = right.select(
-        *[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys]
-    )
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
     cond = None
     for k in keys:
         one = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
@@ -77,6 +80,20 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def join_bounded(left: DataFrame, right: DataFrame, keys: Sequence[str], limit: int = 200_000) -> DataFrame:
+    """Attach a small aggregate (a row per key) to many rows without shuffling them by a hot key.
+
+    The aggregate is written and counted; it is broadcast only if it has at most ``limit`` rows, and
+    otherwise joined by a shuffle, where adaptive execution splits skewed keys.
+    """
+    if not keys:
+        return attach_totals(left, right)
+    small = cut_lineage(right)
+    if small.count() <= limit:
+        small = F.broadcast(small)
+    return join_null_safe(left, small, keys)
+
+
 def mid_rank(count: str = "n") -> Column:
     """Average rank of a level, from ``running`` over ``count``."""
     return F.col(f"below_{count}") + (F.col(count) + F.lit(1.0)) / F.lit(2.0)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from evalpanel.functions.distributions import t_critical
 from evalpanel.functions.hashing import uniform
-from evalpanel.functions.levels import attach_totals, join_null_safe
+from evalpanel.functions.levels import attach_totals, join_bounded, join_null_safe
 from evalpanel.operators.metrics import TOO_FEW
 
 # The six-point weight distribution.
@@ -22,7 +22,7 @@ P_FLOOR = 2.0 / 216.0
 def bin_weights(contrib: DataFrame, keys: Sequence[str], n_bins: int = 5) -> DataFrame:
     """Weights (1 / k) / n_bin, so that the weighted mean of d is the balanced difference."""
     sizes = contrib.groupBy(*keys, "bin").agg(F.count("*").alias("_n"))
-    return join_null_safe(contrib, sizes, [*keys, "bin"]).withColumn("weight", 1 / (F.lit(float(n_bins)) * F.col("_n"))).drop("_n")
+    return join_bounded(contrib, sizes, [*keys, "bin"]).withColumn("weight", 1 / (F.lit(float(n_bins)) * F.col("_n"))).drop("_n")
 
 
 def cluster_sums(contrib: DataFrame, keys: Sequence[str], cluster: str, d: str = "d", weight: str | None = None) -> DataFrame:

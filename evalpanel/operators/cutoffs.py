@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evalpanel.functions.levels import join_null_safe
+from evalpanel.functions.levels import join_bounded, join_null_safe
 
 
 def cutoff_sweep(
@@ -97,7 +97,7 @@ def representative_cutoff(sweep: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def before_and_after(rows: DataFrame, chosen: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
     """Per-bin error before and after filtering at the chosen cutoff, over rows with a score."""
-    both = join_null_safe(rows.filter(F.col(score).isNotNull()), chosen.select(*keys, "cutoff"), keys)
+    both = join_bounded(rows.filter(F.col(score).isNotNull()), chosen.select(*keys, "cutoff"), keys)
     stay = F.col(score) >= F.col("cutoff")
     return both.groupBy(*keys, "bin").agg(
         F.count("*").alias("n_before"),

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evalpanel.functions.hashing import uniform
-from evalpanel.functions.levels import attach_totals, running, spread
+from evalpanel.functions.levels import attach_totals, join_bounded, running, spread
 from evalpanel.session import cut_lineage
 
 # The two selection metrics.
@@ -132,26 +132,36 @@ def membership(picks: DataFrame, raters: Sequence[str], conds: Sequence[str], to
     return long.filter(once).select("rep", "fold", "_e.name", "_e.selection", "_e.members", "_e.single")
 
 
-def _per_unit_sets(panel: DataFrame, members: DataFrame, config: str, unit: str) -> DataFrame:
-    """Per unit: an array with the mean prediction of every distinct member set."""
-    sets = members.select("members").distinct().agg(F.array_sort(F.collect_set("members")).alias("_sets"))
+def _numbered(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members with the number of their set, and the distinct sets as one row.
+
+    Repeats x folds x entries bound the sets, and most entries choose the same few.
+    """
+    sets = cut_lineage(members.select("members").distinct().agg(F.array_sort(F.collect_set("members")).alias("_sets")))
+    ids = attach_totals(members, sets).withColumn("_id", F.array_position("_sets", F.col("members")).cast("int"))
+    return ids.drop("_sets", "members"), sets
+
+
+def _per_unit_means(panel: DataFrame, sets: DataFrame, config: str, unit: str) -> DataFrame:
+    """Per unit: its reference and an array with the mean prediction of every distinct member set."""
     packed = panel.groupBy(unit).agg(
         F.min("reference").alias("reference"),
         F.map_from_entries(F.collect_list(F.struct(config, "pred"))).alias("_p"),
     )
-    joined = attach_totals(packed, sets)
     mean = lambda s: F.aggregate(
         s, F.lit(0.0), lambda acc, c: acc + F.element_at(F.col("_p"), c), lambda acc: acc / F.size(s)
     )
-    return joined.select(unit, "reference", F.transform("_sets", mean).alias("_means"), "_sets")
+    return attach_totals(packed, sets).select(unit, "reference", F.transform("_sets", mean).alias("_means"))
 
 
 def out_of_fold(panel: DataFrame, folds: DataFrame, members: DataFrame, config: str = "config", unit: str = "unit") -> DataFrame:
     """Held-out prediction of every entry for every unit and repeat."""
-    per_unit = _per_unit_sets(panel, members, config, unit)
-    placed = folds.join(per_unit, unit).join(members, ["rep", "fold"])
-    pred = F.element_at(F.col("_means"), F.array_position(F.col("_sets"), F.col("members")).cast("int"))
-    return placed.select("rep", unit, "bin", "name", "selection", "reference", pred.alias("pred"))
+    numbered, sets = _numbered(members)
+    per_unit = _per_unit_means(panel, sets, config, unit)
+    placed = folds.join(per_unit, unit).join(numbered, ["rep", "fold"])
+    return placed.select(
+        "rep", unit, "bin", "name", "selection", "reference", F.element_at(F.col("_means"), F.col("_id")).alias("pred")
+    )
 
 
 def ensemble_metrics(panel: DataFrame, folds: DataFrame, members: DataFrame, config: str = "config", unit: str = "unit") -> DataFrame:
@@ -159,15 +169,13 @@ def ensemble_metrics(panel: DataFrame, folds: DataFrame, members: DataFrame, con
 
     Errors are summed per (rep, fold, bin, member set) and only then spread to the entries using the set.
     """
-    per_unit = _per_unit_sets(panel, members, config, unit)
-    sets = members.select("members").distinct().agg(F.array_sort(F.collect_set("members")).alias("_all"))
-    numbered = attach_totals(members, sets).withColumn("_id", F.array_position("_all", F.col("members"))).drop("_all", "members")
+    numbered, sets = _numbered(members)
+    per_unit = _per_unit_means(panel, sets, config, unit)
     used = numbered.groupBy("rep", "fold").agg(F.array_sort(F.collect_set("_id")).alias("_used"))
     held = (
-        folds.join(per_unit.drop("_sets"), unit)
-        .join(used, ["rep", "fold"])
+        join_bounded(folds.join(per_unit, unit), used, ["rep", "fold"])
         .select("rep", "fold", "bin", "reference", "_means", F.explode("_used").alias("_id"))
-        .withColumn("_e", F.element_at(F.col("_means"), F.col("_id").cast("int")) - F.col("reference"))
+        .withColumn("_e", F.element_at(F.col("_means"), F.col("_id")) - F.col("reference"))
         .groupBy("rep", "fold", "bin", "_id")
         .agg(F.count("*").alias("n"), F.sum(F.abs("_e")).alias("a"), F.sum("_e").alias("b"))
     )

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evalpanel.functions.columns import within
-from evalpanel.functions.levels import attach_totals, join_null_safe, quantiles
+from evalpanel.functions.levels import attach_totals, join_bounded, join_null_safe, quantiles
 
 TOO_FEW = "not computed (bin n < 10)"
 
@@ -352,7 +352,7 @@ def share_of_difference(per_bin_pair: DataFrame, keys: Sequence[str], a: str, b:
 def feasibility(panel: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Over-prediction: seen, and arithmetically possible given the largest prediction of the key."""
     top = panel.groupBy(*keys).agg(F.max("pred").alias("max_pred"))
-    flagged = join_null_safe(panel, top, keys)
+    flagged = join_bounded(panel, top, keys)
     return flagged.groupBy(*keys, "bin").agg(
         F.count("*").alias("n"),
         F.count_if(F.col("pred") > F.col("reference")).alias("n_over"),

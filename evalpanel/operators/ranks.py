@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evalpanel.functions.distributions import fisher_p
-from evalpanel.functions.levels import attach_totals, join_null_safe, level_table, running
+from evalpanel.functions.levels import attach_totals, join_bounded, join_null_safe, level_table, running
 
 
 def _w(weight: str | None) -> Column:
@@ -158,7 +158,7 @@ def roc_points(
 def fill_extremes(df: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
     """Rows without a score filled strictly below the minimum (``low``) and above the maximum (``high``)."""
     ends = df.groupBy(*keys).agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
-    both = join_null_safe(df, ends, keys) if keys else attach_totals(df, ends)
+    both = join_bounded(df, ends, keys)
     return both.withColumns(
         {
             "low": F.coalesce(F.col(score), F.col("_lo") - 1),

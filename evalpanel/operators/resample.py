@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalpanel.functions.hashing import continue_hash, poisson_steps, poisson_weight, uniform
-from evalpanel.functions.levels import attach_totals, join_null_safe, spread
+from evalpanel.functions.levels import join_bounded, join_null_safe, spread
 
 
 @dataclass(frozen=True)
@@ -93,18 +93,19 @@ def unit_index(
     """Dense position 0..n-1 per stratum in the order (hash slot, unit), without a global sort."""
     strata = list(strata)
     slot = F.floor(uniform(0, [unit], hasher) * F.lit(slots)).alias("_slot")
-    placed = units.select(*strata, unit, slot)
-    sizes = placed.groupBy(*strata, "_slot").agg(F.count("*").alias("_k"))
-    before = W.partitionBy(*strata).orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
+    group = (F.struct(*[F.col(c) for c in strata]) if strata else F.lit(0)).alias("_key")
+    placed = units.select(*strata, unit, group, slot)
+    sizes = placed.groupBy("_key", "_slot").agg(F.count("*").alias("_k"))
+    before = W.partitionBy("_key").orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(
-        *strata,
+        "_key",
         "_slot",
         F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_o"),
-        F.sum("_k").over(W.partitionBy(*strata)).alias("n"),
+        F.sum("_k").over(W.partitionBy("_key")).alias("n"),
     )
-    inside = F.row_number().over(W.partitionBy(*strata, "_slot").orderBy(unit))
+    inside = F.row_number().over(W.partitionBy("_key", "_slot").orderBy(unit))
     ranked = placed.withColumn("_i", inside)
-    return join_null_safe(ranked, offsets, [*strata, "_slot"]).select(
+    return ranked.join(offsets, ["_key", "_slot"]).select(
         *strata, unit, (F.col("_o") + F.col("_i") - 1).alias("idx"), "n"
     )
 
@@ -249,7 +250,7 @@ def jackknife(stats: DataFrame, keys: Sequence[str], stat: Statistic, unit: str
     else:
         valued = valued.withColumns({"_all": F.col("_full"), "_k": F.lit(1)})
     tot = valued.select(*by, *[F.col(n).alias(f"_t_{n}") for n in names], "_units", "_full", "_all", "_k")
-    both = join_null_safe(stats, tot, by) if by else attach_totals(stats, tot)
+    both = join_bounded(stats, tot, by)
     both = both.withColumns({n: F.col(f"_t_{n}") - F.col(n) for n in names}).withColumn("_out", F.expr(stat.value))
     if stat.balanced:
         left = F.when(F.col("_units") > 1, (F.col("_all") - F.col("_full") + F.col("_out")) / F.col("_k")).otherwise(

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalpanel.functions import columns as C
-from evalpanel.functions.levels import attach_totals, join_null_safe, quantiles
+from evalpanel.functions.levels import attach_totals, join_bounded, join_null_safe, quantiles
 from evalpanel.operators import metrics as M
 from evalpanel.plans import panels as P
 from evalpanel.plans.registry import D, N, query
+from evalpanel.session import cut_lineage
 
 PANEL = P.with_sql(P.PANEL_SQL)
 BALANCED_CTE = """
@@ -347,7 +348,7 @@ SELECT p.rater, p.cond, bin, {N('count(*)', 'n')}, {N('count(*) FILTER (pred>ref
 FROM panel p JOIN m ON p.rater=m.rater AND p.cond=m.cond GROUP BY p.rater, p.cond, bin""",
 )
 def overprediction_feasibility(spark, sf_dir):
-    return M.feasibility(P.base_panel(spark, sf_dir), ["rater", "cond"])
+    return M.feasibility(cut_lineage(P.base_panel(spark, sf_dir)), ["rater", "cond"])
 
 
 @query(
@@ -465,9 +466,9 @@ def unit_outliers_by_fence(spark, sf_dir):
 SELECT p.config, p.bin, {N('count(*) FILTER (abs_e>q)', 'outliers')}, {N('count(*)', 'n')} FROM panel p JOIN q ON p.config=q.config AND p.bin=q.bin GROUP BY ALL""",
 )
 def row_outliers_by_bin_quantile(spark, sf_dir):
-    panel = P.base_panel(spark, sf_dir)
+    panel = cut_lineage(P.base_panel(spark, sf_dir))
     q = quantiles(panel, ["config", "bin"], "abs_e", {"q": 0.9})
-    return join_null_safe(panel, q, ["config", "bin"]).groupBy("config", "bin").agg(
+    return join_bounded(panel, q, ["config", "bin"]).groupBy("config", "bin").agg(
         F.count_if(F.col("abs_e") > F.col("q")).alias("outliers"), F.count("*").alias("n")
     )
 

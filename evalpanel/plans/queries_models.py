@@ -19,7 +19,7 @@ from evalpanel.operators import regress as L
 from evalpanel.operators import resample as B
 from evalpanel.plans import panels as P
 from evalpanel.plans.queries_metrics import with_quartiles
-from evalpanel.plans.queries_resample import u_sql
+from evalpanel.plans.queries_resample import draw_sql, index_sql, u_sql
 from evalpanel.plans.registry import D, N, query
 from evalpanel.session import cut_lineage
 from evalpanel.streaming import responses as ST
@@ -144,10 +144,16 @@ def level_error_table(spark, sf_dir):
     return L.level_table_of(rows, ["cond"], "ord_a")
 
 
-@query("level_error_intervals")
+@query(
+    "level_error_intervals",
+    f"""{PANEL_COV}, {index_sql()}, {draw_sql(83, 60)}, rw AS (SELECT d.rep, i.unit FROM dr d JOIN ix i ON d.idx=i.idx),
+ th AS (SELECT cond, ord_a, rep, avg(abs_e) AS theta FROM rw JOIN panel p ON rw.unit=p.unit JOIN covs c ON c.unit=p.unit GROUP BY ALL)
+SELECT cond, {N('ord_a', 'ord_a')}, {D('quantile_cont(theta,0.025)', 'ci_lo')}, {D('quantile_cont(theta,0.975)', 'ci_hi')} FROM th GROUP BY cond, ord_a""",
+)
 def level_error_intervals(spark, sf_dir):
     rows = P.base_panel(spark, sf_dir).join(P.covariates(spark, sf_dir).select("unit", "ord_a"), "unit")
-    return I.percentile_interval(B.replicates(rows, ["cond", "ord_a"], B.mean_of("abs_e"), 100, 83, "poisson"), ["cond", "ord_a"])
+    reps = B.replicates(rows, ["cond", "ord_a"], B.mean_of("abs_e"), 60, 83, hasher="md5")
+    return I.percentile_interval(reps, ["cond", "ord_a"]).select("cond", "ord_a", "ci_lo", "ci_hi")
 
 
 @query(

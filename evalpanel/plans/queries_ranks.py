@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evalpanel.functions import distributions as Dist
-from evalpanel.functions.levels import attach_totals, join_null_safe, quantiles
+from evalpanel.functions.levels import attach_totals, join_bounded, quantiles
 from evalpanel.operators import agreement as A
 from evalpanel.operators import metrics as M
 from evalpanel.operators import ranks as R
 from evalpanel.operators import trend as T
 from evalpanel.plans import panels as P
 from evalpanel.plans.registry import D, N, query
+from evalpanel.session import cut_lineage
 
 PANEL = P.with_sql(P.PANEL_SQL)
 SCORES = P.with_sql(P.SCORE_SQL)
@@ -93,9 +94,9 @@ SELECT x.config, {D('x.auc', 'auc_fixed')}, {D('y.auc', 'auc_relative')}, {D('w.
  sign(x.auc-0.5)<>sign(y.auc-0.5) AS collapsed FROM x JOIN y ON x.config=y.config JOIN w ON x.config=w.config""",
 )
 def auc_label_robustness(spark, sf_dir):
-    panel = P.base_panel(spark, sf_dir, scores=True)
+    panel = cut_lineage(P.base_panel(spark, sf_dir, scores=True))
     q = quantiles(panel, ["config", "bin"], "abs_e", {"q": 0.9})
-    rows = join_null_safe(panel, q, ["config", "bin"]).withColumns(
+    rows = join_bounded(panel, q, ["config", "bin"]).withColumns(
         {"fixed": F.col("abs_e") > 20, "rel": F.col("abs_e") > F.col("q")}
     )
     fixed = R.auc(rows, ["config"], "conf", "fixed", grain=0.25).select("config", F.col("auc").alias("auc_fixed"))
@@ -143,7 +144,7 @@ def roc_points_all_rows(spark, sf_dir):
 SELECT s.rater, {D('rl', 'rho_low')}, {D('rh', 'rho_high')}, {D('x.auc', 'auc_favourable')}, {D('y.auc', 'auc_adverse')} FROM s JOIN x ON s.rater=x.rater JOIN y ON s.rater=y.rater""",
 )
 def missing_score_bounds(spark, sf_dir):
-    panel = P.base_panel(spark, sf_dir, scores=True).withColumn("bad", F.col("abs_e") > 20)
+    panel = cut_lineage(P.base_panel(spark, sf_dir, scores=True).withColumn("bad", F.col("abs_e") > 20))
     filled = R.fill_by_label(R.fill_extremes(panel, ["rater"], "conf"), "bad")
     parts = [
         R.spearman(filled, ["rater"], "low", "abs_e", grain_x=0.25).select("rater", F.col("rho").alias("rho_low")),
@@ -167,7 +168,16 @@ def missing_score_by_outlier(spark, sf_dir):
     return R.missing_by_label(rows, ["rater"], F.col("conf").isNull(), "bad", p_value=False)
 
 
-@query("missing_score_exact_test")
+@query(
+    "missing_score_exact_test",
+    f"""{PANEL}, c AS (SELECT rater, count(*) FILTER (conf IS NULL AND abs_e>20) AS a, count(*) FILTER (conf IS NULL AND abs_e<=20) AS b,
+  count(*) FILTER (conf IS NOT NULL AND abs_e>20) AS c, count(*) FILTER (conf IS NOT NULL AND abs_e<=20) AS d FROM panel GROUP BY rater),
+ x AS (SELECT *, unnest(range(greatest(0, a-d), least(a+b, a+c)+1)) AS x FROM c),
+ p AS (SELECT rater, a, b, c, d, x, lgamma(a+b+1)+lgamma(c+d+1)+lgamma(a+c+1)+lgamma(b+d+1)-lgamma(a+b+c+d+1)-lgamma(x+1)-lgamma(a+b-x+1)-lgamma(a+c-x+1)-lgamma(d-a+x+1) AS lp FROM x),
+ o AS (SELECT rater, lp AS seen FROM p WHERE x=a)
+SELECT p.rater, {N('max(a)', 'missing_pos')}, {N('max(b)', 'missing_neg')}, {N('max(c)', 'present_pos')}, {N('max(d)', 'present_neg')}, {D('least(1, sum(CASE WHEN lp<=seen+1e-7 THEN exp(lp) ELSE 0 END))', 'fisher_p')}
+FROM p JOIN o ON p.rater=o.rater GROUP BY p.rater""",
+)
 def missing_score_exact_test(spark, sf_dir):
     rows = P.base_panel(spark, sf_dir, scores=True).withColumn("bad", F.col("abs_e") > 20)
     return R.missing_by_label(rows, ["rater"], F.col("conf").isNull(), "bad")
@@ -339,7 +349,17 @@ def chi_square_cluster_by_bin(spark, sf_dir):
     return R.chi_square(M.crosstab(per_unit, "clus", "bin"), "clus", "bin")
 
 
-@query("normality_of_errors")
+NORMALITY_SQL = f"""{PANEL}, m AS (SELECT config, CAST(count(*) AS DOUBLE) AS n, avg(e) AS a, avg(e*e) AS b, avg(e*e*e) AS c, avg(e*e*e*e) AS d FROM panel GROUP BY config),
+ z AS (SELECT config, n, b-a*a AS v, c-3*a*b+2*a*a*a AS t, d-4*a*c+6*a*a*b-3*a*a*a*a AS q FROM m),
+ s AS (SELECT config, n, t/power(v,1.5) AS skew, q/(v*v) AS kurt FROM z),
+ y AS (SELECT *, skew*sqrt((n+1)*(n+3)/(6*(n-2))) AS y, 3*(n*n+27*n-70)*(n+1)*(n+3)/((n-2)*(n+5)*(n+7)*(n+9)) AS be,
+  (kurt-3*(n-1)/(n+1))/sqrt(24*n*(n-2)*(n-3)/((n+1)*(n+1)*(n+3)*(n+5))) AS x, 6*(n*n-5*n+2)/((n+7)*(n+9))*sqrt(6*(n+3)*(n+5)/(n*(n-2)*(n-3))) AS sb FROM s),
+ w AS (SELECT *, sqrt(2*(be-1))-1 AS w2, 6+8/sb*(2/sb+sqrt(1+4/(sb*sb))) AS aa FROM y),
+ k AS (SELECT config, n, skew, kurt, asinh(y/sqrt(2/(w2-1)))/sqrt(ln(sqrt(w2))) AS z1, (1-2/(9*aa)-cbrt((1-2/aa)/(1+x*sqrt(2/(aa-4)))))/sqrt(2/(9*aa)) AS z2 FROM w)
+SELECT config, {D('n', 'n')}, {D('skew', 'skew')}, {D('kurt', 'kurt')}, {D('z1*z1+z2*z2', 'k2')}, {D('exp(-(z1*z1+z2*z2)/2)', 'p')} FROM k"""
+
+
+@query("normality_of_errors", NORMALITY_SQL)
 def normality_of_errors(spark, sf_dir):
     return R.normality(P.base_panel(spark, sf_dir), ["config"], "e")
 

@@ -159,7 +159,7 @@ def jackknife_balanced(spark, sf_dir):
 SELECT m.config, {D('sum(power(m-j,3))/(6*power(sum(power(m-j,2)),1.5))', 'accel')} FROM j JOIN m ON j.config=m.config GROUP BY m.config""",
 )
 def jackknife_acceleration(spark, sf_dir):
-    return B.jackknife(B.unit_stats(P.base_panel(spark, sf_dir), ["config"], BALANCED), ["config"], BALANCED)
+    return B.jackknife(cut_lineage(B.unit_stats(P.base_panel(spark, sf_dir), ["config"], BALANCED)), ["config"], BALANCED)
 
 
 def bca(rows, keys, stat, reps, seed, method="multinomial"):
@@ -214,14 +214,21 @@ def bootstrap_auc(spark, sf_dir):
     return I.percentile_interval(reps, ["rater"])
 
 
-@query("bootstrap_axis_spread")
+@query(
+    "bootstrap_axis_spread",
+    f"""{boot_balanced_sql(43, 60)}, tw AS (SELECT split_part(config,'|',1) AS rater, split_part(config,'|',2) AS cond, rep, theta FROM th),
+ r AS (SELECT rep, avg(s) AS s FROM (SELECT rep, cond, max(theta)-min(theta) AS s FROM tw GROUP BY ALL) GROUP BY rep),
+ c AS (SELECT rep, avg(s) AS s FROM (SELECT rep, rater, max(theta)-min(theta) AS s FROM tw GROUP BY ALL) GROUP BY rep),
+ l AS (SELECT 'rater' AS axis, s FROM r UNION ALL SELECT 'cond', s FROM c UNION ALL SELECT 'difference', r.s-c.s FROM r JOIN c ON r.rep=c.rep)
+SELECT axis, {D('quantile_cont(s,0.025)', 'ci_lo')}, {D('quantile_cont(s,0.975)', 'ci_hi')} FROM l GROUP BY axis""",
+)
 def bootstrap_axis_spread(spark, sf_dir):
-    reps = B.replicates(P.base_panel(spark, sf_dir), ["rater", "cond"], BALANCED, 100, 43, "poisson")
+    reps = B.replicates(P.base_panel(spark, sf_dir), ["rater", "cond"], BALANCED, 60, 43, hasher="md5")
     across_r = reps.groupBy("rep", "cond").agg((F.max("theta") - F.min("theta")).alias("s")).groupBy("rep").agg(F.avg("s").alias("r"))
     across_c = reps.groupBy("rep", "rater").agg((F.max("theta") - F.min("theta")).alias("s")).groupBy("rep").agg(F.avg("s").alias("c"))
     both = across_r.join(across_c, "rep")
     long = both.select("rep", F.expr("stack(3, 'rater', r, 'cond', c, 'difference', r - c) AS (axis, theta)"))
-    return I.percentile_interval(long, ["axis"])
+    return I.percentile_interval(long, ["axis"]).select("axis", "ci_lo", "ci_hi")
 
 
 # ---- clusters ----
@@ -235,7 +242,7 @@ CONTRIB_SQL = f"""{P.with_sql(P.PANEL_SQL, pair_sql('rater'))}, cb AS (SELECT s.
 
 def contributions(spark, sf_dir):
     pooled = M.unit_means(P.base_panel(spark, sf_dir), ["rater"], ["abs_e"], ["bin", "clus"])
-    return K.bin_weights(Q.level_pairs(pooled, "rater", carry=("bin", "clus")), ["a", "b"])
+    return K.bin_weights(cut_lineage(Q.level_pairs(pooled, "rater", carry=("bin", "clus"))), ["a", "b"])
 
 
 @query("cluster_jackknife", f"{CONTRIB_SQL} SELECT a, b, {D('est', 'estimate')}, {N('g', 'n_clusters')}, {D('se', 'se')}, {D('est/se', 't_obs')}, {D('est-4.302652729911275*se', 'ci_lo')}, {D('est+4.302652729911275*se', 'ci_hi')} FROM cv")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evalpanel.functions.hashing import poisson_steps
 from evalpanel.operators import cutoffs as C
 from evalpanel.operators import ensembles as E
 from evalpanel.operators import intervals as I
@@ -55,17 +56,26 @@ def representative_cutoff(spark, sf_dir):
  {D('avg(CASE WHEN conf>=cutoff THEN abs_e END)', 'mae_after')} FROM s JOIN c ON s.config=c.config GROUP BY s.config, bin""",
 )
 def error_before_and_after_cutoff(spark, sf_dir):
-    panel = P.base_panel(spark, sf_dir, scores=True)
+    panel = cut_lineage(P.base_panel(spark, sf_dir, scores=True))
     chosen = C.representative_cutoff(C.cutoff_sweep(panel, ["config"], "conf", "drop"), ["config"])
     return C.before_and_after(panel, chosen, ["config"], "conf")
 
 
-@query("cutoff_sweep_intervals")
+@query(
+    "cutoff_sweep_intervals",
+    f"""{PANEL}, un AS (SELECT DISTINCT unit FROM panel), u AS (SELECT rep, unit, {u_sql(61, 'unit', 'rep')} AS u FROM un, range(1,61) t(rep)),
+ w AS (SELECT rep, unit, {'+'.join(f'CASE WHEN u>=CAST({s!r} AS DOUBLE) THEN 1 ELSE 0 END' for s in poisson_steps())} AS w FROM u),
+ s AS (SELECT p.config, p.conf, w.rep, sum(w) AS n, sum(w*abs_e) AS s FROM panel p JOIN w ON p.unit=w.unit WHERE w>0 AND conf IS NOT NULL GROUP BY ALL),
+ k AS (SELECT DISTINCT config, rep, conf AS cutoff FROM s UNION ALL SELECT DISTINCT config, rep, NULL FROM s),
+ t AS (SELECT k.config, k.rep, k.cutoff, sum(s.s)/sum(s.n) AS theta FROM k JOIN s ON k.config=s.config AND k.rep=s.rep AND (s.conf>=k.cutoff OR k.cutoff IS NULL) GROUP BY ALL)
+SELECT config, {D('cutoff', 'cutoff')}, {D('quantile_cont(theta,0.025)', 'ci_lo')}, {D('quantile_cont(theta,0.975)', 'ci_hi')} FROM t GROUP BY config, cutoff HAVING count(*)>=50""",
+)
 def cutoff_sweep_intervals(spark, sf_dir):
     panel = P.base_panel(spark, sf_dir, scores=True)
-    weights = B.poisson_draws(panel.select("unit").distinct(), 61, 100)
+    weights = B.poisson_draws(panel.select("unit").distinct(), 61, 60, hasher="md5")
     reps = C.sweep_replicates(panel, weights, ["config"], "conf", "drop")
-    return I.percentile_interval(reps, ["config", "cutoff"])
+    found = I.percentile_interval(reps, ["config", "cutoff"]).filter(F.col("ci_lo").isNotNull())
+    return found.select("config", "cutoff", "ci_lo", "ci_hi")
 
 
 # ---- ensembles ----
@@ -177,7 +187,15 @@ def selection_stability(spark, sf_dir):
     return E.selection_stability(ensemble_inputs(spark, sf_dir)[2], (2, 1)).filter(F.col("axis") != "cond")
 
 
-@query("selection_ties")
+@query(
+    "selection_ties",
+    f"""{SELECT_SQL}, rt AS (SELECT rep, fold, arm, count(DISTINCT round(m1,12))<count(*) AS t FROM ra GROUP BY ALL),
+ cx AS (SELECT rep, fold, cond, bin, sum(n) AS n, sum(a) AS a FROM cb GROUP BY ALL), cy AS (SELECT rep, fold, cond, avg(a/n) AS bal, sum(a)/sum(n) AS ov FROM cx GROUP BY ALL),
+ cz AS (SELECT rep, fold, 'overall' AS arm, count(DISTINCT round(ov,12))<count(*) AS t FROM cy GROUP BY rep, fold UNION ALL SELECT rep, fold, 'balanced', count(DISTINCT round(bal,12))<count(*) FROM cy GROUP BY rep, fold),
+ ot AS (SELECT rep, fold, arm, rater, count(DISTINCT round(m1,12))<count(*) AS t FROM ca GROUP BY ALL)
+SELECT a.arm, {N("(SELECT count(*) FROM rt WHERE t AND rt.arm=a.arm)", 'rater_ties')}, {N("(SELECT count(*) FROM cz WHERE t AND cz.arm=a.arm)", 'cond_ties')}, {N("(SELECT count(*) FROM ot WHERE t AND ot.arm=a.arm)", 'own_ties')}
+FROM (SELECT DISTINCT arm FROM rr) a""",
+)
 def selection_ties(spark, sf_dir):
     return E.selection_ties(ensemble_inputs(spark, sf_dir)[2])
 

@@ -95,3 +95,32 @@ def test_sign_test_stays_exact_for_many_rows():
     n, k = 40_000, 19_700
     logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2) for i in range(k + 1)]
     assert D.binomial_half_two_sided(k, n) == pytest.approx(2 * math.fsum(map(math.exp, logs)), rel=1e-8)
+
+
+def test_running_counts_keep_null_keys_and_shuffle_levels_once(spark):
+    from evalpanel.functions.levels import join_bounded
+
+    rows = [(None, 1.0), (None, 2.5), ("a", 1.0), ("a", 7.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    lv = level_table(df, ["k"], "v", {"n": F.lit(1)})
+    got = {(r["k"], r["v"]): r["below_n"] for r in running(lv, ["k"], "v", ["n"]).collect()}
+    assert got == {(None, 1.0): 0, (None, 2.5): 1, ("a", 1.0): 0, ("a", 7.0): 1}
+    small = df.groupBy("k").agg(F.max("v").alias("top"))
+    for limit in (0, 10):
+        out = join_bounded(df, small, ["k"], limit)
+        assert sorted((r["v"], r["top"]) for r in out.collect()) == [(1.0, 2.5), (1.0, 7.0), (2.5, 2.5), (7.0, 7.0)]
+    plan = join_bounded(df, small, ["k"])._jdf.queryExecution().toString()
+    assert "strategy=broadcast" in plan
+
+
+def test_a_hot_key_is_spread_over_tasks(spark):
+    # One key with a third of all rows, and one value with a third of the key.
+    df = spark.range(0, 30_000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 50).cast("string")).alias("k"),
+        F.when(F.col("id") % 9 == 0, 0.0).otherwise((F.col("id") % 997) / 10.0).alias("v"),
+    )
+    lv = level_table(df, ["k"], "v", {"n": F.lit(1)})
+    assert lv.filter("k = 'hot' AND v = 0").count() == 1
+    r = running(lv, ["k"], "v", ["n"])
+    top = r.filter("k = 'hot'").agg(F.max(F.col("below_n") + F.col("n")), F.max("all_n"), F.count("*")).collect()[0]
+    assert top[0] == top[1] == 10_000 and top[2] > 500
