@@ -428,3 +428,11 @@ def subset_metric(panel: DataFrame, wanted_units: DataFrame, keys: Sequence[str]
         .groupBy(*keys)
         .agg(F.count("*").alias("n"), F.avg("abs_e").alias("mae"), F.avg("e").alias("bias"))
     )
+
+
+def with_and_without(df: DataFrame, flagged: Column, operator) -> DataFrame:
+    """The same analysis on all rows and without the flagged ones."""
+    kept = df.filter(~F.coalesce(flagged, F.lit(False)))
+    return operator(df).withColumn("rows_used", F.lit("all")).unionByName(
+        operator(kept).withColumn("rows_used", F.lit("without_flagged"))
+    )

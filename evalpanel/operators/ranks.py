@@ -348,3 +348,13 @@ def normality(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     ratio = (1 - 2 / a) / den
     z2 = (1 - 2 / (9 * a) - F.signum(ratio) * F.pow(F.abs(ratio), F.lit(1 / 3))) / F.sqrt(2 / (9 * a))
     return m.withColumn("k2", z1 * z1 + z2 * z2).withColumn("p", F.exp(-F.col("k2") / 2))
+
+
+def spearman_difference(
+    df: DataFrame, keys: Sequence[str], x: str, base: str, y: str, grain: float | None = 1.0, weight: str | None = None
+) -> DataFrame:
+    """Rank correlation of a prediction and of a baseline with the same reference, and their difference."""
+    a = spearman(df, keys, x, y, weight, grain, grain).select(*keys, F.col("rho").alias("rho"))
+    b = spearman(df, keys, base, y, weight, grain, grain).select(*keys, F.col("rho").alias("base_rho"))
+    both = join_null_safe(a, b, keys) if keys else attach_totals(a, b)
+    return both.withColumn("delta_rho", F.col("rho") - F.col("base_rho"))

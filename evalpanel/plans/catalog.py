@@ -1,6 +1,7 @@
 """Imports every query module so that all queries are registered."""
 
 from evalpanel.plans import (  # noqa: F401
+    queries_extra,
     queries_metrics,
     queries_models,
     queries_paired,
