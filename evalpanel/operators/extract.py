@@ -25,7 +25,6 @@ FENCE = r"^```(?:json)?\s*|\s*```$"
 OK, PARSE_FAILURE, INFERENCE_FAILURE = "", "JSON_PARSE_FAILURE", "INFERENCE_FAILURE"
 
 _PAIR = T.StructType([T.StructField("value", T.DoubleType()), T.StructField("score", T.DoubleType())])
-_JSON = json.JSONDecoder()
 
 
 def _as_pair(found) -> tuple[float, float] | None:
@@ -47,10 +46,11 @@ def decode(text: str | None) -> tuple[float, float] | None:
         pair = _as_pair(json.loads(whole))
     except (ValueError, RecursionError):
         pair = None
+    decoder = json.JSONDecoder()
     at = text.rfind("{")
     while pair is None and at >= 0:
         try:
-            pair = _as_pair(_JSON.raw_decode(text, at)[0])
+            pair = _as_pair(decoder.raw_decode(text, at)[0])
         except (ValueError, RecursionError):
             pass
         at = text.rfind("{", 0, at)

@@ -131,15 +131,15 @@ def poisson_draws(units: DataFrame, seed: int, reps: int, unit: str = "unit", ha
     return rows.withColumn("w", poisson_weight(uniform(seed, [unit, "rep"], hasher))).filter(F.col("w") > 0)
 
 
-def poisson_sums(stats: DataFrame, by: Sequence[str], names: Sequence[str], reps: int, seed: int, unit: str = "unit") -> DataFrame:
-    """Weighted sums per (by, rep), with the weights of ``poisson_draws``.
+def _weighted_sums(rows: DataFrame, by: Sequence[str], names: Sequence[str], reps: int, weights_of) -> DataFrame:
+    """Weighted sums per (by, rep) from rows (by, _h, names, ...), where ``_h`` identifies a unit.
 
     The rows of a unit meet in one batch, so its weights are made once. A task keeps one (replicates x
-    sums) matrix per ``by`` group, whose number is a vocabulary size, and gives its partial sums at its end.
+    sums) matrix per ``by`` group, whose number is a vocabulary size, and gives its partial sums at its
+    end. ``weights_of(batch, first)`` returns replicate weights, replicates x units, for the units whose
+    first rows in the batch are ``first``.
     """
     by, names = list(by), list(names)
-    base = F.xxhash64(F.lit(seed), F.col(unit)).alias("_h")
-    steps = np.array(poisson_steps())
     turns = np.arange(1, reps + 1, dtype=np.int32)
     chunk = max(1, 2_000_000 // reps)
 
@@ -147,17 +147,15 @@ def poisson_sums(stats: DataFrame, by: Sequence[str], names: Sequence[str], reps
         sums: dict[tuple, np.ndarray] = {}
         for batch in batches:
             values = batch[names].to_numpy(dtype=float)
-            hashes, row_unit = np.unique(batch["_h"].to_numpy(dtype=np.int64), return_inverse=True)
+            _, first, row_unit = np.unique(batch["_h"].to_numpy(dtype=np.int64), return_index=True, return_inverse=True)
             groups = batch.groupby(by, dropna=False, sort=False).indices if by else {(): np.arange(len(batch))}
-            wide = np.zeros((len(hashes), len(groups), len(names)))
+            wide = np.zeros((len(first), len(groups), len(names)))
             for g, where in enumerate(groups.values()):
                 wide[row_unit[where], g] = values[where]
-            wide = wide.reshape(len(hashes), -1)
+            wide = wide.reshape(len(first), -1)
             total = np.zeros((reps, wide.shape[1]))
-            for at in range(0, len(hashes), chunk):
-                u = continue_hash(hashes[at : at + chunk][None, :], turns[:, None])
-                weights = np.searchsorted(steps, u.ravel(), side="right").reshape(u.shape)
-                total += weights.astype(float) @ wide[at : at + chunk]
+            for at in range(0, len(first), chunk):
+                total += weights_of(batch, first[at : at + chunk]) @ wide[at : at + chunk]
             for key, part in zip(groups, np.split(total, len(groups), axis=1)):
                 key = key if isinstance(key, tuple) else (key,)
                 sums[key] = sums[key] + part if key in sums else part
@@ -168,13 +166,50 @@ def poisson_sums(stats: DataFrame, by: Sequence[str], names: Sequence[str], reps
                 out[name] = value
             yield out
 
-    fields = [stats.schema[k] for k in by] + [T.StructField("rep", T.IntegerType())]
+    fields = [rows.schema[k] for k in by] + [T.StructField("rep", T.IntegerType())]
     schema = T.StructType(fields + [T.StructField(n, T.DoubleType()) for n in names])
-    partial = spread(stats, unit).sortWithinPartitions(unit).select(*by, base, *[F.col(n).cast("double").alias(n) for n in names])
-    parts = partial.mapInPandas(accumulate, schema)
+    parts = rows.mapInPandas(accumulate, schema)
     return parts.groupBy(*by, "rep").agg(*[F.sum(n).alias(n) for n in names])
 
 
+def poisson_sums(stats: DataFrame, by: Sequence[str], names: Sequence[str], reps: int, seed: int, unit: str = "unit") -> DataFrame:
+    """Sums under the weights of ``poisson_draws``, made inside the task from the unit's hash."""
+    steps = np.array(poisson_steps())
+    turns = np.arange(1, reps + 1, dtype=np.int32)
+
+    def weights_of(batch: pd.DataFrame, first: np.ndarray) -> np.ndarray:
+        u = continue_hash(batch["_h"].to_numpy(dtype=np.int64)[first][None, :], turns[:, None])
+        return np.searchsorted(steps, u.ravel(), side="right").reshape(u.shape).astype(float)
+
+    base = F.xxhash64(F.lit(seed), F.col(unit)).alias("_h")
+    rows = spread(stats, unit).sortWithinPartitions(unit)
+    rows = rows.select(*by, base, *[F.col(n).cast("double").alias(n) for n in names])
+    return _weighted_sums(rows, by, names, reps, weights_of)
+
+
+def multinomial_sums(
+    stats: DataFrame, by: Sequence[str], names: Sequence[str], reps: int, seed: int, strata: Sequence[str] = (), unit: str = "unit", hasher: str = "xx"
+) -> DataFrame:
+    """Sums under the weights of ``draws``: each unit receives the list of replicates that drew it.
+
+    The list has about ``reps`` entries, whatever the number of units.
+    """
+    strata = list(strata)
+    index = unit_index(stats.select(*strata, unit).distinct(), unit, strata, hasher)
+    hits = drawn_positions(index, seed, reps, strata, hasher).groupBy(*strata, "idx").agg(F.collect_list("rep").alias("_reps"))
+    drawn = join_null_safe(index.select(*strata, "idx", unit), hits, [*strata, "idx"]).select(unit, "_reps")
+
+    def weights_of(batch: pd.DataFrame, first: np.ndarray) -> np.ndarray:
+        lists = [np.asarray(x, dtype=np.int64) for x in batch["_reps"].to_numpy()[first]]
+        column = np.repeat(np.arange(len(first)), [len(x) for x in lists])
+        cell = (np.concatenate(lists) - 1) * len(first) + column
+        return np.bincount(cell, minlength=reps * len(first)).reshape(reps, len(first)).astype(float)
+
+    rows = spread(stats, unit).join(drawn, unit).sortWithinPartitions(unit)
+    rows = rows.select(*by, F.xxhash64(unit).alias("_h"), "_reps", *[F.col(n).cast("double").alias(n) for n in names])
+    return _weighted_sums(rows, by, names, reps, weights_of)
+
+
 # ---- replicates ----
 
 def replicates(
@@ -202,16 +237,11 @@ def replicates(
         if hasher == "xx":
             return finish(poisson_sums(stats, by, list(stat.sums), reps, seed, unit), [*keys, "rep"], stat)
         weighted = poisson_draws(stats, seed, reps, unit, hasher)
-        w = F.col("w")
     elif method == "multinomial":
-        index = unit_index(stats.select(*strata, unit).distinct(), unit, strata, hasher)
-        placed = stats.join(index.select(unit, "idx"), unit)
-        weighted = drawn_positions(index, seed, reps, strata, hasher)
-        weighted = join_null_safe(weighted, placed, [*strata, "idx"])
-        w = F.lit(1)
+        return finish(multinomial_sums(stats, by, list(stat.sums), reps, seed, strata, unit, hasher), [*keys, "rep"], stat)
     else:
         raise ValueError("method must be 'multinomial' or 'poisson'")
-    sums = weighted.groupBy(*by, "rep").agg(*[F.sum(w * F.col(n)).alias(n) for n in stat.sums])
+    sums = weighted.groupBy(*by, "rep").agg(*[F.sum(F.col("w") * F.col(n)).alias(n) for n in stat.sums])
     return finish(sums, [*keys, "rep"], stat)
 
 
