@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from evalpanel.llm.common import Memo, per_worker, table
+from evalpanel.llm.common import Memo, per_worker, schema_with, table
 from evalpanel.llm.registry import query
 
 #: Words whose tokens one worker remembers, in each half of its memo.
@@ -194,8 +195,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text
                 ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], ids], [*rest, ids_col])
 
-    schema = given.select(*rest).schema.add(ids_col, "array<int>")
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(run, schema_with(given.select(*rest), **{ids_col: T.ArrayType(T.IntegerType())}))
 
 
 def decode(tokens: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -213,7 +213,8 @@ def decode(tokens: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: st
                 out = [b"".join(map(of.__getitem__, ids)) if ids else b"" for ids in part.column(place).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*names, out_col])
 
-    return tokens.select(*names).mapInArrow(run, tokens.select(*names).schema.add(out_col, "binary"))
+    given = tokens.select(*names)
+    return given.mapInArrow(run, schema_with(given, **{out_col: T.BinaryType()}))
 
 
 @query("op10_bpe")

@@ -13,12 +13,18 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def schema_with(df: DataFrame, **more: T.DataType) -> T.StructType:
+    """The columns of ``df`` and more."""
+    return T.StructType([*df.schema.fields, *(T.StructField(name, kind) for name, kind in more.items())])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; only a local session without it gets one of its own."""
     shared = spark.conf.get("spark.checkpoint.dir", None)

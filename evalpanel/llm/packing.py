@@ -17,8 +17,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from evalpanel.llm.common import Memo, per_worker, table, written
+from evalpanel.llm.common import Memo, per_worker, schema_with, table, written
 from evalpanel.llm.registry import query
 
 #: Words whose tokens one worker remembers, in each half of its memo.
@@ -136,8 +137,7 @@ def place(found: DataFrame, capacity: int = 4096, shard: int = SHARD) -> DataFra
         bins, offsets = best_fit(mine["length"].tolist(), capacity)
         yield mine.assign(sequence_id=(np.int64(TaskContext.get().partitionId()) << 32) + np.array(bins, np.int64), offset=np.array(offsets, np.int64))[[*names, "sequence_id", "offset"]]
 
-    schema = stored.schema.add("sequence_id", "long").add("offset", "long")
-    packed = short.repartition(tasks).mapInPandas(run, schema)
+    packed = short.repartition(tasks).mapInPandas(run, schema_with(stored, sequence_id=T.LongType(), offset=T.LongType()))
     full = stored.filter(F.col("length") >= capacity).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return packed.union(full)
 
