@@ -7,7 +7,9 @@ lone surrogates cannot occur in Spark strings; extra columns pass through unless
 from __future__ import annotations
 
 import base64
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -29,6 +31,10 @@ def read_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in raw.splitlines() if line)}
 
 
+#: White space beside a space, by any notion of white space.
+BESIDE = re.compile(r"[\s\x1c-\x1f\x85] | [\s\x1c-\x1f\x85]")
+
+
 class Encoder:
     """Encodes the matches of a pattern by ranks: at each step the adjacent pair of lowest rank is merged.
 
@@ -47,14 +53,14 @@ class Encoder:
         size = max(ranks.values()) + 1
         self.left_of = [halves.get(r, (None, None))[0] for r in range(size)]
         self.right_of = [halves.get(r, (None, None))[1] for r in range(size)]
-        self.lengths = [len(self.tokens.get(r, b"")) for r in range(size)]
         self.search = ahocorasick.Automaton()
         for token, rank in ranks.items():
             if self.left_of[rank] is not None:
                 self.search.add_word(token.decode("latin-1"), rank)
-        self.search.make_automaton()
+        self.reachable = {token: rank for token, rank in ranks.items() if self.left_of[rank] is not None}
+        self.longest = max(map(len, ranks))
         self.fits: dict[int, bool] = {}
-        self.pieces = Memo(REMEMBERED)
+        self.words, self.pieces = Memo(REMEMBERED), Memo(REMEMBERED // 2)
 
     def _last_merge(self, token: bytes) -> tuple[int | None, int | None]:
         """The two tokens whose merge makes ``token``; itself for a byte; Nones if its bytes do not merge to it."""
@@ -110,66 +116,71 @@ class Encoder:
 
     def piece(self, raw: bytes) -> list[int]:
         """The tokens of one match."""
-        whole = self.ranks.get(raw)
-        if whole is not None and self.left_of[whole] is not None:
+        whole = self.reachable.get(raw)
+        if whole is not None:
             return [whole]
-        n, lengths, fits, compatible = len(raw), self.lengths, self.fits.get, self.compatible
-        starting: list[list[int]] = [[] for _ in range(n)]  # tokens that begin at each place, shorter ones first
-        for stop, rank in self.search.iter(raw.decode("latin-1")):
-            starting[stop + 1 - lengths[rank]].append(rank)
+        n, fits, compatible = len(raw), self.fits.get, self.compatible
+        prefix, rank_of, longest = self.search.longest_prefix, self.reachable.get, self.longest
+        text = raw.decode("latin-1")
         out: list[int] = []
-        left: list[int] = []  # for each token of the stack, how many shorter ones are left to try in its place
+        stack: list[tuple[int, int]] = []  # for each token, its place and the length to try next if it is given up
         dead = bytearray(n + 1)
-        at, k = 0, len(starting[0]) - 1
+        at, size, last = 0, prefix(text[:longest]), -1
         while at < n:
-            here = starting[at]
-            while k >= 0:
-                rank = here[k]
-                if not dead[at + lengths[rank]]:
-                    if not out:
+            while size:
+                rank = rank_of(raw[at : at + size])
+                if rank is not None and not dead[at + size]:
+                    if last < 0:
                         break
-                    fit = fits(out[-1] << 32 | rank)
-                    if compatible(out[-1], rank) if fit is None else fit:
+                    fit = fits(last << 32 | rank)
+                    if compatible(last, rank) if fit is None else fit:
                         break
-                k -= 1
-            if k >= 0:
+                size -= 1
+            if size:
                 out.append(rank)
-                left.append(k - 1)
-                at += lengths[rank]
-                k = len(starting[at]) - 1 if at < n else 0
+                stack.append((at, size - 1))
+                last = rank
+                at += size
+                if at < n:
+                    size = prefix(text[at : at + longest])
             else:
                 dead[at] = 1
-                at -= lengths[out.pop()]
-                k = left.pop()
+                out.pop()
+                at, size = stack.pop()
+                last = out[-1] if out else -1
         return out
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as 32-bit integers; the matches of all texts are encoded once."""
         found = [self.pattern.findall(text) for text in texts]
-        known = self.pieces.fill({m for matches in found for m in matches}, lambda new: [np.array(self.piece(m.encode()), np.int32).tobytes() for m in new])
+        known = self.pieces.fill({m for matches in found for m in matches}, lambda new: [array("i", self.piece(m.encode())).tobytes() for m in new])
         return [b"".join(map(known.__getitem__, matches)) for matches in found]
 
-    def chunks(self, text: str) -> list[str]:
-        """Parts of a text that can be encoded one by one.
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each whole text as 32-bit integers.
 
-        A single space between two characters that are not white space always begins a match, so a text is cut there.
+        A single space between two characters that are not white space always begins a match, so a text is cut there and
+        words, with the space before them, are encoded once. Other texts are encoded whole.
         """
-        parts = text.split(" ")
-        if len(parts) == 1:
-            return parts
-        out, held = [], parts[0]
-        for part in parts[1:]:
-            if held and part and not held[-1].isspace() and not part[0].isspace():
-                out.append(held)
-                held = " " + part
+        heads, tails = [], []
+        for text in texts:
+            if not text:
+                heads.append("")
+                tails.append([])
+            elif text[0] == " " or text[-1] == " " or BESIDE.search(text):
+                heads.append(text)
+                tails.append([])
             else:
-                held += " " + part
-        out.append(held)
-        return out
+                head, *tail = text.split(" ")
+                heads.append(head)
+                tails.append(tail)
+        whole = self.encode_all(heads)
+        known = self.words.fill({w for tail in tails for w in tail}, lambda new: self.encode_all([" " + w for w in new]))
+        return [head + b"".join(map(known.__getitem__, tail)) for head, tail in zip(whole, tails)]
 
 
-def _encoder(raw: bytes, pattern: str) -> tuple[Encoder, Memo]:
-    return per_worker(("bpe", zlib.crc32(raw), pattern), lambda: (Encoder(read_ranks(raw), pattern), Memo(REMEMBERED)))
+def _encoder(raw: bytes, pattern: str) -> Encoder:
+    return per_worker(("bpe", zlib.crc32(raw), pattern), lambda: Encoder(read_ranks(raw), pattern))
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
@@ -183,13 +194,11 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text
     given = docs.select(*rest, F.col(text_col).alias(ids_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, memo = _encoder(shared.value, pattern)
+        coder = _encoder(shared.value, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                cut = [coder.chunks(t) if t else [] for t in part.column(len(rest)).to_pylist()]
-                known = memo.fill({w for words in cut for w in words}, coder.encode_all)
-                flat = [b"".join(map(known.__getitem__, words)) for words in cut]
+                flat = coder.encode(part.column(len(rest)).to_pylist())
                 offsets = np.cumsum([0, *map(len, flat)]) // 4
                 values = pa.array(np.frombuffer(b"".join(flat), np.int32))
                 ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
@@ -198,6 +207,14 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text
     return given.mapInArrow(run, schema_with(given.select(*rest), **{ids_col: T.ArrayType(T.IntegerType())}))
 
 
+def _token_bytes(raw: bytes) -> tuple[list[bytes], np.ndarray]:
+    ranks = read_ranks(raw)
+    of = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        of[rank] = token
+    return of, np.array([len(token) for token in of], np.int64)
+
+
 def decode(tokens: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``tokens`` with ``out_col`` (binary): the bytes that the ids of each row stand for; null ids give no bytes."""
     shared = tokens.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
@@ -206,12 +223,16 @@ def decode(tokens: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = shared.value
-        of = per_worker(("bytes", zlib.crc32(raw)), lambda: {rank: token for token, rank in read_ranks(raw).items()})
+        of, lengths = per_worker(("bytes", zlib.crc32(raw)), lambda: _token_bytes(raw))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                out = [b"".join(map(of.__getitem__, ids)) if ids else b"" for ids in part.column(place).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*names, out_col])
+                lists = part.column(place).fill_null([])
+                flat = lists.flatten().to_numpy(zero_copy_only=False)
+                ends = np.concatenate([[0], np.cumsum(lengths[flat])])[np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])]
+                data = pa.py_buffer(b"".join(map(of.__getitem__, flat.tolist())))
+                out = pa.Array.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(ends.astype(np.int64)), data]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, out], [*names, out_col])
 
     given = tokens.select(*names)
     return given.mapInArrow(run, schema_with(given, **{out_col: T.BinaryType()}))
