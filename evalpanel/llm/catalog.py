@@ -1,4 +1,4 @@
 """Imports every operator module so that all queries are registered."""
 
-from evalpanel.llm import ann, bpe, embedding_dedup, packing, passages, quality, simhash, toxicity  # noqa: F401
+from evalpanel.llm import ann, bpe, chat, embedding_dedup, packing, pages, passages, quality, simhash, toxicity  # noqa: F401
 from evalpanel.llm.registry import QUERIES, SQL  # noqa: F401
