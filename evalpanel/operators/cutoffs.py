@@ -79,10 +79,18 @@ def cutoff_sweep(
     return out.withColumn("retained_fraction", F.col("n_retained") / F.col("n_total"))
 
 
-def sweep_replicates(rows: DataFrame, weights: DataFrame, keys: Sequence[str], score: str, missing: str, unit: str = "unit") -> DataFrame:
-    """The sweep in every replicate: one set of draws shared by all cutoffs."""
-    weighted = rows.join(weights.select(unit, "rep", "w"), unit)
-    out = cutoff_sweep(weighted, [*keys, "rep"], score, missing, weight="w")
+def sweep_replicates(rows: DataFrame, weights: DataFrame, keys: Sequence[str], score: str, missing: str, reps: int, unit: str = "unit") -> DataFrame:
+    """The sweep in every replicate 1..``reps``: one set of draws shared by all cutoffs.
+
+    Every cutoff that the rows realise is evaluated in every replicate, whether or not the replicate drew a row at it;
+    ``theta`` is NULL only where a replicate retains nothing.
+    """
+    weighted = rows.join(weights.select(unit, "rep", "w"), unit).select(*keys, "rep", score, "bin", "w", "abs_e")
+    levels = rows.filter(F.col(score).isNotNull()).select(*keys, score).distinct()
+    nothing = [F.lit(0).cast(rows.schema["bin"].dataType).alias("bin"), F.lit(0).cast(weights.schema["w"].dataType).alias("w"), F.lit(0.0).alias("abs_e")]
+    realised = levels.select(*keys, F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"), score)
+    realised = realised.select(*keys, F.col("rep").cast(weights.schema["rep"].dataType).alias("rep"), score, *nothing)
+    out = cutoff_sweep(weighted.unionByName(realised), [*keys, "rep"], score, missing, weight="w")
     return out.select(*keys, "rep", "cutoff", F.col("mae").alias("theta"), F.col("balanced_mae").alias("theta_balanced"))
 
 

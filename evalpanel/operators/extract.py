@@ -24,7 +24,14 @@ FENCE = r"^```(?:json)?\s*|\s*```$"
 # Outcome labels of a response row.
 OK, PARSE_FAILURE, INFERENCE_FAILURE = "", "JSON_PARSE_FAILURE", "INFERENCE_FAILURE"
 
-_PAIR = T.StructType([T.StructField("value", T.DoubleType()), T.StructField("score", T.DoubleType())])
+# Text, as a NaN among doubles would come back as NULL.
+_PAIR = T.StructType([T.StructField("value", T.StringType()), T.StructField("score", T.StringType())])
+
+# One flat object in strict JSON with numbers that any parser reads alike; all else goes to the decoder.
+_STRING = r'"[^"\\\x00-\x1f]*"'
+_NUMBER = r"-?(?:0|[1-9][0-9]{0,14})(?:\.[0-9]{1,17})?(?:[eE][+-]?[0-9]{1,2})?"
+_ITEM = rf"[ \t\r\n]*{_STRING}[ \t\r\n]*:[ \t\r\n]*(?:{_NUMBER}|{_STRING}|true|false|null)[ \t\r\n]*"
+PLAIN = rf"^\{{{_ITEM}(?:,{_ITEM})*\}}$"
 
 
 def _as_pair(found) -> tuple[float, float] | None:
@@ -34,7 +41,10 @@ def _as_pair(found) -> tuple[float, float] | None:
     pair = (found[present[0]] if present else None, found.get(SCORE_KEY))
     if any(type(v) not in (int, float) for v in pair):
         return None
-    return float(pair[0]), float(pair[1])
+    try:
+        return float(pair[0]), float(pair[1])
+    except OverflowError:  # an integer beyond the range of doubles is no answer
+        return None
 
 
 def decode(text: str | None) -> tuple[float, float] | None:
@@ -60,17 +70,16 @@ def decode(text: str | None) -> tuple[float, float] | None:
 @F.pandas_udf(_PAIR)
 def _decode_batch(texts: pd.Series) -> pd.DataFrame:
     pairs = [decode(t) for t in texts]
-    return pd.DataFrame(
-        {"value": [p and p[0] for p in pairs], "score": [p and p[1] for p in pairs]}, dtype="float64"
-    )
+    return pd.DataFrame({"value": [p and repr(p[0]) for p in pairs], "score": [p and repr(p[1]) for p in pairs]}, dtype="object")
 
 
 def parse_response(df: DataFrame, text: str = "raw_text") -> DataFrame:
     """Add ``value`` and ``score``; both NULL when the response holds no answer."""
     body = F.trim(F.regexp_replace(F.trim(F.col(text)), "(?m)" + FENCE, ""))
     fields = T.StructType([T.StructField(k, T.DoubleType()) for k in (*VALUE_KEYS, SCORE_KEY)])
-    flat = df.withColumn("_b", F.when(body.rlike(r"^\{[^{}]*\}$"), body))
-    flat = flat.withColumns({"_j": F.from_json("_b", fields), "_k": F.json_object_keys("_b")})
+    flat = df.withColumn("_b", F.when(body.rlike(PLAIN), body))
+    strict = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+    flat = flat.withColumns({"_j": F.from_json("_b", fields, strict), "_k": F.json_object_keys("_b")})
     sound = F.col("_k").isNotNull() & (F.size(F.array_distinct("_k")) == F.size("_k"))
     value = F.lit(None).cast("double")
     for k in reversed(VALUE_KEYS):
@@ -80,7 +89,7 @@ def parse_response(df: DataFrame, text: str = "raw_text") -> DataFrame:
     tagged = flat.withColumns({"_v": F.when(fast, value), "_s": F.when(fast, score)})
     slow = tagged.withColumn("_d", _decode_batch(F.when(F.col("_v").isNull(), F.col(text))))
     return slow.withColumns(
-        {"value": F.coalesce("_v", "_d.value"), "score": F.coalesce("_s", "_d.score")}
+        {"value": F.coalesce("_v", F.col("_d.value").cast("double")), "score": F.coalesce("_s", F.col("_d.score").cast("double"))}
     ).drop("_b", "_j", "_k", "_v", "_s", "_d")
 
 

@@ -113,13 +113,16 @@ def balanced(
     n_bins: int = 5,
     min_n: int | None = None,
     include_n: int | None = None,
+    unit: str | None = None,
 ) -> DataFrame:
     """Unweighted mean of the non-empty per-bin means, always with those means and counts.
 
     ``include_n``: bins under it are reported but left out of the mean.
     ``min_n``: if any bin is under it the value is NULL and ``reason`` says so.
+    ``unit``: counts and floors are of distinct units instead of rows.
     """
-    bins = panel.groupBy(*keys, "bin").agg(F.count(value).alias("n"), F.avg(value).alias("m"))
+    size = F.count(value) if unit is None else F.count_distinct(F.when(F.col(value).isNotNull(), F.col(unit)))
+    bins = panel.groupBy(*keys, "bin").agg(size.alias("n"), F.avg(value).alias("m"))
     use = F.lit(True) if include_n is None else F.col("n") >= F.lit(include_n)
     entry = F.struct("bin", "n", F.col("m").alias("mae"), use.alias("included"))
     out = bins.groupBy(*keys).agg(
@@ -135,7 +138,7 @@ def balanced(
     return out.withColumns(
         {
             "balanced_mae": F.when(~short, F.col("balanced_mae")),
-            "reason": F.when(short, F.lit(TOO_FEW)),
+            "reason": F.when(short, F.lit(TOO_FEW.replace("10", str(min_n)))),
         }
     )
 

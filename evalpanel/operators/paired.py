@@ -183,8 +183,8 @@ def hodges_lehmann(
 
     Differences are compressed to levels and a histogram gives an interval around the median pair sum.
     The number of pairs with sum <= t is a sum of running counts at t - d_i; it places the interval's
-    ends, and narrows it while more than ``budget`` level pairs are inside. Those are then found by an
-    equi-join on slots of the interval's width. Only a few numbers per contrast come to the driver.
+    ends, and narrows it while more than ``budget`` level pairs, and four times the levels, are inside: one sum
+    alone can be that of a pair for every level. The pairs left are then found by an equi-join on slots of the interval's width. Only a few numbers per contrast come to the driver.
     """
     spark = pairs.sparkSession
     keys = list(keys)
@@ -203,6 +203,7 @@ def hodges_lehmann(
             "hi": 2 * row["_hi"] + 1.0,
             "base": 0,
             "levels": (0, inside),
+            "n_levels": row["_levels"],
             "ask": [row["_from"], row["_to"]],
             "k1": (pairs_total + 1) // 2,
             "k2": pairs_total // 2 + 1,
@@ -219,7 +220,7 @@ def hodges_lehmann(
         return join_null_safe(df, F.broadcast(small), keys) if keys else df.join(F.broadcast(small))
 
     for turn in range(max_rounds):
-        chosen = {k: v for k, v in brackets.items() if turn == 0 or v["levels"][1] - v["levels"][0] > budget}
+        chosen = {k: v for k, v in brackets.items() if turn == 0 or v["levels"][1] - v["levels"][0] > max(budget, 4 * v["n_levels"])}
         if not chosen:
             break
         for key, found in _pairs_up_to(attach(levels, as_frame(["ask"], chosen)), keys, grain).items():
@@ -236,7 +237,7 @@ def hodges_lehmann(
             b["ask"] = [b["lo"] + step * (m + 0.8584073464) for m in range(probes)]
 
     small = as_frame(["lo", "hi", "base", "k1", "k2"], brackets)
-    rows = attach(levels, small).withColumn("_w", F.col("hi") - F.col("lo"))
+    rows = attach(levels, small).withColumn("_w", F.greatest(F.col("hi") - F.col("lo"), F.abs("hi") * 1e-12, F.lit(1e-300)))
     slot = lambda c: F.floor(c / F.col("_w"))
     left = rows.withColumn(
         "_s", F.explode(F.sequence(slot(F.col("lo") - F.col("d")) - 1, slot(F.col("hi") - F.col("d")) + 1))

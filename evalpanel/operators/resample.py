@@ -151,7 +151,7 @@ def _weighted_sums(rows: DataFrame, by: Sequence[str], names: Sequence[str], rep
             groups = batch.groupby(by, dropna=False, sort=False).indices if by else {(): np.arange(len(batch))}
             wide = np.zeros((len(first), len(groups), len(names)))
             for g, where in enumerate(groups.values()):
-                wide[row_unit[where], g] = values[where]
+                np.add.at(wide[:, g], row_unit[where], values[where])
             wide = wide.reshape(len(first), -1)
             total = np.zeros((reps, wide.shape[1]))
             for at in range(0, len(first), chunk):
@@ -197,7 +197,7 @@ def multinomial_sums(
     strata = list(strata)
     index = unit_index(stats.select(*strata, unit).distinct(), unit, strata, hasher)
     hits = drawn_positions(index, seed, reps, strata, hasher).groupBy(*strata, "idx").agg(F.collect_list("rep").alias("_reps"))
-    drawn = join_null_safe(index.select(*strata, "idx", unit), hits, [*strata, "idx"]).select(unit, "_reps")
+    drawn = join_null_safe(index.select(*strata, "idx", unit), hits, [*strata, "idx"]).select(*strata, unit, "_reps")
 
     def weights_of(batch: pd.DataFrame, first: np.ndarray) -> np.ndarray:
         lists = [np.asarray(x, dtype=np.int64) for x in batch["_reps"].to_numpy()[first]]
@@ -205,8 +205,10 @@ def multinomial_sums(
         cell = (np.concatenate(lists) - 1) * len(first) + column
         return np.bincount(cell, minlength=reps * len(first)).reshape(reps, len(first)).astype(float)
 
-    rows = spread(stats, unit).join(drawn, unit).sortWithinPartitions(unit)
-    rows = rows.select(*by, F.xxhash64(unit).alias("_h"), "_reps", *[F.col(n).cast("double").alias(n) for n in names])
+    # A unit that stands in several strata is drawn in each of them on its own.
+    own = [*strata, unit]
+    rows = join_null_safe(spread(stats, unit), drawn, own).sortWithinPartitions(*own)
+    rows = rows.select(*by, F.xxhash64(*own).alias("_h"), "_reps", *[F.col(n).cast("double").alias(n) for n in names])
     return _weighted_sums(rows, by, names, reps, weights_of)
 
 

@@ -96,30 +96,37 @@ def per_bin_error(spark, sf_dir):
     return M.per_bin(P.base_panel(spark, sf_dir), ["rater", "cond"], 5)
 
 
+def _size_quantile(panel, keys, share: float) -> int:
+    """A floor inside the range of bin sizes in units, so that both branches are seen at any scale."""
+    sizes = panel.groupBy(*keys, "bin").agg(F.count_distinct("unit").alias("n"))
+    return sizes.agg(F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY n)").cast("long")).first()[0]
+
+
 @query(
     "balanced_by_fine_bins",
-    f"""{PANEL}, f AS (SELECT rater, abs_e, CASE WHEN reference<=1 THEN 0 WHEN reference<=5 THEN 1 WHEN reference<=10 THEN 2
+    f"""{PANEL}, f AS (SELECT rater, unit, abs_e, CASE WHEN reference<=1 THEN 0 WHEN reference<=5 THEN 1 WHEN reference<=10 THEN 2
  WHEN reference<=20 THEN 3 WHEN reference<=40 THEN 4 WHEN reference<=60 THEN 5 WHEN reference<=80 THEN 6 ELSE 7 END AS b FROM panel),
- g AS (SELECT rater, b, count(*) AS n, avg(abs_e) AS m FROM f GROUP BY ALL)
+ g AS (SELECT rater, b, count(DISTINCT unit) AS n, avg(abs_e) AS m FROM f GROUP BY ALL), q AS (SELECT quantile_disc(n, 0.25) AS floor FROM g)
 SELECT rater, {N('sum(n)', 'n')}, {N('count(*)', 'bins_present')}, {N('min(n)', 'smallest_bin')},
- {D('avg(CASE WHEN n>=300 THEN m END)', 'balanced_mae')} FROM g GROUP BY rater""",
+ {D('avg(CASE WHEN n>floor THEN m END)', 'balanced_mae')} FROM g, q GROUP BY rater""",
 )
 def balanced_by_fine_bins(spark, sf_dir):
     fine = C.with_bins(P.base_panel(spark, sf_dir).drop("bin"), C.EIGHT_EDGES)
-    return M.balanced(fine, ["rater"], n_bins=8, include_n=300).drop("per_bin")
+    floor = _size_quantile(fine, ["rater"], 0.25)
+    return M.balanced(fine, ["rater"], n_bins=8, include_n=floor + 1, unit="unit").drop("per_bin")
 
 
 @query(
     "balanced_with_floor",
-    f"""{PANEL}, b AS (SELECT clus, rater, bin, count(*) AS n, avg(abs_e) AS m FROM panel GROUP BY ALL),
+    f"""{PANEL}, b AS (SELECT clus, rater, bin, count(DISTINCT unit) AS n, avg(abs_e) AS m FROM panel GROUP BY ALL), q AS (SELECT quantile_disc(n, 0.1) AS floor FROM b),
  c AS (SELECT clus, rater, avg(m) AS v, sum(n) AS n, count(*) AS k, min(n) AS s FROM b GROUP BY clus, rater)
-SELECT clus, rater, {N('n', 'n')}, {D('CASE WHEN k=5 AND s>=248 THEN v END', 'balanced_mae')},
- CASE WHEN NOT (k=5 AND s>=248) THEN 'not computed (bin n < 10)' END AS reason FROM c""",
+SELECT clus, rater, {N('n', 'n')}, {D('CASE WHEN k=5 AND s>=floor THEN v END', 'balanced_mae')},
+ CASE WHEN NOT (k=5 AND s>=floor) THEN 'not computed (bin n < ' || floor || ')' END AS reason FROM c, q""",
 )
 def balanced_with_floor(spark, sf_dir):
-    # The floor sits inside the range of bin sizes at the checked scale, so both branches are seen.
     panel = P.base_panel(spark, sf_dir)
-    return M.balanced(panel, ["clus", "rater"], min_n=248).select("clus", "rater", "n", "balanced_mae", "reason")
+    floor = _size_quantile(panel, ["clus", "rater"], 0.1)
+    return M.balanced(panel, ["clus", "rater"], min_n=floor, unit="unit").select("clus", "rater", "n", "balanced_mae", "reason")
 
 
 @query(

@@ -92,7 +92,7 @@ def covariate_block_test(spark, sf_dir):
 @query("median_regression")
 def median_regression(spark, sf_dir):
     units, xs = model_units(spark, sf_dir)
-    found = L.median_regression(units, xs, "abs_e", rounds=20)
+    found = L.median_regression(units, xs, "abs_e")
     return spark.createDataFrame([(k, v) for k, v in found.items()], "term string, coef double")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evalpanel.functions.levels import join_null_safe
 from evalpanel.functions.hashing import poisson_steps
 from evalpanel.operators import cutoffs as C
 from evalpanel.operators import ensembles as E
@@ -66,16 +67,20 @@ def error_before_and_after_cutoff(spark, sf_dir):
     f"""{PANEL}, un AS (SELECT DISTINCT unit FROM panel), u AS (SELECT rep, unit, {u_sql(61, 'unit', 'rep')} AS u FROM un, range(1,61) t(rep)),
  w AS (SELECT rep, unit, {'+'.join(f'CASE WHEN u>=CAST({s!r} AS DOUBLE) THEN 1 ELSE 0 END' for s in poisson_steps())} AS w FROM u),
  s AS (SELECT p.config, p.conf, w.rep, sum(w) AS n, sum(w*abs_e) AS s FROM panel p JOIN w ON p.unit=w.unit WHERE w>0 AND conf IS NOT NULL GROUP BY ALL),
- k AS (SELECT DISTINCT config, rep, conf AS cutoff FROM s UNION ALL SELECT DISTINCT config, rep, NULL FROM s),
- t AS (SELECT k.config, k.rep, k.cutoff, sum(s.s)/sum(s.n) AS theta FROM k JOIN s ON k.config=s.config AND k.rep=s.rep AND (s.conf>=k.cutoff OR k.cutoff IS NULL) GROUP BY ALL)
-SELECT config, {D('cutoff', 'cutoff')}, {D('quantile_cont(theta,0.025)', 'ci_lo')}, {D('quantile_cont(theta,0.975)', 'ci_hi')} FROM t GROUP BY config, cutoff HAVING count(*)>=50""",
+ g AS (SELECT DISTINCT config, conf AS cutoff FROM panel WHERE conf IS NOT NULL UNION ALL SELECT DISTINCT config, NULL FROM panel WHERE conf IS NOT NULL),
+ k AS (SELECT g.config, g.cutoff, r.rep FROM g, range(1,61) r(rep)),
+ t AS (SELECT k.config, k.rep, k.cutoff, sum(s.s)/sum(s.n) AS theta FROM k LEFT JOIN s ON k.config=s.config AND k.rep=s.rep AND (s.conf>=k.cutoff OR k.cutoff IS NULL) GROUP BY ALL)
+SELECT config, {D('cutoff', 'cutoff')}, {N('count(theta)', 'n_defined')}, {D('CASE WHEN count(theta)>=50 THEN quantile_cont(theta,0.025) END', 'ci_lo')},
+ {D('CASE WHEN count(theta)>=50 THEN quantile_cont(theta,0.975) END', 'ci_hi')}, {D('1-count(theta)/count(*)', 'undefined_share')} FROM t GROUP BY config, cutoff""",
 )
 def cutoff_sweep_intervals(spark, sf_dir):
     panel = P.base_panel(spark, sf_dir, scores=True)
     weights = B.poisson_draws(panel.select("unit").distinct(), 61, 60, hasher="md5")
-    reps = C.sweep_replicates(panel, weights, ["config"], "conf", "drop")
-    found = I.percentile_interval(reps, ["config", "cutoff"]).filter(F.col("ci_lo").isNotNull())
-    return found.select("config", "cutoff", "ci_lo", "ci_hi")
+    reps = C.sweep_replicates(panel, weights, ["config"], "conf", "drop", 60)
+    theta = F.nanvl("theta", F.lit(None).cast("double"))
+    defined = reps.groupBy("config", "cutoff").agg(F.count(theta).alias("n_defined"))
+    found = join_null_safe(I.percentile_interval(reps, ["config", "cutoff"]), defined, ["config", "cutoff"])
+    return found.select("config", "cutoff", "n_defined", "ci_lo", "ci_hi", "undefined_share")
 
 
 # ---- ensembles ----

@@ -42,6 +42,22 @@ TEXTS = {
 }
 
 
+def test_parser_job_agrees_with_the_decoder_on_lax_and_extreme_json(spark):
+    odd = [
+        "{'vegetation_percent': 10, 'confidence': 5}",
+        '{"vegetation_percent": "NaN", "confidence": 5}',
+        '{"vegetation_percent": "Infinity", "confidence": 5}',
+        '{"vegetation_percent": NaN, "confidence": 5}',
+        '{"vegetation_percent": %s, "confidence": 5}' % ("9" * 400),
+        '{"vegetation_percent": 01, "confidence": 5}',
+    ]
+    found = X.parse_response(spark.createDataFrame([(t,) for t in odd], "raw_text string")).collect()
+    got = {r["raw_text"]: (r["value"], r["score"]) for r in found}
+    for t in odd:
+        want = X.decode(t)
+        assert got[t] == ((None, None) if want is None else pytest.approx(want, nan_ok=True)), t
+
+
 def test_parser_job_on_every_kind_of_response(spark):
     df = spark.createDataFrame([(t,) for t in TEXTS] + [(None,)], "raw_text string")
     got = {r["raw_text"]: (r["value"], r["score"]) for r in X.parse_response(df).collect()}

@@ -59,6 +59,13 @@ def test_walsh_median_is_exact_with_and_without_narrowing(spark, budget):
         assert got[k] == pytest.approx(walsh_median(d), abs=1e-9), k
 
 
+def test_walsh_median_where_one_sum_belongs_to_more_pairs_than_the_budget(spark):
+    even = [float(x) for x in range(1000)]
+    tenths = [round(0.1 * x, 1) for x in range(301)]
+    got = {r["k"]: r[1] for r in Q.hodges_lehmann(frame(spark, {"even": even, "tenths": tenths}), ["k"], budget=100).collect()}
+    assert got == {"even": pytest.approx(499.5), "tenths": pytest.approx(15.0)}
+
+
 def test_walsh_median_of_one_and_two_values(spark):
     got = {r["k"]: r[1] for r in Q.hodges_lehmann(frame(spark, {"one": [3.0], "two": [1.0, 4.0], "same": [2.0] * 7}), ["k"]).collect()}
     assert got == {"one": 3.0, "two": 2.5, "same": 2.0}
