@@ -5,8 +5,8 @@ into tiles; each pair of tiles is one bounded task. A unit vector x is s q + e w
 error norm |e|, so x.y differs from s t (q.p) by at most |s q| |e'| + |e| |y|; pairs whose upper bound reaches the threshold are
 recomputed in double precision from the original components. A task returns link counts and a forest of its links.
 
-Defined results: vectors that are null, zero, or hold null or non-finite components, vectors without label, and vectors of another
-length than most of a pair's tile link with nothing: they have no links and are their own component; a null id has a null component;
+Defined results: vectors that are null, zero, or hold null or non-finite components, and vectors without label, link with nothing: they
+have no links and are their own component; vectors of different lengths never link; a null id has a null component;
 rows with equal ids count as vectors of their own; repeated rows are linked copies; extra columns are ignored.
 """
 

@@ -130,9 +130,10 @@ def place(found: DataFrame, capacity: int = 4096, shard: int = SHARD) -> DataFra
     tasks = max(1, -(-short.count() // shard))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mine = pd.concat(list(frames), ignore_index=True)  # about ``shard`` rows of numbers
-        if not len(mine):
+        held = list(frames)  # about ``shard`` rows of numbers
+        if not held:
             return
+        mine = pd.concat(held, ignore_index=True)
         mine = mine.sort_values(["length", "doc_id", "piece", "start"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
         bins, offsets = best_fit(mine["length"].tolist(), capacity)
         yield mine.assign(sequence_id=(np.int64(TaskContext.get().partitionId()) << 32) + np.array(bins, np.int64), offset=np.array(offsets, np.int64))[[*names, "sequence_id", "offset"]]

@@ -32,7 +32,7 @@ BLOCK = 64
 #: A text is constant if it stands in this share of a block's different pages, and in three at least.
 CONSTANT = 0.6
 #: Constant texts that are a larger share of a page than this are the content of copies.
-COPIES = 0.3
+COPIES = 0.5
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(?=[a-zA-Z/!?])[^>]*\Z", re.S)
 NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)

@@ -1,7 +1,7 @@
 """SimHash near-duplicates: fingerprints of word shingles, linked by multi-index hashing.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; repeated rows and copies share a
-fingerprint; rows with a null id are fingerprinted but belong to no component (null); extra columns are ignored.
+fingerprint; rows with a null id are fingerprinted but link nothing and belong to no component (null); extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -137,7 +137,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, fp, component): every row with the smallest id reachable through fingerprints within ``radius`` bits."""
     prints = written(fingerprints(docs, id_col, text_col, words))
     least = prints.filter("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("least"))
-    joined = components(close_links(prints, radius, segments)).withColumnRenamed("node", "fp")
+    joined = components(close_links(prints.filter("id IS NOT NULL"), radius, segments)).withColumnRenamed("node", "fp")
     roots = least.join(joined, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     low = roots.groupBy("component").agg(F.min("least").alias("low"))
     by_print = roots.join(low, "component").select("fp", "low")

@@ -56,7 +56,7 @@ class Model:
     def above(self, counts: Counter) -> np.ndarray:
         """The probabilities of exceeding each grade but the last."""
         score = sum(self.weights[k] * np.log1p(n) for k, n in counts.items())
-        return 1 / (1 + np.exp(np.clip(self.thresholds - score, -700, 700)))
+        return np.where(np.isinf(self.thresholds), 0.0, 1 / (1 + np.exp(np.clip(self.thresholds - score, -700, 700))))
 
 
 def counted(words: list[str], known: dict[str, tuple[int, ...]]) -> Counter:
@@ -150,10 +150,10 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, vocabulary
     return model
 
 
-def scored(docs: DataFrame, model: Model, cut: float = 0.35) -> DataFrame:
-    """``docs`` with severity (the expected grade), p_toxic, and toxic (p_toxic at least ``cut``)."""
+def scored(docs: DataFrame, model: Model, cut: float = 0.35, added: tuple[str, str, str] = ("severity", "p_toxic", "toxic")) -> DataFrame:
+    """``docs`` with severity (the expected grade), p_toxic, and toxic (p_toxic at least ``cut``), under the names ``added``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c not in ("severity", "p_toxic", "toxic")]
+    names = [c for c in docs.columns if c not in added]
     place = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,16 +165,17 @@ def scored(docs: DataFrame, model: Model, cut: float = 0.35) -> DataFrame:
                 known = memo.fill({w for ws in words for w in ws}, model.indices)
                 found += [model.above(counted(ws, known)) for ws in words]
             above = np.array(found).reshape(-1, GRADES - 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(above.sum(1)), pa.array(above[:, 0]), pa.array(above[:, 0] >= cut)], [*names, "severity", "p_toxic", "toxic"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(above.sum(1)), pa.array(above[:, 0]), pa.array(above[:, 0] >= cut)], [*names, *added])
 
     given = docs.select(*names)
-    return given.mapInArrow(run, schema_with(given, severity=T.DoubleType(), p_toxic=T.DoubleType(), toxic=T.BooleanType()))
+    return given.mapInArrow(run, schema_with(given, **dict(zip(added, (T.DoubleType(), T.DoubleType(), T.BooleanType())))))
 
 
 def harmless_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """``docs`` without the toxic ones."""
     names = docs.columns
-    return scored(docs, train(docs, labels, **options)).filter(~F.col("toxic")).select(*names)
+    found = scored(docs, train(docs, labels, **options), added=("_severity", "_p_toxic", "_toxic"))
+    return found.filter(~F.col("_toxic")).select(*names)
 
 
 @query("op8_toxicity")
