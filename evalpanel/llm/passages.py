@@ -3,7 +3,8 @@
 1. Every document gives winnowed seeds: of each ``window`` consecutive k-mers of words the least hash, so any two documents that
    share ``window + k - 1`` words in a row share a seed there.
 2. Occurrences of a seed are joined in a star: each is matched with the smallest document that holds the seed, so that a seed
-   in n documents gives n - 1 matches.
+   in n documents gives n - 1 matches. Of a seed that is common among the documents of a task, all occurrences but those of
+   the smallest of these are matched with that one at once, before the shuffle.
 3. The matches of a document with an earlier one are chained: a Fenwick tree over places in the earlier one finds the best
    predecessor of each match, by score less the gap.
 4. Chains are aligned on the words: along their diagonals, between them by edit distance, and outwards from their ends.
@@ -36,6 +37,8 @@ MAX_GAP = 48
 PIECE = 20
 IDENTITY = 0.8
 TILE, PAD = 128, 24
+#: Seeds that a task gathers before it looks for common ones, and occurrences that make a seed common among them.
+GATHERED, COMMON = 1_000_000, 64
 
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -74,64 +77,94 @@ def seeds_of(words: np.ndarray, bounds: np.ndarray, k: int, window: int) -> tupl
     return places, kmers[places]
 
 
+def starts(*columns: np.ndarray) -> np.ndarray:
+    """Where any of the columns differs from the row before."""
+    change = np.zeros(len(columns[0]), bool)
+    for c in columns:
+        change[1:] |= c[1:] != c[:-1]
+    change[:1] = True
+    return np.flatnonzero(change)
+
+
+def star(seed: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For occurrences sorted by seed, document and place: which are to be matched, and the document and place they match.
+
+    The n-th occurrence in a document meets the n-th in the smallest document of the seed, or its last.
+    """
+    n, run_at = len(seed), starts(seed)
+    size = np.diff(np.r_[run_at, n])
+    ref = np.repeat(doc[run_at], size)
+    source = doc == ref
+    held = np.add.reduceat(source.astype(np.int64), run_at) if n else np.zeros(0, np.int64)
+    group_at = starts(seed, doc)
+    rank = np.arange(n) - np.repeat(group_at, np.diff(np.r_[group_at, n]))
+    return ~source, ref, place[np.repeat(run_at, size) + np.minimum(rank, np.repeat(held, size) - 1)]
+
+
 def seeds(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
-    """(seed, doc, place) of ``docs`` (doc, text)."""
+    """(seed, doc, place, ref, y) of ``docs`` (doc, text).
+
+    A seed that occurs ``COMMON`` times in what a task has gathered is matched right there, with the smallest document among
+    these, whose occurrences alone go on; so no seed sends more than a few rows of a task through the shuffle. Matches
+    have y >= 0 and, instead of the seed, a hash of their document.
+    """
+
+    def closed(seed: np.ndarray, doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+        _, where, count = np.unique(seed, return_inverse=True, return_counts=True)
+        order = np.flatnonzero(count[where] >= COMMON)
+        order = order[np.lexsort((place[order], doc[order], seed[order]))]
+        ref, y = np.zeros(len(seed), np.int64), np.full(len(seed), -1, np.int32)
+        matched, refs, places = star(seed[order], doc[order], place[order])
+        at = order[matched]
+        seed, ref[at], y[at] = seed.copy(), refs[matched], places[matched]
+        seed[at] = mixed(doc[at].astype(np.int64).view(np.uint64)).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (seed, doc, place, ref, y)], ["seed", "doc", "place", "ref", "y"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
                 words, bounds = word_hashes(part.column(1).to_pylist())
                 places, found = seeds_of(words, bounds, k, window)
                 row = np.searchsorted(bounds, places, side="right") - 1
-                columns = found.view(np.int64), part.column(0).to_numpy()[row], (places - bounds[row]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["seed", "doc", "place"])
+                held.append((found.view(np.int64), part.column(0).to_numpy()[row], (places - bounds[row]).astype(np.int32)))
+                if sum(len(h[0]) for h in held) >= GATHERED:
+                    yield closed(*map(np.concatenate, zip(*held)))
+                    held = []
+        if held:
+            yield closed(*map(np.concatenate, zip(*held)))
 
-    return docs.mapInArrow(run, "seed long, doc long, place int")
-
-
-def starts(*columns: np.ndarray) -> np.ndarray:
-    """Where any of the columns differs from the row before."""
-    change = np.zeros(len(columns[0]), bool)
-    for c in columns:
-        change[1:] |= c[1:] != c[:-1]
-    change[:1] = True
-    return np.flatnonzero(change)
+    return docs.mapInArrow(run, "seed long, doc long, place int, ref long, y int")
 
 
 def star_matches(found: DataFrame) -> DataFrame:
-    """(doc, ref, x, y): each occurrence of a seed with one in the smallest document that holds it.
+    """(doc, ref, x, y): each occurrence of a seed with one in the smallest document that holds it, and the matches made before.
 
-    The n-th occurrence in a document meets the n-th in the other, or its last. Occurrences stream past in order, so a seed
-    of any number of documents needs the memory of one document.
+    Occurrences stream past in order, so a seed of any number of documents needs the memory of one document.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seed0, ref0, doc0, rank0, places0 = None, 0, None, 0, np.zeros(0, np.int32)
+        kept: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]  # of the last seed, its smallest document
+        last_doc, last_rank = None, -1
         for batch in batches:
-            seed, doc, place = (batch.column(c).to_numpy() for c in range(3))
-            n = len(seed)
-            if not n:
+            seed, doc, place, ref, y = (batch.column(c).to_numpy() for c in range(5))
+            done = y >= 0
+            yield pa.RecordBatch.from_arrays([pa.array(c[done]) for c in (doc, ref, place, y)], ["doc", "ref", "x", "y"])
+            seed, doc, place = (c[~done] for c in (seed, doc, place))
+            if not len(seed):
                 continue
-            run_at = starts(seed)
-            size = np.diff(np.r_[run_at, n])
-            ref, base = doc[run_at].copy(), run_at + len(places0)
-            if seed[0] == seed0:
-                ref[0], base[0] = ref0, 0
-            source = doc == np.repeat(ref, size)
-            held = np.add.reduceat(source.astype(np.int64), run_at)
-            group_at = starts(seed, doc)
-            rank = np.arange(n) - np.repeat(group_at, np.diff(np.r_[group_at, n]))
-            if seed[0] == seed0:
-                held[0] += len(places0)
-                if doc[0] == doc0:
-                    rank[: group_at[1] if len(group_at) > 1 else n] += rank0 + 1
-            pool = np.concatenate([places0, place])
-            y = pool[np.repeat(base, size) + np.minimum(rank, np.repeat(held, size) - 1)]
-            out = ~source
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (doc[out], np.repeat(ref, size)[out], place[out], y[out])], ["doc", "ref", "x", "y"])
-            seed0, ref0, doc0, rank0 = seed[-1], ref[-1], doc[-1], rank[-1]
-            places0 = pool[base[-1] : base[-1] + held[-1]]
+            before = kept if len(kept[0]) and kept[0][0] == seed[0] else [c[:0] for c in kept]
+            fresh = len(before[0])
+            # Ranks go on where a document was cut by the batch; its earlier occurrences stand in as empty rows.
+            again = last_rank + 1 if fresh and doc[0] == last_doc and doc[0] != before[1][0] else 0
+            rows = [np.concatenate([b, np.repeat(c[:1], again), c]) for b, c in zip(before, (seed, doc, place))]
+            matched, refs, places = star(*rows)
+            matched[: fresh + again] = False
+            yield pa.RecordBatch.from_arrays([pa.array(c[matched]) for c in (rows[1], refs, rows[2], places)], ["doc", "ref", "x", "y"])
+            mine = (rows[0] == rows[0][-1]) & (rows[1] == refs[-1])
+            kept = [c[mine] for c in rows]
+            last_doc, last_rank = rows[1][-1], int(((rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1])).sum()) - 1
 
     return found.repartition("seed").sortWithinPartitions("seed", "doc", "place").mapInArrow(run, "doc long, ref long, x int, y int")
 

@@ -174,12 +174,28 @@ def test_passages_exact_fuzzy_nested_and_clean(spark):
     assert passages.repeats(frame.limit(0)).count() == 0
 
 
-def test_passages_in_very_many_documents_are_all_found(spark):
+def test_passages_in_very_many_documents_are_all_found(spark, monkeypatch):
     rng = random.Random(11)
     shared = text(rng, 60)
     frame = spark.createDataFrame([(i, f"{text(rng, 30)} {shared} {text(rng, 30)}") for i in range(400)], "doc_id long, text string")
-    got = passages.repeats(frame).toPandas()
-    assert set(got["doc_id"]) == set(range(1, 400)) and set(got.loc[got["source_id"] == 0, "doc_id"]) == set(range(1, 400))
+    for common in (64, 1000):  # matched within tasks first, or all by the shuffle
+        monkeypatch.setattr(passages, "COMMON", common)
+        got = passages.repeats(frame).toPandas()
+        whole = got[got["end"] - got["start"] >= 60]
+        assert set(whole["doc_id"]) == set(range(1, 400)) and (whole["source_id"] < whole["doc_id"]).all()
+
+
+def test_star_over_batches_equals_star_at_once():
+    rng = np.random.default_rng(6)
+    rows = np.unique(np.stack([rng.integers(0, 12, 600), rng.integers(0, 6, 600), rng.integers(0, 40, 600)]), axis=1)
+    seed, doc, place = rows[0], rows[1], rows[2].astype(np.int32)
+    matched, ref, y = passages.star(seed, doc, place)
+    for i in np.flatnonzero(matched):
+        own = [p for s, d, p in rows.T if s == seed[i] and d == doc[i]]
+        first = min(d for s, d, _ in rows.T if s == seed[i])
+        there = [p for s, d, p in rows.T if s == seed[i] and d == first]
+        assert ref[i] == first and y[i] == there[min(own.index(place[i]), len(there) - 1)]
+    assert matched.sum() == sum(d > min(e for s2, e, _ in rows.T if s2 == s) for s, d, _ in rows.T)
 
 
 def test_chains_follow_the_best_order():
