@@ -56,8 +56,11 @@ class Shard:
         self.directions = np.random.default_rng(seed).standard_normal((m, vectors.shape[1] + 1)).astype(np.float32)
         lift = np.sqrt(np.maximum(largest**2 - (vectors**2).sum(1), 0))
         projected = self.directions[:, :-1] @ vectors.T.astype(np.float32) + self.directions[:, -1:] * lift[None, :].astype(np.float32)
-        self.order = np.argsort(projected, axis=1, kind="stable").astype(np.int32)
-        self.sorted = np.take_along_axis(projected, self.order, axis=1)
+        order = np.argsort(projected, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(projected, order, axis=1)
+        # The place of each vector in each array: it lies in a window if its place lies between the window's ends.
+        self.places = np.empty(order.shape, np.uint16 if len(ids) < 1 << 16 else np.uint32)
+        np.put_along_axis(self.places, order, np.arange(len(ids), dtype=self.places.dtype)[None, :], axis=1)
         self.start = 0.0
 
     def nearest(self, own: int, vector: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,21 +69,22 @@ class Shard:
         if vector.shape[0] != self.vectors.shape[1]:
             return np.zeros(0, np.int64), np.zeros(0)
         centre = self.directions[:, :-1] @ vector.astype(np.float32)
-        left = np.fromiter((s.searchsorted(c) for s, c in zip(self.sorted, centre)), np.int64, m)
-        right = left.copy()
-        hits = np.zeros(n, np.uint16)
+        hits = np.zeros(n, np.uint8 if m < 256 else np.uint16)
+        shifted, inside = np.empty(n, self.places.dtype), np.empty(n, bool)
         waiting = np.ones(n, bool)  # neither verified nor the query itself
         waiting[self.ids == own] = False
         places, scores = np.zeros(0, np.int64), np.zeros(0)
         square = self.largest**2 + float(vector @ vector)
         width = self.start or math.sqrt(square) / 8
         while True:
-            for j in range(m):
-                line, order = self.sorted[j], self.order[j]
-                lo, hi = line.searchsorted(centre[j] - width), line.searchsorted(centre[j] + width, side="right")
-                hits[order[lo : left[j]]] += 1
-                hits[order[right[j] : hi]] += 1
-                left[j], right[j] = min(lo, left[j]), max(hi, right[j])
+            hits[:] = 0
+            whole = True
+            for line, place, low, high in zip(self.sorted, self.places, (centre - width).tolist(), (centre + width).tolist()):
+                lo, hi = line.searchsorted(low), line.searchsorted(high, side="right")
+                np.subtract(place, shifted.dtype.type(lo), out=shifted)  # wraps around below the window
+                np.less(shifted, shifted.dtype.type(hi - lo), out=inside) if hi - lo < n else inside.fill(True)
+                np.add(hits, inside, out=hits, casting="unsafe")
+                whole = whole and hi - lo == n
             new = np.flatnonzero((hits >= self.needed) & waiting)
             waiting[new] = False
             places, scores = np.concatenate([places, new]), np.concatenate([scores, self.vectors[new] @ vector])
@@ -90,14 +94,14 @@ class Shard:
                 scores = (self.vectors[places] * vector).sum(1)  # copies get one score, whatever the order of a matrix product
                 best = np.lexsort((self.ids[places], -scores))[:k]
                 places, scores = places[best], scores[best]
-            whole = bool((left == 0).all() and (right == n).all())
             wanted = math.inf
             if len(scores) >= k:
                 wanted = self.half_width * math.sqrt(max(square - 2 * float(scores.min()), 0))
             if whole or width >= wanted:
                 break
             width = min(max(wanted, width), width * 1.5) if wanted < math.inf else width * 1.5
-        self.start = 0.9 * width if not whole else self.start
+        if wanted < math.inf:  # where the next query begins: windows that would have done for this one
+            self.start = 1.05 * wanted
         scores = (self.vectors[places] * vector).sum(1)
         best = np.lexsort((self.ids[places], -scores))
         return places[best], scores[best]
@@ -115,7 +119,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
     of = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")
     index = usable.select(of, F.lit(False).alias("asks"), "id", "vector")
     asked = usable.filter(queries).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("asks"), "id", "vector")
-    met = index.union(asked).repartition(shards, "shard").sortWithinPartitions("shard", "asks", "id")
+    met = index.union(asked).repartitionById(shards, "shard").sortWithinPartitions("shard", "asks", "id")
     top = float(largest or 0.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
