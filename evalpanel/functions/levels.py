@@ -80,18 +80,12 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def join_bounded(left: DataFrame, right: DataFrame, keys: Sequence[str], limit: int = 200_000) -> DataFrame:
-    """Attach a small aggregate (a row per key) to many rows without shuffling them by a hot key.
+def join_bounded(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Attach an aggregate (a row per key) to many rows.
 
-    The aggregate is written and counted; it is broadcast only if it has at most ``limit`` rows, and
-    otherwise joined by a shuffle, where adaptive execution splits skewed keys.
+    A plain equi-join: adaptive execution broadcasts the aggregate if it turns out small, and splits hot keys otherwise.
     """
-    if not keys:
-        return attach_totals(left, right)
-    small = cut_lineage(right)
-    if small.count() <= limit:
-        small = F.broadcast(small)
-    return join_null_safe(left, small, keys)
+    return join_null_safe(left, right, keys) if keys else attach_totals(left, right)
 
 
 def mid_rank(count: str = "n") -> Column:

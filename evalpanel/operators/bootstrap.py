@@ -17,7 +17,7 @@ def bootstrap(
     stat: B.Statistic,
     reps: int,
     seed: int,
-    method: str = "multinomial",
+    method: str = "poisson",
     strata: Sequence[str] = (),
     alpha: float = 0.05,
     unit: str = "unit",

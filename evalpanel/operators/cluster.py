@@ -68,9 +68,16 @@ def wild_replicates(
 ) -> DataFrame:
     """t* per replicate with the null imposed: d is multiplied by one six-point weight per cluster.
 
-    ``enumerate_all`` walks every weight vector (6^G, for a handful of clusters) instead of drawing.
+    ``enumerate_all`` walks every weight vector (6^G, for a handful of clusters) instead of drawing; ``reps`` is then
+    derived from the number of clusters.
     The cluster jackknife of a replicate expands into plain sums, so one aggregation is enough.
     """
+    if enumerate_all:
+        sizes = sums.groupBy(*keys) if keys else sums.groupBy()
+        most = sizes.agg(F.count_distinct(cluster).alias("g")).agg(F.max("g")).first()[0] or 0
+        if most > 8:
+            raise ValueError(f"{most} clusters give 6^{most} weight vectors; draw them instead")
+        reps = 6**most
     whole = W.partitionBy(*keys)
     wt = F.sum("sw").over(whole)
     base = sums.withColumns(
@@ -99,7 +106,7 @@ def wild_replicates(
     )
     t = F.col("_t")
     var = (F.col("_g") - 1) / F.col("_g") * (t * t * F.col("_cc") - 2 * t * F.col("_ca") + F.col("_aa"))
-    return parts.select(*keys, "rep", F.when(var > 1e-18, t / F.col("_wt") / F.sqrt(var)).alias("t_star"))
+    return parts.select(*keys, "rep", F.when(var > 1e-12 * (t * t * F.col("_cc") + F.col("_aa")), t / F.col("_wt") / F.sqrt(var)).alias("t_star"))
 
 
 def wild_test(observed: DataFrame, stars: DataFrame, keys: Sequence[str]) -> DataFrame:

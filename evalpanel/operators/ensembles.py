@@ -51,7 +51,7 @@ def fold_sums(panel: DataFrame, folds: DataFrame, rater: str = "rater", cond: st
         *[(F.sum(c).over(whole) - F.col(c)).alias(f"train_{c}") for c in ("n", "a", "b")],
     )
     # repeats x folds x cells x bins rows; three rankings read them.
-    return cut_lineage(sums.coalesce(8))
+    return cut_lineage(sums)
 
 
 def rank_levels(train: DataFrame, level: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
@@ -98,7 +98,7 @@ def selections(train: DataFrame, rater: str = "rater", cond: str = "cond") -> Da
         F.map_from_entries(F.array_sort(F.collect_list(F.struct(rater, cond)))).alias("own"),
         F.count_if("tied").alias("own_ties"),
     )
-    return cut_lineage(raters.join(conds, ["rep", "fold", "arm"]).join(best, ["rep", "fold", "arm"]).coalesce(8))
+    return cut_lineage(raters.join(conds, ["rep", "fold", "arm"]).join(best, ["rep", "fold", "arm"]))
 
 
 def _levels(names: Sequence[str], tops: Sequence[int], ranked: str, suffix: str) -> list[tuple[str, Column, bool]]:

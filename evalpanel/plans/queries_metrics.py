@@ -336,15 +336,16 @@ def variance_components(spark, sf_dir):
 
 @query(
     "difference_share_by_bin",
-    f"""{PANEL}, b AS (SELECT cond, bin, avg(CASE WHEN rater='A' THEN abs_e END) AS a, avg(CASE WHEN rater='N' THEN abs_e END) AS b FROM panel GROUP BY ALL)
-SELECT cond, bin, {D('a', 'mae_a')}, {D('b', 'mae_b')}, {D('a-b', 'delta')}, {D('(a-b)/5/avg(a-b) OVER (PARTITION BY cond)', 'share')}, {D('a/b', 'ratio')} FROM b""",
+    f"""{PANEL}, m AS (SELECT cond, bin, rater, avg(abs_e) AS m FROM panel GROUP BY ALL),
+ b AS (SELECT x.cond, x.bin, x.rater AS rater_a, y.rater AS rater_b, x.m AS a, y.m AS b FROM m x JOIN m y ON x.cond=y.cond AND x.bin=y.bin AND x.rater<y.rater)
+SELECT cond, rater_a, rater_b, bin, {D('a', 'mae_a')}, {D('b', 'mae_b')}, {D('a-b', 'delta')}, {D('(a-b)/5/avg(a-b) OVER (PARTITION BY cond, rater_a, rater_b)', 'share')}, {D('a/b', 'ratio')} FROM b""",
 )
 def difference_share_by_bin(spark, sf_dir):
-    pair = P.base_panel(spark, sf_dir).groupBy("cond", "bin").agg(
-        F.avg(F.when(F.col("rater") == "A", F.col("abs_e"))).alias("mae_a"),
-        F.avg(F.when(F.col("rater") == "N", F.col("abs_e"))).alias("mae_b"),
-    )
-    return M.share_of_difference(pair, ["cond"], "mae_a", "mae_b")
+    # A row per condition, bin and rater: vocabularies, whatever the number of units.
+    mean = cut_lineage(P.base_panel(spark, sf_dir).groupBy("cond", "bin", "rater").agg(F.avg("abs_e").alias("m")))
+    sides = [mean.select("cond", "bin", F.col("rater").alias(f"rater_{s}"), F.col("m").alias(f"mae_{s}")) for s in "ab"]
+    pair = sides[0].join(sides[1], ["cond", "bin"]).filter("rater_a < rater_b")
+    return M.share_of_difference(pair, ["cond", "rater_a", "rater_b"], "mae_a", "mae_b")
 
 
 @query(
@@ -370,16 +371,16 @@ def variant_change_counts(spark, sf_dir):
 
 @query(
     "extreme_rows",
-    f"""{PANEL}, r AS (SELECT *, row_number() OVER (PARTITION BY rater, bin ORDER BY abs_e, unit) AS lo,
- row_number() OVER (PARTITION BY rater, bin ORDER BY abs_e DESC, unit) AS hi FROM panel WHERE cond='F')
-SELECT rater, bin, max(CASE WHEN lo=1 THEN unit END) AS best_unit, {D('max(CASE WHEN lo=1 THEN abs_e END)', 'best_e')},
- max(CASE WHEN hi=1 THEN unit END) AS worst_unit, {D('max(CASE WHEN hi=1 THEN abs_e END)', 'worst_e')} FROM r GROUP BY rater, bin""",
+    f"""{PANEL}, r AS (SELECT *, row_number() OVER (PARTITION BY rater, cond, bin ORDER BY abs_e, unit) AS lo,
+ row_number() OVER (PARTITION BY rater, cond, bin ORDER BY abs_e DESC, unit) AS hi FROM panel)
+SELECT rater, cond, bin, max(CASE WHEN lo=1 THEN unit END) AS best_unit, {D('max(CASE WHEN lo=1 THEN abs_e END)', 'best_e')},
+ max(CASE WHEN hi=1 THEN unit END) AS worst_unit, {D('max(CASE WHEN hi=1 THEN abs_e END)', 'worst_e')} FROM r GROUP BY rater, cond, bin""",
 )
 def extreme_rows(spark, sf_dir):
-    panel = P.base_panel(spark, sf_dir).filter(F.col("cond") == "F")
-    out = M.extreme_rows(panel, ["rater", "bin"], "abs_e", ["pred"])
+    out = M.extreme_rows(P.base_panel(spark, sf_dir), ["rater", "cond", "bin"], "abs_e", ["pred"])
     return out.select(
         "rater",
+        "cond",
         "bin",
         F.col("best.unit").alias("best_unit"),
         F.col("best.abs_e").alias("best_e"),

@@ -215,7 +215,7 @@ def responses(events: DataFrame) -> DataFrame:
     return events.select(
         "event_id",
         F.col("ts").cast("timestamp").alias("ts"),
-        (F.col("user_id") % 40).alias("unit"),
+        F.col("user_id").alias("unit"),
         F.col("event_type").alias("rater"),
         F.when(F.col("value") % 2 < 1, "p1").otherwise("p2").alias("cond"),
         F.when(F.col("value") <= 99, text).alias("raw_text"),
@@ -224,7 +224,7 @@ def responses(events: DataFrame) -> DataFrame:
 
 
 RESPONSES_SQL = """
-resp AS (SELECT event_id, ts, user_id % 40 AS unit, event_type AS rater, CASE WHEN value % 2 < 1 THEN 'p1' ELSE 'p2' END AS cond, value AS latency_ms,
+resp AS (SELECT event_id, ts, user_id AS unit, event_type AS rater, CASE WHEN value % 2 < 1 THEN 'p1' ELSE 'p2' END AS cond, value AS latency_ms,
   CASE WHEN value<=99 AND event_id%8 NOT IN (3,4) THEN value END AS v, CASE WHEN value<=99 AND event_id%8 NOT IN (3,4) THEN CAST(json_extract_string(props,'$.k') AS DOUBLE)/100 END AS c,
   CASE WHEN value>99 THEN 'INFERENCE_FAILURE' WHEN event_id%8 IN (3,4) THEN 'JSON_PARSE_FAILURE' ELSE '' END AS outcome FROM events)
 """
@@ -309,11 +309,26 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
 
 
+def stream_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in shared storage; only a local session without it gets one of its own."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp") if shared is None else f"{shared}/{name}-{uuid.uuid4()}"
+
+
+def run_to_files(stream: DataFrame, name: str) -> DataFrame:
+    """Drain the stream into Parquet files, each result once: state ends with the watermark."""
+    spark = stream.sparkSession
+    folder = stream_folder(spark, name)
+    ST.append_sink(stream, f"{folder}/out", f"{folder}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
 def run_to_table(stream: DataFrame, name: str) -> DataFrame:
-    """Drain the stream into a table of running results (keys x bins, or windows)."""
+    """Drain the stream into a table of running results (keys x bins)."""
     spark = stream.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp") if shared is None else f"{shared}/{name}-{uuid.uuid4()}"
+    folder = stream_folder(spark, name)
     run = (
         stream.writeStream.format("memory").queryName(name).outputMode("complete")
         .option("checkpointLocation", folder).trigger(availableNow=True).start()
@@ -336,11 +351,13 @@ def stream_running_metrics(spark, sf_dir):
 
 @query(
     "stream_window_health",
-    f"""{RESP} SELECT time_bucket(INTERVAL '1 day', ts) AS window_start, {N('count(*)', 'n')}, {D("avg(CASE WHEN outcome<>'' THEN 1.0 ELSE 0 END)", 'failure_rate')}, {D('avg(latency_ms)', 'mean_latency')} FROM resp GROUP BY 1""",
+    f"""{RESP} SELECT time_bucket(INTERVAL '1 day', ts) AS window_start, {N('count(*)', 'n')}, {D("avg(CASE WHEN outcome<>'' THEN 1.0 ELSE 0 END)", 'failure_rate')}, {D('avg(latency_ms)', 'mean_latency')}
+FROM resp GROUP BY 1 HAVING time_bucket(INTERVAL '1 day', min(ts)) + INTERVAL '1 day' <= (SELECT max(ts) - INTERVAL '2 hours' FROM resp)""",
 )
 def stream_window_health(spark, sf_dir):
     log = ST.answered(responses(event_stream(spark, sf_dir)))
-    out = run_to_table(ST.window_health(log, "ts", "1 day", "2 hours", "latency_ms"), "stream_window_health_out")
+    # Windows appear once the watermark has passed their end.
+    out = run_to_files(ST.window_health(log, "ts", "1 day", "2 hours", "latency_ms"), "stream_window_health_out")
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 

@@ -141,13 +141,14 @@ def empty_bin_replicates(spark, sf_dir):
 
 @query(
     "jackknife_balanced",
-    f"""{PANEL}, p AS (SELECT unit, bin, abs_e FROM panel WHERE config='A|F'), b AS (SELECT bin, sum(abs_e) AS s, count(*) AS n FROM p GROUP BY bin),
- t AS (SELECT sum(s/n) AS t, count(*) AS k FROM b)
-SELECT unit, {D('(t.t - b.s/b.n + (b.s-p.abs_e)/(b.n-1))/t.k', 'theta_out')} FROM p JOIN b ON p.bin=b.bin, t""",
+    f"""{PANEL}, b AS (SELECT config, bin, sum(abs_e) AS s, count(*) AS n FROM panel GROUP BY ALL),
+ t AS (SELECT config, sum(s/n) AS t, count(*) AS k FROM b GROUP BY config)
+SELECT p.config, unit, {D('CASE WHEN b.n>1 THEN (t.t - b.s/b.n + (b.s-p.abs_e)/(b.n-1))/t.k ELSE (t.t - b.s/b.n)/(t.k-1) END', 'theta_out')}
+FROM panel p JOIN b ON p.config=b.config AND p.bin=b.bin JOIN t ON p.config=t.config""",
 )
 def jackknife_balanced(spark, sf_dir):
-    rows = P.base_panel(spark, sf_dir).filter(F.col("config") == "A|F")
-    return B.jackknife(B.unit_stats(rows, [], BALANCED), [], BALANCED, per_unit=True)
+    stats = cut_lineage(B.unit_stats(P.base_panel(spark, sf_dir), ["config"], BALANCED))
+    return B.jackknife(stats, ["config"], BALANCED, per_unit=True)
 
 
 @query(

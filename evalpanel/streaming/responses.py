@@ -57,16 +57,22 @@ def window_health(parsed: DataFrame, time: str, width: str, delay: str, latency:
 
 
 def write_pending(parsed: DataFrame, units: DataFrame, axes: dict[str, Sequence[str]], log_path: str, pending_path: str, checkpoint: str, unit: str = "unit"):
-    """After each batch: append its outcomes to the log table and rewrite what is still to be done.
+    """After each batch: append its outcomes to the log table and write what is still to be done.
 
-    Both writes are keyed by the batch id, so a batch repeated after a failure overwrites itself.
+    What is pending after a batch is what was pending before it, less the batch; the log is never read again. Both writes
+    are keyed by the batch id, so a batch repeated after a failure overwrites itself.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         keep = [unit, *axes, "outcome"]
         batch.select(*keep).write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
-        log = batch.sparkSession.read.parquet(log_path)
-        pending(units, axes, log, unit).write.mode("overwrite").parquet(f"{pending_path}/batch={batch_id}")
+        key = [unit, *axes]
+        if batch_id == 0:
+            left = pending(units, axes, batch, unit)
+        else:
+            before = batch.sparkSession.read.parquet(f"{pending_path}/batch={batch_id - 1}")
+            left = before.join(finished(batch, key), key, "left_anti")
+        left.write.mode("overwrite").parquet(f"{pending_path}/batch={batch_id}")
 
     return parsed.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
 
