@@ -61,7 +61,7 @@ def test_simhash_links_all_pairs_within_the_radius(spark, block):
     assert classes(signed, [(r["a"], r["b"]) for r in got]) == classes(signed, near) and near
 
 
-@pytest.mark.parametrize(("radius", "segments"), [(4, 3), (4, 4), (3, 2), (2, 4)])
+@pytest.mark.parametrize(("radius", "segments"), [(4, 3), (4, 4), (3, 2), (2, 4), (8, 4)])
 def test_every_close_pair_meets_in_some_segment(radius, segments):
     rng = random.Random(radius * 10 + segments)
     for _ in range(2000):
