@@ -54,15 +54,16 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def per_worker(key: object, build: Callable[[], object]) -> object:
-    """A value built once in each Python worker process and kept for its later tasks.
+def per_worker(key: object, build: Callable[[], object], version: object = None) -> object:
+    """A value built once in each Python worker process and kept for its later tasks, until another version is asked for.
 
     Functions are sent to executors with their code, so their module variables last for one task only.
     """
     home = sys.modules.setdefault("_evalpanel_kept", types.ModuleType("_evalpanel_kept")).__dict__
-    if key not in home:
-        home[key] = build()
-    return home[key]
+    if key not in home or home[key][0] != version:
+        home.pop(key, None)  # the old version goes before the new one is built
+        home[key] = version, build()
+    return home[key][1]
 
 
 class Memo:
