@@ -434,12 +434,17 @@ def panel_contract(spark, sf_dir):
     f"""WITH e AS (SELECT count(*) AS n FROM (SELECT p_partkey FROM part) a FULL JOIN (SELECT DISTINCT l_partkey FROM lineitem) b ON p_partkey=l_partkey WHERE p_partkey IS NULL OR l_partkey IS NULL),
  d AS (SELECT count(*) AS n FROM (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY ALL HAVING count(*)>1)), l AS (SELECT count(*) AS n FROM (SELECT doc_id FROM labels GROUP BY 1 HAVING count(*)>1))
 SELECT 'parts_in_use' AS check_id, (SELECT n FROM e)=0 AS passed UNION ALL SELECT 'line_key', (SELECT n FROM d)=0 UNION ALL SELECT 'label_key', (SELECT n FROM l)=0
-UNION ALL SELECT 'regions', true UNION ALL SELECT 'nested_bins', true UNION ALL SELECT 'price_copy', true""",
+UNION ALL SELECT 'regions', (SELECT list_sort(list(DISTINCT r_name)) FROM region)=['AFRICA', 'AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST']
+UNION ALL SELECT 'nested_bins', (SELECT count(*)=0 FROM (SELECT fine FROM (SELECT
+  CASE WHEN r<=1 THEN 0 WHEN r<=5 THEN 1 WHEN r<=10 THEN 2 WHEN r<=20 THEN 3 WHEN r<=40 THEN 4 WHEN r<=60 THEN 5 WHEN r<=80 THEN 6 ELSE 7 END AS fine,
+  CASE WHEN r<=20 THEN 0 WHEN r<=40 THEN 1 WHEN r<=60 THEN 2 WHEN r<=80 THEN 3 ELSE 4 END AS coarse FROM (SELECT 2.0*p_size AS r FROM part)) GROUP BY fine HAVING count(DISTINCT coarse)<>1))
+UNION ALL SELECT 'char_counts', (SELECT count(*)=0 FROM documents WHERE n_chars IS DISTINCT FROM length(text))""",
 )
 def table_contracts(spark, sf_dir):
     part, line = P.table(spark, sf_dir, "part"), P.table(spark, sf_dir, "lineitem")
     fine = with_bins(with_bins(P.units(spark, sf_dir), FIVE_EDGES), EIGHT_EDGES, name="fine")
-    copies = part.select("p_retailprice", (F.col("p_retailprice") * F.lit(3.0) / F.lit(3.0)).alias("copy"))
+    # A stored count against one taken anew.
+    counts = P.table(spark, sf_dir, "documents").select("n_chars", F.length("text").cast("long").alias("counted"))
     names = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
     runs = K.Expectations().add(
         K.one_to_one(part.select("p_partkey"), line.select(F.col("l_partkey").alias("p_partkey")).distinct(), "parts_in_use", "p_partkey"),
@@ -447,7 +452,7 @@ def table_contracts(spark, sf_dir):
         K.unique_key(P.table(spark, sf_dir, "labels"), "label_key", ["doc_id"]),
         K.vocabulary(P.table(spark, sf_dir, "region"), "regions", "r_name", names),
         K.nested_bins(fine, "nested_bins", "fine", "bin"),
-        K.equal_columns(copies, "price_copy", "p_retailprice", "copy"),
+        K.equal_columns(counts, "char_counts", "n_chars", "counted"),
     )
     return runs.run().select("check_id", "passed")
 

@@ -185,11 +185,16 @@ def ensemble_rank_distribution(spark, sf_dir):
 
 @query(
     "selection_stability",
-    f"""{SELECT_SQL} SELECT arm, 'rater' AS axis, rater AS level, {N('count(*)', 'n_folds')}, {D('avg(CASE WHEN place<=2 THEN 1.0 ELSE 0 END)', 'in_top2')}, {D('avg(CASE WHEN place<=1 THEN 1.0 ELSE 0 END)', 'in_top1')} FROM rr GROUP BY arm, rater
-UNION ALL SELECT arm, 'own', rater||' -> '||cond, {N('15', 'n_folds')}, {D('count(*)/15.0', 'in_top2')}, {D('count(*)/15.0', 'in_top1')} FROM co WHERE place=1 GROUP BY arm, rater, cond""",
+    f"""{SELECT_SQL}, nf AS (SELECT count(*) AS k FROM (SELECT DISTINCT rep, fold FROM fo)), cx AS (SELECT rep, fold, cond, bin, sum(n) AS n, sum(a) AS a, sum(b) AS b FROM cb GROUP BY ALL),
+ cy AS (SELECT rep, fold, cond, avg(a/n) AS bal, sum(a)/sum(n) AS ov, abs(sum(b)/sum(n)) AS bi FROM cx GROUP BY ALL),
+ cz AS (SELECT *, 'overall' AS arm, ov AS m1, bal AS m2 FROM cy UNION ALL SELECT *, 'balanced', bal, ov FROM cy),
+ cr AS (SELECT rep, fold, arm, cond, row_number() OVER (PARTITION BY rep, fold, arm ORDER BY round(m1,12), round(m2,12), round(bi,12), cond) AS place FROM cz)
+SELECT arm, 'cond' AS axis, cond AS level, {N('count(*)', 'n_folds')}, {D('avg(CASE WHEN place<=2 THEN 1.0 ELSE 0 END)', 'in_top2')}, {D('avg(CASE WHEN place<=1 THEN 1.0 ELSE 0 END)', 'in_top1')} FROM cr GROUP BY arm, cond
+UNION ALL SELECT arm, 'rater' AS axis, rater AS level, {N('count(*)', 'n_folds')}, {D('avg(CASE WHEN place<=2 THEN 1.0 ELSE 0 END)', 'in_top2')}, {D('avg(CASE WHEN place<=1 THEN 1.0 ELSE 0 END)', 'in_top1')} FROM rr GROUP BY arm, rater
+UNION ALL SELECT arm, 'own', rater||' -> '||cond, {N('max(k)', 'n_folds')}, {D('count(*)/max(k)', 'in_top2')}, {D('count(*)/max(k)', 'in_top1')} FROM co, nf WHERE place=1 GROUP BY arm, rater, cond""",
 )
 def selection_stability(spark, sf_dir):
-    return E.selection_stability(ensemble_inputs(spark, sf_dir)[2], (2, 1)).filter(F.col("axis") != "cond")
+    return E.selection_stability(ensemble_inputs(spark, sf_dir)[2], (2, 1))
 
 
 @query(
