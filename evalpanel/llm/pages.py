@@ -35,7 +35,7 @@ CONSTANT = 0.6
 COPIES = 0.5
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(?=[a-zA-Z/!?])[^>]*\Z", re.S)
-NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+NAMES = re.compile(r"""(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 LETTERS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -45,12 +45,13 @@ BLOCKS = frozenset(
     " legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 NEVER = frozenset("head nav footer aside form button dialog menu fieldset label input".split()) | RAW
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDERS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 ASIDE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising advertorial banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer"
-    " disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices notification overlay pagination paywall popup promo promoted promotion"
-    " recommended related reply replies respond responses share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar topbar"
+    "ad adbox ads adsbygoogle adsense adslot adunit advert adverts advertisement advertising advertorial alert announcement aside banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer"
+    " dialog discussion disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pagination paywall popup promo promoted promotion"
+    " recommended related reply replies respond responses share sharing sidebar sidenav signup skip social sponsor sponsored subnav subscribe subscription teaser toolbar topbar topnav"
     " widget complementary contentinfo search".split()
 )
 
@@ -100,9 +101,11 @@ def parse(html: str) -> Node:
         names, hidden = "", False
         if found[3]:
             for key, value in NAMES.findall(found[3]):
-                key, value = key.lower(), value.strip("\"'").lower() if key.lower() == "aria-hidden" else value.strip("\"'")
-                if key == "hidden" or key == "aria-hidden":
-                    hidden = hidden or key == "hidden" or value == "true"
+                key, value = key.lower(), value.strip("\"'")
+                if key == "style":
+                    hidden = hidden or "display:none" in value.lower().replace(" ", "")
+                elif key in ("hidden", "aria-hidden"):
+                    hidden = hidden or key == "hidden" or value.lower() == "true"
                 else:
                     names += " " + value
         node = Node(tag, names, hidden, here)
@@ -119,12 +122,14 @@ def is_aside(node: Node) -> bool:
     """Whether the element is of a kind that is never content."""
     if node.hidden or node.tag in NEVER:
         return True
-    if node.tag == "header":
-        up = node.parent
+    words = [w.lower() for w in LETTERS.findall(node.names)] if node.names else []
+    if node.tag == "header" or "header" in words and node.tag not in HEADINGS:
+        up = node
         while up is not None and up.tag not in ("article", "main"):
             up = up.parent
-        return up is None
-    return bool(node.names) and any(w.lower() in ASIDE_WORDS for w in LETTERS.findall(node.names))
+        if up is None and (node.tag == "header" or all(x.tag != "h1" for x in walk(node))):
+            return True
+    return any(w in ASIDE_WORDS for w in words) or any(a + b in ASIDE_WORDS for a, b in zip(words, words[1:]))
 
 
 def walk(node: Node) -> Iterator[Node]:
@@ -154,6 +159,10 @@ def main_parts(root: Node) -> list[Node]:
         return node.tag not in NEVER and not node.hidden and any(x.tag in ("article", "main") and not is_aside(x) for x in walk(node))
 
     look(root, frozenset())
+    if outer["article"] and outer["main"]:
+        size = {kind: sum(len(text) for _, text in blocks(outer[kind])) for kind in ("article", "main")}
+        if size["article"] < size["main"] / 2:  # articles that are cards within something larger
+            return outer["main"]
     return outer["article"] or outer["main"] or outer["body"] or [root]
 
 

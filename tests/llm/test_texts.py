@@ -104,7 +104,7 @@ PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>v
 <header><a href="/">Site</a></header><nav class="menu"><ul><li><a>Home</a><li><a>About</a></ul></nav><div id="cookie-notice">We use cookies</div>
 <div class="wrap sidebar-right"><article><header><h1>Title %d</h1></header><div class="post-body"><p>First   para<b>graph</b> %d &amp; more&nbsp;here<p>Second<br>line %d
 <form><input>Sign up</form><aside>Related</aside><!-- <p>no</p> --><noscript>js</noscript></div><p>Subscribe and follow us daily</p><section id="comments"><article class="comment"><p>Nice!</p></article></section></article></div>
-<div class="ad">Buy</div><footer>&copy; x</footer></body></html>"""
+<div class="ad">Buy</div><div class="siteHeader">Top</div><div id="sideBar">Links</div><div style="display: none">Hidden</div><footer>&copy; x</footer></body></html>"""
 
 
 def test_pages_without_boilerplate(spark):
@@ -117,6 +117,8 @@ def test_pages_without_boilerplate(spark):
     by = {r["page_id"]: r["text"] for r in got}
     for i in range(6):
         assert by[i] == f"Title {i} First paragraph {i * 7} & more here Second line {i * i}", i
+    assert pages.extract(['<main><p>A long text that says a lot.</p><article><p>card</p></article></main>']) == ["A long text that says a lot. card"]
+    assert pages.extract(['<div id=side-bar>x</div><div class=header>y</div><div class=header><h1>T</h1></div><p>z']) == ["T z"]
     assert [by[i] for i in (10, 11, 12, 13, 14)] == ["", "", "just text", "one two three", "only € <b>"]
     assert pages.main_text(df.limit(0)).count() == 0
 
