@@ -180,7 +180,7 @@ class Encoder:
 
 
 def _encoder(raw: bytes, pattern: str) -> Encoder:
-    return per_worker(("bpe", zlib.crc32(raw), pattern), lambda: Encoder(read_ranks(raw), pattern))
+    return per_worker("bpe", (zlib.crc32(raw), pattern), lambda: Encoder(read_ranks(raw), pattern))
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
@@ -223,7 +223,7 @@ def decode(tokens: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = shared.value
-        of, lengths = per_worker(("bytes", zlib.crc32(raw)), lambda: _token_bytes(raw))
+        of, lengths = per_worker("bpe", zlib.crc32(raw), lambda: _token_bytes(raw))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

@@ -7,7 +7,7 @@ import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -54,16 +54,31 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def per_worker(key: object, build: Callable[[], object], version: object = None) -> object:
-    """A value built once in each Python worker process and kept for its later tasks, until another version is asked for.
+def sliced(batches: Iterable, rows: int = 512) -> Iterator:
+    """Arrow batches in parts of at most ``rows`` rows, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def worker_of(operator: str) -> dict:
+    """What ``operator`` keeps in this Python worker process for its later tasks; what other operators kept goes.
 
     Functions are sent to executors with their code, so their module variables last for one task only.
     """
-    home = sys.modules.setdefault("_evalpanel_kept", types.ModuleType("_evalpanel_kept")).__dict__
-    if key not in home or home[key][0] != version:
-        home.pop(key, None)  # the old version goes before the new one is built
-        home[key] = version, build()
-    return home[key][1]
+    home = sys.modules.setdefault("_evalpanel_kept", types.ModuleType("_evalpanel_kept"))
+    if getattr(home, "operator", None) != operator:
+        home.operator, home.values = operator, {}
+    return home.values
+
+
+def per_worker(operator: str, key: object, build: Callable[[], object], version: object = None) -> object:
+    """A value of ``operator`` built once in a worker and kept until another version, or another operator, is asked for."""
+    kept = worker_of(operator)
+    if key not in kept or kept[key][0] != version:
+        kept.pop(key, None)  # the old version goes before the new one is built
+        kept[key] = version, build()
+    return kept[key][1]
 
 
 class Memo:

@@ -61,7 +61,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spec = shared.value
-        words = per_worker(("word tokens", zlib.crc32(spec)), lambda: WordTokens(spec))
+        words = per_worker("packing", zlib.crc32(spec), lambda: WordTokens(spec))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalpanel.llm.common import table, written
+from evalpanel.llm.common import sliced, table, worker_of, written
 from evalpanel.llm.registry import query
 
 K, WINDOW = 8, 8
@@ -121,6 +121,7 @@ def seeds(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c) for c in (seed, doc, place, ref, y)], ["seed", "doc", "place", "ref", "y"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_of("passages")
         held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
@@ -409,7 +410,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     place = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts, cuts = batch.column(place).to_pylist(), batch.column(len(names)).to_pylist()
             new = [t if not c or t is None else cut_words(t, [(s["region_start"], s["region_end"]) for s in c]) for t, c in zip(texts, cuts)]
             keep = pa.array([not c or bool((t or "").strip()) for t, c in zip(new, cuts)])

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalpanel.llm.common import components, forest, table, written
+from evalpanel.llm.common import components, forest, sliced, table, worker_of, written
 from evalpanel.llm.registry import query
 
 BITS = 64
@@ -49,7 +49,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp): the fingerprint of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        worker_of("simhash")
+        for batch in sliced(batches):
             fps = pa.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), fps], ["id", "fp"])
 
@@ -99,6 +100,7 @@ def close_links(prints: DataFrame, radius: int = 4, segments: int = 3, block: in
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A run of equal (key, part) has its stored fingerprints first; questions stream past them."""
+        worker_of("simhash")
         last, held = None, np.empty(0, np.uint64)
         gathered: list[np.ndarray] = []
         waiting = 0

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalpanel.llm.common import Memo, schema_with, table, written
+from evalpanel.llm.common import Memo, schema_with, sliced, table, worker_of, written
 from evalpanel.llm.registry import query
 
 WORD = re.compile(r"\w+")
@@ -157,13 +157,12 @@ def scored(docs: DataFrame, model: Model, cut: float = 0.35, added: tuple[str, s
     place = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, memo = shared.value, Memo(200_000)
-        for batch in batches:
-            found = []
-            for at in range(0, batch.num_rows, 256):
-                words = [words_of(t) for t in batch.column(place).slice(at, 256).to_pylist()]
-                known = memo.fill({w for ws in words for w in ws}, model.indices)
-                found += [model.above(counted(ws, known)) for ws in words]
+        worker_of("toxicity")
+        model, memo = shared.value, Memo(100_000)
+        for batch in sliced(batches, 256):
+            words = [words_of(t) for t in batch.column(place).to_pylist()]
+            known = memo.fill({w for ws in words for w in ws}, model.indices)
+            found = [model.above(counted(ws, known)) for ws in words]
             above = np.array(found).reshape(-1, GRADES - 1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(above.sum(1)), pa.array(above[:, 0]), pa.array(above[:, 0] >= cut)], [*names, *added])
 
