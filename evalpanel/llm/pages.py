@@ -6,7 +6,7 @@ constant over pages are template; varying slots are content, unless they stand i
 footers of the page, asides, forms, scripts, styles; adverts, notices and comments by the words of their class, id or role). Where a
 page marks its article or main part, content is sought in there only.
 
-A host is dealt out in blocks of about ``BLOCK`` pages, each with its own template. If constant texts make up most of what a page
+The pages of a host are taken in blocks of ``BLOCK``, each with its own template. If constant texts make up most of what a page
 would show, the pages are copies of each other and the texts stay.
 
 Defined results: a null, empty or markup-free page has its plain text (empty if none); a null url is a host of its own; repeated
@@ -24,8 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalpanel.llm.common import table
-from evalpanel.llm.passages import starts, whole_runs
+from evalpanel.llm.common import sliced, table
 from evalpanel.llm.registry import query
 
 BLOCK = 64
@@ -298,22 +297,33 @@ def extract(pages: list[str | None]) -> list[str]:
 
 
 def main_text(pages: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(page_id, url, text) of every row of ``pages`` (page_id, url, html)."""
+    """(page_id, url, text) of every row of ``pages`` (page_id, url, html).
+
+    One shuffle brings the pages of a host together; rebalancing lets adaptive execution split hosts with very many pages.
+    """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][\w+.-]*:)?//([^/?#]*)", 1))
-    rows = pages.select("page_id", "url", "html").withColumn("host", host)
-    sizes = rows.groupBy("host").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    placed = rows.join(sizes, "host").select("page_id", "url", "html", F.xxhash64("host", F.pmod(F.xxhash64("page_id", "url"), "blocks")).alias("block"))
+    rows = pages.select(host.alias("host"), "page_id", "url", "html").hint("rebalance", "host").sortWithinPartitions("host", "page_id", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pages in whole_runs(batches, ["block"]):
-            at = starts(pages.column("block").to_numpy()).tolist()
-            html = pages.column("html").to_pylist()
-            texts = [text for i, j in zip(at, [*at[1:], len(html)]) for text in extract(html[i:j])]
-            done = pa.table([pages.column("page_id"), pages.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
-            yield from done.combine_chunks().to_batches(max_chunksize=1000)
+        kinds, held, last = None, [], None
+
+        def done() -> pa.RecordBatch:
+            ids, urls, html = zip(*held)
+            return pa.RecordBatch.from_arrays([pa.array(ids, kinds[0]), pa.array(urls, kinds[1]), pa.array(extract(list(html)), pa.string())], ["page_id", "url", "text"])
+
+        for batch in sliced(batches, block):
+            kinds = batch.schema.field("page_id").type, batch.schema.field("url").type
+            for name, *page in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and (name != last or len(held) == block):
+                    yield done()
+                    held = []
+                held.append(page)
+                last = name
+        if held:
+            yield done()
 
     kinds = dict(pages.dtypes)
-    return placed.repartition("block").sortWithinPartitions("block", "page_id").mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
+    return rows.mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
 
 
 @query("op2_main_text")
