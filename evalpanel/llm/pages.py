@@ -56,17 +56,21 @@ ASIDE_WORDS = frozenset(
 
 
 class Node:
-    __slots__ = ("tag", "names", "children", "parent", "hidden")
+    __slots__ = ("tag", "names", "children", "parent", "hidden", "block", "inside", "titled", "aside")
 
     def __init__(self, tag: str, names: str = "", hidden: bool = False, parent: Node | None = None):
         self.tag, self.names, self.hidden, self.parent = tag, names, hidden, parent
         self.children: list[Node | str] = []
+        self.block: Node = self if parent is None or tag in BLOCKS else parent.block  # the nearest block, or the page
+        self.inside: bool = tag in ("article", "main") or parent is not None and parent.inside
+        self.titled, self.aside = tag == "h1", None  # whether it holds a title; whether it is an aside, once known
 
 
 def parse(html: str) -> Node:
     """The tree of a page; raw elements such as scripts keep no text."""
     root = here = Node("#page")
     at, n = 0, len(html)
+    known: set[str] = set()  # tags that may be open
     while at < n:
         found = TOKEN.search(html, at)
         if found is None:
@@ -79,20 +83,20 @@ def parse(html: str) -> Node:
             continue
         tag = found[2].lower()
         if found[1]:
-            up = here
+            up = here if tag in known else None
             while up is not None and up.tag != tag:
                 up = up.parent
             if up is not None and up.parent is not None:
                 here = up.parent
+            elif up is None:
+                known.discard(tag)
             continue
         if tag in BLOCKS:  # a block ends an open paragraph
-            up = here
-            while up is not root and up.tag not in BLOCKS:
-                up = up.parent
+            up = here.block
             if up.tag == "p":
                 here = up.parent
         if tag in ENDS:
-            up = here
+            up = here if known & ENDS[tag] else root
             while up is not root and up.tag not in ENDS[tag] and up.tag not in HOLDERS[tag]:
                 up = up.parent
             if up.tag in ENDS[tag]:
@@ -109,55 +113,67 @@ def parse(html: str) -> Node:
                     names += " " + value
         node = Node(tag, names, hidden, here)
         here.children.append(node)
+        up = here
+        while node.titled and up is not None and not up.titled:
+            up.titled, up = True, up.parent
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
             at = end.end() if end else n
         elif tag not in VOID and not found[3].endswith("/"):
             here = node
+            known.add(tag)
     return root
 
 
 def is_aside(node: Node) -> bool:
-    """Whether the element is of a kind that is never content."""
+    """Whether the element is of a kind that is never content; found once per node of a whole tree."""
+    if node.aside is None:
+        node.aside = _is_aside(node)
+    return node.aside
+
+
+def _is_aside(node: Node) -> bool:
     if node.hidden or node.tag in NEVER:
         return True
     words = [w.lower() for w in LETTERS.findall(node.names)] if node.names else []
     if node.tag == "header" or "header" in words and node.tag not in HEADINGS:
-        up = node
-        while up is not None and up.tag not in ("article", "main"):
-            up = up.parent
-        if up is None and (node.tag == "header" or all(x.tag != "h1" for x in walk(node))):
+        if not node.inside and (node.tag == "header" or not node.titled):
             return True
     return any(w in ASIDE_WORDS for w in words) or any(a + b in ASIDE_WORDS for a, b in zip(words, words[1:]))
 
 
+def elements(node: Node) -> list[Node]:
+    """The elements in a node, last first."""
+    return [child for child in reversed(node.children) if not isinstance(child, str)]
+
+
 def walk(node: Node) -> Iterator[Node]:
-    yield node
-    for child in node.children:
-        if not isinstance(child, str):
-            yield from walk(child)
+    todo = [node]
+    while todo:
+        node = todo.pop()
+        yield node
+        todo += elements(node)
 
 
 def main_parts(root: Node) -> list[Node]:
     """The outermost articles that are not asides, else the main parts, else the body or the page."""
     outer: dict[str, list[Node]] = {"article": [], "main": [], "body": []}
-
-    def look(node: Node, open_kinds: frozenset) -> None:
-        for child in node.children:
-            if isinstance(child, str):
+    holds: set[Node] = set()
+    for node in reversed(list(walk(root))):  # from the leaves up
+        if node in holds or node.tag in ("article", "main") and not is_aside(node):
+            holds.update((node, node.parent) if node.parent is not None else (node,))
+    todo = [(child, frozenset()) for child in elements(root)]
+    while todo:
+        child, open_kinds = todo.pop()
+        kind = "main" if child.tag == "main" or "main" in child.names.lower().split() else child.tag
+        if kind in outer and kind not in open_kinds:
+            if kind != "body" and is_aside(child):
                 continue
-            kind = "main" if child.tag == "main" or "main" in child.names.lower().split() else child.tag
-            if kind in outer and kind not in open_kinds:
-                if kind == "body" or not is_aside(child):
-                    outer[kind].append(child)
-                    look(child, open_kinds | {kind})
-            elif not is_aside(child) or holds_main(child):
-                look(child, open_kinds)
-
-    def holds_main(node: Node) -> bool:
-        return node.tag not in NEVER and not node.hidden and any(x.tag in ("article", "main") and not is_aside(x) for x in walk(node))
-
-    look(root, frozenset())
+            outer[kind].append(child)
+            open_kinds |= {kind}
+        elif is_aside(child) and (child.tag in NEVER or child.hidden or child not in holds):
+            continue
+        todo += [(inner, open_kinds) for inner in elements(child)]
     if outer["article"] and outer["main"]:
         size = {kind: sum(len(text) for _, text in blocks(outer[kind])) for kind in ("article", "main")}
         if size["article"] < size["main"] / 2:  # articles that are cards within something larger
@@ -165,37 +181,55 @@ def main_parts(root: Node) -> list[Node]:
     return outer["article"] or outer["main"] or outer["body"] or [root]
 
 
-def blocks(parts: list[Node]) -> list[tuple[tuple[str, ...], str]]:
+class Path:
+    """A path of labels, held as its last label and the path before; equal paths of a page are one object."""
+
+    __slots__ = ("before", "label", "depth", "longer")
+
+    def __init__(self, before: Path | None = None, label: str = ""):
+        self.before, self.label, self.depth = before, label, 0 if before is None else before.depth + 1
+        self.longer: dict[str, Path] = {}
+
+    def to(self, label: str) -> Path:
+        if label not in self.longer:
+            self.longer[label] = Path(self, label)
+        return self.longer[label]
+
+
+def blocks(parts: list[Node]) -> list[tuple[Path, str]]:
     """(path of labels, text) of each block of text in page order, without asides."""
-    out: list[tuple[tuple[str, ...], str]] = []
+    out: list[tuple[Path, str]] = []
     held: list[str] = []
+    top = Path()
 
-    def flush(path: tuple[str, ...]) -> None:
+    def flush(path: Path) -> None:
         text = " ".join(unescape("".join(held)).split())
         held.clear()
         if text:
             out.append((path, text))
 
-    def visit(node: Node, path: tuple[str, ...]) -> None:
-        for child in node.children:
+    for part in parts:
+        path = top.to(label(part))
+        todo: list = [*reversed(part.children)]  # what is to come, and the paths to go back to
+        back = [path]
+        while todo:
+            child = todo.pop()
             if isinstance(child, str):
                 held.append(child)
+            elif child is None:  # the end of a block
+                flush(back.pop())
             elif child.tag in ("br", "hr", "wbr"):
                 held.append(" " if child.tag != "wbr" else "")
             elif is_aside(child):
                 if child.tag in BLOCKS:
-                    flush(path)
-            elif child.tag in BLOCKS:
-                flush(path)
-                inner = (*path, label(child))
-                visit(child, inner)
-                flush(inner)
+                    flush(back[-1])
             else:
-                visit(child, path)
-
-    for part in parts:
-        visit(part, (label(part),))
-        flush((label(part),))
+                if child.tag in BLOCKS:
+                    flush(back[-1])
+                    back.append(back[-1].to(label(child)))
+                    todo.append(None)
+                todo += reversed(child.children)
+        flush(path)
     return out
 
 
@@ -213,64 +247,93 @@ class Slot:
         self.texts: Counter = Counter()
 
 
-def shape(found: list[tuple[tuple[str, ...], str]]) -> tuple:
+def shape(found: list[tuple[Path, str]]) -> list:
     """Blocks as a tree (label, texts, children); alike neighbours without children of their own are one repeated node."""
     root: list = ["", [], []]
+    last: list[tuple[Path | None, list]] = [(None, root)]  # the last node of each depth
     for path, text in found:
-        node = root
-        for name in path:
-            if not node[2] or node[2][-1][0] != name:
-                node[2].append([name, [], []])
+        missing = []
+        while path.depth and not (path.depth < len(last) and last[path.depth][0] is path):
+            missing.append(path)
+            path = path.before
+        node = last[path.depth][1]
+        if missing:
+            del last[path.depth + 1 :]
+        for step in reversed(missing):
+            node[2].append([step.label, [], []])
             node = node[2][-1]
+            last.append((step, node))
         node[1].append(text)
     return root
 
 
-def matching(a: Slot, b: list) -> tuple[int, list[tuple[int, int]]]:
-    """Simple tree matching: the most nodes of two trees that match in order, and which children of the roots do."""
-    if a.label != b[0]:
-        return 0, []
-    left, right = a.children, b[2]
-    rows = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
-    for i, x in enumerate(left):
-        for j, y in enumerate(right):
-            rows[i + 1][j + 1] = max(rows[i + 1][j], rows[i][j + 1], rows[i][j] + matching(x, y)[0])
-    pairs, i, j = [], len(left), len(right)
-    while i and j:
-        if rows[i][j] == rows[i - 1][j]:
-            i -= 1
-        elif rows[i][j] == rows[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            pairs.append((i, j))
-    return rows[-1][-1] + 1, pairs[::-1]
+def matchings(a: Slot, b: list) -> dict[tuple[int, int], tuple[int, list[tuple[int, int]]]]:
+    """Simple tree matching: for nodes of two trees (by id) the most nodes that match in order, and which children do.
+
+    Nodes of which one has no children match in themselves alone, and have no entry.
+    """
+    done: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
+    todo = [(a, b)]
+    while todo:
+        x, y = todo[-1]
+        left, right = x.children, y[2]
+        if (id(x), id(y)) in done or not left or not right:
+            todo.pop()
+            continue
+        inner = [(u, v) for u in left if u.children for v in right if v[2] and u.label == v[0] and (id(u), id(v)) not in done]
+        if inner:
+            todo += inner
+            continue
+        rows = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
+        for i, u in enumerate(left):
+            for j, v in enumerate(right):
+                size = done.get((id(u), id(v)), (1,))[0] if u.label == v[0] else 0
+                rows[i + 1][j + 1] = max(rows[i + 1][j], rows[i][j + 1], rows[i][j] + size)
+        pairs, i, j = [], len(left), len(right)
+        while i and j:
+            if rows[i][j] == rows[i - 1][j]:
+                i -= 1
+            elif rows[i][j] == rows[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                pairs.append((i, j))
+        done[id(x), id(y)] = rows[-1][-1] + 1, pairs[::-1]
+        todo.pop()
+    return done
 
 
 def merge(common: Slot, tree: list) -> None:
     """Aligns a page's tree with the common tree and adds to that what is new."""
-    common.texts.update(set(tree[1]))
-    pairs = dict((j, i) for i, j in matching(common, tree)[1])
-    children, taken = [], 0
-    for j, child in enumerate(tree[2]):
-        if j in pairs:
-            children += common.children[taken : pairs[j]]
-            slot = common.children[pairs[j]]
-            taken = pairs[j] + 1
-        else:
-            slot = Slot(child[0])
-        merge(slot, child)
-        children.append(slot)
-    common.children = children + common.children[taken:]
+    found = matchings(common, tree)
+    todo = [(common, tree)]
+    while todo:
+        here, node = todo.pop()
+        here.texts.update(set(node[1]))
+        pairs = dict((j, i) for i, j in found.get((id(here), id(node)), (1, []))[1])
+        children, taken = [], 0
+        for j, child in enumerate(node[2]):
+            if j in pairs:
+                children += here.children[taken : pairs[j]]
+                slot = here.children[pairs[j]]
+                taken = pairs[j] + 1
+            else:
+                slot = Slot(child[0])
+            todo.append((slot, child))
+            children.append(slot)
+        here.children = children + here.children[taken:]
 
 
 def constants(common: Slot, tree: list, least: float, out: Counter) -> None:
     """Counts the texts of a page that are constant in the slots where they stand."""
-    for text in tree[1]:
-        if common.texts[text] >= least:
-            out[text] += 1
-    for i, j in matching(common, tree)[1]:
-        constants(common.children[i], tree[2][j], least, out)
+    found = matchings(common, tree)
+    todo = [(common, tree)]
+    while todo:
+        here, node = todo.pop()
+        for text in node[1]:
+            if here.texts[text] >= least:
+                out[text] += 1
+        todo += [(here.children[i], node[2][j]) for i, j in found.get((id(here), id(node)), (1, []))[1]]
 
 
 def extract(pages: list[str | None]) -> list[str]:

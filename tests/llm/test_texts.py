@@ -224,3 +224,11 @@ def test_pipeline_stages_keep_columns_and_shrink(spark, sf):
         ids = now
     final = corpus_pipeline.STAGES[-1][1](spark, docs, sf).toPandas()
     assert set(final["doc_id"]) == ids
+
+
+def test_pages_nested_very_deep():
+    deep = 100_000
+    font, div = "".join(f"<font size={k % 7}>" for k in range(deep)), "<div class='a'>" * deep
+    texts = [f"{font}some text {k}</font>" for k in range(3)] + [f"{div}more text {k}" for k in range(3)] + ["<div>x" * deep, "<header class=header>" * 5000 + "<li>y</b>" * 5000]
+    got = pages.extract(texts)
+    assert got[:6] == [f"some text {k}" for k in range(3)] + [f"more text {k}" for k in range(3)] and got[6] == " ".join(["x"] * deep)
