@@ -6,7 +6,8 @@ constant over pages are template; varying slots are content, unless they stand i
 footers of the page, asides, forms, scripts, styles; adverts, notices and comments by the words of their class, id or role). Where a
 page marks its article or main part, content is sought in there only.
 
-The pages of a host are taken in blocks of ``BLOCK``, each with its own template. If constant texts make up most of what a page
+A host of more than ``BLOCK`` pages is dealt by hash into even blocks of about that many or fewer, each with its own template;
+no block is a rest, and the same pages make the same blocks at any partitioning. If constant texts make up most of what a page
 would show, the pages are copies of each other and the texts stay.
 
 Defined results: a null, empty or markup-free page has its plain text (empty if none); a null url is a host of its own; repeated
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalpanel.llm.common import sliced, table
+from evalpanel.llm.common import sliced, table, written
 from evalpanel.llm.registry import query
 
 BLOCK = 64
@@ -338,7 +339,8 @@ def constants(common: Slot, tree: list, least: float, out: Counter) -> None:
 
 def extract(pages: list[str | None]) -> list[str]:
     """The main text of each of some pages of one host."""
-    found = [blocks(main_parts(parse(html))) if html else [] for html in pages]
+    once = {html: blocks(main_parts(parse(html))) for html in set(pages) if html}
+    found = [once[html] if html else [] for html in pages]
     different = {tuple(text for _, text in blocks_): k for k, blocks_ in enumerate(found) if blocks_}
     trees = {k: shape(found[k]) for k in different.values()}
     out = []
@@ -362,26 +364,32 @@ def extract(pages: list[str | None]) -> list[str]:
 def main_text(pages: DataFrame, block: int = BLOCK) -> DataFrame:
     """(page_id, url, text) of every row of ``pages`` (page_id, url, html).
 
-    One shuffle brings the pages of a host together; rebalancing lets adaptive execution split hosts with very many pages.
+    Page counts by host come first, from the urls alone; of hosts of several blocks there are at most rows / ``block``. One
+    shuffle then brings the pages of a block together.
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][\w+.-]*:)?//([^/?#]*)", 1))
-    rows = pages.select(host.alias("host"), "page_id", "url", "html").hint("rebalance", "host").sortWithinPartitions("host", "page_id", "url")
+    large = pages.groupBy(host.alias("host")).count().filter(F.col("count") > block)
+    large = written(large.select("host", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
+    part = F.pmod(F.xxhash64("page_id", "url", "html"), F.coalesce("blocks", F.lit(1))).cast("int").alias("part")
+    given = pages.select(host.alias("host"), "page_id", "url", "html").join(large, "host", "left")
+    rows = given.select("host", part, "page_id", "url", "html").repartition("host", "part").sortWithinPartitions("host", "part", "page_id", "url", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds, held, last = None, [], None
+        kinds, held, last, same = None, [], None, {}
 
         def done() -> pa.RecordBatch:
             ids, urls, html = zip(*held)
+            same.clear()
             return pa.RecordBatch.from_arrays([pa.array(ids, kinds[0]), pa.array(urls, kinds[1]), pa.array(extract(list(html)), pa.string())], ["page_id", "url", "text"])
 
         for batch in sliced(batches, block):
             kinds = batch.schema.field("page_id").type, batch.schema.field("url").type
-            for name, *page in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and (name != last or len(held) == block):
+            for name, part, page_id, url, html in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and (name, part) != last:
                     yield done()
                     held = []
-                held.append(page)
-                last = name
+                held.append((page_id, url, same.setdefault(html, html)))  # copies are held once
+                last = name, part
         if held:
             yield done()
 

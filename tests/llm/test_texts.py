@@ -232,3 +232,11 @@ def test_pages_nested_very_deep():
     texts = [f"{font}some text {k}</font>" for k in range(3)] + [f"{div}more text {k}" for k in range(3)] + ["<div>x" * deep, "<header class=header>" * 5000 + "<li>y</b>" * 5000]
     got = pages.extract(texts)
     assert got[:6] == [f"some text {k}" for k in range(3)] + [f"more text {k}" for k in range(3)] and got[6] == " ".join(["x"] * deep)
+
+
+def test_pages_of_a_host_of_any_size_lose_their_template(spark):
+    page = "<body><article><p>Same words on every page of this site</p><p>Own words of page %d that are not on any other page of it</p></article></body>"
+    rows = [(n * 1000 + i, f"http://{n}.example/{i}", page % i) for n in (3, 64, 65, 66, 129, 130) for i in range(n)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    results = [{r["page_id"]: r["text"] for r in pages.main_text(d).collect()} for d in (df.repartition(7), df.repartition(2).orderBy(F.desc("page_id")))]
+    assert results[0] == results[1] == {i: f"Own words of page {i % 1000} that are not on any other page of it" for i, _, _ in rows}
