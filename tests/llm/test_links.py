@@ -202,3 +202,34 @@ def test_chains_follow_the_best_order():
     x, y = np.array([0, 4, 8, 12, 16, 20]), np.array([100, 104, 3, 112, 116, 120])
     found = passages.chains_of(x, y)
     assert found[0].tolist() == [0, 1, 3, 4, 5] and [c.tolist() for c in found[1:]] == [[2]]
+
+
+def test_similar_documents_by_exact_similarity(spark):
+    import corpus_pipeline
+    from evalpanel.llm import similar
+
+    rng = random.Random(12)
+    vocabulary = [f"{a}{b}" for a in WORDS for b in WORDS]
+    plain = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    rows = []
+    for k in range(300):  # pairs on both sides of 0.8: a stretch of the end is other text
+        base = plain(200)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[: 200 - k % 50] + plain(k % 50)))]
+    rows += [(1000 + k, " ".join(plain(6))) for k in range(3000)]  # two shingles each
+    rows += [(5000, None), (5001, ""), (5002, "One two"), (5003, "one  TWO"), (None, rows[0][1]), (0, rows[0][1])]
+
+    def sets(t):
+        w = (t or "").lower().split()
+        return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    held = {i: sets(t) for i, t in rows if i is not None}
+    alike = lambda a, b: len(held[a] & held[b]) / len(held[a] | held[b])
+    links = [(2 * k, 2 * k + 1) for k in range(300) if alike(2 * k, 2 * k + 1) >= 0.8] + [(5000, 5001), (5002, 5003)]
+    assert sum(alike(2 * k, 2 * k + 1) < 0.9 for k in range(300)) > 100 and len(links) < 300
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, node string")
+    got = similar.near_duplicates(docs).collect()
+    assert len(got) == len(rows) and all(r["component"] is None for r in got if r["id"] is None)
+    assert {r["id"]: r["component"] for r in got if r["id"] is not None} == classes(list(held), links)
+    left = corpus_pipeline.distinct(spark, docs, None).collect()
+    assert sorted({r["doc_id"] for r in left if r["doc_id"] is not None}) == sorted({i for i, c in classes(list(held), links).items() if i == c})
+    assert similar.near_duplicates(docs.limit(0)).count() == 0
