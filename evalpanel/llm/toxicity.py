@@ -29,13 +29,26 @@ from evalpanel.llm.common import Memo, schema_with, sliced, table, worker_of, wr
 from evalpanel.llm.registry import query
 
 WORD = re.compile(r"\w+")
-#: Letters of a word that its features look at.
+#: Longer runs of letters, as in scripts without spaces and terms joined by underscores, are read in pieces.
 LONGEST = 24
+#: Letters of the pieces.
+PIECE = 4
 GRADES = 4
 
 
 def words_of(text: str | None) -> list[str]:
-    return [w[:LONGEST] for w in WORD.findall(text.lower())] if text else []
+    """The words of a text; a run of more than ``LONGEST`` letters gives its parts between underscores, and those too long their ``PIECE``-letter windows."""
+    out = []
+    for run in WORD.findall(text.lower()) if text else ():
+        if len(run) <= LONGEST:
+            out.append(run)
+            continue
+        for part in run.split("_"):
+            if len(part) > LONGEST:
+                out += [part[i : i + PIECE] for i in range(len(part) - PIECE + 1)]
+            elif part:
+                out.append(part)
+    return out
 
 
 def features_of(word: str) -> list[str]:

@@ -240,3 +240,9 @@ def test_pages_of_a_host_of_any_size_lose_their_template(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     results = [{r["page_id"]: r["text"] for r in pages.main_text(d).collect()} for d in (df.repartition(7), df.repartition(2).orderBy(F.desc("page_id")))]
     assert results[0] == results[1] == {i: f"Own words of page {i % 1000} that are not on any other page of it" for i, _, _ in rows}
+
+
+def test_toxicity_reads_long_runs_to_their_end():
+    words = toxicity.words_of("短" * 500 + "毒毒毒毒 " + "_".join(["harmless"] * 50 + ["vile"]) + " plain")
+    assert "毒毒毒毒" in words and "vile" in words and words[-1] == "plain" and words.count("harmless") == 50
+    assert all(len(w) <= toxicity.LONGEST for w in words)
