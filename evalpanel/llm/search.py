@@ -236,7 +236,8 @@ def search(docs: DataFrame, items: DataFrame, top: int = 10, bound: int = BOUND,
     count = pairs.count()
     rounds = max(1, -(-count // bound))
     turn = F.pmod(F.xxhash64("item"), F.lit(rounds))
-    found = [search_round(docs, pairs.filter(turn == r).toArrow(), top, **columns) for r in range(rounds)] if count else []
+    parts = (pairs.filter(turn == r).toArrow() for r in range(rounds))  # one at a time
+    found = [search_round(docs, part, top, **columns) for part in parts if part.num_rows]
     discard(pairs)
     every = spark.createDataFrame([], "item long, item_id long, doc_id long, score long")
     for one in found:
