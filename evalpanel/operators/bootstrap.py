@@ -21,8 +21,9 @@ def bootstrap(
     strata: Sequence[str] = (),
     alpha: float = 0.05,
     unit: str = "unit",
+    hasher: str = "xx",
 ) -> DataFrame:
     """Estimate, interval and p per key. The unit statistics are written once and read three times."""
     stats = cut_lineage(B.unit_stats(rows, keys, stat, unit, strata))
-    boot = B.replicates(stats, keys, stat, reps, seed, method, strata, unit)
+    boot = B.replicates(stats, keys, stat, reps, seed, method, strata, unit, hasher)
     return I.bca_interval(boot, B.point(stats, keys, stat), B.jackknife(stats, keys, stat, unit), keys, alpha)

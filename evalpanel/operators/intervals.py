@@ -55,7 +55,7 @@ def percentile_interval(reps: DataFrame, keys: Sequence[str], alpha: float = 0.0
     )
 
 
-def _bca(values: np.ndarray, theta: float, accel: float | None, alpha: float) -> tuple[float | None, float | None, str]:
+def bca(values: np.ndarray, theta: float, accel: float | None, alpha: float) -> tuple[float | None, float | None, str]:
     normal = NormalDist()
     ends = (alpha / 2, 1 - alpha / 2)
     plain = tuple(float(np.percentile(values, 100 * a)) for a in ends)
@@ -98,7 +98,7 @@ def bca_interval(
             if gap > 0:
                 ends = (*(float(np.percentile(v, 100 * p)) for p in (alpha / 2, 1 - alpha / 2)), FALLBACK)
             else:
-                ends = _bca(v, float(t), None if pd.isna(a) else float(a), alpha)
+                ends = bca(v, float(t), None if pd.isna(a) else float(a), alpha)
             p = max(2 * min(np.mean(v <= 0), np.mean(v >= 0)), 1 / (k + 1))
             rows.append((*ends, float(p), float(gap), float(np.std(v, ddof=1)) if v.size > 1 else None))
         return pd.DataFrame(rows, columns=[f.name for f in _RESULT.fields])

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evalpanel.functions.columns import EIGHT_EDGES, with_bins
 from evalpanel.functions.hashing import poisson_steps
 from evalpanel.operators import cluster as K
 from evalpanel.operators import intervals as I
 from evalpanel.operators import metrics as M
 from evalpanel.operators import paired as Q
-from evalpanel.operators import ranks as R
+from evalpanel.operators import rank_replicates as RR
 from evalpanel.operators import resample as B
 from evalpanel.operators import topset as TS
 from evalpanel.operators.bootstrap import bootstrap
 from evalpanel.plans import panels as P
+from evalpanel.plans.interval_sql import acceleration, bca_ctes, bca_select, poisson_weights_sql
 from evalpanel.plans.queries_paired import pair_sql
 from evalpanel.plans.registry import D, N, query
 from evalpanel.session import cut_lineage
@@ -164,55 +166,116 @@ def jackknife_acceleration(spark, sf_dir):
 
 
 def bca(rows, keys, stat, reps, seed, method="multinomial"):
-    return bootstrap(rows, keys, stat, reps, seed, method)
+    return bootstrap(rows, keys, stat, reps, seed, method, hasher="md5").drop("se")
 
 
-@query("bca_balanced_by_config")
+UNITS = "un AS (SELECT DISTINCT unit FROM panel)"
+#: Leave-one-out values of the balanced error: a unit has one row per configuration.
+BALANCED_JACKKNIFE = """jb AS (SELECT config, bin, sum(abs_e) AS s, count(*) AS n FROM panel GROUP BY ALL), jt AS (SELECT config, sum(s/n) AS t, count(*) AS k FROM jb GROUP BY config),
+ pt AS (SELECT config, t/k AS theta_hat FROM jt),
+ jk AS (SELECT p.config, CASE WHEN jb.n>1 THEN (jt.t - jb.s/jb.n + (jb.s-p.abs_e)/(jb.n-1))/jt.k ELSE (jt.t - jb.s/jb.n)/(jt.k-1) END AS j
+  FROM panel p JOIN jb ON p.config=jb.config AND p.bin=jb.bin JOIN jt ON p.config=jt.config)"""
+
+
+def ratio_bca_sql(ctes: str, rows: str, keys: str, top: str, bottom: str, value: str, seed: int, reps: int) -> str:
+    """BCa of ``value`` over the sums a and b of ``top`` and ``bottom``, with Poisson weights per unit, from table ``rows``."""
+    ks = keys.split(", ")
+    on = " AND ".join(f"x.{k}=y.{k}" for k in ks)
+    named = ", ".join(f"x.{k}" for k in ks)
+    return f"""{ctes}, {poisson_weights_sql(u_sql(seed, 'unit', 'rep'), reps)},
+ us AS (SELECT {keys}, unit, sum({top}) AS a, sum({bottom}) AS b FROM {rows} GROUP BY ALL), ut AS (SELECT {keys}, sum(a) AS ta, sum(b) AS tb FROM us GROUP BY ALL),
+ pt AS (SELECT {keys}, {value.format(a='ta', b='tb')} AS theta_hat FROM ut),
+ jk AS (SELECT {named}, {value.format(a='(ta-a)', b='(tb-b)')} AS j FROM us x JOIN ut y ON {on}), {acceleration(keys)},
+ th AS (SELECT {keys}, rep, {value.format(a='sum(w*a)', b='sum(w*b)')} AS theta FROM us JOIN pw USING (unit) WHERE w>0 GROUP BY ALL), {bca_ctes(keys)}
+{bca_select(keys)}"""
+
+
+@query("bca_balanced_by_config", f"{boot_balanced_sql(31, 200)}, {BALANCED_JACKKNIFE}, {acceleration('config')}, {bca_ctes('config')} {bca_select('config')}")
 def bca_balanced_by_config(spark, sf_dir):
     return bca(P.base_panel(spark, sf_dir), ["config"], BALANCED, 200, 31)
 
 
-@query("bca_balanced_poisson")
+@query(
+    "bca_balanced_poisson",
+    f"""{PANEL}, {UNITS}, {poisson_weights_sql(u_sql(31, 'unit', 'rep'), 200)}, rb AS (SELECT rep, config, bin, sum(w*abs_e)/sum(w) AS m FROM panel JOIN pw USING (unit) WHERE w>0 GROUP BY ALL),
+ th AS (SELECT config, rep, avg(m) AS theta FROM rb GROUP BY ALL), {BALANCED_JACKKNIFE}, {acceleration('config')}, {bca_ctes('config')} {bca_select('config')}""",
+)
 def bca_balanced_poisson(spark, sf_dir):
     return bca(P.base_panel(spark, sf_dir), ["config"], BALANCED, 200, 31, "poisson")
 
 
-@query("bca_bias_by_fine_bin")
-def bca_bias_by_fine_bin(spark, sf_dir):
-    from evalpanel.functions.columns import EIGHT_EDGES, with_bins
+EIGHT_SQL = "SELECT * EXCLUDE (bin), " + "+".join(f"CASE WHEN reference>{e} THEN 1 ELSE 0 END" for e in EIGHT_EDGES[1:-1]) + " AS bin FROM panel"
 
+
+@query("bca_bias_by_fine_bin", ratio_bca_sql(f"{PANEL}, {UNITS}, fine AS ({EIGHT_SQL})", "fine", "rater, bin", "e", "1.0", "{a}/{b}", 32, 200))
+def bca_bias_by_fine_bin(spark, sf_dir):
     fine = with_bins(P.base_panel(spark, sf_dir).drop("bin"), EIGHT_EDGES)
     return bca(fine, ["rater", "bin"], B.mean_of("e"), 200, 32, "poisson")
 
 
-@query("bca_floor_by_rater")
+RUNS_SQL = """WITH r AS (SELECT l_partkey AS unit, l_returnflag AS rater, avg(l_quantity) FILTER (l_linenumber%2=1) AS run1, avg(l_quantity) FILTER (l_linenumber%2=0) AS run2 FROM lineitem GROUP BY ALL),
+ dd AS (SELECT unit, rater, abs(run1-run2) AS d FROM r WHERE run1 IS NOT NULL AND run2 IS NOT NULL), un AS (SELECT DISTINCT unit FROM dd)"""
+
+
+@query("bca_floor_by_rater", ratio_bca_sql(RUNS_SQL, "dd", "rater", "d", "1.0", "{a}/{b}", 33, 200))
 def bca_floor_by_rater(spark, sf_dir):
     runs = P.repeat_runs(spark, sf_dir).groupBy("rater", "unit").pivot("run", ["run1", "run2"]).agg(F.min("pred"))
     d = runs.dropna().withColumn("d", F.abs(F.col("run1") - F.col("run2")))
     return bca(d, ["rater"], B.mean_of("d"), 200, 33, "poisson")
 
 
-@query("skill_ratio_intervals")
+@query("skill_ratio_intervals", ratio_bca_sql(f"{PANEL}, {UNITS}", "panel", "rater, bin", "abs_e", "abs(reference-50.0)", "CASE WHEN {b}>0 THEN 1-{a}/{b} END", 34, 200))
 def skill_ratio_intervals(spark, sf_dir):
     rows = P.base_panel(spark, sf_dir).withColumn("base_e", F.abs(F.col("reference") - 50.0))
     return bca(rows, ["rater", "bin"], B.skill_of("abs_e", "base_e"), 200, 34, "poisson")
 
 
-@query("bootstrap_spearman")
+# ---- rank statistics of all replicates ----
+
+
+def spearman_sql(keys: str, rows: str, x: str, weight: str = "w") -> str:
+    """Weighted mid-rank correlation per key from ``rows`` (keys, x, reference, weight)."""
+    by = f"PARTITION BY {keys}"
+    rank = lambda v: f"(SUM({weight}) OVER ({by} ORDER BY {v} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - SUM({weight}) OVER ({by}, {v})/2.0 - SUM({weight}) OVER ({by})/2.0)"
+    return f"SELECT {keys}, sum({weight}*a*b)/sqrt(sum({weight}*a*a)*sum({weight}*b*b)) AS theta FROM (SELECT {keys}, {weight}, {rank(x)} AS a, {rank('reference')} AS b FROM {rows}) GROUP BY ALL"
+
+
+def percentile_select(keys: str, source: str = "th") -> str:
+    return f"SELECT {keys}, {D('quantile_cont(theta,0.025)', 'ci_lo')}, {D('quantile_cont(theta,0.975)', 'ci_hi')}, {D('stddev_samp(theta)', 'se')} FROM {source} GROUP BY ALL"
+
+
+def drawn(seed: int, reps: int) -> str:
+    return f"{PANEL}, {UNITS}, {poisson_weights_sql(u_sql(seed, 'unit', 'rep'), reps)}, wr AS (SELECT * FROM panel JOIN pw USING (unit) WHERE w>0)"
+
+
+@query("bootstrap_spearman", f"{drawn(41, 60)}, th AS ({spearman_sql('rater, rep', 'wr', 'pred')}) {percentile_select('rater')}")
 def bootstrap_spearman(spark, sf_dir):
-    panel = P.base_panel(spark, sf_dir)
-    weights = B.poisson_draws(panel.select("unit").distinct(), 41, 50)
-    reps = R.spearman(B.weighted_rows(panel, weights), ["rater", "rep"], "pred", "reference", "w")
-    return I.percentile_interval(reps.withColumnRenamed("rho", "theta"), ["rater"])
+    reps = RR.spearman_replicates(P.base_panel(spark, sf_dir), ["rater"], "pred", "reference", 60, 41, hasher="md5")
+    return I.percentile_interval(reps, ["rater"]).select("rater", "ci_lo", "ci_hi", "se")
 
 
-@query("bootstrap_auc")
+@query(
+    "bootstrap_spearman_difference",
+    f"""{PANEL}, {UNITS}, {poisson_weights_sql(u_sql(45, 'unit', 'rep'), 60)}, wr AS (SELECT * FROM panel JOIN pw USING (unit) WHERE w>0),
+ ta AS ({spearman_sql('rater, rep', 'wr', 'pred')}), tb AS ({spearman_sql('rater, rep', 'wr', 'pred_mid')}), th AS (SELECT rater, rep, ta.theta-tb.theta AS theta FROM ta JOIN tb USING (rater, rep)) {percentile_select('rater')}""",
+)
+def bootstrap_spearman_difference(spark, sf_dir):
+    panel = P.base_panel(spark, sf_dir, variants=True)
+    reps = RR.spearman_difference_replicates(panel, ["rater"], "pred", "pred_mid", "reference", 60, 45, hasher="md5")
+    return I.percentile_interval(reps, ["rater"]).select("rater", "ci_lo", "ci_hi", "se")
+
+
+@query(
+    "bootstrap_auc",
+    f"""{drawn(42, 60)}, lv AS (SELECT rater, cond, rep, conf, sum(CASE WHEN abs_e>20 THEN w ELSE 0 END) AS p, sum(CASE WHEN abs_e>20 THEN 0 ELSE w END) AS q FROM wr WHERE conf IS NOT NULL GROUP BY ALL),
+ au AS (SELECT rater, cond, rep, sum(q*(below+p/2.0))/nullif(sum(p)*sum(q), 0) AS a FROM (SELECT *, coalesce(sum(p) OVER (PARTITION BY rater, cond, rep ORDER BY conf ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM lv) GROUP BY ALL),
+ th AS (SELECT rater, rep, avg(a)-0.5 AS theta FROM au GROUP BY ALL) {percentile_select('rater')}""",
+)
 def bootstrap_auc(spark, sf_dir):
     panel = P.base_panel(spark, sf_dir, scores=True).withColumn("bad", F.col("abs_e") > 20)
-    weights = B.poisson_draws(panel.select("unit").distinct(), 42, 50)
-    cells = R.auc(B.weighted_rows(panel, weights), ["rater", "cond", "rep"], "conf", "bad", "w", grain=0.25)
-    reps = R.mean_auc(cells, ["rater", "rep"]).withColumn("theta", F.col("mean_auc") - 0.5)
-    return I.percentile_interval(reps, ["rater"])
+    cells = RR.auc_replicates(panel, ["rater", "cond"], "conf", "bad", 60, 42, hasher="md5")
+    reps = cells.groupBy("rater", "rep").agg((F.avg("theta") - 0.5).alias("theta"))
+    return I.percentile_interval(reps, ["rater"]).select("rater", "ci_lo", "ci_hi", "se")
 
 
 @query(

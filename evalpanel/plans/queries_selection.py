@@ -4,14 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evalpanel.functions.levels import join_null_safe
-from evalpanel.functions.hashing import poisson_steps
 from evalpanel.operators import cutoffs as C
 from evalpanel.operators import ensembles as E
-from evalpanel.operators import intervals as I
-from evalpanel.operators import resample as B
 from evalpanel.plans import panels as P
 from evalpanel.plans.queries_resample import u_sql
+from evalpanel.plans.interval_sql import bca_ctes, poisson_weights_sql
 from evalpanel.plans.registry import D, N, query
 from evalpanel.session import cut_lineage
 
@@ -62,25 +59,41 @@ def error_before_and_after_cutoff(spark, sf_dir):
     return C.before_and_after(panel, chosen, ["config"], "conf")
 
 
-@query(
-    "cutoff_sweep_intervals",
-    f"""{PANEL}, un AS (SELECT DISTINCT unit FROM panel), u AS (SELECT rep, unit, {u_sql(61, 'unit', 'rep')} AS u FROM un, range(1,61) t(rep)),
- w AS (SELECT rep, unit, {'+'.join(f'CASE WHEN u>=CAST({s!r} AS DOUBLE) THEN 1 ELSE 0 END' for s in poisson_steps())} AS w FROM u),
- s AS (SELECT p.config, p.conf, w.rep, sum(w) AS n, sum(w*abs_e) AS s FROM panel p JOIN w ON p.unit=w.unit WHERE w>0 AND conf IS NOT NULL GROUP BY ALL),
- g AS (SELECT DISTINCT config, conf AS cutoff FROM panel WHERE conf IS NOT NULL UNION ALL SELECT DISTINCT config, NULL FROM panel WHERE conf IS NOT NULL),
- k AS (SELECT g.config, g.cutoff, r.rep FROM g, range(1,61) r(rep)),
- t AS (SELECT k.config, k.rep, k.cutoff, sum(s.s)/sum(s.n) AS theta FROM k LEFT JOIN s ON k.config=s.config AND k.rep=s.rep AND (s.conf>=k.cutoff OR k.cutoff IS NULL) GROUP BY ALL)
-SELECT config, {D('cutoff', 'cutoff')}, {N('count(theta)', 'n_defined')}, {D('CASE WHEN count(theta)>=50 THEN quantile_cont(theta,0.025) END', 'ci_lo')},
- {D('CASE WHEN count(theta)>=50 THEN quantile_cont(theta,0.975) END', 'ci_hi')}, {D('1-count(theta)/count(*)', 'undefined_share')} FROM t GROUP BY config, cutoff""",
-)
+def sweep_bca_sql(keep: bool, seed: int, reps: int) -> str:
+    """Every cutoff in every replicate, and every unit left out at every cutoff, by plain joins."""
+    stay = "(conf>=cutoff OR conf IS NULL)" if keep else "(conf>=cutoff OR (cutoff IS NULL AND conf IS NOT NULL))"
+    retain_all = "" if keep else " UNION ALL SELECT DISTINCT config, NULL FROM panel WHERE conf IS NOT NULL"
+    fallback = "EXISTS (SELECT 1 FROM pt WHERE pt.config=n14.config AND pt.cutoff IS NOT DISTINCT FROM n14.cutoff AND pt.n_retained=1)"
+    low, high = (f"quantile_cont(CASE WHEN bins=5 THEN balanced END, {q})" for q in (0.025, 0.975))
+    return f"""{PANEL}, un AS (SELECT DISTINCT unit FROM panel), {poisson_weights_sql(u_sql(seed, 'unit', 'rep'), reps)},
+ g AS (SELECT DISTINCT config, conf AS cutoff FROM panel WHERE conf IS NOT NULL{retain_all}),
+ kr AS (SELECT g.config, g.cutoff, p.unit, p.bin, p.abs_e FROM g JOIN panel p ON p.config=g.config AND {stay}),
+ pt AS (SELECT config, cutoff, count(*) AS n_retained, sum(abs_e) AS s, avg(abs_e) AS theta_hat FROM kr GROUP BY ALL),
+ al AS (SELECT pt.*, p.unit FROM pt JOIN (SELECT DISTINCT config, unit FROM panel) p ON p.config=pt.config),
+ jk AS (SELECT al.config, al.cutoff, (al.s-coalesce(kr.abs_e, 0))/nullif(al.n_retained-(kr.unit IS NOT NULL)::INT, 0) AS j
+  FROM al LEFT JOIN kr ON kr.config=al.config AND kr.cutoff IS NOT DISTINCT FROM al.cutoff AND kr.unit=al.unit),
+ jm AS (SELECT config, cutoff, avg(j) AS m FROM jk GROUP BY ALL),
+ ac AS (SELECT a.config, a.cutoff, CASE WHEN count(*)=count(j) AND sum(power(m-j,2))>1e-27 THEN sum(power(m-j,3))/(6*power(sum(power(m-j,2)),1.5)) END AS accel
+  FROM jk a JOIN jm b ON a.config=b.config AND a.cutoff IS NOT DISTINCT FROM b.cutoff GROUP BY ALL),
+ tb AS (SELECT config, cutoff, rep, bin, sum(w) AS n, sum(w*abs_e) AS s FROM kr JOIN pw USING (unit) WHERE w>0 GROUP BY ALL),
+ tr AS (SELECT config, cutoff, rep, sum(s)/sum(n) AS theta, avg(s/n) AS balanced, count(*) AS bins FROM tb GROUP BY ALL),
+ th AS (SELECT g.config, g.cutoff, r.rep, theta, balanced, bins FROM g CROSS JOIN range(1,{reps + 1}) r(rep) LEFT JOIN tr ON tr.config=g.config AND tr.cutoff IS NOT DISTINCT FROM g.cutoff AND tr.rep=r.rep),
+ bl AS (SELECT config, cutoff, {low} AS lo, {high} AS hi, 1-count(*) FILTER (bins=5)/count(*) AS miss FROM th GROUP BY ALL),
+ {bca_ctes('config, cutoff', fallback=fallback)}
+SELECT bc.config, {D('bc.cutoff', 'cutoff')}, {N('pt.n_retained', 'n_retained')}, {D('bc.theta_hat', 'theta_hat')}, {D('bc.accel', 'accel')}, {D('ci_lo', 'ci_lo')}, {D('ci_hi', 'ci_hi')},
+ CASE WHEN is_bca THEN 'BCa' ELSE 'percentile (BCa fallback)' END || CASE WHEN pt.n_retained<30 THEN ', degenerate: n < 30' ELSE '' END AS ci_method, {N('bc.n', 'n_defined')}, {D('1-bc.n/bc.reps', 'undefined_share')},
+ {D('bl.lo', 'balanced_lo')}, {D('bl.hi', 'balanced_hi')}, {D('bl.miss', 'balanced_undefined_share')}
+FROM bc JOIN pt ON pt.config=bc.config AND pt.cutoff IS NOT DISTINCT FROM bc.cutoff JOIN bl ON bl.config=bc.config AND bl.cutoff IS NOT DISTINCT FROM bc.cutoff"""
+
+
+@query("cutoff_sweep_intervals", sweep_bca_sql(False, 61, 60))
 def cutoff_sweep_intervals(spark, sf_dir):
-    panel = P.base_panel(spark, sf_dir, scores=True)
-    weights = B.poisson_draws(panel.select("unit").distinct(), 61, 60, hasher="md5")
-    reps = C.sweep_replicates(panel, weights, ["config"], "conf", "drop", 60)
-    theta = F.nanvl("theta", F.lit(None).cast("double"))
-    defined = reps.groupBy("config", "cutoff").agg(F.count(theta).alias("n_defined"))
-    found = join_null_safe(I.percentile_interval(reps, ["config", "cutoff"]), defined, ["config", "cutoff"])
-    return found.select("config", "cutoff", "n_defined", "ci_lo", "ci_hi", "undefined_share")
+    return C.sweep_intervals(P.base_panel(spark, sf_dir, scores=True), ["config"], "conf", "drop", 60, 61, hasher="md5")
+
+
+@query("cutoff_sweep_intervals_keep_missing", sweep_bca_sql(True, 62, 60))
+def cutoff_sweep_intervals_keep_missing(spark, sf_dir):
+    return C.sweep_intervals(P.base_panel(spark, sf_dir, scores=True), ["config"], "conf", "keep", 60, 62, hasher="md5")
 
 
 # ---- ensembles ----

@@ -223,14 +223,3 @@ def test_a_unit_in_two_strata_is_drawn_in_both(spark):
     stat = B.Statistic({"s_n": "1.0D"}, "s_n")
     found = B.replicates(rows, [], stat, 6, 5, "multinomial", ["bin"]).collect()
     assert [r["theta"] for r in found] == [80.0] * 6
-
-
-def test_every_cutoff_is_evaluated_in_every_replicate(spark):
-    from evalpanel.operators import cutoffs as C
-
-    rows = spark.createDataFrame([(u, float(u == 0), 0, float(u)) for u in range(30)], "unit int, conf double, bin int, abs_e double")
-    weights = B.poisson_draws(rows.select("unit"), 3, 20)
-    found = C.sweep_replicates(rows, weights, [], "conf", "drop", 20).toPandas()
-    assert (found.groupby("cutoff", dropna=False)["rep"].nunique() == 20).all() and found["cutoff"].nunique(dropna=False) == 3
-    drawn = set(weights.filter("unit = 0").toPandas()["rep"])
-    assert set(found.loc[(found["cutoff"] == 1.0) & found["theta"].notna(), "rep"]) == drawn
