@@ -14,6 +14,7 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +30,12 @@ SHARD = 100_000
 
 
 class WordTokens:
-    """Token ids by a tokenizer that drops white space, so that words between spaces are tokenised one by one, and once."""
+    """Token ids by a tokenizer that drops white space, so that words between spaces are tokenised one by one, and once.
+
+    Unknown words are tokenised many to a text, with a sign between them that none of them holds and that is one token of its own.
+    """
+
+    SIGN = "|"
 
     def __init__(self, spec: bytes):
         import os
@@ -39,15 +45,42 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_str(spec.decode())
         self.memo = Memo(REMEMBERED)
+        alone = self._ids([self.SIGN])[0]
+        self.sign = alone[0] if len(alone) == 1 else None
 
-    def _encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        known = self.memo.fill({w for words in cut for w in words}, self._encode)
-        return [b"".join(map(known.__getitem__, words)) for words in cut]
+    def _encode(self, words: list[str]) -> list[bytes]:
+        plain = [k for k, w in enumerate(words) if self.sign is not None and self.SIGN not in w]
+        found: list[bytes] = [b""] * len(words)
+        groups = [plain[at : at + 256] for at in range(0, len(plain), 256)]
+        for group, ids in zip(groups, self._ids([f" {self.SIGN} ".join([words[k] for k in group]) for group in groups])):
+            ends = np.flatnonzero(ids == self.sign).tolist() + [len(ids)]
+            raw, start = ids.tobytes(), 0
+            for k, end in zip(group, ends, strict=True):
+                found[k] = raw[4 * start : 4 * end]
+                start = end + 1
+        other = sorted(set(range(len(words))) - set(plain))
+        for k, ids in zip(other, self._ids([words[k] for k in other])):
+            found[k] = ids.tobytes()
+        return found
+
+    def ids(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers; the words of all texts are looked up as one array."""
+        lists = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        known = self.memo.fill(distinct, self._encode)
+        parts = [known[w] for w in distinct]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        pool, begins = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(sizes) - sizes
+        codes = coded.indices.to_numpy()
+        each = sizes[codes]
+        after = np.append(0, np.cumsum(each))
+        every = pool[np.repeat(begins[codes] - after[:-1], each) + np.arange(after[-1])]
+        cuts = after[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        return [every[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -66,7 +99,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 rows: tuple[list, ...] = ([], [], [], [], [])
-                for key, found in zip(part.column(0).to_pylist(), words.ids(part.column(1).to_pylist())):
+                for key, found in zip(part.column(0).to_pylist(), words.ids(part.column(1))):
                     found += end
                     for k, start in enumerate(range(0, len(found), 4 * capacity)):
                         ids = found[start : start + 4 * capacity]
