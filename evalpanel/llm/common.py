@@ -93,15 +93,11 @@ class Memo:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
         missing = [k for k in keys if k not in young]
+        if missing and old:
+            young.update((k, old[k]) for k in missing if k in old)
+            missing = [k for k in missing if k not in old]
         if missing:
-            unknown = []
-            for k in missing:
-                if k in old:
-                    young[k] = old[k]
-                else:
-                    unknown.append(k)
-            if unknown:
-                young.update(zip(unknown, compute(unknown)))
+            young.update(zip(missing, compute(missing)))
         return young
 
 
