@@ -24,7 +24,7 @@ from evalpanel.llm.common import Memo, per_worker, schema_with, table, written
 from evalpanel.llm.registry import query
 
 #: Words whose tokens one worker remembers, in each half of its memo.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 #: Pieces packed together by one task; the tasks grow in number with the input, not in size.
 SHARD = 100_000
 
@@ -45,6 +45,7 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_str(spec.decode())
         self.memo = Memo(REMEMBERED)
+        self.folds = '"Lowercase"' in spec.decode().partition('"pre_tokenizer"')[0]  # then capitals of ASCII make no difference
         alone = self._ids([self.SIGN])[0]
         self.sign = alone[0] if len(alone) == 1 else None
 
@@ -68,7 +69,8 @@ class WordTokens:
 
     def ids(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; the words of all texts are looked up as one array."""
-        lists = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
+        plain = pc.replace_substring(texts.fill_null(""), "\n", " ")
+        lists = pc.split_pattern(pc.ascii_lower(plain) if self.folds else plain, " ")
         coded = lists.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         known = self.memo.fill(distinct, self._encode)
@@ -83,6 +85,16 @@ class WordTokens:
         return [every[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
 
+def by_size(batch: pa.RecordBatch, text: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``most`` bytes of text, or of one row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.flatnonzero(np.diff(np.cumsum(sizes) // most, append=-1)) + 1 if len(sizes) else []
+    at = 0
+    for end in ends:
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids): the tokens of each document and ``end_id``, cut only where longer than ``capacity``.
 
@@ -96,8 +108,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
         spec = shared.value
         words = per_worker("packing", zlib.crc32(spec), lambda: WordTokens(spec))
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in by_size(batch, 1):
                 rows: tuple[list, ...] = ([], [], [], [], [])
                 for key, found in zip(part.column(0).to_pylist(), words.ids(part.column(1))):
                     found += end
