@@ -25,6 +25,16 @@ def schema_with(df: DataFrame, **more: T.DataType) -> T.StructType:
     return T.StructType([*df.schema.fields, *(T.StructField(name, kind) for name, kind in more.items())])
 
 
+def fresh(taken: Iterable[str], *names: str) -> tuple[str, ...]:
+    """``names``, each with as many underscores in front as keep it apart from those taken, whatever the case."""
+    held, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in held:
+            name = f"_{name}"
+        out.append(name)
+    return tuple(out)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; only a local session without it gets one of its own."""
     shared = spark.conf.get("spark.checkpoint.dir", None)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalpanel.llm.common import Memo, schema_with, sliced, table, worker_of, written
+from evalpanel.llm.common import Memo, discard, fresh, schema_with, sliced, table, worker_of, written
 from evalpanel.llm.registry import query
 
 WORD = re.compile(r"\w+")
@@ -136,10 +136,11 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, vocabulary
     top = counts.orderBy(F.desc("chi2"), "feature").limit(vocabulary).collect()
     telling = {r["feature"] for r in top if r["toxic"] / bad > 10 * (r["clean"] + 0.5) / (good + 1)}
     model = Model({r["feature"]: k for k, r in enumerate(top)})
-    shared = sample.sparkSession.sparkContext.broadcast((model, telling))
+    shared = sample.sparkSession.sparkContext.broadcast((model.index, telling))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, telling = shared.value
+        index, telling = shared.value
+        model = Model(index)
         for batch in batches:
             keys, counts, tellings = [], [], []
             for text in batch.column(0).to_pylist():
@@ -153,6 +154,8 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, vocabulary
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32())), pa.array(tellings, pa.float64()), batch.column(1)], ["keys", "counts", "told", "toxic"])
 
     fit = sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "keys array<int>, counts array<int>, told double, toxic int").toPandas()  # at most fit_rows rows
+    shared.destroy()
+    discard(sample)
     fit = fit.sort_values(["toxic", "told"], kind="stable", ignore_index=True)
     toxic = fit["toxic"].to_numpy() == 1
     cuts = np.quantile(fit["told"][toxic], [1 / 3, 2 / 3])
@@ -165,13 +168,13 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, vocabulary
 
 def scored(docs: DataFrame, model: Model, cut: float = 0.35, added: tuple[str, str, str] = ("severity", "p_toxic", "toxic")) -> DataFrame:
     """``docs`` with severity (the expected grade), p_toxic, and toxic (p_toxic at least ``cut``), under the names ``added``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.index, model.weights, model.thresholds))  # plain values: executors may lack this package
     names = [c for c in docs.columns if c not in added]
     place = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_of("toxicity")
-        model, memo = shared.value, Memo(100_000)
+        model, memo = Model(*shared.value), Memo(100_000)
         for batch in sliced(batches, 256):
             words = [words_of(t) for t in batch.column(place).to_pylist()]
             known = memo.fill({w for ws in words for w in ws}, model.indices)
@@ -186,8 +189,8 @@ def scored(docs: DataFrame, model: Model, cut: float = 0.35, added: tuple[str, s
 def harmless_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """``docs`` without the toxic ones."""
     names = docs.columns
-    found = scored(docs, train(docs, labels, **options), added=("_severity", "_p_toxic", "_toxic"))
-    return found.filter(~F.col("_toxic")).select(*names)
+    added = fresh(names, "_severity", "_p_toxic", "_toxic")
+    return scored(docs, train(docs, labels, **options), added=added).filter(~F.col(added[-1])).select(*names)
 
 
 @query("op8_toxicity")

@@ -210,6 +210,9 @@ def test_classifiers_without_labels_keep_everything_and_clashing_columns(spark):
     for out in (quality.good_documents(docs, labels), toxicity.harmless_documents(docs, labels)):
         assert out.columns == docs.columns and sorted(map(str, out.collect())) == sorted(map(str, docs.collect()))
     empty = docs.limit(0)
+    clash = docs.selectExpr("*", "1 AS _bits", "2 AS _kept", "3 AS __kept", "4 AS _toxic", "5 AS _Severity")
+    for out in (quality.good_documents(clash, labels), toxicity.harmless_documents(clash, labels)):
+        assert out.columns == clash.columns and {(r["_bits"], r["_kept"], r["__kept"], r["_toxic"]) for r in out.collect()} == {(1, 2, 3, 4)}
     assert quality.good_documents(empty, labels.limit(0)).count() == 0 and toxicity.harmless_documents(empty, labels.limit(0)).count() == 0
 
 
