@@ -325,16 +325,11 @@ def run_to_files(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def run_to_table(stream: DataFrame, name: str) -> DataFrame:
-    """Drain the stream into a table of running results (keys x bins)."""
-    spark = stream.sparkSession
-    folder = stream_folder(spark, name)
-    run = (
-        stream.writeStream.format("memory").queryName(name).outputMode("complete")
-        .option("checkpointLocation", folder).trigger(availableNow=True).start()
-    )
-    run.awaitTermination()
-    return spark.table(name)
+def run_to_latest(stream: DataFrame, name: str, key: list[str]) -> DataFrame:
+    """Drain the stream, writing the results that each batch changes, and read the last one of every key."""
+    folder = stream_folder(stream.sparkSession, name)
+    ST.update_sink(stream, f"{folder}/out", f"{folder}/log").trigger(availableNow=True).start().awaitTermination()
+    return ST.latest(stream.sparkSession, f"{folder}/out", stream.schema, key)
 
 
 @query(
@@ -346,7 +341,7 @@ SELECT rater, bin, {N('count(*)', 'n')}, {D('sum(abs(e))', 'sum_abs_e')}, {D('su
 def stream_running_metrics(spark, sf_dir):
     log = ST.answered(responses(event_stream(spark, sf_dir)))
     reference = P.units(spark, sf_dir).select("unit", "reference")
-    return run_to_table(ST.running_metrics(log, reference, ["rater"]), "stream_running_metrics_out")
+    return run_to_latest(ST.running_metrics(log, reference, ["rater"]), "stream_running_metrics_out", ["rater", "bin"])
 
 
 @query(
@@ -361,6 +356,30 @@ def stream_window_health(spark, sf_dir):
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+@query(
+    "stream_first_success",
+    f"""{RESP} SELECT unit, rater, cond, arg_min(event_id, (ts, event_id)) AS event_id, {D('arg_min(v, (ts, event_id))', 'value')} FROM resp WHERE outcome='' GROUP BY ALL""",
+)
+def stream_first_success(spark, sf_dir):
+    log = ST.answered(responses(event_stream(spark, sf_dir)))
+    key = ["unit", "rater", "cond"]
+    return run_to_latest(ST.first_by_time(log, key, ["ts", "event_id"]), "stream_first_success_out", key).select(*key, "event_id", "value")
+
+
+@query(
+    "stream_pending_grid",
+    f"""{RESP}, u AS (SELECT DISTINCT user_id AS unit FROM events), g AS (SELECT unit, rater, cond FROM u, (SELECT unnest(['click','error','purchase','signup','view']) AS rater), (SELECT unnest(['p1','p2']) AS cond)),
+ d AS (SELECT DISTINCT unit, rater, cond FROM resp WHERE outcome IN ('','JSON_PARSE_FAILURE'))
+SELECT g.unit, g.rater, g.cond FROM g ANTI JOIN d ON g.unit=d.unit AND g.rater=d.rater AND g.cond=d.cond""",
+)
+def stream_pending_grid(spark, sf_dir):
+    folder = stream_folder(spark, "stream_pending_grid_out")
+    log = ST.answered(responses(event_stream(spark, sf_dir)))
+    ST.write_progress(log, AXES, f"{folder}/log", f"{folder}/done", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    ids = P.table(spark, sf_dir, "events").select(F.col("user_id").alias("unit")).distinct()
+    return ST.still_pending(ids, AXES, f"{folder}/done")
+
+
 # ---- rasters ----
 
 def pixel_table(spark, sf_dir):

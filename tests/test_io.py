@@ -236,13 +236,37 @@ def test_stream_keeps_the_first_answer_per_key(spark, folder):
     assert set(got) == {"p", "q"} and got["q"] == 13.0
 
 
-def test_stream_rewrites_what_is_pending(spark, folder):
+def test_stream_progress_over_batches_and_a_restart(spark, folder):
     src = folder / "in"
     src.mkdir()
+    units = spark.createDataFrame([(1, "x"), (2, "y")], "unit int, extra string")
+    axes = {"cond": ["p", "q"]}
+
+    def drain():
+        log = ST.answered(ST.read_log(spark, str(src), LOG, files_per_batch=1))
+        ST.write_progress(log, axes, str(folder / "log"), str(folder / "done"), str(folder / "cp")).trigger(availableNow=True).start().awaitTermination()
+        return sorted((r["unit"], r["cond"]) for r in ST.still_pending(units, axes, str(folder / "done")).collect())
+
     write_batch(src, "a.json", [(1, "p", "m", OBJ, 1.0, "2024-01-01T00:00:00")])
-    units = spark.createDataFrame([(1,), (2,)], "unit int")
-    log = ST.answered(ST.read_log(spark, str(src), LOG))
-    run = ST.write_pending(log, units, {"cond": ["p", "q"]}, str(folder / "log"), str(folder / "todo"), str(folder / "cp"))
-    run.trigger(availableNow=True).start().awaitTermination()
-    left = spark.read.parquet(str(folder / "todo")).filter("batch = 0").collect()
-    assert sorted((r["unit"], r["cond"]) for r in left) == [(1, "q"), (2, "p"), (2, "q")]
+    write_batch(src, "b.json", [(1, "q", "m", None, 1.0, "2024-01-01T00:01:00"), (2, "q", "m", "none", 1.0, "2024-01-01T00:02:00")])
+    assert drain() == [(1, "q"), (2, "p")]  # a failed call stays pending, a text without number does not
+    write_batch(src, "c.json", [(1, "q", "m", OBJ, 1.0, "2024-01-01T00:03:00"), (1, "p", "m", OBJ, 1.0, "2024-01-01T00:04:00")])
+    assert drain() == [(2, "p")]  # a new query from the same checkpoint
+    assert drain() == [(2, "p")]
+    sizes = spark.read.parquet(str(folder / "done")).groupBy("batch").count().collect()
+    assert sorted((r["batch"], r["count"]) for r in sizes) == [(0, 1), (1, 1), (2, 2)]
+    assert spark.read.parquet(str(folder / "log")).count() == 5
+
+
+def test_stream_first_answer_by_time_arrives_late(spark, folder):
+    src = folder / "in"
+    src.mkdir()
+    write_batch(src, "a.json", [(1, "p", "m", OBJ, 1.0, "2024-01-01T02:00:00"), (2, "p", "m", OBJ, 1.0, "2024-01-01T00:00:00")])
+    write_batch(src, "b.json", [(1, "p", "m", OBJ.replace("12", "13"), 1.0, "2024-01-01T00:00:00"), (2, "p", "m", "none", 1.0, "2023-01-01T00:00:00")])
+    log = ST.answered(ST.read_log(spark, str(src), LOG, files_per_batch=1))
+    first = ST.first_by_time(log, ["unit", "cond"], ["ts"])
+    ST.update_sink(first, str(folder / "out"), str(folder / "cp")).trigger(availableNow=True).start().awaitTermination()
+    got = {r["unit"]: r["value"] for r in ST.latest(spark, str(folder / "out"), first.schema, ["unit", "cond"]).collect()}
+    assert got == {1: 13.0, 2: 12.0}
+    sizes = spark.read.parquet(str(folder / "out")).groupBy("batch").count().collect()
+    assert sorted((r["batch"], r["count"]) for r in sizes) == [(0, 2), (1, 1)]  # changes only
