@@ -109,7 +109,11 @@ def quantiles(
     grain: float | None = 1.0,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per key, read from running counts over the level table."""
-    levels = level_table(df.filter(F.col(value).isNotNull()), keys, value, {"n": F.lit(1)})
+    return quantiles_of(level_table(df.filter(F.col(value).isNotNull()), keys, value, {"n": F.lit(1)}), keys, value, points, grain)
+
+
+def quantiles_of(levels: DataFrame, keys: Sequence[str], value: str, points: Mapping[str, float], grain: float | None = 1.0) -> DataFrame:
+    """The quantiles of a level table with counts ``n``."""
     pos = running(levels, keys, value, ["n"], grain)
     first, last = F.col("below_n"), F.col("below_n") + F.col("n") - F.lit(1)
     aggs = []

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from typing import Sequence
+from typing import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -16,7 +16,6 @@ from evalpanel.operators.metrics import TOO_FEW
 
 # The six-point weight distribution.
 SIX_POINT = (-math.sqrt(1.5), -1.0, -0.5, 0.5, 1.0, math.sqrt(1.5))
-P_FLOOR = 2.0 / 216.0
 
 
 def bin_weights(contrib: DataFrame, keys: Sequence[str], n_bins: int = 5) -> DataFrame:
@@ -110,13 +109,14 @@ def wild_replicates(
 
 
 def wild_test(observed: DataFrame, stars: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """p = (1 + #{|t*| >= |t|}) / (valid + 1), floored at the resolution of three clusters."""
-    t = observed.select(*keys, "t_obs")
+    """p = (1 + #{|t*| >= |t|}) / (valid + 1), floored at the resolution of the clusters: 6^G weight vectors come in pairs of opposite sign."""
+    t = observed.select(*keys, "t_obs", (2 / F.pow(F.lit(float(len(SIX_POINT))), F.col("n_clusters"))).alias("_floor"))
     both = join_null_safe(stars, t, keys) if keys else attach_totals(stars, t)
     mag = F.round(F.abs("t_star"), 10)
     grouped = both.groupBy(*keys) if keys else both.groupBy()
     out = grouped.agg(
         F.max("t_obs").alias("t_obs"),
+        F.max("_floor").alias("_floor"),
         F.count("t_star").alias("n_valid"),
         F.count_if(mag >= F.round(F.abs("t_obs"), 10)).alias("n_beyond"),
         F.count_distinct(mag).alias("n_distinct_abs_t"),
@@ -125,10 +125,10 @@ def wild_test(observed: DataFrame, stars: DataFrame, keys: Sequence[str]) -> Dat
     ok = F.col("t_obs").isNotNull() & (F.col("n_valid") > 0)
     return out.withColumns(
         {
-            "p_webb": F.when(ok, F.greatest(raw, F.lit(P_FLOOR))),
-            "below_resolution_floor": F.when(ok, raw < P_FLOOR).otherwise(F.lit(False)),
+            "p_webb": F.when(ok, F.greatest(raw, F.col("_floor"))),
+            "below_resolution_floor": F.when(ok, raw < F.col("_floor")).otherwise(F.lit(False)),
         }
-    )
+    ).drop("_floor")
 
 
 # ---- leave one cluster out ----
@@ -167,15 +167,33 @@ def leave_one_out_balanced(
     )
 
 
-def leave_one_out_rows(df: DataFrame, cluster: str) -> DataFrame:
-    """Rows repeated once per cluster other than their own, tagged ``dropped``: any grouped operator then
-    gives its leave-one-cluster-out refits with ``dropped`` among its keys. The cluster list is a vocabulary."""
-    names = df.agg(F.array_sort(F.collect_set(cluster)).alias("_all"))
-    return (
-        attach_totals(df, names)
-        .withColumn("dropped", F.explode(F.array_except("_all", F.array(F.col(cluster)))))
-        .drop("_all")
-    )
+#: How two partial results of an aggregate are merged.
+MERGES = {"sum": lambda a, b: a + b, "count": lambda a, b: a + b, "min": F.least, "max": F.greatest}
+AGGREGATES = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
+
+
+def complements(df: DataFrame, keys: Sequence[str], cluster: str, measures: Mapping[str, tuple[str, Column]]) -> DataFrame:
+    """(keys, dropped, measures): the aggregates of all rows but those of one cluster, for every cluster of ``df``.
+
+    ``measures`` names (aggregate, column) pairs; an aggregate is sum, count, min or max. The rows are aggregated once to (keys, cluster);
+    the complement of a cluster is what stands before it merged with what stands after it, so no row is repeated and nothing
+    needs to be subtracted again. With a value among the keys the result is the level table of the other clusters. A key that lacks a
+    cluster keeps all of its rows when that is dropped; a complement without rows has NULL measures, and the NULL cluster is one of its own.
+    """
+    keys = list(keys)
+    parts = df.groupBy(*keys, F.col(cluster).alias("dropped")).agg(*[AGGREGATES[how](c).alias(m) for m, (how, c) in measures.items()])
+    names = df.select(F.col(cluster).alias("dropped")).distinct().agg(F.collect_list(F.struct("dropped")).alias("_all"))  # a vocabulary
+    grid = attach_totals(parts.select(*keys).distinct(), names).select(*keys, F.explode("_all").alias("_d")).select(*keys, "_d.dropped")
+    full = join_null_safe(grid, parts, [*keys, "dropped"], "left")
+    ordered = W.partitionBy(*keys).orderBy("dropped")
+    sides = (ordered.rowsBetween(W.unboundedPreceding, -1), ordered.rowsBetween(1, W.unboundedFollowing))
+    over = {"count": F.sum}
+
+    def merged(m: str, how: str) -> Column:
+        before, after = (over.get(how, AGGREGATES[how])(m).over(w) for w in sides)
+        return F.when(before.isNull(), after).when(after.isNull(), before).otherwise(MERGES[how](before, after)).alias(m)
+
+    return full.select(*keys, "dropped", *[merged(m, how) for m, (how, _) in measures.items()])
 
 
 def refit_range(refits: DataFrame, keys: Sequence[str], value: str, expected: int = 3) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from evalpanel.functions.columns import EIGHT_EDGES, with_bins
 from evalpanel.functions.hashing import poisson_steps
+from evalpanel.functions.levels import quantiles_of
 from evalpanel.operators import cluster as K
 from evalpanel.operators import intervals as I
 from evalpanel.operators import metrics as M
@@ -354,8 +355,27 @@ def leave_one_cluster_out(spark, sf_dir):
 SELECT rater, {D('min(v)', 'lo')}, {D('max(v)', 'hi')}, {N('count(v)', 'n_usable')}, '' AS note FROM b GROUP BY rater""",
 )
 def leave_one_cluster_out_range(spark, sf_dir):
-    rows = K.leave_one_out_rows(P.base_panel(spark, sf_dir), "clus")
-    return K.refit_range(rows.groupBy("rater", "dropped").agg(F.avg("e").alias("v")), ["rater"], "v")
+    left = K.complements(P.base_panel(spark, sf_dir), ["rater"], "clus", {"s": ("sum", F.col("e")), "n": ("count", F.col("e"))})
+    return K.refit_range(left.withColumn("v", F.col("s") / F.col("n")), ["rater"], "v")
+
+
+@query(
+    "leave_one_cluster_out_extremes",
+    f"""{PANEL}, d AS (SELECT DISTINCT clus AS dropped FROM panel)
+SELECT config, dropped, {N('count(*)', 'n')}, {D('sum(e)', 'total')}, {D('min(e)', 'least')}, {D('max(e)', 'most')} FROM panel, d WHERE clus<>dropped GROUP BY config, dropped""",
+)
+def leave_one_cluster_out_extremes(spark, sf_dir):
+    e = F.col("e")
+    return K.complements(P.base_panel(spark, sf_dir), ["config"], "clus", {"n": ("count", e), "total": ("sum", e), "least": ("min", e), "most": ("max", e)})
+
+
+@query(
+    "leave_one_cluster_out_median",
+    f"""{PANEL}, d AS (SELECT DISTINCT clus AS dropped FROM panel) SELECT rater, dropped, {D('median(abs_e)', 'median_abs_e')} FROM panel, d WHERE clus<>dropped GROUP BY rater, dropped""",
+)
+def leave_one_cluster_out_median(spark, sf_dir):
+    levels = K.complements(P.base_panel(spark, sf_dir), ["rater", "abs_e"], "clus", {"n": ("count", F.col("abs_e"))})
+    return quantiles_of(levels.filter("n > 0"), ["rater", "dropped"], "abs_e", {"median_abs_e": 0.5})
 
 
 @query("clustered_to_headline_width")

@@ -223,3 +223,28 @@ def test_a_unit_in_two_strata_is_drawn_in_both(spark):
     stat = B.Statistic({"s_n": "1.0D"}, "s_n")
     found = B.replicates(rows, [], stat, 6, 5, "multinomial", ["bin"]).collect()
     assert [r["theta"] for r in found] == [80.0] * 6
+
+
+def test_complements_of_clusters(spark):
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"k": rng.choice(["a", "b"], 60), "c": rng.choice(["x", "y", "z", None], 60), "v": rng.integers(-9, 9, 60)})
+    pdf.loc[pdf["k"] == "b", "c"] = pdf.loc[pdf["k"] == "b", "c"].replace("x", "y")  # a key without one cluster
+    pdf.loc[len(pdf)] = ["only", "z", 5]
+    df = spark.createDataFrame(pdf)
+    v = F.col("v")
+    got = K.complements(df, ["k"], "c", {"s": ("sum", v), "n": ("count", v), "lo": ("min", v), "hi": ("max", v)}).collect()
+    assert len(got) == 3 * 4
+    for r in got:
+        rest = pdf[(pdf["k"] == r["k"]) & (pdf["c"].notna() if r["dropped"] is None else (pdf["c"] != r["dropped"]))]["v"]
+        want = (rest.sum(), len(rest), rest.min(), rest.max()) if len(rest) else (None,) * 4
+        assert (r["s"], r["n"], r["lo"], r["hi"]) == want
+    levels = K.complements(df, ["k", "v"], "c", {"n": ("count", v)}).filter("n > 0").groupBy("k", "dropped").agg(F.sum("n").alias("n")).collect()
+    assert {(r["k"], r["dropped"]): r["n"] for r in levels} == {(r["k"], r["dropped"]): r["n"] for r in got if r["n"]}
+
+
+def test_wild_floor_follows_the_number_of_clusters(spark):
+    for groups, floor in ((2, 2 / 36), (3, 2 / 216), (4, 2 / 1296)):
+        sums = spark.createDataFrame([(c, 10.0 + 0.01 * c, 1.0) for c in range(groups)], "c int, swd double, sw double")
+        stars = K.wild_replicates(sums, [], "c", 0, enumerate_all=True)
+        r = K.wild_test(K.clustered_interval(sums, [], "c", interval=False), stars, []).collect()[0]
+        assert r["p_webb"] >= floor and r["p_webb"] == pytest.approx(max(floor, (1 + r["n_beyond"]) / (r["n_valid"] + 1)))
