@@ -4,17 +4,19 @@ Rows are first compressed to one row per (keys, value) with summed measures, whi
 so a value held by a third of all rows is one row afterwards. Running sums are then taken in two
 steps: inside (keys, value bucket), and over the few bucket totals of a key. No task ever sees all
 rows of one key, although the keys of a panel (raters, conditions, pairs) are few and hot.
+The buckets end at quantiles of the levels themselves, so they are even whatever the scale or skew.
 """
 
 from __future__ import annotations
 
-from typing import Mapping, Sequence
+from typing import Literal, Mapping, Sequence, Union
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from evalpanel.session import cut_lineage
+Grain = Union[float, None, Literal["auto"]]
 
 
 def spread(df: DataFrame, *by: str) -> DataFrame:
@@ -30,17 +32,38 @@ def level_table(df: DataFrame, keys: Sequence[str], value: str, measures: Mappin
     return df.groupBy(*keys, value).agg(*[F.sum(m).alias(n) for n, m in measures.items()])
 
 
+def adaptive_cuts(df: DataFrame, value: str, cuts: int | None = None) -> DataFrame:
+    """Add ``_cut``: which of ``cuts`` intervals of the value axis, each with about as many rows, holds the row.
+
+    The ends are quantiles from a mergeable sketch of all rows, one short array; a row finds its interval by halving.
+    Equal values share an interval, so (key, cut) groups of a level table never hold more than a cut's share of its rows.
+    The default is one interval per shuffle partition. NULL falls into the first interval.
+    """
+    cuts = cuts or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    every = F.hash(*[F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, T.MapType)])
+    ends = F.percentile_approx(value, [i / cuts for i in range(1, cuts)], max(10_000, 20 * cuts))
+    # The hash asks for all columns, so that this branch reads the same shuffled table as the rows themselves.
+    points = df.agg(F.when(F.max(every).isNotNull(), ends).alias("_ends"))
+    out, step = attach_totals(df, points).withColumn("_cut", F.lit(0)), 1 << (cuts - 1).bit_length()
+    while step:
+        further = F.col("_cut") + F.lit(step)
+        out = out.withColumn("_cut", F.when(F.get("_ends", further - 1) <= F.col(value), further).otherwise(F.col("_cut")))
+        step //= 2
+    return out.drop("_ends")
+
+
 def running(
     levels: DataFrame,
     keys: Sequence[str],
     value: str,
     measures: Sequence[str],
-    grain: float | None = 1.0,
+    grain: Grain = "auto",
 ) -> DataFrame:
     """Add ``below_<m>`` (sum over smaller values of the key) and ``all_<m>`` (sum over the key).
 
-    ``grain`` is the bucket width on the value axis: any width is correct, it only sets how finely a
-    key is spread over tasks. ``None`` is for keys known to hold few levels.
+    ``grain`` "auto" takes ``adaptive_cuts``. A number is the bucket width for values known to be spread evenly (such
+    as hashes): any width is correct, it only sets how finely a key is spread over tasks. ``None`` is for keys known
+    to hold few levels.
     """
     keys = list(keys)
     if grain is None:
@@ -53,7 +76,10 @@ def running(
     # One struct stands for the keys: it equals itself with NULL fields, so windows and join agree on
     # one hash partitioning and the level table is shuffled once.
     group = F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)
-    cut = levels.withColumns({"_key": group, "_cut": F.floor(F.col(value) / F.lit(float(grain)))})
+    if grain == "auto":
+        cut = adaptive_cuts(levels, value).withColumn("_key", group)
+    else:
+        cut = levels.withColumns({"_key": group, "_cut": F.floor(F.col(value) / F.lit(float(grain)))})
     totals = cut.groupBy("_key", "_cut").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
     over_cuts = W.partitionBy("_key").orderBy("_cut").rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy("_key")
@@ -106,13 +132,13 @@ def quantiles(
     keys: Sequence[str],
     value: str,
     points: Mapping[str, float],
-    grain: float | None = 1.0,
+    grain: Grain = "auto",
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per key, read from running counts over the level table."""
     return quantiles_of(level_table(df.filter(F.col(value).isNotNull()), keys, value, {"n": F.lit(1)}), keys, value, points, grain)
 
 
-def quantiles_of(levels: DataFrame, keys: Sequence[str], value: str, points: Mapping[str, float], grain: float | None = 1.0) -> DataFrame:
+def quantiles_of(levels: DataFrame, keys: Sequence[str], value: str, points: Mapping[str, float], grain: Grain = "auto") -> DataFrame:
     """The quantiles of a level table with counts ``n``."""
     pos = running(levels, keys, value, ["n"], grain)
     first, last = F.col("below_n"), F.col("below_n") + F.col("n") - F.lit(1)

@@ -7,11 +7,11 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalpanel.functions.levels import attach_totals, join_null_safe, quantiles
+from evalpanel.functions.levels import Grain, attach_totals, join_null_safe, quantiles
 from evalpanel.operators.ranks import kendall_tau_b, spearman
 
 
-def path_agreement(pairs: DataFrame, keys: Sequence[str], x: str = "pred", y: str = "pred2", grain: float | None = 1.0) -> DataFrame:
+def path_agreement(pairs: DataFrame, keys: Sequence[str], x: str = "pred", y: str = "pred2", grain: Grain = "auto") -> DataFrame:
     """Exact matches, quantiles of |x - y|, 95 % limits of x - y, rank correlation."""
     d = pairs.withColumns({"_d": F.col(x) - F.col(y), "_a": F.abs(F.col(x) - F.col(y))})
     exact = d.groupBy(*keys).agg(

@@ -55,8 +55,8 @@ def cutoff_sweep(
         F.coalesce(F.col("_m")[F.col("bin")]["n"], F.lit(0)).alias("n"),
         F.coalesce(F.col("_m")[F.col("bin")]["s"], F.lit(0.0)).alias("s"),
     )
-    down = W.partitionBy(*keys, "bin").orderBy(F.col("cutoff").desc()).rowsBetween(W.unboundedPreceding, 0)
-    kept = cell.select(*keys, "cutoff", "bin", F.sum("n").over(down).alias("n"), F.sum("s").over(down).alias("s"))
+    above = running(cell.withColumn("_down", -F.col("cutoff")), [*keys, "bin"], "_down", ["n", "s"])
+    kept = above.select(*keys, "cutoff", "bin", (F.col("below_n") + F.col("n")).alias("n"), (F.col("below_s") + F.col("s")).alias("s"))
     blanks = sums.filter(F.col("cutoff").isNull()).select(*keys, "bin", F.col("n").alias("_bn"), F.col("s").alias("_bs"))
     if missing == "keep":
         kept = join_null_safe(kept, blanks, [*keys, "bin"], "left").select(

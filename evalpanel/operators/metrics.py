@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evalpanel.functions.columns import within
-from evalpanel.functions.levels import attach_totals, join_bounded, join_null_safe, quantiles
+from evalpanel.functions.levels import Grain, attach_totals, join_bounded, join_null_safe, quantiles
 
 TOO_FEW = "not computed (bin n < 10)"
 
@@ -33,7 +33,7 @@ def error_metrics(panel: DataFrame, keys: Sequence[str], zero_tol: float = 1e-8)
     )
 
 
-def median_bias(panel: DataFrame, keys: Sequence[str], grain: float | None = 1.0) -> DataFrame:
+def median_bias(panel: DataFrame, keys: Sequence[str], grain: Grain = "auto") -> DataFrame:
     return quantiles(panel, keys, "e", {"median_bias": 0.5}, grain)
 
 
@@ -97,7 +97,7 @@ def units_per_bin(panel: DataFrame, keys: Sequence[str], n_bins: int, unit: str
     )
 
 
-def bin_spread(panel: DataFrame, keys: Sequence[str], value: str = "e", grain: float | None = 1.0) -> DataFrame:
+def bin_spread(panel: DataFrame, keys: Sequence[str], value: str = "e", grain: Grain = "auto") -> DataFrame:
     """Mean, median, sd, IQR of a value per bin."""
     moments = panel.groupBy(*keys, "bin").agg(
         F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd")
@@ -264,7 +264,7 @@ def top_k_average(panel: DataFrame, k: int, limit: float, rater: str = "rater",
 
 # ---- baselines ----
 
-def constant_baselines(unit_frame: DataFrame, constants: Mapping[str, float], grain: float | None = 1.0) -> DataFrame:
+def constant_baselines(unit_frame: DataFrame, constants: Mapping[str, float], grain: Grain = "auto") -> DataFrame:
     """MAE of predicting the median, the mean, or fixed constants for every unit."""
     mean = unit_frame.agg(F.avg("reference").alias("c_mean"))
     med = quantiles(unit_frame, [], "reference", {"c_median": 0.5}, grain)

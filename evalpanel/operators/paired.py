@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from typing import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalpanel.functions.distributions import normal_p, sign_p
-from evalpanel.functions.levels import join_null_safe, level_table, quantiles, running, spread
+from evalpanel.functions.hashing import uniform
+from evalpanel.functions.levels import Grain, adaptive_cuts, join_null_safe, level_table, quantiles, running, spread
 from evalpanel.session import cut_lineage
 
 
@@ -85,7 +85,7 @@ def balanced_difference(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def signed_rank(pairs: DataFrame, keys: Sequence[str], grain: float | None = 1.0) -> DataFrame:
+def signed_rank(pairs: DataFrame, keys: Sequence[str], grain: Grain = "auto") -> DataFrame:
     """Signed-rank sums with zeros ranked and then dropped (Pratt), tie and continuity corrected z.
 
     Ranks among the non-zero differences come from a level table; including the zeros adds their
@@ -133,169 +133,163 @@ def signed_rank(pairs: DataFrame, keys: Sequence[str], grain: float | None = 1.0
     )
 
 
-_BRACKET = T.StructType([T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())])
-
-
-def _median_bracket(levels: DataFrame, facts: DataFrame, keys: Sequence[str], cells: int) -> DataFrame:
-    """An interval sure to hold the median pair sum, from a histogram of the levels per key.
-
-    Pairs of cells i and j have sums in [i + j, i + j + 2) cell widths, so counting pairs per i + j (a
-    convolution of at most ``cells`` numbers) bounds the median to two widths.
-    """
-    join = (lambda d, s: join_null_safe(d, s, keys)) if keys else (lambda d, s: d.join(F.broadcast(s)))
-    width = F.greatest((F.col("_hi") - F.col("_lo")) / F.lit(float(cells)), F.lit(1e-9))
-    cell = F.least(F.floor((F.col("d") - F.col("_lo")) / width), F.lit(cells - 1)).cast("int")
-    ends = facts.select(*keys, "_lo", "_hi")
-    hist = join(levels, ends).groupBy(*keys, cell.alias("_b")).agg(F.sum("n").alias("_n"))
-    grouped = hist.groupBy(*keys) if keys else hist.groupBy()
-    packed = join(grouped.agg(F.collect_list(F.struct("_b", "_n")).alias("_h")), facts).withColumn("_w", width)
-
-    @F.pandas_udf(_BRACKET)
-    def bound(cell_ids: pd.Series, counts: pd.Series, low: pd.Series, w: pd.Series, n: pd.Series) -> pd.DataFrame:
-        out = []
-        for b, c, lo, step, total in zip(cell_ids, counts, low, w, n):
-            h = np.zeros(cells)
-            h[np.asarray(b, dtype=int)] = np.asarray(c, dtype=float)
-            pairs = np.convolve(h, h)
-            pairs[::2] += h
-            upto = np.cumsum(pairs / 2)
-            k = total * (total + 1) / 2
-            first = int(np.searchsorted(upto, (k + 1) // 2 * (1 - 1e-12)))
-            last = int(np.searchsorted(upto, (k // 2 + 1) * (1 + 1e-12)))
-            # The offset keeps the ends off the round values that sums of data fall on.
-            out.append((2 * lo + (first - 0.1415926535) * step, 2 * lo + (last + 2.1415926535) * step))
-        return pd.DataFrame(out, columns=["lo", "hi"])
-
-    got = bound("_h._b", "_h._n", "_lo", "_w", F.col("_total").cast("double"))
-    return packed.select(*keys, got.alias("_r")).select(*keys, "_r.lo", "_r.hi")
-
-
 def hodges_lehmann(
-    pairs: DataFrame,
-    keys: Sequence[str],
-    grain: float = 1.0,
-    cells: int = 2048,
-    probes: int = 16,
-    budget: int = 200_000,
-    max_rounds: int = 14,
+    pairs: DataFrame, keys: Sequence[str], probes: int = 8, sample: int = 4096, budget: int = 50_000
 ) -> DataFrame:
     """Median of all Walsh averages (d_i + d_j) / 2, i <= j, exact, without listing the pairs.
 
-    Differences are compressed to levels and a histogram gives an interval around the median pair sum.
-    The number of pairs with sum <= t is a sum of running counts at t - d_i; it places the interval's
-    ends, and narrows it while more than ``budget`` level pairs, and four times the levels, are inside: one sum
-    alone can be that of a pair for every level. The pairs left are then found by an equi-join on slots of the interval's width. Only a few numbers per contrast come to the driver.
+    Selection in X + X: the differences are compressed to sorted levels, and the partners of a level whose pair sum
+    lies between two thresholds are a run of positions. A round draws pair sums from all open runs, takes ``probes``
+    of their quantiles as thresholds, and counts the pairs on either side of each, which leaves about one in
+    ``probes`` level pairs open. Thresholds are always sums of data: one that the median falls on ends the search
+    however many pairs share it, and one that it misses is left out of the next run, so every round makes progress.
+    At most ``budget`` level pairs per contrast are listed at the end, by position. A round gives the driver ``probes`` numbers per contrast.
+
+    Sums closer than a few roundings of the largest difference count as equal. Differences that are null or not finite
+    take no part; a contrast without any has no row.
     """
     spark = pairs.sparkSession
     keys = list(keys)
-    levels = cut_lineage(spread(level_table(pairs.filter(F.col("d").isNotNull()), keys, "d", {"n": F.lit(1)}), *keys, "d"))
-    facts = levels.groupBy(*keys).agg(
-        F.sum("n").alias("_total"), F.count("*").alias("_levels"), F.min("d").alias("_lo"), F.max("d").alias("_hi")
-    )
-    start = _median_bracket(levels, facts, keys, cells).withColumnsRenamed({"lo": "_from", "hi": "_to"})
-    known = join_null_safe(facts, start, keys) if keys else facts.join(F.broadcast(start))
-    brackets: dict[tuple, dict] = {}
-    for row in known.collect():
-        pairs_total = row["_total"] * (row["_total"] + 1) // 2
-        inside = row["_levels"] * (row["_levels"] + 1) // 2
-        brackets[tuple(row[k] for k in keys)] = {
-            "lo": 2 * row["_lo"] - 1.0,
-            "hi": 2 * row["_hi"] + 1.0,
+    one, finite = F.lit(1).cast("bigint"), F.abs(F.col("d")) < F.lit(math.inf)
+    table = level_table(pairs.filter(finite), keys, "d", {"n": one}).withColumn("_one", one)
+    sorted_levels = running(table, keys, "d", ["_one"]).select(*keys, "d", "n", F.col("below__one").alias("at"))
+    levels = cut_lineage(spread(sorted_levels, *keys, "d"))
+    facts = levels.groupBy(*keys).agg(F.sum("n").alias("_total"), F.count("*").alias("_levels"), F.max(F.abs("d")).alias("_top"))
+    open_: dict[tuple, dict] = {}
+    found: dict[tuple, dict[int, float]] = {}
+    for row in facts.collect():
+        key, total = tuple(row[k] for k in keys), row["_total"] * (row["_total"] + 1) // 2
+        open_[key] = {
+            "lo": -math.inf,
+            "hi": math.inf,
             "base": 0,
-            "levels": (0, inside),
-            "n_levels": row["_levels"],
-            "ask": [row["_from"], row["_to"]],
-            "k1": (pairs_total + 1) // 2,
-            "k2": pairs_total // 2 + 1,
+            "inside": (0, row["_levels"] * row["_levels"]),
+            "near": 16 * max(row["_top"], 1e-290) * 2.0**-52,
+            "ranks": {(total + 1) // 2, total // 2 + 1},
         }
+        found[key] = {}
+    wanted = {key: sorted(b["ranks"]) for key, b in open_.items()}
     key_schema = [levels.schema[k] for k in keys]
-    types = {"ask": T.ArrayType(T.DoubleType()), "lo": T.DoubleType(), "hi": T.DoubleType()}
+    types = {"ask": T.ArrayType(T.DoubleType()), "lo": T.DoubleType(), "hi": T.DoubleType(), "value": T.DoubleType()}
 
-    def as_frame(fields: Sequence[str], chosen: Mapping[tuple, dict]) -> DataFrame:
+    def attach(chosen: Mapping[tuple, dict], *fields: str) -> DataFrame:
         schema = T.StructType(key_schema + [T.StructField(f, types.get(f, T.LongType())) for f in fields])
-        return spark.createDataFrame([(*k, *[v[f] for f in fields]) for k, v in chosen.items()], schema)
-
-    def attach(df: DataFrame, small: DataFrame) -> DataFrame:
         # One row per contrast, built on the driver.
-        return join_null_safe(df, F.broadcast(small), keys) if keys else df.join(F.broadcast(small))
-
-    for turn in range(max_rounds):
-        chosen = {k: v for k, v in brackets.items() if turn == 0 or v["levels"][1] - v["levels"][0] > max(budget, 4 * v["n_levels"])}
-        if not chosen:
-            break
-        for key, found in _pairs_up_to(attach(levels, as_frame(["ask"], chosen)), keys, grain).items():
-            b = brackets[key]
-            under = [f for f in found if f[1] < b["k1"]]
-            over = [f for f in found if f[1] >= b["k2"]]
-            low, high = b["levels"]
-            if under:
-                b["lo"], b["base"], low = max(under)
-            if over:
-                b["hi"], _, high = min(over)
-            b["levels"] = (low, high)
-            step = (b["hi"] - b["lo"]) / (probes + 1)
-            b["ask"] = [b["lo"] + step * (m + 0.8584073464) for m in range(probes)]
-
-    small = as_frame(["lo", "hi", "base", "k1", "k2"], brackets)
-    rows = attach(levels, small).withColumn("_w", F.greatest(F.col("hi") - F.col("lo"), F.abs("hi") * 1e-12, F.lit(1e-300)))
-    slot = lambda c: F.floor(c / F.col("_w"))
-    left = rows.withColumn(
-        "_s", F.explode(F.sequence(slot(F.col("lo") - F.col("d")) - 1, slot(F.col("hi") - F.col("d")) + 1))
+        small = F.broadcast(spark.createDataFrame([(*k, *[v[f] for f in fields]) for k, v in chosen.items()], schema))
+        return join_null_safe(levels, small, keys) if keys else levels.join(small)
+
+    def runs(chosen: Mapping[tuple, dict]) -> DataFrame:
+        """Levels with the positions [first, last) of their open partners."""
+        for b in chosen.values():
+            b["ask"] = [b["lo"], b["hi"]]
+        at = _positions(attach(chosen, "ask"), keys)
+        ends = at.groupBy(*keys, "d", "n", "at").agg(F.min("upto").alias("first"), F.max("upto").alias("last"))
+        return ends.filter("last > first")
+
+    turn = 0
+    while any(b["inside"][1] - b["inside"][0] > 2 * budget for b in open_.values()):
+        turn += 1
+        wide = {k: b | {"room": b["inside"][1] - b["inside"][0]} for k, b in open_.items() if b["inside"][1] - b["inside"][0] > 2 * budget}
+        rooms = spark.createDataFrame([(*k, b["room"]) for k, b in wide.items()], T.StructType(key_schema + [T.StructField("room", T.LongType())]))
+        wide_runs = runs(wide)
+        sized = join_null_safe(wide_runs, F.broadcast(rooms), keys) if keys else wide_runs.join(F.broadcast(rooms))
+        # A run is drawn in proportion to its length, rounded up or down by a hash.
+        share = (F.col("last") - F.col("first")) * F.lit(float(sample)) / F.col("room")
+        many = F.floor(share + uniform(turn, [*keys, "d"])).cast("int")
+        drawn = sized.withColumn("_m", many).filter("_m > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_m"))))
+        place = F.col("first") + F.floor(uniform(turn, [*keys, "d", "_i"]) * (F.col("last") - F.col("first")))
+        seen = drawn.select(*keys, "d", place.alias("at"))
+        partners = levels.select(*keys, F.col("d").alias("d2"), "at")
+        sums = join_null_safe(seen, partners, [*keys, "at"]).select(*keys, (F.col("d") + F.col("d2")).alias("s"))
+        points = [(i + 0.5) / probes for i in range(probes)]
+        for row in sums.groupBy(*keys).agg(F.percentile_approx("s", points, 10_000).alias("t")).collect():
+            b = open_[tuple(row[k] for k in keys)]
+            b["tried"] = sorted(set(row["t"]))
+        asked = {k: open_[k] for k in wide if open_[k].get("tried")}
+        for b in asked.values():
+            b["ask"] = sorted({x for t in b["tried"] for x in (t - b["near"], t + b["near"])})
+        for key, counts in _pairs_up_to(attach(asked, "ask"), keys).items():
+            b = asked[key]
+            for t in b["tried"]:
+                under, upto = counts[t - b["near"]][0], counts[t + b["near"]][0]
+                for rank in [r for r in b["ranks"] if under < r <= upto]:
+                    found[key][rank] = t
+                    b["ranks"].discard(rank)
+            if not b["ranks"]:
+                del open_[key]
+                continue
+            for t, (values, cells) in counts.items():
+                if values < min(b["ranks"]) and t > b["lo"]:
+                    b["lo"], b["base"], b["inside"] = t, values, (cells, b["inside"][1])
+                if values >= max(b["ranks"]) and t < b["hi"]:
+                    b["hi"], b["inside"] = t, (b["inside"][0], cells)
+        for b in open_.values():
+            b.pop("tried", None)
+
+    rows = [(*key, value) for key, ranks in found.items() if len(ranks) == len(wanted[key]) for value in [sum(ranks.values()) / len(ranks) / 2]]
+    out = spark.createDataFrame(rows, T.StructType(key_schema + [T.StructField("hodges_lehmann", T.DoubleType())]))
+    if not open_:
+        return out
+    for key, b in open_.items():
+        b |= {"k1": wanted[key][0], "k2": wanted[key][-1]}
+        b |= {"v1": found[key].get(b["k1"]), "v2": found[key].get(b["k2"])}
+    schema = T.StructType(
+        key_schema + [T.StructField(f, T.LongType()) for f in ("base", "k1", "k2")] + [T.StructField(f, T.DoubleType()) for f in ("v1", "v2")]
+    )
+    ends = spark.createDataFrame([(*k, b["base"], b["k1"], b["k2"], b["v1"], b["v2"]) for k, b in open_.items()], schema)
+    listed = runs(open_).filter(F.col("last") > F.col("at")).select(
+        *keys, "d", "n", F.explode(F.sequence(F.greatest("first", "at"), F.col("last") - 1)).alias("at")
     )
-    right = rows.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("d").alias("d2"), F.col("n").alias("n2"), slot(F.col("d")).alias("_s2"))
-    cond = (F.col("_s") == F.col("_s2")) & (F.col("d") <= F.col("d2"))
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    total = F.col("d") + F.col("d2")
-    found = left.join(right, cond).filter((total > F.col("lo")) & (total <= F.col("hi")))
+    partners = levels.select(*keys, F.col("d").alias("d2"), F.col("n").alias("n2"), "at")
     count = F.when(F.col("d") < F.col("d2"), F.col("n") * F.col("n2")).otherwise(F.shiftright(F.col("n") * (F.col("n") + 1), 1))
-    sums = found.groupBy(*keys, total.alias("s"), "base", "k1", "k2").agg(F.sum(count).alias("_c"))
-    # At most about ``budget`` sums are left per contrast.
-    upto = F.col("base") + F.sum("_c").over(W.partitionBy(*keys).orderBy("s").rowsBetween(W.unboundedPreceding, 0))
-    ordered = sums.withColumn("_u", upto)
-    hit = lambda k: F.min(F.when(F.col("_u") >= F.col(k), F.col("s")))
-    return ordered.groupBy(*keys).agg(((hit("k1") + hit("k2")) / 4).alias("hodges_lehmann"))
+    last_sums = join_null_safe(listed, partners, [*keys, "at"]).groupBy(*keys, (F.col("d") + F.col("d2")).alias("s")).agg(F.sum(count).alias("_c"))
+    ordered = running(last_sums, keys, "s", ["_c"], None)  # at most ``budget`` sums per contrast
+    ranked = join_null_safe(ordered, F.broadcast(ends), keys) if keys else ordered.join(F.broadcast(ends))
+    reach = F.col("base") + F.col("below__c") + F.col("_c")
+    hit = lambda k, v: F.coalesce(F.max(v), F.min(F.when(reach >= F.col(k), F.col("s"))))
+    return out.unionByName(ranked.groupBy(*keys).agg(((hit("k1", "v1") + hit("k2", "v2")) / 4).alias("hodges_lehmann")))
 
 
-def _pairs_up_to(bounds: DataFrame, keys: Sequence[str], grain: float) -> dict[tuple, list]:
-    """Per key and asked threshold t: (t, value pairs with sum <= t, level pairs with sum <= t).
+def _positions(bounds: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per level and threshold t of ``ask``: ``upto`` levels and ``held`` values of the contrast lie at or below t - d.
 
-    Levels and thresholds less a level are put in one order and counted by running sums over cuts of
-    the value axis.
+    Levels and thresholds less a level are put in one order and counted by running sums over adaptive cuts of the value axis.
     """
-    zero, cut = F.lit(0).cast("bigint"), F.floor(F.col("pos") / F.lit(grain)).alias("_cut")
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
     data = bounds.select(
-        *keys, F.col("d").alias("pos"), F.lit(0).alias("kind"), "n", F.lit(1).cast("bigint").alias("one"),
-        zero.alias("w"), F.lit(None).cast("double").alias("t"), "d",
+        *keys, F.col("d").alias("pos"), F.lit(0).alias("kind"), F.col("n").alias("_n"), one.alias("_k"), F.lit(None).cast("double").alias("t"), "d", "n", "at"
     )
-    asked = bounds.select(*keys, "d", "n", F.explode("ask").alias("t")).select(
-        *keys, (F.col("t") - F.col("d")).alias("pos"), F.lit(1).alias("kind"), zero.alias("n"), zero.alias("one"),
-        F.col("n").alias("w"), "t", "d",
+    asked = bounds.select(*keys, "d", "n", "at", F.explode("ask").alias("t")).select(
+        *keys, (F.col("t") - F.col("d")).alias("pos"), F.lit(1).alias("kind"), zero.alias("_n"), zero.alias("_k"), "t", "d", "n", "at"
     )
-    events = data.unionByName(asked).select("*", cut)
-    # Cuts without data still hold thresholds, so the totals are taken over both.
-    totals = events.groupBy(*keys, "_cut").agg(F.sum("n").alias("_n"), F.sum("one").alias("_k"))
+    events = adaptive_cuts(data.unionByName(asked), "pos")
+    totals = events.groupBy(*keys, "_cut").agg(F.sum("_n").alias("_sn"), F.sum("_k").alias("_sk"))
     before = W.partitionBy(*keys).orderBy("_cut").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
-        *keys, "_cut", F.coalesce(F.sum("_n").over(before), zero).alias("_on"), F.coalesce(F.sum("_k").over(before), zero).alias("_ok")
+        *keys, "_cut", F.coalesce(F.sum("_sn").over(before), zero).alias("_on"), F.coalesce(F.sum("_sk").over(before), zero).alias("_ok")
     )
     inside = W.partitionBy(*keys, "_cut").orderBy("pos", "kind").rowsBetween(W.unboundedPreceding, 0)
-    counted = events.withColumns({"_in": F.sum("n").over(inside), "_ik": F.sum("one").over(inside)}).filter("kind = 1")
-    placed = join_null_safe(counted, offsets, [*keys, "_cut"])
-    twice = F.col("d") + F.col("d") <= F.col("t")
-    got = placed.groupBy(*keys, "t").agg(
-        # Ordered pairs plus pairs with itself, halved.
-        F.shiftright(F.sum(F.col("w") * (F.col("_on") + F.col("_in"))) + F.sum(F.when(twice, F.col("w")).otherwise(zero)), 1).alias("_c"),
-        F.shiftright(F.sum(F.col("_ok") + F.col("_ik")) + F.count_if(twice), 1).alias("_lv"),
+    counted = events.withColumns({"_in": F.sum("_n").over(inside), "_ik": F.sum("_k").over(inside)}).filter("kind = 1")
+    return join_null_safe(counted, offsets, [*keys, "_cut"]).select(
+        *keys, "d", "n", "at", "t", (F.col("_ok") + F.col("_ik")).alias("upto"), (F.col("_on") + F.col("_in")).alias("held")
+    )
+
+
+def _pairs_up_to(bounds: DataFrame, keys: Sequence[str]) -> dict[tuple, dict[float, tuple[int, int]]]:
+    """Per key and threshold t: value pairs i <= j with sum <= t, and ordered level pairs with sum <= t."""
+    # Ordered pairs plus pairs with itself, halved.
+    twice = F.when(F.col("d") + F.col("d") <= F.col("t"), F.col("n")).otherwise(F.lit(0))
+    got = _positions(bounds, keys).groupBy(*keys, "t").agg(
+        F.shiftright(F.sum(F.col("n") * F.col("held")) + F.sum(twice), 1).alias("values"), F.sum("upto").alias("cells")
     )
-    out: dict[tuple, list] = {}
+    out: dict[tuple, dict] = {}
     for row in got.collect():
-        out.setdefault(tuple(row[k] for k in keys), []).append((row["t"], row["_c"], row["_lv"]))
+        out.setdefault(tuple(row[k] for k in keys), {})[row["t"]] = (row["values"], row["cells"])
     return out
 
 
 def contrast_table(
-    pairs: DataFrame, keys: Sequence[str], grain: float | None = 1.0, p_values: bool = True, location: bool = True
+    pairs: DataFrame, keys: Sequence[str], grain: Grain = "auto", p_values: bool = True, location: bool = True
 ) -> DataFrame:
     """One row per pair: differences, effects, signed-rank and sign tests, and their checks.
 
@@ -360,7 +354,7 @@ def baseline_contrast(panel: DataFrame, baseline: DataFrame, keys: Sequence[str]
 
 # ---- reproducibility floor ----
 
-def repeat_floor(runs: DataFrame, rater: str = "rater", unit: str = "unit", grain: float | None = 1.0) -> DataFrame:
+def repeat_floor(runs: DataFrame, rater: str = "rater", unit: str = "unit", grain: Grain = "auto") -> DataFrame:
     """Run-to-run agreement per rater from pairs seen in both runs."""
     both = runs.groupBy(rater, unit).pivot("run", ["run1", "run2"]).agg(F.min("pred"))
     d = both.dropna(subset=["run1", "run2"]).withColumn("d", F.abs(F.col("run1") - F.col("run2")))

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evalpanel.functions.distributions import fisher_p
-from evalpanel.functions.levels import attach_totals, join_bounded, join_null_safe, level_table, running
+from evalpanel.functions.levels import Grain, attach_totals, join_bounded, join_null_safe, level_table, running
 
 
 def _w(weight: str | None) -> Column:
@@ -22,8 +22,8 @@ def spearman(
     x: str,
     y: str,
     weight: str | None = None,
-    grain_x: float | None = 1.0,
-    grain_y: float | None = 1.0,
+    grain_x: Grain = "auto",
+    grain_y: Grain = "auto",
 ) -> DataFrame:
     """Correlation of mid-ranks. Both rank tables come from one (keys, x, y) count table."""
     keys = list(keys)
@@ -34,7 +34,7 @@ def spearman(
         .agg(F.sum("_w").alias("_n"))
     )
 
-    def ranks(col: str, grain: float | None) -> DataFrame:
+    def ranks(col: str, grain: Grain) -> DataFrame:
         lv = running(cells.groupBy(*keys, col).agg(F.sum("_n").alias("_k")), keys, col, ["_k"], grain)
         centred = F.col("below__k") + (F.col("_k") - F.col("all__k")) / F.lit(2.0)
         return lv.select(*keys, col, centred.alias(f"_r{col}"), F.col("all__k").alias(f"_n{col}"))
@@ -110,7 +110,7 @@ def _labelled_levels(df: DataFrame, keys: Sequence[str], score: str, positive: s
 
 
 def auc(
-    df: DataFrame, keys: Sequence[str], score: str, positive: str, weight: str | None = None, grain: float | None = 1.0
+    df: DataFrame, keys: Sequence[str], score: str, positive: str, weight: str | None = None, grain: Grain = "auto"
 ) -> DataFrame:
     """P(score of a negative > score of a positive) + half the ties, by running counts."""
     lv = running(_labelled_levels(df, keys, score, positive, weight), keys, score, ["pos", "neg"], grain)
@@ -133,7 +133,7 @@ def mean_auc(cell_auc: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def roc_points(
-    df: DataFrame, keys: Sequence[str], score: str, positive: str, missing: str = "drop", grain: float | None = 1.0
+    df: DataFrame, keys: Sequence[str], score: str, positive: str, missing: str = "drop", grain: Grain = "auto"
 ) -> DataFrame:
     """TPR and FPR of the rule score <= level at every realised level.
 
@@ -194,7 +194,7 @@ def missing_by_label(df: DataFrame, keys: Sequence[str], missing: Column, positi
 
 
 def pair_percentage(
-    df: DataFrame, keys: Sequence[str], score: str, feature: str, weight: str | None = None, grain: float | None = 1.0
+    df: DataFrame, keys: Sequence[str], score: str, feature: str, weight: str | None = None, grain: Grain = "auto"
 ) -> DataFrame:
     """Percent of (feature, reference) pairs in which the feature row has the lower score, ties half."""
     a = auc(df, keys, score, feature, weight, grain)
@@ -210,7 +210,7 @@ def group_levels(
     group: str,
     groups: Sequence,
     weight: str | None = None,
-    grain: float | None = 1.0,
+    grain: Grain = "auto",
 ) -> DataFrame:
     """Level table with one count column per ordered group, and running counts."""
     w = _w(weight)
@@ -245,7 +245,7 @@ def ordered_pair_counts(lv: DataFrame, keys: Sequence[str], k: int) -> DataFrame
 
 
 def pair_percentage_along(
-    df: DataFrame, keys: Sequence[str], covariate: str, score: str, levels: Sequence, weight: str | None = None, grain: float | None = 1.0
+    df: DataFrame, keys: Sequence[str], covariate: str, score: str, levels: Sequence, weight: str | None = None, grain: Grain = "auto"
 ) -> DataFrame:
     """Percent of pairs, untied on the covariate, in which the row with the larger covariate scores lower.
 
@@ -274,7 +274,7 @@ def percentage_summary(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 # ---- tests on groups ----
 
-def kruskal_wallis(df: DataFrame, keys: Sequence[str], value: str, group: str, grain: float | None = 1.0) -> DataFrame:
+def kruskal_wallis(df: DataFrame, keys: Sequence[str], value: str, group: str, grain: Grain = "auto") -> DataFrame:
     """Tie-corrected H with its degrees of freedom."""
     lv = level_table(df, [*keys, group], value, {"n": F.lit(1)})
     pooled = running(lv.groupBy(*keys, value).agg(F.sum("n").alias("t")), keys, value, ["t"], grain)
@@ -298,7 +298,7 @@ def kruskal_wallis(df: DataFrame, keys: Sequence[str], value: str, group: str, g
 
 
 def mann_whitney(
-    df: DataFrame, keys: Sequence[str], value: str, group: str, first, second, grain: float | None = 1.0
+    df: DataFrame, keys: Sequence[str], value: str, group: str, first, second, grain: Grain = "auto"
 ) -> DataFrame:
     """U of the first group and its tie- and continuity-corrected z."""
     c = ordered_pair_counts(group_levels(df, keys, value, group, [second, first], None, grain), keys, 2)
@@ -351,7 +351,7 @@ def normality(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def spearman_difference(
-    df: DataFrame, keys: Sequence[str], x: str, base: str, y: str, grain: float | None = 1.0, weight: str | None = None
+    df: DataFrame, keys: Sequence[str], x: str, base: str, y: str, grain: Grain = "auto", weight: str | None = None
 ) -> DataFrame:
     """Rank correlation of a prediction and of a baseline with the same reference, and their difference."""
     a = spearman(df, keys, x, y, weight, grain, grain).select(*keys, F.col("rho").alias("rho"))

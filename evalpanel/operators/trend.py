@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalpanel.functions.hashing import uniform
-from evalpanel.functions.levels import join_null_safe, running, spread
+from evalpanel.functions.levels import Grain, join_null_safe, running, spread
 from evalpanel.operators.ranks import group_levels, ordered_pair_counts
 
 
@@ -40,7 +40,7 @@ def trend(
     groups: Sequence,
     variance: str = "textbook",
     drop_missing: bool = False,
-    grain: float | None = 1.0,
+    grain: Grain = "auto",
     weight: str | None = None,
 ) -> DataFrame:
     """J, its null mean and variance, z, and the size-free j_bar in [-1, 1].
@@ -122,7 +122,7 @@ def permutation_trend(
     seed: int,
     alpha: float,
     hasher: str = "xx",
-    grain: float | None = 1.0,
+    grain: Grain = "auto",
 ) -> DataFrame:
     """Observed trend with p = (1 + exceedances) / (reps + 1); ``alpha`` gates the direction label.
 

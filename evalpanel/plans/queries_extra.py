@@ -97,9 +97,9 @@ SELECT 'bottom bin' AS feature, {D('median(pct)', 'median_pct')}, {D('min(pct)',
 def pair_percentage_summary(spark, sf_dir):
     panel = P.base_panel(spark, sf_dir, scores=True).withColumn("low", F.col("bin") == 0)
     weights = B.draws(B.unit_index(panel.select("unit").distinct(), hasher="md5"), 95, 60, hasher="md5")
-    stars = R.pair_percentage(B.weighted_rows(panel, weights), ["config", "rep"], "conf", "low", "w", grain=0.25)
+    stars = R.pair_percentage(B.weighted_rows(panel, weights), ["config", "rep"], "conf", "low", "w")
     intervals = I.percentile_interval(stars.withColumnRenamed("pct_lower", "theta"), ["config"])
-    cells = join_null_safe(R.pair_percentage(panel, ["config"], "conf", "low", grain=0.25), intervals, ["config"])
+    cells = join_null_safe(R.pair_percentage(panel, ["config"], "conf", "low"), intervals, ["config"])
     return R.percentage_summary(cells.withColumn("feature", F.lit("bottom bin")), ["feature"])
 
 

@@ -168,15 +168,15 @@ SELECT {N('CASE WHEN cont<=a THEN 0 WHEN cont<=b THEN 1 WHEN cont<=c THEN 2 ELSE
 )
 def quartile_bins(spark, sf_dir):
     return (
-        with_quartiles(P.covariates(spark, sf_dir), "cont", grain=10.0)
+        with_quartiles(P.covariates(spark, sf_dir), "cont")
         .groupBy("quartile")
         .agg(F.count("*").alias("n"), F.min("cont").alias("lo"), F.max("cont").alias("hi"))
     )
 
 
-def with_quartiles(df: DataFrame, value: str, grain: float) -> DataFrame:
+def with_quartiles(df: DataFrame, value: str) -> DataFrame:
     """Right-closed quartile index from interpolated edges (ties stay together)."""
-    edges = quantiles(df, [], value, {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75}, grain)
+    edges = quantiles(df, [], value, {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75})
     v = F.col(value)
     idx = F.when(v <= F.col("_q1"), 0).when(v <= F.col("_q2"), 1).when(v <= F.col("_q3"), 2).when(v.isNotNull(), 3)
     return attach_totals(df, edges).withColumn("quartile", idx).drop("_q1", "_q2", "_q3")

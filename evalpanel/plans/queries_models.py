@@ -118,7 +118,7 @@ def collinearity_flags(spark, sf_dir):
 @query("linearity_check")
 def linearity_check(spark, sf_dir):
     units, xs = model_units(spark, sf_dir)
-    return L.linearity_check(with_quartiles(units, "cont", 10.0), xs[:-1], "cont_z", "quartile", "abs_e")
+    return L.linearity_check(with_quartiles(units, "cont"), xs[:-1], "cont_z", "quartile", "abs_e")
 
 
 @query(
@@ -175,7 +175,7 @@ SELECT {N('CASE WHEN cont<=a THEN 0 WHEN cont<=b THEN 1 WHEN cont<=c THEN 2 ELSE
 def difference_by_covariate_quartile(spark, sf_dir):
     panel = P.base_panel(spark, sf_dir, variants=True).withColumn("d", F.abs(F.col("pred_mid") - F.col("reference")) - F.col("abs_e"))
     per_unit = M.unit_means(panel, [], ["d"]).join(P.covariates(spark, sf_dir), "unit")
-    binned = with_quartiles(per_unit, "cont", 10.0)
+    binned = with_quartiles(per_unit, "cont")
     agg = binned.groupBy("quartile").agg(F.count("*").alias("n"), F.min("cont").alias("lo"), F.max("cont").alias("hi"), F.avg("d").alias("mean_d"))
     return join_null_safe(agg, quantiles(binned, ["quartile"], "d", {"median_d": 0.5}), ["quartile"])
 

@@ -52,7 +52,7 @@ SELECT rater, {N('count(*)', 'n')}, {D('corr(x,y)', 'rho')}, {D('corr(x,y)*sqrt(
 def spearman_score_vs_error(spark, sf_dir):
     panel = P.base_panel(spark, sf_dir, scores=True).filter(F.col("conf").isNotNull())
     per_unit = M.unit_means(panel, ["rater"], ["conf", "abs_e"], digits=9)
-    out = R.spearman(per_unit, ["rater"], "conf", "abs_e", grain_x=0.05)
+    out = R.spearman(per_unit, ["rater"], "conf", "abs_e")
     return out.withColumn("t", R.spearman_t(F.col("rho"), F.col("n")))
 
 
@@ -72,7 +72,7 @@ def rho_in_bottom_bin(spark, sf_dir):
 SELECT x.lang, {N('np', 'n_pos')}, {N('nn', 'n_neg')}, {N('t', 'n_tied_pairs')}, {D('auc', 'auc')}, np<20 AS unstable FROM x JOIN ti ON x.lang=ti.lang""",
 )
 def auc_by_language(spark, sf_dir):
-    return R.auc(P.scored_documents(spark, sf_dir), ["lang"], "score", "positive", grain=10.0)
+    return R.auc(P.scored_documents(spark, sf_dir), ["lang"], "score", "positive")
 
 
 @query(
@@ -82,7 +82,7 @@ SELECT rater, {D('avg(auc)', 'mean_auc')}, {N('count(auc)', 'n_cells')}, bool_or
 )
 def auc_of_score_for_large_error(spark, sf_dir):
     rows = P.base_panel(spark, sf_dir, scores=True).withColumn("bad", F.col("abs_e") > 20)
-    return R.mean_auc(R.auc(rows, ["rater", "cond"], "conf", "bad", grain=0.25), ["rater"])
+    return R.mean_auc(R.auc(rows, ["rater", "cond"], "conf", "bad"), ["rater"])
 
 
 @query(
@@ -99,9 +99,9 @@ def auc_label_robustness(spark, sf_dir):
     rows = join_bounded(panel, q, ["config", "bin"]).withColumns(
         {"fixed": F.col("abs_e") > 20, "rel": F.col("abs_e") > F.col("q")}
     )
-    fixed = R.auc(rows, ["config"], "conf", "fixed", grain=0.25).select("config", F.col("auc").alias("auc_fixed"))
-    rel = R.auc(rows, ["config"], "conf", "rel", grain=0.25).select("config", F.col("auc").alias("auc_relative"))
-    low = R.auc(rows.filter(F.col("bin") == 0), ["config"], "conf", "fixed", grain=0.25).select(
+    fixed = R.auc(rows, ["config"], "conf", "fixed").select("config", F.col("auc").alias("auc_fixed"))
+    rel = R.auc(rows, ["config"], "conf", "rel").select("config", F.col("auc").alias("auc_relative"))
+    low = R.auc(rows.filter(F.col("bin") == 0), ["config"], "conf", "fixed").select(
         "config", F.col("auc").alias("auc_bottom")
     )
     out = fixed.join(rel, "config").join(low, "config")
@@ -124,13 +124,13 @@ FROM l JOIN t ON l.config=t.config WINDOW w AS (PARTITION BY l.config ORDER BY c
 @query("roc_points_complete", roc_sql(" AND conf IS NOT NULL"))
 def roc_points_complete(spark, sf_dir):
     rows = P.base_panel(spark, sf_dir, scores=True).withColumn("bad", F.col("abs_e") > 20)
-    return R.roc_points(rows, ["config"], "conf", "bad", "drop", grain=0.25)
+    return R.roc_points(rows, ["config"], "conf", "bad", "drop")
 
 
 @query("roc_points_all_rows", roc_sql(""))
 def roc_points_all_rows(spark, sf_dir):
     rows = P.base_panel(spark, sf_dir, scores=True).withColumn("bad", F.col("abs_e") > 20)
-    return R.roc_points(rows, ["config"], "conf", "bad", "keep", grain=0.25)
+    return R.roc_points(rows, ["config"], "conf", "bad", "keep")
 
 
 @query(
@@ -147,10 +147,10 @@ def missing_score_bounds(spark, sf_dir):
     panel = cut_lineage(P.base_panel(spark, sf_dir, scores=True).withColumn("bad", F.col("abs_e") > 20))
     filled = R.fill_by_label(R.fill_extremes(panel, ["rater"], "conf"), "bad")
     parts = [
-        R.spearman(filled, ["rater"], "low", "abs_e", grain_x=0.25).select("rater", F.col("rho").alias("rho_low")),
-        R.spearman(filled, ["rater"], "high", "abs_e", grain_x=0.25).select("rater", F.col("rho").alias("rho_high")),
-        R.auc(filled, ["rater"], "favourable", "bad", grain=0.25).select("rater", F.col("auc").alias("auc_favourable")),
-        R.auc(filled, ["rater"], "adverse", "bad", grain=0.25).select("rater", F.col("auc").alias("auc_adverse")),
+        R.spearman(filled, ["rater"], "low", "abs_e").select("rater", F.col("rho").alias("rho_low")),
+        R.spearman(filled, ["rater"], "high", "abs_e").select("rater", F.col("rho").alias("rho_high")),
+        R.auc(filled, ["rater"], "favourable", "bad").select("rater", F.col("auc").alias("auc_favourable")),
+        R.auc(filled, ["rater"], "adverse", "bad").select("rater", F.col("auc").alias("auc_adverse")),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -192,7 +192,7 @@ FROM (SELECT *, sum(a) OVER (PARTITION BY source) AS na FROM l) f JOIN (SELECT *
 )
 def pair_percentage_by_source(spark, sf_dir):
     rows = P.scored_documents(spark, sf_dir).withColumn("low_quality", F.col("quality") == 0)
-    return R.pair_percentage(rows, ["source"], "score", "low_quality", grain=10.0)
+    return R.pair_percentage(rows, ["source"], "score", "low_quality")
 
 
 @query(
@@ -205,7 +205,7 @@ def pair_percentage_along_covariate(spark, sf_dir):
     rows = P.table(spark, sf_dir, "part").select(
         F.col("p_brand").alias("brand"), F.col("p_retailprice").alias("v"), (F.col("p_size") % 5).alias("s")
     )
-    return R.pair_percentage_along(rows, ["brand"], "v", "s", [0, 1, 2, 3, 4], grain=50.0)
+    return R.pair_percentage_along(rows, ["brand"], "v", "s", [0, 1, 2, 3, 4])
 
 
 @query(

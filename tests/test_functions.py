@@ -1,13 +1,14 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from evalpanel.functions import columns as C
 from evalpanel.functions import distributions as D
 from evalpanel.functions.hashing import continue_hash, poisson_steps, uniform
-from evalpanel.functions.levels import level_table, quantiles, running
+from evalpanel.functions.levels import adaptive_cuts, level_table, quantiles, running
 
 
 def test_bins_are_right_closed_and_bottom_is_closed(spark):
@@ -121,3 +122,33 @@ def test_a_hot_key_is_spread_over_tasks(spark):
     r = running(lv, ["k"], "v", ["n"])
     top = r.filter("k = 'hot'").agg(F.max(F.col("below_n") + F.col("n")), F.max("all_n"), F.count("*")).collect()[0]
     assert top[0] == top[1] == 10_000 and top[2] > 500
+
+
+SHAPES = {
+    "tiny_range": lambda r, n: 5.0 + 1e-9 * r.random(n),
+    "huge_range": lambda r, n: np.exp(r.uniform(-300, 300, n)) * r.choice([-1, 1], n),
+    "skewed": lambda r, n: r.lognormal(0, 4, n),
+    "whole_numbers": lambda r, n: r.integers(0, 50, n).astype(float),
+}
+
+
+@pytest.mark.parametrize("shape", list(SHAPES))
+def test_running_sums_on_even_cuts_for_any_scale(spark, shape):
+    r = np.random.default_rng(8)
+    values = SHAPES[shape](r, 4000)
+    # One key holds most rows.
+    pdf = pd.DataFrame({"k": np.where(r.random(4000) < 0.8, "hot", "cold"), "v": values, "m": r.integers(1, 9, 4000)})
+    pdf = pdf.groupby(["k", "v"], as_index=False)["m"].sum()
+    levels = spark.createDataFrame(pdf).repartition(3)
+    got = running(levels, ["k"], "v", ["m"]).toPandas().sort_values(["k", "v"]).reset_index(drop=True)
+    below = pdf.groupby("k")["m"].cumsum() - pdf["m"]
+    assert (got["below_m"] == below).all() and (got["all_m"] == pdf.groupby("k")["m"].transform("sum")).all()
+    sizes = adaptive_cuts(levels, "v", 16).groupBy("k", "_cut").count().toPandas()["count"]
+    assert sizes.max() <= max(2 * len(pdf) / 16, 2)
+
+
+def test_running_sums_with_null_values_and_no_rows(spark):
+    df = spark.createDataFrame([("a", None, 1), ("a", 2.0, 2), ("a", float("nan"), 4), (None, 1.0, 8), (None, 3.0, 16)], "k string, v double, m int")
+    got = {(x["k"], x["m"]): x["below_m"] for x in running(df, ["k"], "v", ["m"]).collect()}
+    assert got == {("a", 1): 0, ("a", 2): 1, ("a", 4): 3, (None, 8): 0, (None, 16): 8}
+    assert running(df.limit(0), ["k"], "v", ["m"]).collect() == []
