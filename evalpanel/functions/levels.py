@@ -32,12 +32,14 @@ def level_table(df: DataFrame, keys: Sequence[str], value: str, measures: Mappin
     return df.groupBy(*keys, value).agg(*[F.sum(m).alias(n) for n, m in measures.items()])
 
 
-def adaptive_cuts(df: DataFrame, value: str, cuts: int | None = None) -> DataFrame:
+def adaptive_cuts(df: DataFrame, value: str, cuts: int | None = None, points: bool = False) -> DataFrame:
     """Add ``_cut``: which of ``cuts`` intervals of the value axis, each with about as many rows, holds the row.
 
     The ends are quantiles from a mergeable sketch of all rows, one short array; a row finds its interval by halving.
     Equal values share an interval, so (key, cut) groups of a level table never hold more than a cut's share of its rows.
     The default is one interval per shuffle partition. NULL falls into the first interval.
+    With ``points`` also ``_share``: for a value that is itself an end, how many ends it is, so about its share of the rows in intervals;
+    0 for any other value.
     """
     cuts = cuts or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     every = F.hash(*[F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, T.MapType)])
@@ -49,6 +51,9 @@ def adaptive_cuts(df: DataFrame, value: str, cuts: int | None = None) -> DataFra
         further = F.col("_cut") + F.lit(step)
         out = out.withColumn("_cut", F.when(F.get("_ends", further - 1) <= F.col(value), further).otherwise(F.col("_cut")))
         step //= 2
+    if points:
+        at_end = F.coalesce(F.get("_ends", F.col("_cut") - 1) == F.col(value), F.lit(False))
+        out = out.withColumn("_share", F.when(at_end, F.col("_cut") - F.array_position("_ends", F.col(value)).cast("int") + 1).otherwise(0))
     return out.drop("_ends")
 
 

@@ -88,13 +88,13 @@ def point(stats: DataFrame, keys: Sequence[str], stat: Statistic) -> DataFrame:
 # ---- draws ----
 
 def unit_index(
-    units: DataFrame, unit: str = "unit", strata: Sequence[str] = (), hasher: str = "xx", slots: int = 1024
+    units: DataFrame, unit: str = "unit", strata: Sequence[str] = (), hasher: str = "xx", slots: int = 1024, carry: Sequence[str] = ()
 ) -> DataFrame:
-    """Dense position 0..n-1 per stratum in the order (hash slot, unit), without a global sort."""
-    strata = list(strata)
+    """Dense position 0..n-1 per stratum in the order (hash slot, unit), without a global sort; other columns can be carried along."""
+    strata, carry = list(strata), list(carry)
     slot = F.floor(uniform(0, [unit], hasher) * F.lit(slots)).alias("_slot")
     group = (F.struct(*[F.col(c) for c in strata]) if strata else F.lit(0)).alias("_key")
-    placed = units.select(*strata, unit, group, slot)
+    placed = units.select(*strata, unit, *carry, group, slot)
     sizes = placed.groupBy("_key", "_slot").agg(F.count("*").alias("_k"))
     before = W.partitionBy("_key").orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(
@@ -106,7 +106,7 @@ def unit_index(
     inside = F.row_number().over(W.partitionBy("_key", "_slot").orderBy(unit))
     ranked = placed.withColumn("_i", inside)
     return ranked.join(offsets, ["_key", "_slot"]).select(
-        *strata, unit, (F.col("_o") + F.col("_i") - 1).alias("idx"), "n"
+        *strata, unit, *carry, (F.col("_o") + F.col("_i") - 1).alias("idx"), "n"
     )
 
 

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from typing import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalpanel.functions.bijection import all_step_keys, permuted
 from evalpanel.functions.hashing import uniform
-from evalpanel.functions.levels import Grain, join_null_safe, running, spread
+from evalpanel.functions.levels import Grain, adaptive_cuts, join_null_safe, running, spread
 from evalpanel.operators.ranks import group_levels, ordered_pair_counts
+from evalpanel.operators.resample import unit_index
+from evalpanel.session import cut_lineage
 
 
 def _moments(k: int, variance: str) -> dict[str, Column]:
@@ -112,6 +117,60 @@ def permuted_groups(
     return placed.select("rep", unit, value, out.alias(group))
 
 
+#: Replicates that a task handles at a time, and rows x replicates of one step.
+BLOCK, STEP = 64, 1 << 20
+
+
+def permuted_statistics(units: DataFrame, unit: str, value: str, group: str, groups: Sequence, reps: int, seed: int, hasher: str = "xx") -> DataFrame:
+    """(rep, j): the statistic after dealing the group labels anew, sizes kept, without a row per unit and replicate.
+
+    A replicate permutes the units' dense places by a keyed bijection, and the first so many places belong to the first group and so on,
+    so the task that holds a unit knows its group in every replicate. Units are dealt by intervals of the value; a task counts the pairs
+    inside its interval and the group totals of every replicate, and the pairs across intervals are running sums of those totals. A value
+    that fills whole intervals is split, for it needs totals alone. ``unit`` must be unique; units of other groups take no part.
+    """
+    groups, k = list(groups), len(groups)
+    own = cut_lineage(unit_index(units.filter(F.col(group).isin(groups)), unit, (), hasher, carry=[value, group]))
+    # One number per group reaches the driver.
+    edges = np.cumsum(list(own.agg(*[F.count_if(F.col(group) == F.lit(g)) for g in groups]).first()))
+    keys = all_step_keys(seed, "trend", reps)
+
+    def within(held: pd.DataFrame) -> pd.DataFrame:
+        head = held.iloc[0]
+        held = held.sort_values(value, kind="stable")
+        starts = np.flatnonzero(np.diff(held[value].to_numpy(float), prepend=np.nan) != 0)
+        places, out = held["idx"].to_numpy(np.int64), []
+        for block in range(-(-reps // BLOCK)):
+            some = keys[block * BLOCK : (block + 1) * BLOCK]
+            rows = max(1, STEP // len(some))
+            dealt = np.concatenate([np.searchsorted(edges, permuted(places[at : at + rows], int(head["n"]), some), side="right").astype(np.int8) for at in range(0, len(places), rows)])
+            inside, below, totals = np.zeros(len(some)), np.zeros((len(starts), len(some))), []
+            for g in range(k):
+                counts = np.add.reduceat((dealt == g).astype(np.int64), starts, axis=0)
+                inside += (counts * below).sum(0)
+                below += np.cumsum(counts, 0) - counts / 2.0
+                totals.append(counts.sum(0))
+            # Parts of a split value do not see each other: their pairs are counted from the sum of their totals.
+            out.append((head["_cut"], head["_share"] > 0, block, (inside if head["_share"] == 0 else inside * 0).tobytes(), np.array(totals).tobytes()))
+        return pd.DataFrame(out, columns=["cut", "one_value", "block", "inside", "totals"])
+
+    def across(held: pd.DataFrame) -> pd.DataFrame:
+        order = held.groupby(["cut", ~held["one_value"]]).ngroup().to_numpy()
+        totals = np.stack([np.frombuffer(x, np.int64).reshape(k, -1) for x in held["totals"]])
+        sums = np.zeros((order.max() + 1, *totals.shape[1:]))
+        np.add.at(sums, order, totals)
+        alone = np.zeros(len(sums))
+        alone[order] = held["one_value"]
+        before = np.cumsum(sums, 0) - sums + alone[:, None, None] * sums / 2
+        j = sum((sums[:, g] * before[:, :g].sum(1)).sum(0) for g in range(1, k)) + np.stack([np.frombuffer(x) for x in held["inside"]]).sum(0)
+        return pd.DataFrame({"rep": np.arange(len(j), dtype=np.int32) + 1 + int(held["block"].iloc[0]) * BLOCK, "j": j})
+
+    cut = adaptive_cuts(own.select(F.col(value).cast("double").alias(value), "idx", "n"), value, points=True)
+    cut = cut.withColumn("_part", F.when(F.col("_share") > 0, F.col("idx") % F.col("_share")).otherwise(0))
+    parts = cut.groupBy("_cut", "_share", "_part").applyInPandas(within, "cut int, one_value boolean, block int, inside binary, totals binary")
+    return parts.groupBy("block").applyInPandas(across, "rep int, j double")
+
+
 def permutation_trend(
     units: DataFrame,
     unit: str,
@@ -129,10 +188,7 @@ def permutation_trend(
     Mean and variance do not change under permutation, so replicates compare |J* - mean|.
     """
     seen = trend(units, [], value, group, groups, grain=grain)
-    shuffled = permuted_groups(units, unit, value, group, groups, reps, seed, hasher)
-    k = len(groups)
-    js = ordered_pair_counts(group_levels(shuffled, ["rep"], value, group, groups, None, grain), ["rep"], k)
-    js = js.select("rep", (F.col("above") + F.col("equal") / F.lit(2.0)).alias("_js"))
+    js = permuted_statistics(units, unit, value, group, groups, reps, seed, hasher).withColumnRenamed("j", "_js")
     one = seen.select("*", F.abs(F.col("j") - F.col("mean_j")).alias("_gap"))
     beyond = js.join(F.broadcast(one.select("mean_j", "_gap"))).agg(
         F.count_if(F.abs(F.col("_js") - F.col("mean_j")) >= F.col("_gap")).alias("exceedances")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evalpanel.functions import distributions as Dist
+from evalpanel.functions.bijection import PRIME, STEPS
 from evalpanel.functions.levels import attach_totals, join_bounded, quantiles
 from evalpanel.operators import agreement as A
 from evalpanel.operators import metrics as M
@@ -310,10 +311,49 @@ def permuted_labels(spark, sf_dir):
     return T.permuted_groups(per_unit, "unit", "abs_e", "bin", [0, 1, 2, 3, 4], 5, 7, "md5").select("rep", "unit", "bin")
 
 
-@query("permutation_trend")
+def permuted_places_sql(source: str, label: str, seed: int, reps: int) -> str:
+    """``placed`` (rep, unit, place): the keyed bijection of ``source``'s dense places, a row per step; needs WITH RECURSIVE."""
+    x = "(CASE WHEN t%2=0 THEN r ELSE l END)"
+    once = f"((({x}+k1)*({x}+k1))%{PRIME}+k2)"
+    mixed = f"(({once}*{once})%{PRIME})"
+    return f"""ix AS (SELECT unit, row_number() OVER (ORDER BY floor(CAST(('0x'||substr(md5('0:'||unit),1,13)) AS BIGINT)/4503599627370496.0*1024), unit)-1 AS idx FROM {source}),
+ rx AS (SELECT n, a, (n+a-1)//a AS b FROM (SELECT count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS a FROM {source})),
+ ks AS (SELECT rep, s, CAST(('0x'||substr(h,1,7)) AS BIGINT) AS k1, CAST(('0x'||substr(h,8,7)) AS BIGINT) AS k2 FROM (SELECT rep, s, md5('{seed}:{label}:'||rep||':'||s) AS h FROM range(1,{reps + 1}) a(rep), range({STEPS}) b(s))),
+ walk AS (SELECT rep, unit, 0 AS t, idx//b AS l, idx%b AS r, a, b, n FROM ix, rx, range(1,{reps + 1}) q(rep) UNION ALL
+  SELECT w.rep, unit, t+1, CASE WHEN t%2=0 THEN (l+{mixed})%a ELSE l END, CASE WHEN t%2=1 THEN (r+{mixed})%b ELSE r END, a, b, n
+  FROM walk w JOIN ks ON ks.rep=w.rep AND ks.s=t%{STEPS} WHERE t=0 OR t%{STEPS}<>0 OR l*b+r>=n),
+ placed AS (SELECT rep, unit, l*b+r AS place FROM walk WHERE t>0 AND t%{STEPS}=0 AND l*b+r<n)"""
+
+
+def permutation_sql(reps: int, seed: int, alpha: float) -> str:
+    counts = ", ".join(f"count(*) FILTER (g={i}) AS m{i}" for i in range(5))
+    below = ", ".join(f"sum(m{i}) OVER (PARTITION BY rep ORDER BY a)-m{i}/2.0 AS s{i}" for i in range(5))
+    pairs = "+".join(f"m{h}*s{g}" for h in range(5) for g in range(h))
+    base = f"""{PANEL}, u AS (SELECT unit, bin, round(avg(abs_e),9) AS a FROM panel GROUP BY ALL), {trend_sql('u', 'a', 'bin', [0, 1, 2, 3, 4])},
+ {permuted_places_sql('u', 'trend', seed, reps)},
+ top AS (SELECT bin AS g, sum(count(*)) OVER (ORDER BY bin) AS top FROM u GROUP BY bin),
+ dealt AS (SELECT rep, a, (SELECT min(g) FROM top WHERE top>place) AS g FROM placed p JOIN u ON p.unit=u.unit),
+ rc AS (SELECT rep, a, {counts} FROM dealt GROUP BY ALL), rb AS (SELECT *, {below} FROM rc), rj AS (SELECT rep, sum({pairs}) AS js FROM rb GROUP BY rep),
+ ex AS (SELECT count(*) FILTER (abs(js-mean_j)>=abs(j-mean_j)) AS e FROM rj, jt), pv AS (SELECT *, (1+e)/{reps + 1}.0 AS p FROM ex)
+SELECT {TREND_COLUMNS}, {N('e', 'exceedances')}, {D('p', 'p_perm')}, e=0 AS at_floor, {D(f'1.0/{reps + 1}', 'floor')},
+ CASE WHEN p>={alpha} THEN 'null' WHEN j>mean_j THEN 'increasing' ELSE 'decreasing' END AS direction FROM jt, pv"""
+    return base.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("permutation_trend", permutation_sql(199, 11, 0.05))
 def permutation_trend(spark, sf_dir):
     per_unit = M.unit_means(P.base_panel(spark, sf_dir), [], ["abs_e"], ["bin"], digits=9)
-    return T.permutation_trend(per_unit, "unit", "abs_e", "bin", [0, 1, 2, 3, 4], 199, 11, 0.05)
+    out = T.permutation_trend(per_unit, "unit", "abs_e", "bin", [0, 1, 2, 3, 4], 199, 11, 0.05, "md5")
+    return out.withColumn("var_j_millions", F.col("var_j") / 1e6).drop("var_j")
+
+
+@query(
+    "permuted_trend_statistics",
+    permutation_sql(49, 12, 0.05).split("\nSELECT")[0] + f" SELECT {N('rep', 'rep')}, {D('js', 'j')} FROM rj",
+)
+def permuted_trend_statistics(spark, sf_dir):
+    per_unit = M.unit_means(P.base_panel(spark, sf_dir), [], ["abs_e"], ["bin"], digits=9)
+    return T.permuted_statistics(per_unit, "unit", "abs_e", "bin", [0, 1, 2, 3, 4], 49, 12, "md5")
 
 
 @query(
