@@ -6,16 +6,17 @@ p x p system per key, with p the number of design columns.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalpanel.functions.levels import attach_totals, running, spread
-from evalpanel.functions.hashing import uniform
+from evalpanel.functions.bijection import all_step_keys, permuted, step_keys
+from evalpanel.functions.levels import attach_totals, spread
 from evalpanel.operators.resample import unit_index
 from evalpanel.session import cut_lineage
 
@@ -152,35 +153,112 @@ def identical_columns(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.agg(F.bool_and(F.col(a).eqNullSafe(F.col(b))).alias("identical"), F.count("*").alias("n"))
 
 
-def permuted_block(units: DataFrame, unit: str, stratum: str, block: Sequence[str], reps: int, seed: int, hasher: str = "xx", slots: int = 64) -> DataFrame:
-    """Per replicate, move the block's rows among the units of a stratum.
+#: Distinct block rows, summed over strata, up to which they are held in every task; replicates handled at a time, and rows x replicates.
+MOST_BLOCK_ROWS, BLOCK, STEP = 100_000, 64, 1 << 19
 
-    A unit's place in hash order picks the unit (by dense index) whose block it receives.
+
+def _named(stratum: str) -> Column:
+    return F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("_stratum")
+
+
+def permuted_block(units: DataFrame, unit: str, stratum: str, block: Sequence[str], reps: int, seed: int, hasher: str = "xx") -> DataFrame:
+    """(rep, unit, block): per replicate, the block's rows moved among the units of a stratum.
+
+    A keyed bijection of a stratum's dense places names the unit from which a unit receives; nothing is sorted per replicate.
     """
-    index = unit_index(units.select(stratum, unit), unit, [stratum], hasher)
-    keyed = spread(units.select(stratum, unit), unit).select(stratum, unit, F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")).withColumn(
-        "_u", uniform(seed, ["rep", unit], hasher)
-    )
-    placed = running(keyed.withColumn("_n", F.lit(1).cast("bigint")), ["rep", stratum], "_u", ["_n"], 1.0 / slots)
-    donors = index.join(units.select(unit, *block), unit).select(
-        F.col(stratum).alias("_st"), F.col("idx").alias("_ix"), *block
-    )
-    cond = (F.col(stratum) == F.col("_st")) & (F.col("below__n") == F.col("_ix"))
-    return placed.join(donors, cond).select("rep", unit, *block)
+    placed = cut_lineage(unit_index(units.select(_named(stratum), unit, *block), unit, ["_stratum"], hasher, carry=block))
+    schema = T.StructType([placed.schema["_stratum"], placed.schema[unit], T.StructField("rep", T.IntegerType()), T.StructField("idx", T.LongType())])
+
+    def name_donors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, held in batch.groupby("_stratum", sort=False):
+                for first in range(1, reps + 1, BLOCK):
+                    turns = range(first, min(first + BLOCK, reps + 1))
+                    some = np.array([step_keys(seed, name, rep) for rep in turns])
+                    places = permuted(held["idx"].to_numpy(np.int64), int(held["n"].iloc[0]), some)
+                    whole = held.loc[held.index.repeat(len(turns)), ["_stratum", unit]]
+                    yield whole.assign(rep=np.tile(np.array(turns, dtype=np.int32), len(held)), idx=places.ravel())
+
+    receivers = spread(placed.select("_stratum", unit, "idx", "n"), unit).mapInPandas(name_donors, schema)
+    return receivers.join(placed.select("_stratum", "idx", *block), ["_stratum", "idx"]).select("rep", unit, *block)
+
+
+def permuted_cross_sums(units: DataFrame, unit: str, stratum: str, block: Sequence[str], others: Sequence[str], reps: int, seed: int, hasher: str = "xx", most: int = MOST_BLOCK_ROWS) -> DataFrame | None:
+    """(rep, cross): sums of others x block after moving the block's rows within strata, without a row per unit and replicate.
+
+    Places of a stratum are dealt to its distinct block rows in ascending order, as many to each as it has units, so a unit's place under
+    the bijection tells the row it receives. The distinct rows (combinations of indicators, as a rule) are held in every task;
+    None if there are more than ``most``. NULL counts as 0.
+    """
+    block, others = list(block), list(others)
+    zero = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in [*block, *others]]
+    placed = cut_lineage(unit_index(units.select(_named(stratum), unit, *zero), unit, ["_stratum"], hasher, carry=[*block, *others]))
+    levels = placed.groupBy("_stratum", *block).agg(F.count("*").alias("_n"))
+    found = levels.limit(most + 1).toPandas()
+    if len(found) > most:
+        return None
+    dealt = {name: (np.cumsum(held["_n"]), held[block].to_numpy(float)) for name, held in found.sort_values(["_stratum", *block]).groupby("_stratum")}
+    schema = T.StructType([T.StructField("rep", T.IntegerType()), T.StructField("cross", T.ArrayType(T.DoubleType()))])
+
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((reps, len(others), len(block)))
+        last, keys = None, None
+        for batch in batches:
+            for name, held in batch.groupby("_stratum", sort=False):
+                if name != last:
+                    last, keys = name, all_step_keys(seed, name, reps)
+                ends, rows = dealt[name]
+                for at in range(0, len(held), STEP // BLOCK):
+                    part = held.iloc[at : at + STEP // BLOCK]
+                    values = part[others].to_numpy(float).T
+                    for first in range(0, reps, BLOCK):
+                        places = permuted(part["idx"].to_numpy(np.int64), int(part["n"].iloc[0]), keys[first : first + BLOCK])
+                        got = np.searchsorted(ends, places, side="right")
+                        for c in range(len(block)):
+                            sums[first : first + BLOCK, :, c] += (values @ rows[got, c]).T
+        yield pd.DataFrame({"rep": np.arange(1, reps + 1, dtype=np.int32), "cross": list(sums.reshape(reps, -1))})
+
+    parts = spread(placed.select("_stratum", unit, "idx", "n", *others), unit).sortWithinPartitions("_stratum").mapInPandas(add_up, schema)
+    size = len(others) * len(block)
+    return parts.groupBy("rep").agg(F.array(*[F.sum(F.col("cross")[i]) for i in range(size)]).alias("cross"))
 
 
 def block_permutation_test(
-    units: DataFrame, xs: Sequence[str], y: str, block: Sequence[str], stratum: str, reps: int, seed: int, unit: str = "unit"
+    units: DataFrame, xs: Sequence[str], y: str, block: Sequence[str], stratum: str, reps: int, seed: int, unit: str = "unit", hasher: str = "xx"
 ) -> DataFrame:
-    """Gain in R2 of a block, with p = (1 + #{gain* >= gain}) / (reps + 1) under moves within strata."""
-    seen = delta_r2(cross_products(units, xs, y), xs, block)
+    """Gain in R2 of a block, with p = (1 + #{gain* >= gain}) / (reps + 1) under moves within strata.
+
+    Moving the block leaves all sums but those of block x others as they are, so a replicate is that part of the cross-products.
+    Blocks with very many distinct rows are joined to their receivers instead.
+    """
+    products = cross_products(units, xs, y)
+    seen = delta_r2(products, xs, block)
     rest = [x for x in xs if x not in set(block)]
-    moved = permuted_block(units, unit, stratum, block, reps, seed).join(units.select(unit, y, *rest), unit)
-    stars = delta_r2(cross_products(moved, xs, y, ["rep"]), xs, block, ["rep"]).withColumnRenamed("delta_r2", "_star")
+    cross = permuted_cross_sums(units.withColumn("_one", F.lit(1.0)), unit, stratum, block, ["_one", *rest, y], reps, seed, hasher)
+    if cross is None:
+        moved = permuted_block(units, unit, stratum, block, reps, seed, hasher).join(units.select(unit, y, *rest), unit)
+        stars = delta_r2(cross_products(moved, xs, y, ["rep"]), xs, block, ["rep"]).withColumnRenamed("delta_r2", "_star")
+    else:
+        size = len(xs) + 2
+        moving = [xs.index(x) + 1 for x in block]
+        staying = [0, *[xs.index(x) + 1 for x in rest], size - 1]
+
+        @F.pandas_udf(T.DoubleType())
+        def gain(gram: pd.Series, crossed: pd.Series) -> pd.Series:
+            out = []
+            for g, c in zip(gram, crossed):
+                m = _square(g, size)
+                m[np.ix_(staying, moving)] = np.reshape(c, (len(staying), len(moving)))
+                m[np.ix_(moving, staying)] = m[np.ix_(staying, moving)].T
+                out.append(_solve(m, list(range(size - 1)))[1] - _solve(m, staying[:-1])[1])
+            return pd.Series(out, dtype="float64")
+
+        stars = attach_totals(cross, products.select("gram")).select("rep", gain("gram", "cross").alias("_star"))
     both = attach_totals(stars, seen)
     return both.agg(
         F.max("delta_r2").alias("delta_r2"),
-        ((1 + F.count_if(F.col("_star") >= F.col("delta_r2"))) / (F.count("*") + 1)).alias("p"),
+        # A replicate that deals the block as it was seen counts, whatever the rounding of its sums.
+        ((1 + F.count_if(F.col("_star") >= F.col("delta_r2") - 1e-12)) / (F.count("*") + 1)).alias("p"),
     )
 
 

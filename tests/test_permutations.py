@@ -7,6 +7,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from evalpanel.functions import bijection as B
@@ -72,3 +73,48 @@ def test_permutation_without_units_or_with_strange_groups(spark):
     assert T.permuted_statistics(df, "unit", "v", "g", [0, 1], 9, 5).count() == 0
     df = spark.createDataFrame([(1, 1.0, 0), (2, 2.0, 1), (3, 9.0, 7), (4, 9.0, None)], "unit int, v double, g int")
     assert {r["j"] for r in T.permuted_statistics(df, "unit", "v", "g", [0, 1], 40, 5).collect()} == {0.0, 1.0}
+
+
+def test_block_sums_of_replicates_equal_moved_rows(spark):
+    from evalpanel.operators import regress as L
+    from evalpanel.operators.resample import unit_index
+
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"unit": range(120), "bin": rng.integers(0, 3, 120), "u": rng.integers(0, 2, 120) * 1.0, "w": rng.integers(0, 3, 120) * 1.0, "v": rng.normal(size=120)})
+    pdf["y"] = 0.3 * pdf["v"] + rng.normal(size=120) + 0.2 * pdf["u"]
+    df = spark.createDataFrame(pdf)
+    one, many = (
+        {r["rep"]: r["cross"] for r in L.permuted_cross_sums(df.repartition(parts), "unit", "bin", ["u", "w"], ["v", "y"], 66, 9).collect()} for parts in (1, 5)
+    )
+    assert sorted(one) == list(range(1, 67)) and all(one[r] == pytest.approx(many[r]) for r in one)
+    place = {(r["bin"], r["unit"]): (r["idx"], r["n"]) for r in unit_index(df.select("bin", "unit"), "unit", ["bin"]).collect()}
+    moved = {rep: pdf.copy() for rep in (1, 64, 65, 66)}
+    for b, held in pdf.groupby("bin"):
+        rows = held.sort_values(["u", "w"])[["u", "w"]].to_numpy()
+        for rep, out in moved.items():
+            idx = np.array([place[b, u][0] for u in held["unit"]])
+            to = B.permuted(idx, len(held), B.step_keys(9, b, rep)[None])[:, 0]
+            assert sorted(to) == list(range(len(held)))
+            out.loc[held.index, ["u", "w"]] = rows[to]
+    for rep, out in moved.items():
+        assert one[rep] == pytest.approx((out[["v", "y"]].T.to_numpy() @ out[["u", "w"]].to_numpy()).ravel())
+    test = L.block_permutation_test(df, ["u", "v", "w"], "y", ["u", "w"], "bin", 66, 9).collect()[0]
+
+    def r2(frame, xs):
+        a = np.column_stack([np.ones(120), frame[xs]])
+        r = frame["y"] - a @ np.linalg.lstsq(a, frame["y"], rcond=None)[0]
+        return 1 - (r**2).sum() / ((frame["y"] - frame["y"].mean()) ** 2).sum()
+
+    assert test["delta_r2"] == pytest.approx(r2(pdf, ["u", "v", "w"]) - r2(pdf, ["v"]))
+    stars = [r2(f, ["u", "v", "w"]) - r2(f, ["v"]) for f in (_moved(pdf, place, rep) for rep in range(1, 67))]
+    assert test["p"] == pytest.approx((1 + sum(s >= test["delta_r2"] - 1e-12 for s in stars)) / 67)
+    assert L.permuted_cross_sums(df, "unit", "bin", ["v"], ["y"], 3, 9, most=50) is None
+
+
+def _moved(pdf, place, rep):
+    out = pdf.copy()
+    for b, held in pdf.groupby("bin"):
+        idx = np.array([place[b, u][0] for u in held["unit"]])
+        to = B.permuted(idx, len(held), B.step_keys(9, b, rep)[None])[:, 0]
+        out.loc[held.index, ["u", "w"]] = held.sort_values(["u", "w"])[["u", "w"]].to_numpy()[to]
+    return out
