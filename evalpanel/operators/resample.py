@@ -3,9 +3,10 @@
 A resample is a weight per (replicate, unit); a statistic is weighted sums of per-unit sufficient
 statistics followed by a formula. All replicates and all configurations are one aggregation:
 
-* ``multinomial``: n draws with replacement out of n units. The drawn positions are hashes of
-  (seed, replicate, position), so they need one shuffle to meet the unit statistics (none if those are
-  small enough for the optimizer to broadcast).
+* ``multinomial``: n draws with replacement out of n units. The n draws of a replicate are split over the
+  halves of the units' dense places, again and again, by binomial numbers seeded with the part; any task
+  finds the counts of its units by going down to them, so no draw is a row. The ``md5`` hasher draws
+  positions one by one instead, which SQL can repeat.
 * ``poisson``: independent Poisson(1) weights, a hash of (seed, unit, replicate), computed on the unit's
   own row. Nothing but the (replicate, key, bin) sums is shuffled; use this one for very many units.
   The sums of a task are a matrix product of weights and statistics over Arrow batches.
@@ -16,6 +17,7 @@ adaptive execution would otherwise pack them into a few tasks by their size on d
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 from typing import Iterator, Mapping, Sequence
 
@@ -119,8 +121,81 @@ def drawn_positions(index: DataFrame, seed: int, reps: int, strata: Sequence[str
     return turns.select(*strata, "rep", F.floor(u * F.col("n")).alias("idx"))
 
 
+#: Units of a part that is not split further.
+LEAF = 256
+
+
+def _with_leaf(index: DataFrame, strata: Sequence[str]) -> DataFrame:
+    """Add the depth of the stratum's tree, the leaf of the unit's place, and a name of the stratum."""
+    name = F.to_json(F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(strata)]), {"ignoreNullFields": "false"}) if strata else F.lit("")
+    deep = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / F.lit(LEAF)))).cast("int")
+    return index.withColumns({"_depth": deep, "_name": name}).withColumn("_leaf", F.expr("((idx + 1) * shiftleft(1L, _depth) - 1) div n"))
+
+
+def leaf_weights(seed: int, reps: int):
+    """A function (name, n, depth, leaf) -> (first place, replicates x places): how often each place of a leaf is drawn.
+
+    Part j of level l holds the places from j * n / 2^l on. The draws in its first half are binomial given those in the part, from a
+    generator seeded with (seed, name, level, part), so all tasks find the same numbers. Replicates do not depend on how many there are.
+    """
+    halves: dict[int, tuple[tuple, np.ndarray]] = {}
+
+    def generator(*key) -> np.random.Generator:
+        text = ":".join(map(str, (seed, *key)))
+        return np.random.Generator(np.random.Philox(key=int(hashlib.md5(text.encode()).hexdigest(), 16)))
+
+    def find(name: str, n: int, depth: int, leaf: int) -> tuple[int, np.ndarray]:
+        drawn = np.full(reps, n, dtype=np.int64)
+        for level in range(depth):
+            part = leaf >> (depth - level)
+            low, middle, high = (part * n) >> level, ((2 * part + 1) * n) >> (level + 1), ((part + 1) * n) >> level
+            key = (name, n, part)
+            if level not in halves or halves[level][0] != key:
+                halves[level] = (key, generator(name, level, part).binomial(drawn, (middle - low) / (high - low)))
+            first = halves[level][1]
+            drawn = drawn - first if (leaf >> (depth - level - 1)) & 1 else first
+        low, high = (leaf * n) >> depth, ((leaf + 1) * n) >> depth
+        cell = generator(name, "leaf", leaf).integers(0, high - low, int(drawn.sum())) + np.repeat(np.arange(reps) * (high - low), drawn)
+        return low, np.bincount(cell, minlength=reps * (high - low)).reshape(reps, -1)
+
+    return find
+
+
+def _by_leaf(seed: int, reps: int):
+    """A function from a batch in order of leaves to the weights, replicates x units, of its rows ``first``."""
+    find, held = leaf_weights(seed, reps), [None, None]
+
+    def weights_of(batch: pd.DataFrame, first: np.ndarray) -> np.ndarray:
+        units = batch.iloc[first].reset_index(drop=True)
+        out = np.empty((reps, len(units)))
+        for key, where in units.groupby(["_name", "n", "_depth", "_leaf"], sort=False).indices.items():
+            if held[0] != key:
+                held[:] = key, find(key[0], *map(int, key[1:]))
+            low, table = held[1]
+            out[:, where] = table[:, units["idx"].to_numpy(np.int64)[where] - low]
+        return out
+
+    return weights_of
+
+
+def _split_draws(index: DataFrame, seed: int, reps: int, strata: Sequence[str], unit: str) -> DataFrame:
+    placed = _with_leaf(index.select(*strata, unit, "idx", "n"), strata)
+    fields = [*[placed.schema[c] for c in strata], T.StructField("rep", T.IntegerType()), placed.schema[unit], T.StructField("w", T.LongType())]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weights_of = _by_leaf(seed, reps)
+        for batch in batches:
+            weights = weights_of(batch, np.arange(len(batch))).astype(np.int64)
+            rep, at = np.nonzero(weights)
+            yield batch[[*strata, unit]].iloc[at].assign(rep=(rep + 1).astype(np.int32), w=weights[rep, at])[[f.name for f in fields]]
+
+    return spread(placed, "_name", "_leaf").sortWithinPartitions("_name", "_leaf").mapInPandas(run, T.StructType(fields))
+
+
 def draws(index: DataFrame, seed: int, reps: int, strata: Sequence[str] = (), unit: str = "unit", hasher: str = "xx") -> DataFrame:
     """Multinomial weights (rep, unit, w); units with weight 0 have no row."""
+    if hasher == "xx":
+        return _split_draws(index, seed, reps, list(strata), unit)
     hits = drawn_positions(index, seed, reps, strata, hasher).groupBy(*strata, "rep", "idx").agg(F.count("*").alias("w"))
     return join_null_safe(hits, index.select(*strata, "idx", unit), [*strata, "idx"]).select(*strata, "rep", unit, "w")
 
@@ -148,6 +223,8 @@ def _weighted_sums(rows: DataFrame, by: Sequence[str], names: Sequence[str], rep
         for batch in batches:
             values = batch[names].to_numpy(dtype=float)
             _, first, row_unit = np.unique(batch["_h"].to_numpy(dtype=np.int64), return_index=True, return_inverse=True)
+            order = np.argsort(first)  # units in the order of their rows
+            first, row_unit = first[order], np.argsort(order)[row_unit]
             groups = batch.groupby(by, dropna=False, sort=False).indices if by else {(): np.arange(len(batch))}
             wide = np.zeros((len(first), len(groups), len(names)))
             for g, where in enumerate(groups.values()):
@@ -190,12 +267,18 @@ def poisson_sums(stats: DataFrame, by: Sequence[str], names: Sequence[str], reps
 def multinomial_sums(
     stats: DataFrame, by: Sequence[str], names: Sequence[str], reps: int, seed: int, strata: Sequence[str] = (), unit: str = "unit", hasher: str = "xx"
 ) -> DataFrame:
-    """Sums under the weights of ``draws``: each unit receives the list of replicates that drew it.
+    """Sums under the weights of ``draws``. Split draws are made where the statistics lie, dealt by leaf.
 
-    The list has about ``reps`` entries, whatever the number of units.
+    With positions drawn one by one (``md5``) each unit receives the list of replicates that drew it, about ``reps`` entries.
     """
     strata = list(strata)
     index = unit_index(stats.select(*strata, unit).distinct(), unit, strata, hasher)
+    if hasher == "xx":
+        own = [*strata, unit]
+        placed = _with_leaf(join_null_safe(stats, index.select(*own, "idx", "n"), own), strata)
+        rows = spread(placed, "_name", "_leaf").sortWithinPartitions("_name", "_leaf", "idx")
+        rows = rows.select(*by, F.xxhash64("_name", "idx").alias("_h"), "_name", "n", "_depth", "_leaf", "idx", *[F.col(n).cast("double").alias(n) for n in names])
+        return _weighted_sums(rows, by, names, reps, _by_leaf(seed, reps))
     hits = drawn_positions(index, seed, reps, strata, hasher).groupBy(*strata, "idx").agg(F.collect_list("rep").alias("_reps"))
     drawn = join_null_safe(index.select(*strata, "idx", unit), hits, [*strata, "idx"]).select(*strata, unit, "_reps")
 

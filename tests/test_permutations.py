@@ -118,3 +118,39 @@ def _moved(pdf, place, rep):
         to = B.permuted(idx, len(held), B.step_keys(9, b, rep)[None])[:, 0]
         out.loc[held.index, ["u", "w"]] = held.sort_values(["u", "w"])[["u", "w"]].to_numpy()[to]
     return out
+
+
+def test_split_draws_are_multinomial():
+    from evalpanel.operators.resample import leaf_weights
+
+    n, depth, reps = 1000, 2, 400
+    parts = [leaf_weights(3, reps)("", n, depth, leaf) for leaf in range(4)]
+    assert [low for low, _ in parts] == [0, 250, 500, 750]
+    weights = np.concatenate([table for _, table in parts], axis=1)
+    assert weights.shape == (reps, n) and (weights.sum(1) == n).all()
+    # Counts of one place are binomial: mean 1, variance 1 - 1/n, and any two have covariance -1/n, so halves vary by n/4.
+    assert np.var(weights) == pytest.approx(1 - 1 / n, rel=0.01)
+    assert np.var(weights[:, :500].sum(1)) == pytest.approx(n / 4, rel=0.25)
+    for k, share in enumerate([0.3677, 0.3681, 0.1840, 0.0613]):
+        assert np.mean(weights == k) == pytest.approx(share, abs=0.003)
+    # Other leaves first, or fewer replicates, and the numbers stay.
+    find = leaf_weights(3, 50)
+    assert all((find("", n, depth, leaf)[1] == parts[leaf][1][:50]).all() for leaf in (2, 0, 3, 1))
+    assert (leaf_weights(3, reps)("other", n, depth, 0)[1] != parts[0][1]).any()
+
+
+def test_split_sums_are_those_of_the_split_draws(spark):
+    from pyspark.sql import functions as F
+
+    from evalpanel.operators import resample as R
+
+    rows = spark.range(700).select(F.col("id").alias("unit"), F.when(F.col("id") % 7 > 0, F.col("id") % 2).alias("bin"), (F.col("id") % 13).cast("double").alias("x"))
+    stat = R.mean_of("x")
+    for strata in ([], ["bin"]):
+        index = R.unit_index(rows.select(*strata, "unit"), "unit", strata)
+        w = R.draws(index.repartition(5), 4, 30, strata)
+        want = {r["rep"]: r["t"] for r in w.join(rows.select("unit", "x"), "unit").groupBy("rep").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("t")).collect()}
+        got = {r["rep"]: r["theta"] for r in R.replicates(rows.repartition(3), [], stat, 30, 4, "multinomial", strata).collect()}
+        assert got == pytest.approx(want) and len(got) == 30
+        sizes = {tuple(r) for r in rows.groupBy(*strata).count().collect()} if strata else {(700,)}
+        assert {tuple(r) for r in w.groupBy(*strata, "rep").agg(F.sum("w").alias("s")).select(*strata, "s").distinct().collect()} == sizes
