@@ -333,10 +333,17 @@ def wild_cluster_enumerated(spark, sf_dir):
     return out.drop("n_distinct_abs_t", "below_resolution_floor")
 
 
-@query("wild_cluster_drawn")
+@query(
+    "wild_cluster_drawn",
+    f"""{CONTRIB_SQL}, st AS (SELECT a, b, rep, clus, [-sqrt(1.5),-1.0,-0.5,0.5,1.0,sqrt(1.5)][CAST(floor({u_sql(3, 'rep', 'clus')}*6) AS BIGINT)+1]*s AS s, w FROM cs, range(1,1000) r(rep)),
+ tt AS (SELECT a, b, rep, sum(s) AS t, sum(w) AS w, count(*) AS g FROM st GROUP BY ALL),
+ sr AS (SELECT st.a, st.b, st.rep, g, t/tt.w/sqrt((g-1.0)/g*sum(power((t-s)/(tt.w-st.w)-t/tt.w,2))) AS ts FROM st JOIN tt ON st.a=tt.a AND st.b=tt.b AND st.rep=tt.rep GROUP BY st.a, st.b, st.rep, t, tt.w, g),
+ wt AS (SELECT cv.a, cv.b, est/se AS t_obs, count(ts) AS n, count(*) FILTER (round(abs(ts),10)>=round(abs(est/se),10)) AS k, count(DISTINCT round(abs(ts),10)) AS n_abs, 2/power(6.0,max(sr.g)) AS least FROM sr JOIN cv ON sr.a=cv.a AND sr.b=cv.b GROUP BY cv.a, cv.b, est, se)
+SELECT a, b, {D('t_obs', 't_obs')}, {N('n', 'n_valid')}, {N('k', 'n_beyond')}, {N('n_abs', 'n_distinct_abs_t')}, {D('greatest((1+k)/(n+1.0), least)', 'p_webb')}, (1+k)/(n+1.0)<least AS below_resolution_floor FROM wt""",
+)
 def wild_cluster_drawn(spark, sf_dir):
     sums = K.cluster_sums(contributions(spark, sf_dir), ["a", "b"], "clus", weight="weight")
-    stars = K.wild_replicates(sums, ["a", "b"], "clus", 999, seed=3)
+    stars = K.wild_replicates(sums, ["a", "b"], "clus", 999, seed=3, hasher="md5")
     return K.wild_test(K.clustered_interval(sums, ["a", "b"], "clus", interval=False), stars, ["a", "b"])
 
 
@@ -378,9 +385,15 @@ def leave_one_cluster_out_median(spark, sf_dir):
     return quantiles_of(levels.filter("n > 0"), ["rater", "dropped"], "abs_e", {"median_abs_e": 0.5})
 
 
-@query("clustered_to_headline_width")
+@query(
+    "clustered_to_headline_width",
+    f"""{CONTRIB_SQL}, un AS (SELECT DISTINCT unit FROM panel), {poisson_weights_sql(u_sql(44, 'unit', 'rep'), 100)},
+ th AS MATERIALIZED (SELECT rater, rep, avg(m) AS theta FROM (SELECT rep, rater, bin, sum(w*abs_e)/sum(w) AS m FROM panel JOIN pw USING (unit) WHERE w>0 GROUP BY ALL) GROUP BY ALL),
+ hw AS (SELECT x.rater AS a, y.rater AS b, quantile_cont(x.theta-y.theta,0.975)-quantile_cont(x.theta-y.theta,0.025) AS h FROM th x JOIN th y ON x.rep=y.rep AND x.rater<y.rater GROUP BY ALL)
+SELECT cv.a, cv.b, {D('est', 'estimate')}, {N('cv.g', 'n_clusters')}, {D('se', 'se')}, {D('est/se', 't_obs')}, {D('est-4.302652729911275*se', 'ci_lo')}, {D('est+4.302652729911275*se', 'ci_hi')}, {D('2*4.302652729911275*se/h', 'width_ratio')} FROM cv JOIN hw ON cv.a=hw.a AND cv.b=hw.b""",
+)
 def clustered_to_headline_width(spark, sf_dir):
-    reps = B.replicates(P.base_panel(spark, sf_dir), ["rater"], BALANCED, 100, 44, "poisson")
+    reps = B.replicates(P.base_panel(spark, sf_dir), ["rater"], BALANCED, 100, 44, "poisson", hasher="md5")
     head = I.percentile_interval(B.paired_replicates(reps, "rater"), ["a", "b"])
     sums = K.cluster_sums(contributions(spark, sf_dir), ["a", "b"], "clus", weight="weight")
     return K.width_ratio(K.clustered_interval(sums, ["a", "b"], "clus"), head, ["a", "b"])
@@ -415,8 +428,35 @@ def top_set_comparison(spark, sf_dir):
     return TS.comparison_set(reps, points)
 
 
-@query("top_set_both")
+def studentised_sql(left: str, i: int) -> str:
+    """CTEs of round ``i`` over the configurations in ``left``: their excess ``dh``, its spread ``se`` and the critical value ``c``."""
+    return f"""dh{i} AS MATERIALIZED (SELECT a.config, a.theta, a.theta-min(b.theta) AS d FROM pt a JOIN pt b ON a.config<>b.config WHERE a.config IN (FROM {left}) AND b.config IN (FROM {left}) GROUP BY a.config, a.theta),
+ ds{i} AS MATERIALIZED (SELECT a.config, a.rep, a.theta-min(b.theta) AS d FROM th a JOIN th b ON a.rep=b.rep AND a.config<>b.config WHERE a.config IN (FROM {left}) AND b.config IN (FROM {left}) GROUP BY a.config, a.rep, a.theta),
+ se{i} AS MATERIALIZED (SELECT config, stddev_samp(d) AS se FROM ds{i} GROUP BY config),
+ c{i} AS MATERIALIZED (SELECT quantile_cont(m,0.95) AS c FROM (SELECT rep, max((ds.d-dh.d)/se) AS m FROM ds{i} ds JOIN dh{i} dh ON ds.config=dh.config JOIN se{i} se ON ds.config=se.config GROUP BY rep))"""
+
+
+def elimination_sql(rounds: int) -> str:
+    """CTEs ``s0`` (all) to ``s<rounds>``: each drops the configuration with the largest excess if that is beyond the critical value."""
+    steps = ["s0 AS MATERIALIZED (SELECT DISTINCT config FROM th)"]
+    for i in range(rounds):
+        worst = f"SELECT dh.config FROM dh{i} dh JOIN se{i} se ON dh.config=se.config, c{i} WHERE d/se>c ORDER BY d/se DESC LIMIT 1"
+        steps += [studentised_sql(f"s{i}", i), f"s{i + 1} AS MATERIALIZED (SELECT config FROM s{i} WHERE config NOT IN ({worst}))"]
+    return ",\n ".join(steps)
+
+
+@query(
+    "top_set_both",
+    f"""{PANEL}, un AS (SELECT DISTINCT unit FROM panel), {poisson_weights_sql(u_sql(52, 'unit', 'rep'), 200)},
+ th AS MATERIALIZED (SELECT config, rep, avg(m) AS theta FROM (SELECT rep, config, bin, sum(w*abs_e)/sum(w) AS m FROM panel JOIN pw USING (unit) WHERE w>0 GROUP BY ALL) GROUP BY ALL),
+ pt AS MATERIALIZED (SELECT config, avg(m) AS theta FROM (SELECT config, bin, avg(abs_e) AS m FROM panel GROUP BY ALL) GROUP BY config), {elimination_sql(6)},
+ bp AS (SELECT config, count(*) AS n, avg(CASE WHEN rk=1 THEN 1.0 ELSE 0 END) AS p FROM (SELECT config, row_number() OVER (PARTITION BY rep ORDER BY theta, config) AS rk FROM th) GROUP BY config),
+ al AS (SELECT dh0.config, theta, d, se, c, d-c*se<=0 AS b, dh0.config IN (FROM s6) AS s, n, p FROM dh0 JOIN se0 ON dh0.config=se0.config JOIN bp ON dh0.config=bp.config, c0)
+SELECT config, {D('theta', 'theta_hat')}, {D('d', 'd_hat')}, {D('se', 'se_hat')}, {D('c', 'critical')}, {D('d-c*se', 'lower_bound')}, b AS in_mcb, {N('n', 'n_reps')}, {D('p', 'prob_best')}, s AS in_mcs, b OR s AS in_union,
+ (SELECT count(*) FILTER (b<>s)>0 FROM al) AS sets_disagree FROM al""",
+)
 def top_set_both(spark, sf_dir):
     panel = P.base_panel(spark, sf_dir)
     stats = cut_lineage(B.unit_stats(panel, ["config"], BALANCED))
-    return TS.top_set(B.replicates(stats, ["config"], BALANCED, 200, 52, "poisson"), B.point(stats, ["config"], BALANCED))
+    reps = B.replicates(stats, ["config"], BALANCED, 200, 52, "poisson", hasher="md5")
+    return TS.top_set(reps, B.point(stats, ["config"], BALANCED))
