@@ -228,3 +228,15 @@ def compare_tables(got: DataFrame, want: DataFrame, keys: Sequence[str], value:
     return _check(agg, check_id, f"{value} as declared", F.col("bad") == 0, _text(rows=F.col("n"), different=F.col("bad")), GATE)
 
 
+def losses(rows: DataFrame, keys: Sequence[str], reasons: Mapping[str, Column]) -> DataFrame:
+    """Per key: rows, rows kept, and rows lost for each reason, each counted under the first reason that is true; one aggregation."""
+    first = F.lit(None).cast("string")
+    for name, lost in reversed(list(reasons.items())):
+        first = F.when(lost, F.lit(name)).otherwise(first)
+    named = rows.select(*keys, first.alias("_reason"))
+    grouped = named.groupBy(*keys) if keys else named.groupBy()
+    return grouped.agg(
+        F.count("*").alias("n"),
+        F.count_if(F.col("_reason").isNull()).alias("kept"),
+        *[F.count_if(F.col("_reason") == F.lit(r)).alias(r) for r in reasons],
+    )

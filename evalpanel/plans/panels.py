@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evalpanel.functions.columns import FIVE_EDGES, right_closed_bin, with_bins, with_errors
+from evalpanel.operators.contracts import losses
 
 RATERS = ("A", "N", "R")
 CONDITIONS = ("F", "O")
@@ -23,8 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cells(spark: SparkSession, sf_dir: str, variants: bool = False, scores: bool = False) -> DataFrame:
-    """One row per (unit, rater, cond) with the prediction(s) and, on request, a score."""
+def cells(spark: SparkSession, sf_dir: str, variants: bool = False, scores: bool = False, second: bool = False) -> DataFrame:
+    """One row per (unit, rater, cond) with the prediction(s) and, on request, a score and a second serving of the cell.
+
+    The second path is made of the low-discount rows alone; ``seen2`` tells whether the cell has any.
+    """
     cols = [(F.lit(2.0) * F.avg("l_quantity")).alias("pred")]
     if variants:
         # l_quantity has 50 levels, so the exact median keeps a bounded state per cell.
@@ -36,6 +40,9 @@ def cells(spark: SparkSession, sf_dir: str, variants: bool = False, scores: bool
         cols.append(
             F.when(F.count("*") > 1, F.round(F.lit(10.0) * (F.lit(1.0) - F.round(F.avg("l_discount"), 6) * F.lit(5.0))) / F.lit(10.0)).alias("conf")
         )
+    if second:
+        low = F.col("l_discount") <= 0.05
+        cols += [(F.lit(2.0) * F.avg(F.when(low, F.col("l_quantity")))).alias("pred2"), (F.count_if(low) > 0).alias("seen2")]
     return (
         table(spark, sf_dir, "lineitem")
         .groupBy(
@@ -55,9 +62,9 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def base_panel(spark: SparkSession, sf_dir: str, variants: bool = False, scores: bool = False) -> DataFrame:
+def base_panel(spark: SparkSession, sf_dir: str, variants: bool = False, scores: bool = False, second: bool = False) -> DataFrame:
     """Complete panel: every unit carries all rater x condition cells."""
-    complete = cells(spark, sf_dir, variants, scores).withColumn(
+    complete = cells(spark, sf_dir, variants, scores, second).withColumn(
         "_n", F.count("*").over(W.partitionBy("unit"))
     )
     joined = complete.filter(F.col("_n") == CELLS).drop("_n").join(units(spark, sf_dir), "unit")
@@ -77,28 +84,23 @@ def variant_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_errors(long.withColumn("variant", names))
 
 
-def second_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A second serving of the same cells, from the low-discount rows only; some cells are missing."""
-    return (
-        table(spark, sf_dir, "lineitem")
-        .filter(F.col("l_discount") <= 0.05)
-        .groupBy(
-            F.col("l_partkey").alias("unit"),
-            F.col("l_returnflag").alias("rater"),
-            F.col("l_linestatus").alias("cond"),
-        )
-        .agg((F.lit(2.0) * F.avg("l_quantity")).alias("pred2"))
-    )
-
-
 def path_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells seen on both paths, with the error on each."""
-    both = base_panel(spark, sf_dir).join(second_path(spark, sf_dir), ["unit", "rater", "cond"])
+    """Cells seen on both paths, with the error on each; one scan and one aggregation serve both. ``panel_losses`` counts the rest."""
+    both = base_panel(spark, sf_dir, second=True).filter("seen2").drop("seen2")
     return both.withColumns(
         {"e2": F.col("pred2") - F.col("reference"), "abs_e2": F.abs(F.col("pred2") - F.col("reference"))}
     )
 
 
+def panel_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per configuration, the cells that do not reach the panel of both paths, by the first reason that holds."""
+    rows = cells(spark, sf_dir, second=True).withColumn("_n", F.count("*").over(W.partitionBy("unit")))
+    known = rows.join(units(spark, sf_dir).select("unit", F.lit(True).alias("_known")), "unit", "left")
+    return losses(
+        known, ["rater", "cond"], {"incomplete_unit": F.col("_n") != CELLS, "no_reference": F.col("_known").isNull(), "not_on_second_path": ~F.col("seen2")}
+    )
+
+
 def repeat_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two runs per (unit, rater): odd and even line numbers."""
     run = F.when(F.col("l_linenumber") % 2 == 1, "run1").otherwise("run2")

@@ -115,3 +115,13 @@ def baseline_join_guard(spark, sf_dir):
         K.unique_key(panel, "panel rows repeat units", ["unit"], severity=K.REPORT),
     )
     return checks.run().select("check_id", "passed")
+
+
+@query(
+    "panel_losses",
+    f"""{P.with_sql(P.PANEL_SQL, P.PATH_SQL)}, r AS (SELECT c.rater, c.cond, CASE WHEN f.unit IS NULL THEN 'i' WHEN p.p_partkey IS NULL THEN 'n' WHEN b.unit IS NULL THEN 's' ELSE 'k' END AS why
+ FROM cells c LEFT JOIN complete f ON c.unit=f.unit LEFT JOIN part p ON p.p_partkey=c.unit LEFT JOIN path2 b ON b.unit=c.unit AND b.rater=c.rater AND b.cond=c.cond)
+SELECT rater, cond, {N('count(*)', 'n')}, {N("count(*) FILTER (why='k')", 'kept')}, {N("count(*) FILTER (why='i')", 'incomplete_unit')}, {N("count(*) FILTER (why='n')", 'no_reference')}, {N("count(*) FILTER (why='s')", 'not_on_second_path')} FROM r GROUP BY rater, cond""",
+)
+def panel_losses(spark, sf_dir):
+    return P.panel_losses(spark, sf_dir)

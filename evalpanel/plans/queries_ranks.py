@@ -219,7 +219,7 @@ SELECT q.rater, q.cond, {N('n', 'n')}, {D('ex', 'exact_rate')}, {D('md', 'mean_d
 FROM q JOIN s ON q.rater=s.rater AND q.cond=s.cond""",
 )
 def path_agreement(spark, sf_dir):
-    return A.path_agreement(P.path_panel(spark, sf_dir), ["rater", "cond"])
+    return A.path_agreement(cut_lineage(P.path_panel(spark, sf_dir)), ["rater", "cond"])
 
 
 def path_table(spark, sf_dir, item: str):

@@ -270,3 +270,14 @@ def test_stream_first_answer_by_time_arrives_late(spark, folder):
     assert got == {1: 13.0, 2: 12.0}
     sizes = spark.read.parquet(str(folder / "out")).groupBy("batch").count().collect()
     assert sorted((r["batch"], r["count"]) for r in sizes) == [(0, 2), (1, 1)]  # changes only
+
+
+def test_losses_count_each_row_under_its_first_reason(spark):
+    from pyspark.sql import functions as F
+
+    from evalpanel.operators.contracts import losses
+
+    df = spark.createDataFrame([("a", 1, True), ("a", 2, True), ("a", 2, False), ("b", None, None)], "k string, x int, ok boolean")
+    got = {r["k"]: tuple(r)[1:] for r in losses(df, ["k"], {"two": F.col("x") == 2, "bad": ~F.col("ok")}).collect()}
+    assert got == {"a": (3, 1, 2, 0), "b": (1, 1, 0, 0)}
+    assert losses(df.limit(0), [], {"two": F.col("x") == 2}).collect()[0]["n"] == 0
