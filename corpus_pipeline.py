@@ -23,7 +23,10 @@ def harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles with a verified similarity of 0.8 or more."""
+    """One document of each group of near-duplicates: five-word shingles with a verified similarity of 0.8 or more.
+
+    SimHash fingerprints by multi-index hashing and MinHash bands propose the pairs.
+    """
     return similar.one_of_each(docs, words=5, least=0.8)
 
 

@@ -130,6 +130,26 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[far], nodes[root[far]]
 
 
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the links (a[i], b[i]) that are enough to join what all of them join: every group takes its first link outward, again and again."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    root, kept = np.arange(len(nodes)), np.zeros(len(a), bool)
+    while True:
+        open_ = np.flatnonzero(root[x] != root[y])
+        if not len(open_):
+            return a[kept], b[kept]
+        first = np.full(len(nodes), len(a))
+        np.minimum.at(first, root[x[open_]], open_)
+        np.minimum.at(first, root[y[open_]], open_)
+        taken = np.unique(first[first < len(a)])
+        kept[taken] = True
+        far, low = forest(root[x[taken]], root[y[taken]])
+        to = np.arange(len(nodes))
+        to[far] = low
+        root = to[root]
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): each node of a link with the smallest node it reaches. Unlinked nodes do not appear.
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalpanel.llm.common import components, forest, sliced, table, worker_of, written
+from evalpanel.llm.common import components, forest, sliced, spanning, table, worker_of, written
 from evalpanel.llm.registry import query
 
 BITS = 64
@@ -76,14 +76,15 @@ def ball(width: int, radius: int) -> list[int]:
     return masks
 
 
-def close_links(prints: DataFrame, radius: int = 4, segments: int = 3, block: int = BLOCK) -> DataFrame:
-    """(a, b): links that join exactly what pairs of distinct ``fp`` within ``radius`` bits join.
+def close_links(prints: DataFrame, radius: int = 4, segments: int = 3, block: int = BLOCK, real: bool = False) -> DataFrame:
+    """(a, b): links that join exactly what pairs of distinct ``fp`` within ``radius`` bits join; with ``real`` all are such pairs.
 
     Each fingerprint is stored once per segment under the segment's bits and asked for under every key of its ball; keys
     meet by a shuffle, and complete distances are verified. A bucket of more than ``block`` stored fingerprints is dealt
     out in blocks to which its questions are repeated, and each task returns a forest of its links, not its pairs.
     """
     plan = [p for p in segment_plan(segments, radius) if p[2] >= 0]
+    reduced = spanning if real else forest
     key = lambda fp, low, width: F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1))
     seg = lambda i, k: k.bitwiseOR(F.lit(i << 58))  # noqa: E731  segments are far narrower than 58 bits
     fp = F.col("fp")
@@ -127,9 +128,9 @@ def close_links(prints: DataFrame, radius: int = 4, segments: int = 3, block: in
                         gathered.append(np.stack([some[x[differ]], held[y[differ]]]).view(np.int64))
                         waiting += gathered[-1].shape[1]
                     if waiting > 500_000:
-                        gathered, waiting = [np.stack(forest(*np.concatenate(gathered, axis=1)))], 0
+                        gathered, waiting = [np.stack(reduced(*np.concatenate(gathered, axis=1)))], 0
         if gathered:
-            a, b = forest(*np.concatenate(gathered, axis=1))
+            a, b = reduced(*np.concatenate(gathered, axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return met.mapInArrow(verify, "a long, b long")

@@ -233,3 +233,42 @@ def test_similar_documents_by_exact_similarity(spark):
     left = corpus_pipeline.distinct(spark, docs, None).collect()
     assert sorted({r["doc_id"] for r in left if r["doc_id"] is not None}) == sorted({i for i, c in classes(list(held), links).items() if i == c})
     assert similar.near_duplicates(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("block", [7, 1024])
+def test_links_under_a_key_of_many_nodes_are_dealt_in_tiles(spark, block):
+    from evalpanel.llm import similar
+
+    rng = random.Random(21)
+    common = [f"w{i}" for i in range(60)]
+    texts = [" ".join(common[:40] + [rng.choice(WORDS) for _ in range(rng.choice([2, 4, 30]))]) for _ in range(90)]
+    sets = [similar.shingles(t, 5) for t in texts]
+    keys = [[1, 10 + i % 3, 2] for i in range(len(texts))]  # key 2 is never the first common one
+    rows = [(i, sets[i].tobytes(), keys[i]) for i in range(len(texts))]
+    held = spark.createDataFrame(rows, "node long, held binary, keys array<long>")
+    left = spark.createDataFrame([(k, i, i // 2) for i in range(len(texts)) for k in keys[i]], "key long, node long, group long").repartition(3)
+    got = similar.links_under_keys(left, held, 0.8, block).collect()
+    alike = lambda x, y: len(np.intersect1d(x, y)) / len(np.union1d(x, y)) >= 0.8
+    links = [(i, j) for i in range(90) for j in range(i) if i // 2 != j // 2 and alike(sets[i], sets[j])]
+    assert 100 < len(links) < 4000
+    assert classes(range(90), [(r["a"], r["b"]) for r in got]) == classes(range(90), links)
+
+
+def test_spanning_links_are_given_links():
+    from evalpanel.llm.common import spanning
+
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 300, 900), rng.integers(0, 300, 900)
+    x, y = spanning(a, b)
+    assert set(zip(x.tolist(), y.tolist())) <= set(zip(a.tolist(), b.tolist()))
+    assert classes(range(300), list(zip(x.tolist(), y.tolist()))) == classes(range(300), list(zip(a.tolist(), b.tolist())))
+    assert len(x) == 300 - len(set(classes(range(300), list(zip(a.tolist(), b.tolist()))).values()))
+
+
+def test_near_duplicates_take_the_steps_of_simhash(spark):
+    from evalpanel.llm import similar
+
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join(base), " ".join([*base[:399], "other"]), " ".join(f"v{i}" for i in range(400))]
+    nodes = spark.createDataFrame([(i, similar.majority(similar.shingles(t, 5))) for i, t in enumerate(texts)], "node long, fp long")
+    assert [tuple(r) for r in similar.fingerprint_pairs(nodes).collect()] == [(0, 1)]
