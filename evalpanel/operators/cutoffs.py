@@ -107,7 +107,7 @@ def packed_sweeps(rows: DataFrame, keys: Sequence[str], score: str, missing: str
         level = held.column("cutoff").to_numpy()
         blank = np.isnan(level)
         levels, at = np.unique(level[~blank], return_inverse=True)
-        counts = np.stack([np.frombuffer(x, "<i4") for x in held.column("counts").to_pylist()])
+        counts = np.stack([np.frombuffer(x, "<i8") for x in held.column("counts").to_pylist()])
         sums = np.stack([np.frombuffer(x) for x in held.column("sums").to_pylist()])
         bins = held.column("bin").to_numpy()
         n, s = (np.zeros((n_bins, len(levels) + 1, counts.shape[1])) for _ in range(2))

@@ -11,7 +11,6 @@ Weights are those of ``resample.poisson_draws``: pure functions of (seed, unit,
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 from typing import Sequence
 
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalpanel.functions.hashing import continue_hash, poisson_steps
+from evalpanel.functions.hashing import continue_hash, md5_uniform, poisson_steps
 from evalpanel.functions.levels import spread
 from evalpanel.operators import ranks as R
 from evalpanel.operators import resample as B
@@ -37,17 +36,18 @@ def unit_weights(units: pd.Series, hashes: np.ndarray, seed: int, first: int, wi
     """Poisson(1) weights, units x replicates ``first`` to ``first + width - 1``."""
     turns = np.arange(first, first + width, dtype=np.int32)
     if hasher == "md5":
-        u = np.array([[int(hashlib.md5(f"{seed}:{x}:{r}".encode()).hexdigest()[:13], 16) for r in turns] for x in units]) / 2.0**52
+        u = md5_uniform([f"{seed}:{x}:" for x in units], turns)
     else:
         u = continue_hash(hashes[:, None], turns[None, :])
     return np.searchsorted(np.array(poisson_steps()), u.ravel(), side="right").reshape(u.shape).astype(np.int32)
 
 
 def replicate_counts(rows: DataFrame, keys: Sequence[str], values: Sequence[str], reps: int, width: int, seed: int, unit: str = "unit", hasher: str = "xx", measure: str | None = None) -> DataFrame:
-    """(keys, values, block, counts[, sums]): partial counts of every cell in each block of ``width`` replicates, as packed int32.
+    """(keys, values, block, counts[, sums]): the counts of every cell in each block of ``width`` replicates, as packed int64.
 
     With ``measure`` also its weighted sums, as packed doubles. Rows are sorted by cell inside a task, so that a task gives a cell
-    about once, whatever the number of its rows.
+    about once, whatever the number of its rows. The parts of a cell, one or two a task, are added up before a block comes together, so the
+    task of a block holds a row per cell and not one per cell and task.
     """
     by, carried = [*keys, *values], [measure] if measure else []
     packed = [T.StructField(c, T.BinaryType()) for c in ["counts", *(["sums"] if measure else [])]]
@@ -72,7 +72,24 @@ def replicate_counts(rows: DataFrame, keys: Sequence[str], values: Sequence[str]
                 yield out
 
     source = spread(rows.select(*by, *carried, F.col(unit).cast("string").alias("_u"), F.xxhash64(F.lit(seed), F.col(unit)).alias("_h")), "_u").sortWithinPartitions(*by)
-    return source.mapInPandas(fill, schema)
+    names = [f.name for f in packed]
+    parts = source.mapInPandas(fill, schema).groupBy(*by, "block").agg(*[F.collect_list(c).alias(c) for c in names])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            out = batch.columns[: -len(names)]
+            for kind, column in zip(("<i4", "<f8"), batch.columns[-len(names) :]):
+                sums = [np.frombuffer(b"".join(x), kind).reshape(len(x), -1).sum(0, dtype="<i8" if kind == "<i4" else kind) for x in column.to_pylist()]
+                out.append(pa.array([x.tobytes() for x in sums], pa.binary()))
+            yield pa.RecordBatch.from_arrays(out, [*by, "block", *names])
+
+    return parts.mapInArrow(add, schema)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def block_width(cells: int, reps: int) -> int:
@@ -86,7 +103,7 @@ def _statistic_by_block(counts: DataFrame, keys: Sequence[str], values: Sequence
 
     def run(held: pa.Table) -> pa.Table:
         a, b = (held.column(v).to_numpy(zero_copy_only=False) for v in values)
-        matrix = np.stack([np.frombuffer(x, "<i4") for x in held.column("counts").to_pylist()]).astype(np.int64)
+        matrix = np.stack([np.frombuffer(x, "<i8") for x in held.column("counts").to_pylist()])
         theta, n = solve(a, b, matrix)
         first = held.column("block")[0].as_py() * width + 1
         size = matrix.shape[1]

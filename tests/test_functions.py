@@ -152,3 +152,16 @@ def test_running_sums_with_null_values_and_no_rows(spark):
     got = {(x["k"], x["m"]): x["below_m"] for x in running(df, ["k"], "v", ["m"]).collect()}
     assert got == {("a", 1): 0, ("a", 2): 1, ("a", 4): 3, (None, 8): 0, (None, 16): 8}
     assert running(df.limit(0), ["k"], "v", ["m"]).collect() == []
+
+
+def test_md5_numbers_by_arrays():
+    import hashlib
+
+    import numpy as np
+
+    from evalpanel.functions.hashing import md5_uniform
+
+    heads = ["31:8:", "31:12:", "31:9999999:", "x" * 54 + ":", "é:", "a", ""]
+    numbers = np.array([1, 7, 10, 99, 100, 12345678901])
+    want = [[int(hashlib.md5(f"{h}{n}".encode()).hexdigest()[:13], 16) / 2.0**52 for n in numbers] for h in heads]
+    assert md5_uniform(heads, numbers).tolist() == want

@@ -107,3 +107,12 @@ def test_a_cutoff_that_one_unit_reaches(spark):
     assert got[0.9]["undefined"] and got[0.9]["accel"] is None and not got[0.1]["undefined"]
     last = [r for r in C.sweep_intervals(df, ["k"], "conf", "drop", 80, 2, n_bins=1).collect() if r["cutoff"] == 0.9][0]
     assert last["ci_method"] == "percentile (BCa fallback), degenerate: n < 30" and last["undefined_share"] > 0
+
+
+def test_a_block_gets_one_row_per_cell_whatever_the_number_of_tasks(spark, rows):
+    df, pdf = rows
+    given = df.repartition(7).select("k", "x", "y", "unit", "abs_e")
+    got = RR.replicate_counts(given, ["k"], ["x", "y"], 12, 5, 4, measure="abs_e").toPandas()
+    assert len(got) == 3 * len(pdf[["k", "x", "y"]].drop_duplicates())
+    w = weights(spark, df, 4, 12)
+    assert sum(np.frombuffer(x, "<i8").sum() for x in got["counts"]) == sum(w[r].get(u, 0) for u in pdf["unit"] for r in range(1, 13))
