@@ -6,9 +6,9 @@ statistics followed by a formula. All replicates and all configurations are one
 * ``multinomial``: n draws with replacement out of n units. The n draws of a replicate are split over the
   halves of the units' dense places, again and again, by binomial numbers seeded with the part; any task
   finds the counts of its units by going down to them, so no draw is a row. The ``md5`` hasher draws
-  positions one by one instead, which SQL can repeat.
+  positions one by one instead, which SQL can repeat; they travel packed, by block of places drawn.
 * ``poisson``: independent Poisson(1) weights, a hash of (seed, unit, replicate), computed on the unit's
-  own row. Nothing but the (replicate, key, bin) sums is shuffled; use this one for very many units.
+  own row, with either hasher. Nothing but the (replicate, key, bin) sums is shuffled; use this one for very many units.
   The sums of a task are a matrix product of weights and statistics over Arrow batches.
 
 Both repeat small rows many times, so the unit statistics are spread over all shuffle partitions first:
@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalpanel.functions.hashing import continue_hash, poisson_steps, poisson_weight, uniform
+from evalpanel.functions.hashing import continue_hash, md5_uniform, poisson_steps, poisson_weight, uniform
 from evalpanel.functions.levels import join_bounded, join_null_safe, spread
 
 
@@ -206,6 +206,11 @@ def poisson_draws(units: DataFrame, seed: int, reps: int, unit: str = "unit", ha
     return rows.withColumn("w", poisson_weight(uniform(seed, [unit, "rep"], hasher))).filter(F.col("w") > 0)
 
 
+def _summed(parts: DataFrame, by: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Partial sums added up, without the (by, rep) in which nothing has a weight."""
+    return parts.groupBy(*by, "rep").agg(*[F.sum(n).alias(n) for n in names], F.sum("_w").alias("_w")).filter("_w > 0").drop("_w")
+
+
 def _weighted_sums(rows: DataFrame, by: Sequence[str], names: Sequence[str], reps: int, weights_of) -> DataFrame:
     """Weighted sums per (by, rep) from rows (by, _h, names, ...), where ``_h`` identifies a unit.
 
@@ -215,18 +220,19 @@ def _weighted_sums(rows: DataFrame, by: Sequence[str], names: Sequence[str], rep
     first rows in the batch are ``first``.
     """
     by, names = list(by), list(names)
+    summed = [*names, "_w"]
     turns = np.arange(1, reps + 1, dtype=np.int32)
     chunk = max(1, 2_000_000 // reps)
 
     def accumulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[tuple, np.ndarray] = {}
         for batch in batches:
-            values = batch[names].to_numpy(dtype=float)
+            values = np.column_stack([batch[names].to_numpy(dtype=float), np.ones(len(batch))])
             _, first, row_unit = np.unique(batch["_h"].to_numpy(dtype=np.int64), return_index=True, return_inverse=True)
             order = np.argsort(first)  # units in the order of their rows
             first, row_unit = first[order], np.argsort(order)[row_unit]
             groups = batch.groupby(by, dropna=False, sort=False).indices if by else {(): np.arange(len(batch))}
-            wide = np.zeros((len(first), len(groups), len(names)))
+            wide = np.zeros((len(first), len(groups), len(summed)))
             for g, where in enumerate(groups.values()):
                 np.add.at(wide[:, g], row_unit[where], values[where])
             wide = wide.reshape(len(first), -1)
@@ -237,39 +243,100 @@ def _weighted_sums(rows: DataFrame, by: Sequence[str], names: Sequence[str], rep
                 key = key if isinstance(key, tuple) else (key,)
                 sums[key] = sums[key] + part if key in sums else part
         for key, held in sums.items():
-            out = pd.DataFrame(held, columns=names)
+            out = pd.DataFrame(held, columns=summed)
             out["rep"] = turns
             for name, value in zip(by, key):
                 out[name] = value
             yield out
 
     fields = [rows.schema[k] for k in by] + [T.StructField("rep", T.IntegerType())]
-    schema = T.StructType(fields + [T.StructField(n, T.DoubleType()) for n in names])
-    parts = rows.mapInPandas(accumulate, schema)
-    return parts.groupBy(*by, "rep").agg(*[F.sum(n).alias(n) for n in names])
+    schema = T.StructType(fields + [T.StructField(n, T.DoubleType()) for n in summed])
+    return _summed(rows.mapInPandas(accumulate, schema), by, names)
 
 
-def poisson_sums(stats: DataFrame, by: Sequence[str], names: Sequence[str], reps: int, seed: int, unit: str = "unit") -> DataFrame:
-    """Sums under the weights of ``poisson_draws``, made inside the task from the unit's hash."""
+def poisson_sums(stats: DataFrame, by: Sequence[str], names: Sequence[str], reps: int, seed: int, unit: str = "unit", hasher: str = "xx") -> DataFrame:
+    """Sums under the weights of ``poisson_draws``, made inside the task from the unit's hash, once for all rows of a unit in a batch."""
     steps = np.array(poisson_steps())
     turns = np.arange(1, reps + 1, dtype=np.int32)
 
     def weights_of(batch: pd.DataFrame, first: np.ndarray) -> np.ndarray:
-        u = continue_hash(batch["_h"].to_numpy(dtype=np.int64)[first][None, :], turns[:, None])
+        if hasher == "md5":
+            u = md5_uniform(batch["_text"].to_numpy(object)[first], turns).T
+        else:
+            u = continue_hash(batch["_h"].to_numpy(dtype=np.int64)[first][None, :], turns[:, None])
         return np.searchsorted(steps, u.ravel(), side="right").reshape(u.shape).astype(float)
 
     base = F.xxhash64(F.lit(seed), F.col(unit)).alias("_h")
+    text = [F.concat_ws(":", F.lit(str(seed)), F.col(unit).cast("string"), F.lit("")).alias("_text")] if hasher == "md5" else []
     rows = spread(stats, unit).sortWithinPartitions(unit)
-    rows = rows.select(*by, base, *[F.col(n).cast("double").alias(n) for n in names])
+    rows = rows.select(*by, base, *text, *[F.col(n).cast("double").alias(n) for n in names])
     return _weighted_sums(rows, by, names, reps, weights_of)
 
 
+#: Draws that a task holds when positions are drawn one by one.
+DRAWS = 1 << 20
+
+
+def _packed_draws(index: DataFrame, seed: int, reps: int, strata: Sequence[str], wide: int) -> DataFrame:
+    """(_name, _block, draws): the positions of ``drawn_positions`` as numbers position * reps + replicate inside a block of ``wide`` positions."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in strata], F.lit(""))
+    turns = spread(index, "idx").select("_name", text.alias("_text"), "idx", "n")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for (name, text, n), part in frame.groupby(["_name", "_text", "n"], sort=False):
+                at = part["idx"].to_numpy(np.int64)
+                for low in range(0, len(at), max(1, 2 * DRAWS // reps)):
+                    u = md5_uniform([f"{text}{r}:" for r in range(1, reps + 1)], at[low : low + max(1, 2 * DRAWS // reps)])
+                    place = np.floor(u * n).astype(np.int64)
+                    block, cell = np.divmod(place, wide)
+                    cell = (cell * reps + np.arange(reps)[:, None]).astype("<i4").ravel()
+                    block = block.ravel()
+                    order = np.argsort(block, kind="stable")
+                    starts = np.flatnonzero(np.diff(block[order], prepend=-1))
+                    yield pd.DataFrame({"_name": name, "_block": block[order[starts]], "draws": [x.tobytes() for x in np.split(cell[order], starts[1:])]})
+
+    return turns.mapInPandas(run, "_name string, _block long, draws binary")
+
+
+def _drawn_sums(stats: DataFrame, index: DataFrame, by: Sequence[str], names: Sequence[str], reps: int, seed: int, strata: Sequence[str], unit: str) -> DataFrame:
+    """Weighted sums under positions drawn one by one. A block of positions meets the draws that hit it: about ``DRAWS`` of them."""
+    wide = max(1, DRAWS // reps)
+    name = F.to_json(F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(strata)]), {"ignoreNullFields": "false"}) if strata else F.lit("")
+    index = index.select(*strata, unit, "idx", "n").withColumn("_name", name)
+    own = [*strata, unit]
+    placed = join_null_safe(stats, index.select(*own, "idx", "_name"), own)
+    rows = placed.select("_name", F.expr(f"idx div {wide}").alias("_block"), (F.col("idx") % wide).alias("_at"), *by, *[F.col(n).cast("double").alias(n) for n in names])
+    fields = [rows.schema[k] for k in by] + [T.StructField("rep", T.IntegerType())]
+    schema = T.StructType(fields + [T.StructField(n, T.DoubleType()) for n in [*names, "_w"]])
+
+    def run(held: pd.DataFrame, drawn: pd.DataFrame) -> pd.DataFrame:
+        if not len(held) or not len(drawn):
+            return pd.DataFrame({f.name: [] for f in schema.fields})
+        cells = np.frombuffer(b"".join(drawn["draws"]), "<i4")
+        at = held["_at"].to_numpy(np.int64)
+        weights = np.bincount(cells, minlength=(max(int(at.max()), int(cells.max()) // reps) + 1) * reps).reshape(-1, reps)
+        values = np.column_stack([held[list(names)].to_numpy(dtype=float), np.ones(len(held))])
+        groups = held.groupby(list(by), dropna=False, sort=False).indices if by else {(): np.arange(len(held))}
+        out = []
+        for key, where in groups.items():
+            frame = pd.DataFrame(weights[at[where]].T.astype(float) @ values[where], columns=[*names, "_w"])
+            frame["rep"] = np.arange(1, reps + 1, dtype=np.int32)
+            for c, v in zip(by, key if isinstance(key, tuple) else (key,)):
+                frame[c] = v
+            out.append(frame)
+        return pd.concat(out)[[f.name for f in schema.fields]]
+
+    draws = _packed_draws(index, seed, reps, strata, wide)
+    return _summed(rows.groupBy("_name", "_block").cogroup(draws.groupBy("_name", "_block")).applyInPandas(run, schema), by, names)
+
+
 def multinomial_sums(
     stats: DataFrame, by: Sequence[str], names: Sequence[str], reps: int, seed: int, strata: Sequence[str] = (), unit: str = "unit", hasher: str = "xx"
 ) -> DataFrame:
     """Sums under the weights of ``draws``. Split draws are made where the statistics lie, dealt by leaf.
 
-    With positions drawn one by one (``md5``) each unit receives the list of replicates that drew it, about ``reps`` entries.
+    Positions drawn one by one (``md5``) are packed by block and meet the statistics of the block's units.
     """
     strata = list(strata)
     index = unit_index(stats.select(*strata, unit).distinct(), unit, strata, hasher)
@@ -279,20 +346,7 @@ def multinomial_sums(
         rows = spread(placed, "_name", "_leaf").sortWithinPartitions("_name", "_leaf", "idx")
         rows = rows.select(*by, F.xxhash64("_name", "idx").alias("_h"), "_name", "n", "_depth", "_leaf", "idx", *[F.col(n).cast("double").alias(n) for n in names])
         return _weighted_sums(rows, by, names, reps, _by_leaf(seed, reps))
-    hits = drawn_positions(index, seed, reps, strata, hasher).groupBy(*strata, "idx").agg(F.collect_list("rep").alias("_reps"))
-    drawn = join_null_safe(index.select(*strata, "idx", unit), hits, [*strata, "idx"]).select(*strata, unit, "_reps")
-
-    def weights_of(batch: pd.DataFrame, first: np.ndarray) -> np.ndarray:
-        lists = [np.asarray(x, dtype=np.int64) for x in batch["_reps"].to_numpy()[first]]
-        column = np.repeat(np.arange(len(first)), [len(x) for x in lists])
-        cell = (np.concatenate(lists) - 1) * len(first) + column
-        return np.bincount(cell, minlength=reps * len(first)).reshape(reps, len(first)).astype(float)
-
-    # A unit that stands in several strata is drawn in each of them on its own.
-    own = [*strata, unit]
-    rows = join_null_safe(spread(stats, unit), drawn, own).sortWithinPartitions(*own)
-    rows = rows.select(*by, F.xxhash64(*own).alias("_h"), "_reps", *[F.col(n).cast("double").alias(n) for n in names])
-    return _weighted_sums(rows, by, names, reps, weights_of)
+    return _drawn_sums(stats, index, by, names, reps, seed, strata, unit)
 
 
 # ---- replicates ----
@@ -319,15 +373,10 @@ def replicates(
     if method == "poisson":
         if strata:
             raise ValueError("poisson weights already act per unit; strata apply to multinomial draws")
-        if hasher == "xx":
-            return finish(poisson_sums(stats, by, list(stat.sums), reps, seed, unit), [*keys, "rep"], stat)
-        weighted = poisson_draws(stats, seed, reps, unit, hasher)
-    elif method == "multinomial":
+        return finish(poisson_sums(stats, by, list(stat.sums), reps, seed, unit, hasher), [*keys, "rep"], stat)
+    if method == "multinomial":
         return finish(multinomial_sums(stats, by, list(stat.sums), reps, seed, strata, unit, hasher), [*keys, "rep"], stat)
-    else:
-        raise ValueError("method must be 'multinomial' or 'poisson'")
-    sums = weighted.groupBy(*by, "rep").agg(*[F.sum(F.col("w") * F.col(n)).alias(n) for n in stat.sums])
-    return finish(sums, [*keys, "rep"], stat)
+    raise ValueError("method must be 'multinomial' or 'poisson'")
 
 
 def paired_replicates(reps: DataFrame, level: str, within: Sequence[str] = ()) -> DataFrame:

@@ -248,3 +248,25 @@ def test_wild_floor_follows_the_number_of_clusters(spark):
         stars = K.wild_replicates(sums, [], "c", 0, enumerate_all=True)
         r = K.wild_test(K.clustered_interval(sums, [], "c", interval=False), stars, []).collect()[0]
         assert r["p_webb"] >= floor and r["p_webb"] == pytest.approx(max(floor, (1 + r["n_beyond"]) / (r["n_valid"] + 1)))
+
+
+@pytest.mark.parametrize("method", ["poisson", "multinomial"])
+def test_md5_weights_are_made_where_the_statistics_lie(spark, panel, method):
+    """No row per unit and replicate: such rows would come from a Generate."""
+    df, _ = panel
+    reps = B.replicates(df, ["config"], BAL, 40, 9, method, hasher="md5")
+    assert "Generate" not in reps._jdf.queryExecution().optimizedPlan().toString()
+    ids = df.select("unit").distinct()
+    weights = B.poisson_draws(ids, 9, 40, hasher="md5") if method == "poisson" else B.draws(B.unit_index(ids, hasher="md5"), 9, 40, hasher="md5")
+    want = df.join(weights.select("unit", "rep", "w"), "unit").groupBy("config", "bin", "rep").agg((F.sum(F.col("w") * F.col("abs_e")) / F.sum("w")).alias("m"))
+    want = {(r["config"], r["rep"]): r["t"] for r in want.groupBy("config", "rep").agg(F.avg("m").alias("t")).collect()}
+    got = {(r["config"], r["rep"]): r["theta"] for r in reps.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+@pytest.mark.parametrize("method", ["poisson", "multinomial"])
+@pytest.mark.parametrize("hasher", ["md5", "xx"])
+def test_a_replicate_without_any_unit_of_a_bin_has_no_row_for_it(spark, method, hasher):
+    rows = spark.createDataFrame([(u, "p", int(u == 0), float(u)) for u in range(6)], "unit int, config string, bin int, abs_e double")
+    got = B.replicates(rows, ["config"], BAL, 60, 3, method, hasher=hasher).collect()
+    assert {r["bins_present"] for r in got} == {1, 2}
