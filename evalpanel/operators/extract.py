@@ -16,6 +16,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evalpanel.functions.levels import spread
+
 # Accepted names of the value, in order of preference, the score's name, and the fence.
 VALUE_KEYS = ("vegetation_percent", "vegetation_cover")
 SCORE_KEY = "confidence"
@@ -68,29 +70,44 @@ def decode(text: str | None) -> tuple[float, float] | None:
 
 
 @F.pandas_udf(_PAIR)
-def _decode_batch(texts: pd.Series) -> pd.DataFrame:
-    pairs = [decode(t) for t in texts]
+def _decode_batch(found: pd.DataFrame) -> pd.DataFrame:
+    """The pairs found so far, and those of the texts that are left."""
+    solved = zip(found["value"].tolist(), found["score"].tolist(), found["text"].tolist())
+    pairs = [decode(t) if t is not None else (v, s) if v == v and v is not None else None for v, s, t in solved]
     return pd.DataFrame({"value": [p and repr(p[0]) for p in pairs], "score": [p and repr(p[1]) for p in pairs]}, dtype="object")
 
 
+def _once(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def parse_response(df: DataFrame, text: str = "raw_text") -> DataFrame:
-    """Add ``value`` and ``score``; both NULL when the response holds no answer."""
-    body = F.trim(F.regexp_replace(F.trim(F.col(text)), "(?m)" + FENCE, ""))
+    """Add ``value`` and ``score``; both NULL when the response holds no answer.
+
+    Parsing costs far more than reading, and a compressed file is few scan tasks, so the rows are spread over all shuffle partitions first.
+    """
+    df = spread(df)
     fields = T.StructType([T.StructField(k, T.DoubleType()) for k in (*VALUE_KEYS, SCORE_KEY)])
-    flat = df.withColumn("_b", F.when(body.rlike(PLAIN), body))
     strict = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
-    flat = flat.withColumns({"_j": F.from_json("_b", fields, strict), "_k": F.json_object_keys("_b")})
-    sound = F.col("_k").isNotNull() & (F.size(F.array_distinct("_k")) == F.size("_k"))
-    value = F.lit(None).cast("double")
-    for k in reversed(VALUE_KEYS):
-        value = F.when(F.array_contains("_k", F.lit(k)), F.col(f"_j.{k}")).otherwise(value)
-    score = F.col(f"_j.{SCORE_KEY}")
-    fast = sound & value.isNotNull() & score.isNotNull()
-    tagged = flat.withColumns({"_v": F.when(fast, value), "_s": F.when(fast, score)})
-    slow = tagged.withColumn("_d", _decode_batch(F.when(F.col("_v").isNull(), F.col(text))))
-    return slow.withColumns(
-        {"value": F.coalesce("_v", F.col("_d.value").cast("double")), "score": F.coalesce("_s", F.col("_d.score").cast("double"))}
-    ).drop("_b", "_j", "_k", "_v", "_s", "_d")
+
+    def answer(j: Column) -> Column:
+        sound = j["keys"].isNotNull() & (F.size(F.array_distinct(j["keys"])) == F.size(j["keys"]))
+        value = F.lit(None).cast("double")
+        for k in reversed(VALUE_KEYS):
+            value = F.when(F.array_contains(j["keys"], F.lit(k)), j["flat"][k]).otherwise(value)
+        return F.struct(value.alias("value"), j["flat"][SCORE_KEY].alias("score"), sound.alias("sound"))
+
+    def known(f: Column) -> Column:
+        fast = F.coalesce(f["sound"], F.lit(False)) & f["value"].isNotNull() & f["score"].isNotNull()
+        return F.struct(F.when(fast, f["value"]).alias("value"), F.when(fast, f["score"]).alias("score"), F.when(~fast, F.col(text)).alias("text"))
+
+    parsed = lambda b: F.struct(F.from_json(b, fields, strict).alias("flat"), F.json_object_keys(b).alias("keys"))
+    body = F.trim(F.regexp_replace(F.trim(F.col(text)), "(?m)" + FENCE, ""))
+    plain = _once(body, lambda b: F.when(b.rlike(PLAIN), b))
+    found = _once(_once(_once(plain, parsed), answer), known)
+    slow = df.withColumn("_d", _decode_batch(found))
+    return slow.withColumns({"value": F.col("_d.value").cast("double"), "score": F.col("_d.score").cast("double")}).drop("_d")
 
 
 def with_outcome(parsed: DataFrame, text: str = "raw_text", error: str | None = None) -> DataFrame:

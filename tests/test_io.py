@@ -281,3 +281,14 @@ def test_losses_count_each_row_under_its_first_reason(spark):
     got = {r["k"]: tuple(r)[1:] for r in losses(df, ["k"], {"two": F.col("x") == 2, "bad": ~F.col("ok")}).collect()}
     assert got == {"a": (3, 1, 2, 0), "b": (1, 1, 0, 0)}
     assert losses(df.limit(0), [], {"two": F.col("x") == 2}).collect()[0]["n"] == 0
+
+
+def test_responses_of_one_file_are_parsed_in_many_tasks(spark, folder):
+    from evalpanel.operators.extract import parse_response
+
+    spark.range(40).select(F.concat(F.lit('{"vegetation_percent": '), F.col("id"), F.lit(', "confidence": 1}')).alias("raw_text")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/one")
+    read = spark.read.parquet(f"{folder}/one")
+    parsed = parse_response(read)
+    assert read.rdd.getNumPartitions() == 1
+    assert parsed.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    assert sorted(r["value"] for r in parsed.collect()) == [float(x) for x in range(40)]
