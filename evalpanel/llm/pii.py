@@ -7,8 +7,8 @@ compiled to CASE expressions, so a document is handled in its own row from text
 
 Nobody labels the training spans. Positive are the base spans and rewritings of them (separators changed, signs spelled out);
 negative are rewritings that break a check (a wrong check digit, an octet too large, digits missing), the same spans glued to a letter, and proposals that
-fail the checks of their kind. The fit and the thresholds use at most ``fit_rows`` base spans and as many proposals, taken in the order of a hash; four fifths of the documents
-train, the rest calibrates. A kind whose thresholds never reach ``precision`` adds nothing, nor does any kind without enough spans of both labels.
+fail the checks of their kind. The fit and the thresholds use all base spans and all failing proposals of the table, counted by distinct features, and all of these are
+candidates for splits; four fifths of the distinct spans train, the rest calibrates. A kind whose thresholds never reach ``precision`` adds nothing, nor does any kind without enough spans of both labels.
 
 Defined results: a null text is empty and has no spans, whose digest is that of the empty string; repeated rows and ids are handled row by row; base
 spans of different kinds may overlap; an added span overlaps no base span, and of added spans that overlap each other only the best stays
@@ -18,6 +18,7 @@ by ``personal_data``, except those with the names of its own.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -214,19 +215,18 @@ def rewritten(kind: Column, hit: Column, left: Column) -> Column:
     return F.when(kind == 0, F.array(*mail)).when(kind == 1, F.array(*ip)).when(kind == 2, F.array(*card)).otherwise(F.array(*phone))
 
 
-def training_rows(found: DataFrame, fit_rows: int) -> DataFrame:
-    """(kind, x, label, held): labelled feature rows made of bounded samples of base spans and of failing proposals."""
-    sampled = lambda df, *by: df.orderBy(F.xxhash64(*by), *by).limit(fit_rows)
+def training_rows(found: DataFrame) -> DataFrame:
+    """(kind, x, label, held, n): how often each labelled feature row is made, of all base spans and all failing proposals."""
     held = lambda *by: (F.pmod(F.xxhash64(F.lit("held"), *by), F.lit(5)) == 0).alias("held")
     each = F.concat(*[F.transform(F.col(f"_base.{k}"), lambda m: F.struct(F.lit(KINDS.index(k)).alias("kind"), m["hit"].alias("hit"), m["left"].alias("left"), m["right"].alias("right"))) for k in KINDS])
-    base = sampled(found.select(F.explode(each).alias("s")).select("s.*"), "hit", "left", "kind", "right")
+    base = found.select(F.explode(each).alias("s")).select("s.*")
     made = base.select("kind", "right", held("hit"), F.explode(rewritten(F.col("kind"), F.col("hit"), F.col("left"))).alias("r")).select("kind", "right", "held", "r.*")
     made = made.select("kind", features(F.col("kind"), F.col("hit"), F.col("left"), F.col("right")).alias("x"), "label", "held")
     at = {n: i for i, n in enumerate(FEATURES)}
     proposed = found.select(F.explode("_proposed").alias("p")).select("p.kind", "p.x", "p.start", "p.end")
     failing = proposed.filter((F.col("x")[at["checks"]] == 0) | ((F.col("kind") > 0) & (F.col("x")[at["glued_left"]] + F.col("x")[at["glued_right"]] > 0)))
-    failing = sampled(failing, "x", "start", "end", "kind").select("kind", "x", F.lit(0.0).alias("label"), held("start", "end", "x"))
-    return made.unionByName(failing)
+    failing = failing.select("kind", "x", F.lit(0.0).alias("label"), held("start", "end", "x"))
+    return made.unionByName(failing).groupBy("kind", "x", "label", "held").agg(F.count("*").alias("n"))
 
 
 def compiled(model) -> Callable[[Column], Column]:
@@ -242,17 +242,24 @@ def compiled(model) -> Callable[[Column], Column]:
     return lambda x: 1 / (1 + F.exp(-2 * reduce(lambda a, b: a + b, [F.lit(w) * tree(root, x) for w, root in roots])))
 
 
-def fitted(found: DataFrame, fit_rows: int = 20_000, precision: float = 0.99, rounds: int = 12, depth: int = 4, least: int = 20):
+def bins_for(rows: int) -> int:
+    """MLlib looks for splits in a sample of max(bins ** 2, 10,000) rows; with so many bins that is every row."""
+    return max(64, math.isqrt(max(rows - 1, 0)) + 1)
+
+
+def fitted(found: DataFrame, precision: float = 0.99, rounds: int = 12, depth: int = 4, least: int = 20):
     """(score, thresholds): the compiled ensemble and the least accepted probability of each kind, 2 for none; (None, all 2) without enough spans."""
-    rows = written(training_rows(found, fit_rows))
-    counts = {(r["label"], r["held"]): r["n"] for r in rows.groupBy("label", "held").agg(F.count("*").alias("n")).collect()}
+    rows = written(training_rows(found))
+    sizes = rows.groupBy("label", "held").agg(F.sum("n").alias("n"), F.count("*").alias("distinct")).collect()
+    counts = {(r["label"], r["held"]): r["n"] for r in sizes}
     thresholds = [2.0] * len(KINDS)
     if min(counts.get((label, h), 0) for label in (0.0, 1.0) for h in (False, True)) < least:
         discard(rows)
         return None, thresholds
-    vectors = rows.filter("NOT held").select(array_to_vector(F.col("x").cast("array<double>")).alias("features"), "label")
-    score = compiled(GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=1, maxBins=64, checkpointInterval=-1).fit(vectors))
-    steps = rows.filter("held").groupBy("kind", F.floor(score(F.col("x")) * 200).alias("step")).agg(F.count("*").alias("n"), F.sum("label").alias("good")).collect()
+    vectors = rows.filter("NOT held").select(array_to_vector(F.col("x").cast("array<double>")).alias("features"), "label", F.col("n").cast("double").alias("n"))
+    bins = bins_for(sum(r["distinct"] for r in sizes if not r["held"]))
+    score = compiled(GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=1, maxBins=bins, weightCol="n", checkpointInterval=-1).fit(vectors))
+    steps = rows.filter("held").groupBy("kind", F.floor(score(F.col("x")) * 200).alias("step")).agg(F.sum("n").alias("n"), F.sum(F.col("label") * F.col("n")).alias("good")).collect()
     discard(rows)
     for kind in range(len(KINDS)):
         n = good = 0.0
@@ -293,10 +300,10 @@ def written_out(kind: str, spans: Column) -> Column:
     return F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.lit(kind), s["start"].cast("string"), s["end"].cast("string")))
 
 
-def personal_data(docs: DataFrame, text_col: str = "text", fit_rows: int = 20_000, precision: float = 0.99) -> DataFrame:
+def personal_data(docs: DataFrame, text_col: str = "text", precision: float = 0.99) -> DataFrame:
     """``docs`` without its text and with _base (spans by kind) and _added (kind, start, end, p)."""
     found = written(found_in(docs, text_col))
-    score, thresholds = fitted(found, fit_rows, precision)
+    score, thresholds = fitted(found, precision)
     return found.select("*", selected(F.col("_base"), F.col("_proposed"), score, thresholds).alias("_added")).drop("_proposed")
 
 

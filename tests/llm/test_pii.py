@@ -116,3 +116,26 @@ def test_running_merge(spark):
     most = pii.running(F.col("v"), F.lit(-1), lambda a, b: F.greatest(a, b))
     for r in df.select("v", add.alias("s"), most.alias("m")).collect():
         assert r["s"] == [sum(r["v"][: i + 1]) for i in range(len(r["v"]))] and r["m"] == [max(r["v"][: i + 1]) for i in range(len(r["v"]))]
+
+
+def test_training_uses_every_span(spark):
+    """A kind that is rare beside 42,000 spans of another counts in full, in the fit and in its thresholds."""
+    many = [(i, " ".join(f"10.{i}.{j // 256}.{j % 256}" for j in range(700))) for i in range(60)]
+    rare = [(1000 + i, f"write to a{i}@mail.example.com now, token 12-{i:03d} 99-77") for i in range(150)]
+    found = pii.found_in(spark.createDataFrame(many + rare, "doc_id long, text string")).cache()
+    rows = pii.training_rows(found)
+    base = {r["kind"]: r["n"] for r in rows.filter("label = 1").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    assert base == {0: 4 * 150, 1: 2 * 42_000}  # a span and the rewritings that keep what it is
+    assert rows.count() < 5000
+    score, thresholds = pii.fitted(found)
+    assert thresholds[0] < 2 and thresholds[1] < 2
+    texts = ["ask b7 (at) mail.example.com there", "a 10 . 3 . 4 . 5 b"]
+    got = pii.found_in(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = got.select("doc_id", pii.selected(F.col("_base"), F.col("_proposed"), score, thresholds).alias("a")).orderBy("doc_id").collect()
+    assert [[texts[r["doc_id"]][s["start"] : s["end"]] for s in r["a"]] for r in got] == [["b7 (at) mail.example.com"], ["10 . 3 . 4 . 5"]]
+
+
+def test_every_row_is_a_candidate_for_splits():
+    for n in (0, 1, 9_999, 10_001, 250_000, 1_000_001):
+        bins = pii.bins_for(n)
+        assert max(bins * bins, 10_000) >= n and bins >= 64
