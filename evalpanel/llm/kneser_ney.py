@@ -23,7 +23,7 @@ from evalpanel.llm.common import discard, written
 #: Bytes of an n-gram, exact in a long up to seven.
 ORDER = 5
 #: Bytes of text in a block, and in what a task holds before it compresses its parts of blocks.
-BLOCK, HELD = 32 << 20, 48 << 20
+BLOCK, HELD = 40 << 20, 48 << 20
 #: At least so many blocks, so that small tables use several cores.
 BLOCKS = 8
 #: n-grams handled by one array operation.
@@ -111,7 +111,7 @@ def chunks(docs: DataFrame, blocks: int) -> DataFrame:
     def packed(block: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         sink = pa.BufferOutputStream()
         rows = pa.Table.from_batches(parts).combine_chunks()
-        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as stream:
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as stream:
             stream.write_table(rows)
         return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "payload"])
 
