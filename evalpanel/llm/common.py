@@ -64,6 +64,17 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of texts that go to a Python worker at a time; Spark's own limits are 10,000 rows and 64 MB, held by the JVM and the worker at once.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches to Python workers hold ``BATCH_BYTES`` or one row, unless the session has a limit of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def sliced(batches: Iterable, rows: int = 512) -> Iterator:
     """Arrow batches in parts of at most ``rows`` rows, so that few texts are Python objects at a time."""
     for batch in batches:

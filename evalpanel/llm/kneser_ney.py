@@ -8,7 +8,7 @@ each text are added up. Nothing is sent to every task but the numbers of the lan
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from evalpanel.llm.common import discard, written
+from evalpanel.llm.common import discard, small_batches, worker_of, written
 
 #: Bytes of an n-gram, exact in a long up to seven.
 ORDER = 5
@@ -27,7 +27,9 @@ BLOCK, HELD = 40 << 20, 48 << 20
 #: At least so many blocks, so that small tables use several cores.
 BLOCKS = 8
 #: n-grams handled by one array operation.
-PIECE = 1 << 20
+PIECE = 1 << 18
+#: Bytes of a batch that a block sends back: the JVM holds one at a time, a worker what it has not sent yet.
+BATCH = 4 << 20
 
 
 def last(m: str | int, bits: int = 8) -> Column:
@@ -94,10 +96,37 @@ def pieces(raws: list[bytes], order: int, most: int = PIECE) -> Iterator[tuple[l
 
 def added_up(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """(keys, counts) of several such pairs together."""
-    if not parts:
+    if not any(len(k) for k, _ in parts):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    keys, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(place, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64)
+    keys, counts = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
+    at = np.argsort(keys, kind="stable")  # merges the sorted runs
+    keys, counts = keys[at], counts[at]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(counts, first)
+
+
+def add_to(parts: list[tuple[np.ndarray, np.ndarray]], more: tuple[np.ndarray, np.ndarray]) -> None:
+    """Puts ``more`` to ``parts``, which are added up when all but the first outgrow it."""
+    parts.append(more)
+    if sum(len(k) for k, _ in parts[1:]) > max(PIECE, len(parts[0][0])):
+        parts[:] = [added_up(parts)]
+
+
+def in_batches(tables: Iterable[pa.Table], empty: pa.Table, most: int = BATCH) -> pa.Table:
+    """``tables`` as one whose chunks, which travel one by one, have some ``most`` bytes at most, or one row."""
+    out, held, size = [], [], 0
+    for rows in tables:
+        step = max(1, rows.num_rows * most // max(1, rows.nbytes))
+        for at in range(0, rows.num_rows, step):
+            part = rows.slice(at, step)
+            if held and size + part.nbytes > most:
+                out.append(pa.concat_tables(held).combine_chunks())
+                held, size = [], 0
+            held.append(part)
+            size += part.nbytes
+    if held:
+        out.append(pa.concat_tables(held).combine_chunks())
+    return pa.concat_tables(out) if out else empty
 
 
 def block_of(doc_id: Column, otherwise: Column, blocks: int) -> Column:
@@ -116,6 +145,7 @@ def chunks(docs: DataFrame, blocks: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "payload"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_of("quality")
         held: dict[int, list[pa.RecordBatch]] = {}
         size = 0
         for batch in batches:
@@ -125,9 +155,11 @@ def chunks(docs: DataFrame, blocks: int) -> DataFrame:
                 held.setdefault(b, []).append(rows.take(pa.array(np.flatnonzero(block == b))))
             size += batch.nbytes
             if size >= HELD:
-                yield from (packed(*item) for item in held.items())
-                held, size = {}, 0
-        yield from (packed(*item) for item in held.items())
+                while held:
+                    yield packed(*held.popitem())
+                size = 0
+        while held:
+            yield packed(*held.popitem())
 
     return docs.select("*", block_of(F.col("doc_id"), F.col("text"), blocks)).mapInArrow(run, "block int, payload binary")
 
@@ -154,6 +186,7 @@ def asked(parts: DataFrame, good: DataFrame, numbers: dict[str, int], order: int
     names = ["block", "lang", "gram", "c", "a"]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        worker_of("quality")
         aside = dict(zip(right.column("id").to_pylist(), right.column("aside").to_pylist()))
         found: dict[tuple[int, int], list] = {}
         for rows in rows_of(left.column("payload")):
@@ -165,20 +198,19 @@ def asked(parts: DataFrame, good: DataFrame, numbers: dict[str, int], order: int
                 for kind, some in use.items():
                     raws = [(t or "").encode() for t in texts.take(pa.array(some)).to_pylist()]
                     mine = found.setdefault((lang, kind), [])
-                    mine += [np.unique(codes, return_counts=True) for _, _, codes in pieces(raws, order)]
-                    if len(mine) > 16:
-                        mine[:] = [added_up(mine)]
-        out = []
-        for lang in sorted({lang for lang, _ in found}):
-            sums = [added_up(found.pop((lang, kind), [])) for kind in (0, 1, 2)]
-            keys = np.unique(np.concatenate([k for k, _ in sums]))
-            counts = [np.zeros(len(keys), np.int64) for _ in sums]
-            for (k, c), all_counts in zip(sums, counts):
-                all_counts[np.searchsorted(keys, k)] = c
-            block = left.column("block")[0].as_py()
-            out.append(pa.table([np.full(len(keys), block, np.int32), np.full(len(keys), lang, np.int32), keys, counts[1], counts[2]], names))
-        empty = pa.table([pa.array([], t) for t in (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())], names)
-        return pa.concat_tables([empty, *out])
+                    for _, _, codes in pieces(raws, order):
+                        add_to(mine, np.unique(codes, return_counts=True))
+
+        def counts() -> Iterator[pa.Table]:
+            for lang in sorted({lang for lang, _ in found}):
+                sums = [added_up(found.pop((lang, kind), [])) for kind in (0, 1, 2)]
+                keys = np.unique(np.concatenate([k for k, _ in sums]))
+                columns = [np.zeros(len(keys), np.int64) for _ in (1, 2)]
+                for (k, c), column in zip(sums[1:], columns):
+                    column[np.searchsorted(keys, k)] = c
+                yield pa.table([np.full(len(keys), left.column("block")[0].as_py(), np.int32), np.full(len(keys), lang, np.int32), keys, *columns], names)
+
+        return in_batches(counts(), pa.table([pa.array([], t) for t in (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())], names))
 
     return parts.groupBy("block").cogroup(good.groupBy("block")).applyInArrow(run, "block int, lang int, gram long, c long, a long")
 
@@ -211,6 +243,7 @@ def scored(parts: DataFrame, answers: DataFrame, kept: T.StructType, measure: Ca
     names = [*kept.names, *added]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        worker_of("quality")
         langs = right.column("lang").to_numpy()
         tables = {}
         for lang in np.unique(langs).tolist():
@@ -218,27 +251,27 @@ def scored(parts: DataFrame, answers: DataFrame, kept: T.StructType, measure: Ca
             keys = mine.column("gram").to_numpy()
             at = np.argsort(keys)
             tables[lang] = keys[at], [-np.log2(mine.column(p).to_numpy()[at].astype(np.float64)) for p in ("p0", "p1")]
-        out = []
-        for rows in rows_of(left.column("payload")):
-            texts, n = rows.column("text"), rows.num_rows
-            bits, marks = [[None] * n, [None] * n], [measure(t or "") for t in texts.to_pylist()]
-            for lang, places in by_language(rows, numbers).items():
-                if lang not in tables:
-                    continue
-                keys, costs = tables[lang]
-                raws = [(t or "").encode() for t in texts.take(pa.array(places)).to_pylist()]
-                sums = np.zeros((2, len(raws)))
-                for some, sizes, codes in pieces(raws, order):
-                    found = np.searchsorted(keys, codes)
-                    starts = np.cumsum([0, *sizes[:-1]])
-                    for m in (0, 1):
-                        np.add.at(sums[m], some, np.add.reduceat(costs[m][found], starts))
-                for j, i in enumerate(places):
-                    for m in (0, 1):
-                        if raws[j] and lang in known[m]:
-                            bits[m][i] = sums[m, j] / len(raws[j])
-            out.append(pa.table([*(rows.column(c) for c in kept.names), *(pa.array(b, pa.float64()) for b in (*bits, marks))], names))
-        return pa.concat_tables(out).combine_chunks() if out else empty
+        return in_batches((measured(rows, tables) for rows in rows_of(left.column("payload"))), empty)
+
+    def measured(rows: pa.Table, tables: dict[int, tuple]) -> pa.Table:
+        texts, n = rows.column("text"), rows.num_rows
+        bits, marks = [[None] * n, [None] * n], [measure(t or "") for t in texts.to_pylist()]
+        for lang, places in by_language(rows, numbers).items():
+            if lang not in tables:
+                continue
+            keys, costs = tables[lang]
+            raws = [(t or "").encode() for t in texts.take(pa.array(places)).to_pylist()]
+            sums = np.zeros((2, len(raws)))
+            for some, sizes, codes in pieces(raws, order):
+                found = np.searchsorted(keys, codes)
+                starts = np.cumsum([0, *sizes[:-1]])
+                for m in (0, 1):
+                    np.add.at(sums[m], some, np.add.reduceat(costs[m][found], starts))
+            for j, i in enumerate(places):
+                for m in (0, 1):
+                    if raws[j] and lang in known[m]:
+                        bits[m][i] = sums[m, j] / len(raws[j])
+        return pa.table([*(rows.column(c) for c in kept.names), *(pa.array(b, pa.float64()) for b in (*bits, marks))], names)
 
     to = T.StructType([*kept.fields, *(T.StructField(name, T.DoubleType()) for name in added)])
     empty = to_arrow_schema(to).empty_table()
@@ -251,6 +284,7 @@ def bits(docs: DataFrame, good: DataFrame, kept: list[str], measure: Callable[[s
 
     ``good`` has (id, aside) for trusted ids, as strings. The result is a table in shared storage.
     """
+    small_batches(docs.sparkSession)
     langs = docs.groupBy(F.coalesce("lang", F.lit("")).alias("lang")).agg(F.sum(F.octet_length("text")).alias("size")).collect()  # a row a language
     numbers = {r["lang"]: i for i, r in enumerate(langs)}
     blocks = max(BLOCKS, -(-sum(r["size"] or 0 for r in langs) // BLOCK))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalpanel.llm.common import Memo, discard, fresh, schema_with, sliced, table, worker_of, written
+from evalpanel.llm.common import Memo, discard, fresh, schema_with, sliced, small_batches, table, worker_of, written
 from evalpanel.llm.registry import query
 
 WORD = re.compile(r"\w+")
@@ -34,6 +34,8 @@ LONGEST = 24
 #: Letters of the pieces.
 PIECE = 4
 GRADES = 4
+#: Features that a task counts before it hands them on.
+HELD = 100_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -88,11 +90,18 @@ def feature_counts(sample: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = Counter(), Counter()
-        for batch in batches:
+
+        def summed() -> pa.RecordBatch:
+            names = list(total[0].keys() | total[1].keys())
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([total[t][f] for f in names], pa.int64()) for t in (1, 0))], ["feature", "toxic", "clean"])
+
+        for batch in sliced(batches, 256):
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 total[bool(toxic)].update({f for w in set(words_of(text)) for f in features_of(w)})
-        names = list(total[0].keys() | total[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([total[t][f] for f in names], pa.int64()) for t in (1, 0))], ["feature", "toxic", "clean"])
+            if len(total[0]) + len(total[1]) > HELD:
+                yield summed()
+                total = Counter(), Counter()
+        yield summed()
 
     return sample.select("text", "toxic").mapInArrow(run, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
@@ -124,6 +133,7 @@ def cumulative_link(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, grades
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, vocabulary: int = 2_000, least: int = 5, lift: float = 3.0, chi2: float = 30.0, ridge: float = 2e-5, steps: int = 600) -> Model:
     """A model of at most ``vocabulary`` features, those surely and most associated with toxic documents, fitted on at most ``fit_rows``."""
+    small_batches(docs.sparkSession)
     sample = written(labelled(docs, labels, fit_rows))
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
@@ -141,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, vocabulary
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, telling = shared.value
         model = Model(index)
-        for batch in batches:
+        for batch in sliced(batches, 256):
             keys, counts, tellings = [], [], []
             for text in batch.column(0).to_pylist():
                 words = words_of(text)
@@ -168,6 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, vocabulary
 
 def scored(docs: DataFrame, model: Model, cut: float = 0.35, added: tuple[str, str, str] = ("severity", "p_toxic", "toxic")) -> DataFrame:
     """``docs`` with severity (the expected grade), p_toxic, and toxic (p_toxic at least ``cut``), under the names ``added``."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.index, model.weights, model.thresholds))  # plain values: executors may lack this package
     names = [c for c in docs.columns if c not in added]
     place = names.index("text")
