@@ -3,6 +3,8 @@ Python worker, union-find over the links of one task, and connected components o
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import tempfile
 import types
@@ -10,6 +12,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -82,14 +85,24 @@ def sliced(batches: Iterable, rows: int = 512) -> Iterator:
             yield batch.slice(at, rows)
 
 
+def trimmed() -> None:
+    """Gives the memory that this process has freed back to the system; else a worker keeps what its largest task took."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def worker_of(operator: str) -> dict:
-    """What ``operator`` keeps in this Python worker process for its later tasks; what other operators kept goes.
+    """What ``operator`` keeps in this Python worker process for its later tasks; what other operators kept goes, its memory too.
 
     Functions are sent to executors with their code, so their module variables last for one task only.
     """
     home = sys.modules.setdefault("_evalpanel_kept", types.ModuleType("_evalpanel_kept"))
     if getattr(home, "operator", None) != operator:
         home.operator, home.values = operator, {}
+        trimmed()
     return home.values
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalpanel.llm.common import sliced, table, worker_of, written
+from evalpanel.llm.common import sliced, small_batches, table, worker_of, written
 from evalpanel.llm.registry import query
 
 K, WINDOW = 8, 8
@@ -39,6 +39,8 @@ IDENTITY = 0.8
 TILE, PAD = 128, 24
 #: Seeds that a task gathers before it looks for common ones, and occurrences that make a seed common among them.
 GATHERED, COMMON = 1_000_000, 64
+#: Seeds that leave a task at a time.
+SENT = 65_536
 
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -109,32 +111,44 @@ def seeds(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
     have y >= 0 and, instead of the seed, a hash of their document.
     """
 
-    def closed(seed: np.ndarray, doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-        _, where, count = np.unique(seed, return_inverse=True, return_counts=True)
-        order = np.flatnonzero(count[where] >= COMMON)
+    def closed(seed: np.ndarray, doc: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(seed, kind="stable")
+        run_at = starts(seed[order])
+        size = np.diff(np.r_[run_at, len(seed)])
+        order = order[np.repeat(size >= COMMON, size)]
         order = order[np.lexsort((place[order], doc[order], seed[order]))]
         ref, y = np.zeros(len(seed), np.int64), np.full(len(seed), -1, np.int32)
         matched, refs, places = star(seed[order], doc[order], place[order])
         at = order[matched]
-        seed, ref[at], y[at] = seed.copy(), refs[matched], places[matched]
+        ref[at], y[at] = refs[matched], places[matched]
         seed[at] = mixed(doc[at].astype(np.int64).view(np.uint64)).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in (seed, doc, place, ref, y)], ["seed", "doc", "place", "ref", "y"])
+        for i in range(0, len(seed), SENT):
+            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + SENT]) for c in (seed, doc, place, ref, y)], ["seed", "doc", "place", "ref", "y"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_of("passages")
-        held: list[tuple[np.ndarray, ...]] = []
+        held: tuple[list[np.ndarray], ...] = ([], [], [])
+        size = 0
+
+        def joined(column: list[np.ndarray]) -> np.ndarray:
+            out = np.concatenate(column)
+            column.clear()
+            return out
+
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
                 words, bounds = word_hashes(part.column(1).to_pylist())
                 places, found = seeds_of(words, bounds, k, window)
                 row = np.searchsorted(bounds, places, side="right") - 1
-                held.append((found.view(np.int64), part.column(0).to_numpy()[row], (places - bounds[row]).astype(np.int32)))
-                if sum(len(h[0]) for h in held) >= GATHERED:
-                    yield closed(*map(np.concatenate, zip(*held)))
-                    held = []
-        if held:
-            yield closed(*map(np.concatenate, zip(*held)))
+                for column, more in zip(held, (found.view(np.int64), part.column(0).to_numpy()[row], (places - bounds[row]).astype(np.int32))):
+                    column.append(more)
+                size += len(found)
+                if size >= GATHERED:
+                    yield from closed(*map(joined, held))
+                    size = 0
+        if size:
+            yield from closed(*map(joined, held))
 
     return docs.mapInArrow(run, "seed long, doc long, place int, ref long, y int")
 
@@ -352,6 +366,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
 
     One row per aligned piece of a region; the words from region_start to region_end repeat earlier documents.
     """
+    small_batches(docs.sparkSession)
     given = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).filter("doc IS NOT NULL")
     found = written(chains(star_matches(seeds(given, k, window)), k, MAX_GAP, piece))
     span = lambda low, high: F.explode(F.sequence(F.floor(F.greatest(F.col(low) - PAD, F.lit(0)) / TILE).cast("int"), F.floor((F.col(high) + PAD) / TILE).cast("int"))).alias("tile")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalpanel.llm.common import components, forest, sliced, worker_of, written
+from evalpanel.llm.common import components, forest, sliced, small_batches, worker_of, written
 from evalpanel.llm.passages import mixed
 from evalpanel.llm.simhash import close_links
 
@@ -230,6 +230,7 @@ def links_under_keys(left: DataFrame, sets: DataFrame, least: float, block: int
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
     """(id, component): every row with the smallest id reachable through pairs of similarity ``least`` or more."""
+    small_batches(docs.sparkSession)
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
     all_rows = written(prints(given, words))
     nodes = all_rows.filter("id IS NOT NULL").groupBy("node").agg(F.min("id").alias("low"), F.min("th").alias("th"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
